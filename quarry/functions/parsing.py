@@ -28,12 +28,31 @@ DATE_FORMATS = [
     "dd/MM/yyyy", "dd-MM-yyyy", "dd MMM yyyy", "MMM dd, yyyy",
 ]
 
-_WS = r"(?U)^\s+|\s+$"
+# Cheap shape test per format: a failed parse costs an exception per cell,
+# so a format is only tried on strings of its shape.
+_D = r"\d"
+DATE_SHAPES = {
+    "yyyy-MM-dd HH:mm:ss": rf"^{_D}{{4}}-{_D}{{1,2}}-{_D}{{1,2}} {_D}{{1,2}}:{_D}{{2}}:{_D}{{2}}$",
+    "yyyy-MM-dd'T'HH:mm:ss": rf"^{_D}{{4}}-{_D}{{1,2}}-{_D}{{1,2}}T{_D}{{1,2}}:{_D}{{2}}:{_D}{{2}}$",
+    "yyyy-MM-dd'T'HH:mm:ss.SSS": rf"^{_D}{{4}}-{_D}{{1,2}}-{_D}{{1,2}}T{_D}{{1,2}}:{_D}{{2}}:{_D}{{2}}\.{_D}{{3}}$",
+    "yyyy-MM-dd HH:mm": rf"^{_D}{{4}}-{_D}{{1,2}}-{_D}{{1,2}} {_D}{{1,2}}:{_D}{{2}}$",
+    "yyyy-MM-dd": rf"^{_D}{{4}}-{_D}{{1,2}}-{_D}{{1,2}}$",
+    "yyyy/MM/dd": rf"^{_D}{{4}}/{_D}{{1,2}}/{_D}{{1,2}}$",
+    "MM/dd/yyyy HH:mm:ss": rf"^{_D}{{1,2}}/{_D}{{1,2}}/{_D}{{4}} {_D}{{1,2}}:{_D}{{2}}:{_D}{{2}}$",
+    "MM/dd/yyyy": rf"^{_D}{{1,2}}/{_D}{{1,2}}/{_D}{{4}}$",
+    "dd/MM/yyyy": rf"^{_D}{{1,2}}/{_D}{{1,2}}/{_D}{{4}}$",
+    "dd-MM-yyyy": rf"^{_D}{{1,2}}-{_D}{{1,2}}-{_D}{{4}}$",
+    "dd MMM yyyy": rf"^{_D}{{1,2}} [A-Za-z]{{3}} {_D}{{4}}$",
+    "MMM dd, yyyy": rf"^[A-Za-z]{{3}} {_D}{{1,2}}, {_D}{{4}}$",
+}
+
+# Python's str.strip() removes every character for which str.isspace() holds.
+WHITESPACE = "".join(ch for ch in map(chr, range(0x3001)) if ch.isspace())
 
 
 def strip(c: Column) -> Column:
     """Python ``str.strip``: all Unicode whitespace at both ends."""
-    return F.regexp_replace(c, _WS, "")
+    return F.btrim(c, F.lit(WHITESPACE))
 
 
 def null_tokens(c: Column, tokens=CLEAN_NULL_TOKENS) -> Column:
@@ -52,7 +71,9 @@ def to_numeric(c: Column) -> Column:
 
 def to_datetime(c: Column, fmt: str) -> Column:
     """Coerce text with one format; bad cells become null."""
-    return F.try_to_timestamp(c, F.lit(fmt)).cast("timestamp_ntz")
+    shape = DATE_SHAPES.get(fmt)
+    parsed = F.try_to_timestamp(c, F.lit(fmt)).cast("timestamp_ntz")
+    return F.when(c.rlike(shape), parsed) if shape else parsed
 
 
 def integral(c: Column) -> Column:

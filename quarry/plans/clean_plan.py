@@ -54,22 +54,28 @@ class CleanPlan:
             v = null_tokens(q(c))
             return strip(v) if trim_whitespace else v
 
-        aggs = [F.count(q(f.name)).alias(f"raw{i}") for i, f in enumerate(fields)]
         idx = {f.name: i for i, f in enumerate(fields)}
+        # stage 1: token-nulled text once per column; stage 2: its numeric
+        # parse once; the aggregate then only counts (no repeated regexes)
+        stage1 = df.select(*[q(f.name).alias(f"r{i}") for i, f in enumerate(fields)],
+                           *[tok(c).alias(f"t{idx[c]}") for c in text])
+        stage2 = stage1.select("*", *[to_numeric(F.col(f"t{idx[c]}")).alias(f"n{idx[c]}")
+                                      for c in text])
+        aggs = [F.count(f"r{i}").alias(f"raw{i}") for i in range(len(fields))]
         for c in text:
             i = idx[c]
-            num = to_numeric(tok(c))
-            aggs += [F.count(tok(c)).alias(f"tok{i}"), F.count(num).alias(f"num{i}"),
+            num = F.col(f"n{i}")
+            aggs += [F.count(f"t{i}").alias(f"tok{i}"), F.count(num).alias(f"num{i}"),
                      F.bool_and(F.coalesce(integral(num), F.lit(True))).alias(f"int{i}")]
         for c in dated:
             i = idx[c]
-            aggs += [F.count(to_datetime(tok(c), fmt)).alias(f"d{i}_{k}")
+            aggs += [F.count(to_datetime(F.col(f"t{i}"), fmt)).alias(f"d{i}_{k}")
                      for k, fmt in enumerate(DATE_FORMATS)]
         for c in doubles:
             i = idx[c]
-            x = F.when(~F.isnan(q(c)), q(c))
+            x = F.when(~F.isnan(F.col(f"r{i}")), F.col(f"r{i}"))
             aggs.append(F.bool_and(F.coalesce(integral(x), F.lit(True))).alias(f"int{i}"))
-        row = df.agg(*aggs).first()
+        row = stage2.agg(*aggs).first()
 
         plan = cls(max_display_cols=max_display_cols)
         plan.dropped_all_null = [f.name for f in fields if row[f"raw{idx[f.name]}"] == 0]
