@@ -102,3 +102,64 @@ def _sql_prefix_case() -> str:
 
 CHAT_TAGGED_SQL = f"""chat_tagged AS (
   SELECT conv_id, turn, role, {_sql_prefix_case()} || text AS text FROM conversations)"""
+
+
+# Fixed code snippets placed in generated assistant responses (turn % 6).
+RESPONSE_CODES = [
+    "df.head()",
+    "import os\nprint(os.listdir('.'))",
+    "df.to_csv('x')",
+    "import json\nprint(json.dumps({'a': 1}))",
+    "def broken(:\n    pass",
+    "print(df.__class__)",
+]
+
+
+def chat_responses(spark: SparkSession, sf: str) -> DataFrame:
+    """Assistant messages re-shaped into model-response variants by
+    turn % 7: all five labels, explanation only, plain text, lower-case
+    labels, camelCase JSON, broken JSON, snake_case JSON."""
+    c = read_table(spark, sf, "conversations").where(F.col("role") == "assistant")
+    t = F.col("text")
+    code = F.element_at(F.array(*[F.lit(x) for x in RESPONSE_CODES]), (F.col("turn") % 6 + 1).cast("int"))
+    k = F.col("turn") % 7
+    full = F.concat(F.lit("EXPLANATION: "), t, F.lit("\nCODE:\n```python\n"), code,
+                    F.lit("\n```\nNEXT_STEPS:\n- Check missing values\n* Plot distributions\n"
+                          "• Train a model\nCHART_TYPE: histogram\nDOMAIN_INSIGHTS: "), t)
+    camel = F.to_json(F.struct(t.alias("explanation"), code.alias("code"),
+                               F.array(F.lit("a"), F.lit("b")).alias("nextSteps"),
+                               F.lit("scatter").alias("chartType")))
+    snake = F.to_json(F.struct(t.alias("explanation"), code.alias("code"),
+                               F.array(F.lit("c")).alias("next_steps"),
+                               F.lit("line").alias("chart_type"), t.alias("domain_insights")))
+    resp = (F.when(k == 0, full).when(k == 1, F.concat(F.lit("EXPLANATION: "), t))
+            .when(k == 2, t)
+            .when(k == 3, F.concat(F.lit("explanation: "), t,
+                                   F.lit("\nnext_steps:\n- one\n- two\nchart_type: bar")))
+            .when(k == 4, camel).when(k == 5, F.concat(F.lit('{"explanation": "'), t))
+            .otherwise(snake))
+    return c.select("conv_id", "turn", "role", resp.alias("response"))
+
+
+def _sql_codes() -> str:
+    def q(s):
+        return "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+    return "[" + ", ".join(q(x) for x in RESPONSE_CODES) + "][turn % 6 + 1]"
+
+
+CHAT_RESPONSES_SQL = f"""chat_responses AS (
+  SELECT conv_id, turn, role, CASE turn % 7
+    WHEN 0 THEN 'EXPLANATION: ' || text || chr(10) || 'CODE:' || chr(10) || '```python' || chr(10)
+         || {_sql_codes()} || chr(10) || '```' || chr(10) || 'NEXT_STEPS:' || chr(10)
+         || '- Check missing values' || chr(10) || '* Plot distributions' || chr(10)
+         || '• Train a model' || chr(10) || 'CHART_TYPE: histogram' || chr(10) || 'DOMAIN_INSIGHTS: ' || text
+    WHEN 1 THEN 'EXPLANATION: ' || text
+    WHEN 2 THEN text
+    WHEN 3 THEN 'explanation: ' || text || chr(10) || 'next_steps:' || chr(10) || '- one' || chr(10)
+         || '- two' || chr(10) || 'chart_type: bar'
+    WHEN 4 THEN CAST(json_object('explanation', text, 'code', {_sql_codes()},
+         'nextSteps', ['a', 'b'], 'chartType', 'scatter') AS VARCHAR)
+    WHEN 5 THEN '{{"explanation": "' || text
+    ELSE CAST(json_object('explanation', text, 'code', {_sql_codes()}, 'next_steps', ['c'],
+         'chart_type', 'line', 'domain_insights', text) AS VARCHAR) END AS response
+  FROM conversations WHERE role = 'assistant')"""
