@@ -20,7 +20,7 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, QueryFn] = {}
 _ORACLE: dict[str, str] = {}
 
-_MODULES = ["profile", "clean", "relate", "outliers", "charts", "sources",
+_MODULES = ["profile", "clean", "relate", "outliers", "charts", "sources", "report", "iforest",
             "relational", "chat", "streams", "transform"]
 
 
