@@ -64,8 +64,9 @@ def _histogram(df, specs):
         if hi == lo:
             b = F.when(x.isNotNull(), F.lit(0))
         else:
-            b = F.least(F.floor((x - F.lit(lo)) * F.lit(float(nb)) / F.lit(hi - lo)).cast("int"),
-                        F.lit(nb - 1))
+            # least() skips nulls, so guard: a null value has no bin
+            b = F.when(x.isNotNull(), F.least(
+                F.floor((x - F.lit(lo)) * F.lit(float(nb)) / F.lit(hi - lo)).cast("int"), F.lit(nb - 1)))
         arms.append(F.struct(F.lit(o).alias("ord"), b.alias("bin")))
     long = df.select(F.inline(F.array(*arms))).where(F.col("bin").isNotNull())
     counts = long.groupBy("ord", "bin").agg(F.count(F.lit(1)).alias("count"))
@@ -167,8 +168,8 @@ def missingness_matrix(df: DataFrame, key: str, bands: int = 20) -> DataFrame:
         return df.sparkSession.createDataFrame(
             [], "band int, ord int, column_name string, rows bigint, present_share double, "
                 "row_completeness double")
-    band = F.least(F.floor((kx - F.lit(lo)) * F.lit(float(bands)) / F.lit(hi - lo + 1.0)).cast("int"),
-                   F.lit(bands - 1))
+    band = F.when(kx.isNotNull(), F.least(
+        F.floor((kx - F.lit(lo)) * F.lit(float(bands)) / F.lit(hi - lo + 1.0)).cast("int"), F.lit(bands - 1)))
     cols = df.columns
     flags = [F.when(q(c).isNotNull(), 1.0).otherwise(0.0) for c in cols]
     complete = sum(flags[1:], flags[0]) / F.lit(float(len(cols)))
@@ -243,8 +244,8 @@ def pair_bins(df: DataFrame, cols: Sequence[str] | None = None, bins: int = 10)
         lo, hi = r[f"lo{i}"], r[f"hi{i}"]
         if lo is None or hi == lo:
             return F.when(x.isNotNull(), F.lit(0))
-        return F.least(F.floor((x - F.lit(lo)) * F.lit(float(bins)) / F.lit(hi - lo)).cast("int"),
-                       F.lit(bins - 1))
+        return F.when(x.isNotNull(), F.least(
+            F.floor((x - F.lit(lo)) * F.lit(float(bins)) / F.lit(hi - lo)).cast("int"), F.lit(bins - 1)))
 
     bx = {i: bin_of(i) for i in range(len(cols))}
     arms = [F.struct(F.lit(i).alias("a_ord"), F.lit(cols[i]).alias("a"), F.lit(j).alias("b_ord"),

@@ -157,8 +157,8 @@ def forward_fill(df: DataFrame, cols: list[str], order_by: Sequence[str],
         return df
     nblocks = max(1, -(-st["n"] // rows_per_block))
     span = (st["hi"] - st["lo"]) or 1.0
-    blk = F.least(F.floor((k - F.lit(st["lo"])) * F.lit(float(nblocks)) / F.lit(span)).cast("int"),
-                  F.lit(nblocks - 1))
+    blk = F.coalesce(F.least(F.floor((k - F.lit(st["lo"])) * F.lit(float(nblocks)) / F.lit(span))
+                             .cast("int"), F.lit(nblocks - 1)), F.lit(-1))
     b = df.withColumn("_blk", blk)
     w = Window.partitionBy("_blk").orderBy(*ow).rowsBetween(Window.unboundedPreceding, 0)
     inside = b.withColumns({c: F.last(q(c), ignorenulls=True).over(w) for c in cols})
