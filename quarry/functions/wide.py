@@ -14,22 +14,29 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CHUNK_EXPRS = 96
+# Whole-stage codegen is switched off for a plan node with more than
+# spark.sql.codegen.maxFields (100) nested fields - and the partial
+# aggregate's buffer attributes count - so chunks stay under that.
+MAX_FIELDS = 96
 
 
 def long_agg(df: DataFrame, items: Sequence[str],
              stats: Callable[[int, str], list[Column]],
-             chunk_exprs: int = CHUNK_EXPRS) -> DataFrame:
+             fields_per_item: int | None = None) -> DataFrame:
     """Apply ``stats(ord, name)`` to every item; return one row per item.
 
     ``stats`` returns aggregate columns already aliased to the output field
-    names; ``ord`` and ``column`` are prepended.
+    names; ``ord`` and ``column_name`` are prepended.  ``fields_per_item``
+    estimates buffer + output fields per item (default 3 per statistic).
     """
     items = list(items)
     if not items:
         return None
-    per = max(1, len(stats(0, items[0])))
-    size = max(1, chunk_exprs // per)
+    per = fields_per_item or (3 * max(1, len(stats(0, items[0]))) + 2)
+    # columnar sources read only a chunk's columns, so splitting costs no
+    # extra IO; with at least `parallelism` chunks the scans run side by side
+    par = df.sparkSession.sparkContext.defaultParallelism
+    size = max(1, min(MAX_FIELDS // per, -(-len(items) // par)))
     parts = []
     for start in range(0, len(items), size):
         chunk = list(enumerate(items))[start:start + size]

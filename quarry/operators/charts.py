@@ -25,16 +25,24 @@ HIST_SCHEMA = "ord int, column_name string, bin int, lo double, hi double, count
 
 
 def _range_stats(df, cols, with_quartiles, method="exact"):
+    """One aggregate of count/min/max per column (+ quartiles when asked);
+    returned as a dict-like row keyed n{i}, lo{i}, hi{i}, q{i}."""
+    from quarry.functions.quantiles import exact_quantiles
     types = {f.name: f.dataType for f in df.schema.fields}
     aggs = []
     for i, c in enumerate(cols):
         x = as_double(c, types[c])
         aggs += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
-        if with_quartiles:
-            qs = (F.percentile_approx(x, [0.25, 0.75], 10000) if method == "approx"
-                  else F.percentile(x, F.array(F.lit(0.25), F.lit(0.75))))
-            aggs.append(qs.alias(f"q{i}"))
-    return df.agg(*aggs).first()
+        if with_quartiles and method == "approx":
+            aggs.append(F.percentile_approx(x, [0.25, 0.75], 10000).alias(f"q{i}"))
+    row = df.agg(*aggs).first().asDict()
+    if with_quartiles and method != "approx":
+        values = {c: as_double(c, types[c]) for c in cols}
+        stats = {c: (row[f"n{i}"], row[f"lo{i}"], row[f"hi{i}"]) for i, c in enumerate(cols)}
+        qv = exact_quantiles(df, values, [0.25, 0.75], stats)
+        for i, c in enumerate(cols):
+            row[f"q{i}"] = [qv[(c, 0.25)], qv[(c, 0.75)]] if row[f"n{i}"] else None
+    return row
 
 
 def auto_bin_count(n: int, lo: float, hi: float, q1: float, q3: float,
@@ -203,8 +211,11 @@ def box_stats(df: DataFrame, cols: Sequence[str] | None = None, k: float = 1.5)
     """five numbers, whiskers at the furthest points inside k*IQR, and
     the number of fliers, per numeric column."""
     types = {f.name: f.dataType for f in df.schema.fields}
+    from quarry.functions.quantiles import exact_quantiles
     bounds = iqr_bounds(df, cols, k)
     spark = df.sparkSession
+    med = exact_quantiles(df, {b["column_name"]: as_double(b["column_name"], types[b["column_name"]])
+                               for b in bounds}, [0.5]) if bounds else {}
     schema = ("ord int, column_name string, min double, q1 double, median double, q3 double, "
               "max double, whisker_low double, whisker_high double, fliers bigint")
     if not bounds:
@@ -221,7 +232,8 @@ def box_stats(df: DataFrame, cols: Sequence[str] | None = None, k: float = 1.5)
         structs.append(F.struct(
             F.lit(b["ord"]).alias("ord"), F.lit(b["column_name"]).alias("column_name"),
             F.min(x).alias("min"), F.lit(b["q1"]).cast("double").alias("q1"),
-            F.percentile(x, 0.5).alias("median"), F.lit(b["q3"]).cast("double").alias("q3"),
+            F.lit(med[(b["column_name"], 0.5)]).cast("double").alias("median"),
+            F.lit(b["q3"]).cast("double").alias("q3"),
             F.max(x).alias("max"), F.min(F.when(inside, x)).alias("whisker_low"),
             F.max(F.when(inside, x)).alias("whisker_high"),
             F.count_if(F.coalesce(out, F.lit(False))).cast("bigint").alias("fliers")).alias(f"s{b['ord']}"))

@@ -85,7 +85,10 @@ def _fill_values(df: DataFrame, cols: list[str], strategy: str) -> dict:
     if strategy == "mean":
         row = df.agg(*[F.avg(q(c)).alias(f"v{i}") for i, c in enumerate(cols)]).first()
     elif strategy == "median":
-        row = df.agg(*[F.percentile(q(c), 0.5).alias(f"v{i}") for i, c in enumerate(cols)]).first()
+        from quarry.functions.kinds import as_double
+        from quarry.functions.quantiles import exact_quantiles
+        med = exact_quantiles(df, {c: as_double(c, types[c]) for c in cols}, [0.5])
+        return {c: med[(c, 0.5)] for c in cols}
     elif strategy == "mode":
         # per-column value counts (partial aggregation), then min_by on
         # (-count, value): smallest value among the most frequent

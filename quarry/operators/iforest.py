@@ -26,7 +26,6 @@ from quarry.functions.kinds import as_double, numeric_columns, q
 from quarry.session import cut_lineage
 
 EULER = 0.5772156649
-EXACT_CUT_MAX_ROWS = 5_000_000
 
 
 def avg_path_length(n) -> np.ndarray:
@@ -156,17 +155,18 @@ def isolation_scores(df: DataFrame, key: Sequence[str], cols: Sequence[str] | No
 
 def isolation_forest(df: DataFrame, key: Sequence[str], cols: Sequence[str] | None = None,
                      n_trees: int = 100, sample_size: int = 256, contamination: float = 0.05,
-                     seed: int = 42, method: str = "auto"):
+                     seed: int = 42, method: str = "exact"):
     """Returns (scores, cut) where ``scores`` (key..., score,
     is_outlier) is checkpointed in the shared folder and ``cut`` is the
-    score percentile at 1 - contamination (exact up to 5 M rows or with
-    ``method='exact'``; a bounded sketch beyond)."""
+    score percentile at 1 - contamination (exact distributed selection, or
+    a bounded sketch with ``method='approx'``)."""
+    from quarry.functions.quantiles import exact_quantiles
     s = cut_lineage(isolation_scores(df, key, cols, n_trees, sample_size, seed))
-    n = s.count()
-    if method == "exact" or (method == "auto" and n <= EXACT_CUT_MAX_ROWS):
-        cut = s.agg(F.percentile("score", 1.0 - contamination)).first()[0]
+    p = 1.0 - contamination
+    if method == "approx":
+        cut = s.agg(F.percentile_approx("score", p, 100000)).first()[0]
     else:
-        cut = s.agg(F.percentile_approx("score", 1.0 - contamination, 100000)).first()[0]
+        cut = exact_quantiles(s, {"score": F.col("score")}, [p])[("score", p)]
     cut = float("inf") if cut is None else cut
     return s.withColumn("is_outlier", F.col("score") > F.lit(cut)), cut
 

@@ -23,17 +23,25 @@ def _quartiles(c, method, accuracy):
 
 def iqr_bounds(df: DataFrame, cols: Sequence[str] | None = None, k: float = 1.5,
                method: str = "exact", accuracy: int = 10000) -> list[dict]:
-    """Pass 1 of E1 (driver receives one row): per column q1, q3, bounds."""
+    """Pass 1 of E1 (driver receives O(#columns) numbers): per column q1,
+    q3 and the fences.  ``exact`` uses distributed selection; ``approx`` a
+    bounded sketch; ``spark`` Spark's exact ``percentile``."""
+    from quarry.functions.quantiles import exact_quantiles
     types = {f.name: f.dataType for f in df.schema.fields}
     cols = list(cols or numeric_columns(df))
     if not cols:
         return []
-    row = df.agg(*[_quartiles(as_double(c, types[c]), method, accuracy).alias(f"q{i}")
-                   for i, c in enumerate(cols)]).first()
+    if method == "exact":
+        qv = exact_quantiles(df, {c: as_double(c, types[c]) for c in cols}, [0.25, 0.75])
+        qs = {c: (qv[(c, 0.25)], qv[(c, 0.75)]) for c in cols}
+    else:
+        row = df.agg(*[_quartiles(as_double(c, types[c]), method, accuracy).alias(f"q{i}")
+                       for i, c in enumerate(cols)]).first()
+        qs = {c: ((row[f"q{i}"][0], row[f"q{i}"][1]) if row[f"q{i}"] is not None else (None, None))
+              for i, c in enumerate(cols)}
     out = []
     for i, c in enumerate(cols):
-        qs = row[f"q{i}"]
-        q1, q3 = (qs[0], qs[1]) if qs is not None else (None, None)
+        q1, q3 = qs[c]
         lo = hi = None
         if q1 is not None:
             iqr = q3 - q1

@@ -79,6 +79,8 @@ def missing_summary(df: DataFrame) -> DataFrame:
 # --- C6-C7: describe -----------------------------------------------------
 
 QUARTILES = [0.25, 0.5, 0.75]
+DESCRIBE_SCHEMA = ("ord int, column_name string, count bigint, mean double, std double, "
+                   "min double, p25 double, p50 double, p75 double, max double")
 
 
 def _quantiles(c, method: str, accuracy: int):
@@ -87,52 +89,65 @@ def _quantiles(c, method: str, accuracy: int):
     return F.percentile(c, F.array(*[F.lit(p) for p in QUARTILES]))
 
 
+def _moments(df: DataFrame, values: dict, extra_quantiles=None):
+    """One chunked aggregate: count, mean, std (ddof 1), min, max per item."""
+    names = list(values)
+
+    def stats(i, name):
+        c = values[name]
+        out = [F.count(c).alias("count"), F.avg(c).alias("mean"),
+               F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max")]
+        if extra_quantiles is not None:
+            out.append(extra_quantiles(c).alias("qs"))
+        return out
+
+    return long_agg(df, names, stats).orderBy("ord").collect()
+
+
 def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None,
                      method: str = "exact", accuracy: int = 10000) -> DataFrame:
     """Pandas ``describe().T``: count, mean, std (ddof 1), min, quartiles
-    (linear interpolation), max; one row per numeric column, one scan.
+    (linear interpolation), max; one row per numeric column.
 
-    ``method='approx'`` swaps the exact percentile (memory grows with the
-    number of distinct values) for a bounded sketch.
-    """
+    ``exact`` finds the quartiles by distributed selection (bounded memory,
+    two or three extra scans); ``approx`` uses a bounded sketch in the same
+    scan as the moments; ``spark`` uses Spark's exact ``percentile`` (one
+    scan, but a per-value map merged in one task)."""
+    from quarry.functions.quantiles import exact_quantiles
     types = {f.name: f.dataType for f in df.schema.fields}
     cols = list(cols or numeric_columns(df))
-
-    def stats(i, name):
-        c = as_double(name, types[name])
-        qs = _quantiles(c, method, accuracy)
-        return [F.count(c).alias("count"), F.avg(c).alias("mean"),
-                F.stddev_samp(c).alias("std"), F.min(c).alias("min"),
-                qs.alias("qs"), F.max(c).alias("max")]
-
-    out = long_agg(df, cols, stats)
-    return out.select("ord", "column_name", "count", "mean", "std", "min",
-                      F.col("qs")[0].alias("p25"), F.col("qs")[1].alias("p50"),
-                      F.col("qs")[2].alias("p75"), "max")
+    spark = df.sparkSession
+    if not cols:
+        return spark.createDataFrame([], DESCRIBE_SCHEMA)
+    values = {c: as_double(c, types[c]) for c in cols}
+    if method in ("approx", "spark"):
+        rows = _moments(df, values, lambda c: _quantiles(c, method, accuracy))
+        qs = {(r["column_name"], p): (r["qs"][j] if r["qs"] is not None else None)
+              for r in rows for j, p in enumerate(QUARTILES)}
+    else:
+        rows = _moments(df, values)
+        stats = {r["column_name"]: (r["count"], r["min"], r["max"]) for r in rows}
+        qs = exact_quantiles(df, values, QUARTILES, stats)
+    out = [(r["ord"], r["column_name"], r["count"], r["mean"], r["std"], r["min"],
+            qs[(r["column_name"], .25)], qs[(r["column_name"], .5)], qs[(r["column_name"], .75)], r["max"])
+           for r in rows]
+    return spark.createDataFrame(out, DESCRIBE_SCHEMA)
 
 
 def describe_datetime(df: DataFrame, cols: Sequence[str] | None = None,
                       method: str = "exact", accuracy: int = 10000) -> DataFrame:
     """Describe of timestamp columns, computed on epoch micros."""
     cols = list(cols or timestamp_columns(df))
-
-    def micros(name):
-        return F.unix_micros(q(name).cast("timestamp")).cast("double")
-
-    def stats(i, name):
-        m = micros(name)
-        qs = _quantiles(m, method, accuracy)
-        return [F.count(m).alias("count"), F.avg(m).alias("mean"), F.min(m).alias("min"),
-                qs.alias("qs"), F.max(m).alias("max")]
+    micro_df = df.select(*[F.unix_micros(q(c).cast("timestamp")).cast("double").alias(c) for c in cols])
+    d = describe_numeric(micro_df, cols, method, accuracy)
 
     def back(c):
         return F.timestamp_micros(F.floor(c).cast("bigint")).cast("timestamp_ntz")
 
-    out = long_agg(df, cols, stats)
-    return out.select("ord", "column_name", "count", back(F.col("mean")).alias("mean"),
-                      back(F.col("min")).alias("min"), back(F.col("qs")[0]).alias("p25"),
-                      back(F.col("qs")[1]).alias("p50"), back(F.col("qs")[2]).alias("p75"),
-                      back(F.col("max")).alias("max"))
+    return d.select("ord", "column_name", "count", back(F.col("mean")).alias("mean"),
+                    back(F.col("min")).alias("min"), back(F.col("p25")).alias("p25"),
+                    back(F.col("p50")).alias("p50"), back(F.col("p75")).alias("p75"),
+                    back(F.col("max")).alias("max"))
 
 
 def numeric_summary(df: DataFrame, n_cols: int = 12) -> DataFrame:
@@ -158,13 +173,18 @@ def _as_text(name: str, dt: T.DataType):
 
 
 def _counts_with_nulls(df: DataFrame, cols: Sequence[str] | None) -> DataFrame:
+    """(ord, column_name, value, count) including the null group: one
+    aggregate per column (columnar scan of that column; map-side partial
+    aggregation absorbs hot values), stacked with ``unionByName``."""
     types = {f.name: f.dataType for f in df.schema.fields}
     cols = list(cols or categorical_columns(df))
-    pairs = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(c).alias("column_name"),
-                               _as_text(c, types[c]).alias("value"))
-                      for i, c in enumerate(cols)])
-    return (df.select(F.inline(pairs))
-            .groupBy("ord", "column_name", "value").agg(F.count(F.lit(1)).alias("count")))
+    parts = [df.groupBy(_as_text(c, types[c]).alias("value")).agg(F.count(F.lit(1)).alias("count"))
+             .select(F.lit(i).alias("ord"), F.lit(c).alias("column_name"), "value", "count")
+             for i, c in enumerate(cols)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def value_counts(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
