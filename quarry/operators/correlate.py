@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 from quarry.functions.kinds import as_double, numeric_columns
 
-CHUNK_PAIRS = 40
+# per pair: covariance buffer 4 + two stddev buffers 3 + count 1, plus 6
+# output fields; codegen stops at 100 nested fields per plan node
+FIELDS_PER_PAIR = 17
+MAX_FIELDS = 96
 
 
 def _pair_stats(x, y):
@@ -34,9 +37,11 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> Data
             [], "a_ord int, a string, b_ord int, b string, r double, n bigint")
     vals = {c: as_double(c, types[c]) for c in cols}
     pairs = list(combinations(range(len(cols)), 2))
+    par = df.sparkSession.sparkContext.defaultParallelism
+    size = max(1, min(MAX_FIELDS // FIELDS_PER_PAIR, -(-len(pairs) // par)))
     parts = []
-    for s in range(0, len(pairs), CHUNK_PAIRS):
-        chunk = pairs[s:s + CHUNK_PAIRS]
+    for s in range(0, len(pairs), size):
+        chunk = pairs[s:s + size]
         structs = []
         for i, j in chunk:
             r, n = _pair_stats(vals[cols[i]], vals[cols[j]])

@@ -1,9 +1,10 @@
 """Isolation forest as Spark jobs.
 
 1. one aggregate: row count and per-feature means (nulls -> mean);
-2. per-tree samples of psi rows: one hash per row pre-selects a small
-   candidate set, per-tree hashes and ``row_number() <= psi`` pick each
-   tree's sample (partial group limit before the shuffle);
+2. per-tree samples of psi rows: one hash per row; each tree owns a
+   window of the hash range, so a row's trees follow by arithmetic and
+   ``row_number() <= psi`` picks each sample (partial group limit before
+   the shuffle);
 3. ``groupBy(tree).applyInPandas`` grows one tree per group (psi rows);
 4. the forest (at most trees x (2 psi - 1) nodes - a bound fixed by the
    parameters, not the data) is broadcast, and ``mapInPandas`` scores
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.kinds import as_double, numeric_columns, q
-from quarry.session import cut_lineage
+from quarry.session import cut_lineage, ship_package
 
 EULER = 0.5772156649
 
@@ -67,20 +68,38 @@ def grow_tree(X: np.ndarray, rng: np.random.Generator, max_depth: int) -> np.nda
 
 def path_lengths(X: np.ndarray, tree: np.ndarray, max_depth: int) -> np.ndarray:
     """Vectorised descent of all rows of X through one tree."""
-    feat, thr = tree[:, 0].astype(int), tree[:, 1]
-    left, right, size = tree[:, 2].astype(int), tree[:, 3].astype(int), tree[:, 4]
+    return forest_path_lengths(X, stack_forest([tree]), max_depth)[:, 0]
+
+
+def stack_forest(trees: list) -> tuple:
+    """Concatenate trees into flat node arrays with global child indices."""
+    offs = np.cumsum([0] + [len(t) for t in trees[:-1]])
+    allt = np.vstack(trees)
+    feat = allt[:, 0].astype(np.int64)
+    thr = allt[:, 1]
+    size = allt[:, 4]
+    rep = np.repeat(offs, [len(t) for t in trees])
+    left = np.where(allt[:, 2] >= 0, allt[:, 2] + rep, -1).astype(np.int64)
+    right = np.where(allt[:, 3] >= 0, allt[:, 3] + rep, -1).astype(np.int64)
+    return feat, thr, left, right, size, offs.astype(np.int64)
+
+
+def forest_path_lengths(X: np.ndarray, forest: tuple, max_depth: int) -> np.ndarray:
+    """h(x) for every row and tree at once: (rows, trees) matrix; each step
+    moves all (row, tree) pairs one level down."""
+    feat, thr, left, right, size, roots = forest
     n = len(X)
-    node = np.zeros(n, dtype=int)
-    depth = np.zeros(n)
-    rows = np.arange(n)
+    node = np.broadcast_to(roots, (n, len(roots))).copy()
+    depth = np.zeros(node.shape)
+    rows = np.arange(n)[:, None]
     for _ in range(max_depth + 1):
         f = feat[node]
-        leaf = f < 0
-        if leaf.all():
+        inner = f >= 0
+        if not inner.any():
             break
-        go_left = X[rows, np.where(leaf, 0, f)] < thr[node]
-        node = np.where(leaf, node, np.where(go_left, left[node], right[node]))
-        depth += ~leaf
+        go_left = X[rows, np.where(inner, f, 0)] < thr[node]
+        node = np.where(inner, np.where(go_left, left[node], right[node]), node)
+        depth += inner
     return depth + avg_path_length(size[node])
 
 
@@ -96,6 +115,7 @@ def isolation_scores(df: DataFrame, key: Sequence[str], cols: Sequence[str] | No
     types = {f.name: f.dataType for f in df.schema.fields}
     cols = [c for c in (cols or numeric_columns(df)) if c not in key]
     spark = df.sparkSession
+    ship_package(spark)
     st = df.agg(F.count(F.lit(1)).alias("_n"),
                 *[F.avg(as_double(c, types[c])).alias(f"m{i}") for i, c in enumerate(cols)]).first()
     n = st["_n"]
@@ -110,14 +130,22 @@ def isolation_scores(df: DataFrame, key: Sequence[str], cols: Sequence[str] | No
     psi = min(sample_size, n)
     max_depth = int(math.ceil(math.log2(max(psi, 2))))
 
-    # per-tree samples: p = chance a row is a tree candidate (2x margin)
+    # per-tree samples from ONE hash per row: u ~ U[0,1); tree t owns the
+    # window [t/T, t/T + p) of u (wrapping), p = 2 psi / n, so each tree
+    # sees about 2 psi uniform candidates and keeps the psi smallest offsets.
+    # For large n the windows are disjoint (p < 1/T) and a row belongs to at
+    # most one tree; the pre-filter keeps only ~p*n*T rows.
+    T = n_trees
     p = min(1.0, 2.0 * psi / n)
-    qf = min(1.0, n_trees * p * 1.5)
-    cand = X.where(_uniform(*[q(k) for k in key], F.lit(seed)) < F.lit(qf))
-    trees = F.array(*[F.struct(F.lit(t).alias("tree"),
-                               _uniform(*[q(k) for k in key], F.lit(seed), F.lit(t + 1)).alias("u"))
-                      for t in range(n_trees)])
-    per_tree = (cand.select("*", F.inline(trees)).where(F.col("u") < F.lit(min(1.0, p / qf))))
+    u = _uniform(*[q(k) for k in key], F.lit(seed))
+    d0 = (u * F.lit(float(T)) - F.floor(u * F.lit(float(T)))) / F.lit(float(T))   # offset in own window
+    t0 = F.floor(u * F.lit(float(T))).cast("int")
+    cand = X.select("*", d0.alias("_d0"), t0.alias("_t0")).where(F.col("_d0") < F.lit(p))
+    k = F.ceil((F.lit(p) - F.col("_d0")) * F.lit(float(T))).cast("int")
+    per_tree = (cand.select("*", F.explode(F.sequence(F.lit(0), F.least(k, F.lit(T)) - 1)).alias("_j"))
+                .select("*", F.pmod(F.col("_t0") - F.col("_j"), F.lit(T)).alias("tree"),
+                        (F.col("_d0") + F.col("_j") / F.lit(float(T))).alias("u"))
+                .where(F.col("u") < F.lit(p)))
     w = Window.partitionBy("tree").orderBy("u", *key)
     sample = per_tree.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= psi) \
         .select("tree", *names)
@@ -136,20 +164,24 @@ def isolation_scores(df: DataFrame, key: Sequence[str], cols: Sequence[str] | No
     nodes = forest.orderBy("tree", "node").toPandas()      # <= n_trees * (2 psi - 1) rows
     tree_arrays = [g[["feature", "threshold", "left", "right", "size"]].to_numpy()
                    for _, g in nodes.groupby("tree", sort=True)]
-    bc = spark.sparkContext.broadcast((tree_arrays, max_depth, float(avg_path_length(psi))))
+    bc = spark.sparkContext.broadcast((stack_forest(tree_arrays), max_depth,
+                                       float(avg_path_length(psi))))
     key_schema = [f"`{k}` {types[k].simpleString()}" for k in key]
 
     def score(batches):
-        arrays, depth, c_psi = bc.value
+        forest, depth, c_psi = bc.value
         for pdf in batches:
             Xb = pdf[names].to_numpy(dtype=float)
-            h = np.zeros(len(Xb))
-            for tr in arrays:
-                h += path_lengths(Xb, tr, depth)
+            h = forest_path_lengths(Xb, forest, depth).mean(axis=1)
             out = pdf[key].copy()
-            out["score"] = np.power(2.0, -(h / len(arrays)) / c_psi)
+            out["score"] = np.power(2.0, -h / c_psi)
             yield out
 
+    # Python scoring is CPU-bound: give it every core when the scan yields
+    # fewer partitions than the cluster runs at once (never the case at scale)
+    par = spark.sparkContext.defaultParallelism
+    if X.rdd.getNumPartitions() < par:
+        X = X.repartition(par)
     return X.mapInPandas(score, ", ".join(key_schema + ["score double"]))
 
 

@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.session import ship_package
 from quarry.sources.text import pandas_header_names
 
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main",
@@ -89,6 +90,7 @@ def _parse_files(batches):
 
 
 def read_workbooks_long(spark: SparkSession, path: str) -> DataFrame:
+    ship_package(spark)
     files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx")
              .option("recursiveFileLookup", True).load(path).select("path", "content"))
     # the file source already splits by file (small files are packed);
