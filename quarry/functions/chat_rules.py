@@ -144,3 +144,28 @@ ACTIVE_WINDOW_S = 30 * 60
 MAX_MESSAGES = 50
 CONTEXT_MESSAGES = 5
 HISTORY_MESSAGES = 3
+
+# Analysis prompt sent with each user question (placeholders in braces).
+PROMPT_TEMPLATE = """**You are an expert Data Scientist AI** analyzing this dataset:
+
+DATASET:
+- FILENAME: {filename}
+- SHAPE: {rows} rows × {columns} columns
+- COLUMNS: {column_list}
+- NUMERICAL: {numerical}
+- CATEGORICAL: {categorical}
+- MISSING VALUES: {missing}
+
+CHAT_HISTORY:
+{history}
+
+USER QUESTION:
+{query}
+
+RESPONSE REQUIREMENTS:
+1) Provide SPECIFIC advice for THIS dataset
+2) Include example Python/pandas CODE when appropriate in a ```python``` block
+3) Suggest 2-3 NEXT_STEPS
+4) If recommending visualization, include CHART_TYPE
+5) Use the structured format: EXPLANATION, CODE, NEXT_STEPS, CHART_TYPE, DOMAIN_INSIGHTS
+"""

@@ -387,3 +387,45 @@ def domain_detect(spark, sf):
 def domain_hints(spark, sf):
     c = _column_lists(spark, sf)
     return c.select("table_name", F.array_join(H.domain_hints(F.col("columns")), "|").alias("hints"))
+
+
+_CLEAN_COLS = ["o_orderkey", "price_txt", "code_txt", "order_date_txt", "status", "int_like", "amt",
+               "o_orderpriority"]
+
+
+def _prompt_sql() -> str:
+    from quarry.registry.clean import _WITH_CLEANED
+    t = CR.PROMPT_TEMPLATE
+    head, rest = t.split("{history}")
+    mid, tail = rest.split("{query}")
+
+    def lit(s):
+        return "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+    head_sql = (lit(head.split("{rows}")[0].replace("{filename}", "orders.csv")) + " || CAST(m.rows AS VARCHAR) || "
+                + lit(head.split("{rows}")[1].split("{missing}")[0]
+                      .replace("{columns}", "8").replace("{column_list}", ", ".join(_CLEAN_COLS))
+                      .replace("{numerical}", "o_orderkey, price_txt, int_like, amt")
+                      .replace("{categorical}", "code_txt, order_date_txt, status, o_orderpriority"))
+                + " || m.summary || " + lit(head.split("{missing}")[1]))
+    miss = " || ', ' || ".join(
+        f"'{c}: ' || CAST(count(*) - count({c}) AS VARCHAR)" for c in ["price_txt", "order_date_txt", "amt"])
+    return (_WITH_CLEANED.rstrip() + f""",
+m AS (SELECT count(*) AS rows, {miss} AS summary FROM cleaned),
+{CHAT_TAGGED_SQL},
+h AS (SELECT conv_id, turn, role, text, coalesce(string_agg(upper(role) || ': ' || text, chr(10)) OVER (
+  PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), 'No history') AS history
+  FROM chat_tagged)
+SELECT h.conv_id, h.turn, {head_sql} || h.history || {lit(mid)} || h.text || {lit(tail)} AS prompt
+FROM h, m WHERE h.role = 'user'""")
+
+
+@register("build_prompts", _prompt_sql())
+def build_prompts(spark, sf):
+    from quarry.functions.kinds import categorical_columns, numeric_columns
+    full, _, _ = smart_clean(dirty_orders(spark, sf))
+    mc = {r["column_name"]: r["missing"] for r in P.missing_counts(full).orderBy("ord").collect()}
+    rows = P.shape(full).first()["rows"]
+    hist = H.chat_history(chat_tagged(spark, sf)).where("role = 'user'")
+    out = H.build_prompts(hist, "orders.csv", rows, full.columns, numeric_columns(full),
+                          categorical_columns(full), mc)
+    return out.select("conv_id", "turn", "prompt")
