@@ -123,15 +123,20 @@ def histogram_fixed(df: DataFrame, cols: Sequence[str] | None = None, bins: int
     return _histogram(df, specs)
 
 
-def kde_curve(df: DataFrame, col: str, points: int = 200, method: str = "exact",
-              fine_bins: int = 2048) -> DataFrame:
+KDE_EXACT_MAX_ROWS = 1_000_000
+
+
+def kde_curve(df: DataFrame, col: str, points: int = 200, method: str = "auto",
+              fine_bins: int = 65536) -> DataFrame:
     """Gaussian KDE with Scott's bandwidth h = std * n^(-1/5) on
     ``points`` grid points over [min, max].
 
     ``exact`` evaluates every row at every grid point inside the scan (the
     grid is exploded per row and summed map-side, so only ``points`` rows
-    per task are shuffled).  ``binned`` first reduces the column to
-    ``fine_bins`` weighted centres.  Output: (point, x, density, n).
+    per task are shuffled) - rows x points work.  ``binned`` first reduces
+    the column to ``fine_bins`` weighted centres (one hash aggregate), then
+    evaluates bins x points.  ``auto`` is exact up to 1 M rows.
+    Output: (point, x, density, n).
     """
     x = as_double(col, df.schema[col].dataType)
     r = df.agg(F.count(x).alias("n"), F.stddev_samp(x).alias("sd"),
@@ -145,6 +150,8 @@ def kde_curve(df: DataFrame, col: str, points: int = 200, method: str = "exact",
     step = (hi - lo) / (points - 1)
     norm = 1.0 / (n * h * math.sqrt(2 * math.pi))
     src = df.select(x.alias("v")).where(F.col("v").isNotNull()).withColumn("w", F.lit(1.0))
+    if method == "auto":
+        method = "exact" if n <= KDE_EXACT_MAX_ROWS else "binned"
     if method == "binned":
         fw = (hi - lo) / fine_bins
         src = (src.withColumn("b", F.least(F.floor((F.col("v") - lo) / fw), F.lit(fine_bins - 1)))

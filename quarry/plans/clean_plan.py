@@ -1,7 +1,7 @@
 """B9 ``smart_clean`` as a re-usable, data-derived plan.
 
-``CleanPlan.fit(df)`` runs ONE aggregate job that measures everything the
-decisions need: raw non-null counts (B1), post-token non-null and numeric
+``CleanPlan.fit(df)`` runs ONE job (one aggregate per column, stacked)
+that measures everything the decisions need: raw non-null counts (B1), post-token non-null and numeric
 counts (B5), per-format parse counts for date-named columns (B6), and
 whether every value of a (converted) double is integral (B7).
 ``plan.apply(df)`` is a pure projection - no job - so it can be applied
@@ -55,27 +55,45 @@ class CleanPlan:
             return strip(v) if trim_whitespace else v
 
         idx = {f.name: i for i, f in enumerate(fields)}
-        # stage 1: token-nulled text once per column; stage 2: its numeric
-        # parse once; the aggregate then only counts (no repeated regexes)
-        stage1 = df.select(*[q(f.name).alias(f"r{i}") for i, f in enumerate(fields)],
-                           *[tok(c).alias(f"t{idx[c]}") for c in text])
-        stage2 = stage1.select("*", *[to_numeric(F.col(f"t{idx[c]}")).alias(f"n{idx[c]}")
-                                      for c in text])
-        aggs = [F.count(f"r{i}").alias(f"raw{i}") for i in range(len(fields))]
-        for c in text:
-            i = idx[c]
-            num = F.col(f"n{i}")
-            aggs += [F.count(f"t{i}").alias(f"tok{i}"), F.count(num).alias(f"num{i}"),
-                     F.bool_and(F.coalesce(integral(num), F.lit(True))).alias(f"int{i}")]
-        for c in dated:
-            i = idx[c]
-            aggs += [F.count(to_datetime(F.col(f"t{i}"), fmt)).alias(f"d{i}_{k}")
-                     for k, fmt in enumerate(DATE_FORMATS)]
-        for c in doubles:
-            i = idx[c]
-            x = F.when(~F.isnan(F.col(f"r{i}")), F.col(f"r{i}"))
-            aggs.append(F.bool_and(F.coalesce(integral(x), F.lit(True))).alias(f"int{i}"))
-        row = stage2.agg(*aggs).first()
+        # one aggregate per column (a columnar scan of that column), stacked
+        # in long form: raw non-null count; for text the post-token count,
+        # numeric count, all-integral flag and per-format date counts; for
+        # doubles the all-integral flag.  One job, columns run side by side.
+        nd = len(DATE_FORMATS)
+        parts = []
+        for f in fields:
+            i, c = idx[f.name], f.name
+            if c in text:
+                t = F.col("_t")
+                num = to_numeric(t)
+                dates = (F.array(*[F.count(to_datetime(t, fmt)) for fmt in DATE_FORMATS])
+                         if c in dated else F.array(*[F.lit(0).cast("bigint")] * nd))
+                part = df.select(q(c).alias("_r"), tok(c).alias("_t")).agg(
+                    F.count("_r").alias("raw"), F.count("_t").alias("tok"), F.count(num).alias("num"),
+                    F.bool_and(F.coalesce(integral(num), F.lit(True))).alias("intok"),
+                    dates.alias("dates"))
+            elif c in doubles:
+                x = F.when(~F.isnan(q(c)), q(c))
+                part = df.agg(F.count(q(c)).alias("raw"), F.lit(0).cast("bigint").alias("tok"),
+                              F.lit(0).cast("bigint").alias("num"),
+                              F.bool_and(F.coalesce(integral(x), F.lit(True))).alias("intok"),
+                              F.array(*[F.lit(0).cast("bigint")] * nd).alias("dates"))
+            else:
+                part = df.agg(F.count(q(c)).alias("raw"), F.lit(0).cast("bigint").alias("tok"),
+                              F.lit(0).cast("bigint").alias("num"), F.lit(True).alias("intok"),
+                              F.array(*[F.lit(0).cast("bigint")] * nd).alias("dates"))
+            parts.append(part.select(F.lit(i).alias("i"), "*"))
+        union = parts[0]
+        for p in parts[1:]:
+            union = union.unionByName(p)
+        got = {r["i"]: r for r in union.collect()}          # one row per column
+        row = {}
+        for c, i in idx.items():
+            r = got[i]
+            row[f"raw{i}"], row[f"tok{i}"], row[f"num{i}"], row[f"int{i}"] = \
+                r["raw"], r["tok"], r["num"], r["intok"]
+            for k in range(nd):
+                row[f"d{i}_{k}"] = r["dates"][k]
 
         plan = cls(max_display_cols=max_display_cols)
         plan.dropped_all_null = [f.name for f in fields if row[f"raw{idx[f.name]}"] == 0]

@@ -146,3 +146,11 @@ def test_wide_profile_job_count_is_fixed(spark):
     df = spark.createDataFrame([tuple(float(i + j) for i in range(150)) for j in range(5)], cols)
     out = P.describe_numeric(df)
     assert out.count() == 150
+
+
+def test_kde_binned_close_to_exact(spark):
+    rng = np.random.default_rng(11)
+    df = spark.createDataFrame([(float(v),) for v in rng.normal(size=5000)], "v double")
+    ex = [r["density"] for r in CH.kde_curve(df, "v", method="exact").orderBy("point").collect()]
+    bn = [r["density"] for r in CH.kde_curve(df, "v", method="binned").orderBy("point").collect()]
+    assert max(abs(a - b) for a, b in zip(ex, bn)) < 1e-4 * max(ex)
