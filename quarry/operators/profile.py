@@ -206,9 +206,12 @@ def top_values(df: DataFrame, k: int = 5, cols: Sequence[str] | None = None) ->
     vc = _counts_with_nulls(df, cols)
     per_col = vc.groupBy("ord", "column_name").agg(
         F.sum("count").alias("total_rows"), F.count("value").alias("n_values"))
-    w = Window.partitionBy("ord", "column_name").orderBy(F.desc("count"), F.asc("value"))
-    top = (vc.where(F.col("value").isNotNull())
-           .withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
+    # the null group sorts last and is dropped after the window, so both
+    # branches share one aggregate (and its exchange is reused)
+    w = Window.partitionBy("ord", "column_name").orderBy(
+        F.col("value").isNull(), F.desc("count"), F.asc("value"))
+    top = (vc.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+           .where(F.col("value").isNotNull()))
     return (top.join(F.broadcast(per_col), ["ord", "column_name"])
             .select("ord", "column_name", "rank", "value", "count",
                     F.round(F.col("count") * 100.0 / F.col("total_rows"), 1).alias("pct"),
