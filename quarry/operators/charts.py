@@ -297,3 +297,12 @@ def sample_rows(df: DataFrame, n: int, key: Sequence[str], seed: int = 42,
             break
         frac = min(1.0, frac * 2)
     return cand.orderBy("_u", *key).limit(n).drop("_u")
+
+
+def pair_sample(df: DataFrame, n: int, key: Sequence[str], cols: Sequence[str] | None = None,
+                seed: int = 42) -> DataFrame:
+    """F8 scatter/line data: exactly ``n`` seeded sample rows (F9) with the
+    key and the numeric columns, for plotting every pair."""
+    cols = list(cols or numeric_columns(df))
+    return sample_rows(df.select(*[q(k) for k in key], *[q(c) for c in cols if c not in key]),
+                       n, key, seed)

@@ -242,3 +242,11 @@ def page_count(df: DataFrame, size: int) -> DataFrame:
     """C13 companion: (total, pages = ceil(total / size))."""
     return df.agg(F.count(F.lit(1)).alias("total")).select(
         "total", F.ceil(F.col("total") / F.lit(size)).cast("bigint").alias("pages"))
+
+
+def page_after(df: DataFrame, key: str, after, size: int) -> DataFrame:
+    """C13 deep pages: keyset pagination - the ``size`` rows following
+    ``after`` in ``key`` order; the predicate reaches the scan, so a deep
+    page costs no more than the first."""
+    c = q(key)
+    return df.where(c > F.lit(after)).orderBy(c).limit(size)

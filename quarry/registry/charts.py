@@ -167,3 +167,10 @@ def pair_bins(spark, sf):
 def sample_exact(spark, sf):
     """Rows-only: the hash order has no DuckDB twin; invariants in tests."""
     return CH.sample_rows(read_table(spark, sf, "orders"), 1000, ["o_orderkey"], seed=42)
+
+
+@register("pair_sample")
+def pair_sample(spark, sf):
+    """Rows-only: seeded sample of the numeric lineitem columns."""
+    return CH.pair_sample(read_table(spark, sf, "lineitem"), 500,
+                          ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], _PAIR_COLS)

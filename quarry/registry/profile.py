@@ -150,3 +150,8 @@ def page_3(spark, sf):
 @register("page_count", "SELECT count(*) AS total, CAST(ceil(count(*) / 50.0) AS BIGINT) AS pages FROM orders")
 def page_count(spark, sf):
     return P.page_count(read_table(spark, sf, "orders"), 50)
+
+
+@register("page_keyset", "SELECT * FROM orders WHERE o_orderkey > 7000 ORDER BY o_orderkey LIMIT 50")
+def page_keyset(spark, sf):
+    return P.page_after(read_table(spark, sf, "orders"), "o_orderkey", 7000, 50)

@@ -345,3 +345,20 @@ def json_extract(spark, sf):
     e = _t(spark, sf, "events")
     return e.select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"),
                     F.get_json_object("props", "$.missing").alias("missing"))
+
+
+_REC = """WITH RECURSIVE r(n) AS (
+  SELECT min(l_linenumber) FROM lineitem
+  UNION ALL SELECT n + 1 FROM r WHERE n < (SELECT max(l_linenumber) FROM lineitem)),
+c AS (SELECT l_linenumber, count(*) AS cnt FROM lineitem GROUP BY l_linenumber)
+SELECT r.n AS linenumber,
+  CAST(sum(coalesce(c.cnt, 0)) OVER (ORDER BY r.n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT)
+    AS lines_at_or_below
+FROM r LEFT JOIN c ON c.l_linenumber = r.n"""
+
+
+@register("cte_recursive", _REC)
+def cte_recursive(spark, sf):
+    """WITH RECURSIVE runs unchanged in Spark SQL."""
+    _views(spark, sf, ["lineitem"])
+    return spark.sql(_REC)
