@@ -1,19 +1,21 @@
-"""Exact quantiles by distributed selection (no per-value maps).
+"""Exact quantiles (and moments) by distributed selection.
 
 Spark's exact ``percentile`` keeps a value->count map per group and merges
 it in one task, so memory and time grow with the number of distinct
 values.  Here each target order statistic is found by refinement:
 
-* start from the column's [min, max] and the count of non-null values;
-* one hash aggregate per round bins every value that can still hold a
-  target into ``bins`` equal-width bins (count, min, max per bin) - the
-  shuffle carries at most probes x bins rows;
-* the bin containing the wanted rank becomes the next interval (its exact
-  min/max, and the count below it);
-* once an interval holds at most ``collect_limit`` values, the distinct
-  values with multiplicities are gathered (bounded) and the rank is read.
+* round 0 - per column, Spark's own count/mean/std/min/max plus one
+  grouped aggregate over log-scale bins (sign-mirrored ``floor(16 log2|x|)``,
+  no range needed) with count, min and max per occupied bin, all in one
+  job; the driver finds the bin holding every target rank;
+* later rounds - one aggregate per column over the pending bins only:
+  a bin with at most ``COLLECT_LIMIT`` values is gathered as distinct
+  values with multiplicities and the rank is read; a larger bin is split
+  into ``BINS`` equal-width bins (count, min, max each) and the bin holding
+  the rank becomes the next interval (its exact min/max and the count
+  below it).
 
-Every round reads the data once; typical columns need two or three rounds.
+The driver only ever holds occupied-bin summaries and bounded bins.
 Interpolation follows pandas/DuckDB ``quantile_cont``.
 """
 
@@ -28,6 +30,8 @@ from pyspark.sql import functions as F
 BINS = 4096
 COLLECT_LIMIT = 50_000
 MAX_ROUNDS = 12
+_LOG_STEPS = 16
+_INF_KEY = 1_000_000
 
 
 def _ranks(n: int, p: float):
@@ -35,54 +39,49 @@ def _ranks(n: int, p: float):
     return math.floor(r), math.ceil(r), r - math.floor(r)
 
 
-def select_ranks(df: DataFrame, values: dict[str, Column], stats: dict[str, tuple],
-                 ranks: dict[str, set]) -> dict[tuple, float]:
-    """Order statistics (0-based ranks among non-null values).
+def _log_key(x: Column) -> Column:
+    """Monotonic bin key: sign-mirrored floor(16 log2|x|); zero -> 0,
+    infinities -> +-1e6.  Each key is a contiguous range of values."""
+    k = F.lit(100_000) + F.floor(F.log2(F.abs(x)) * F.lit(float(_LOG_STEPS)))
+    inf = F.lit(float("inf"))
+    return (F.when(x == inf, F.lit(_INF_KEY)).when(x == -inf, F.lit(-_INF_KEY))
+            .when(x > 0, k).when(x < 0, -k).otherwise(F.lit(0)))
 
-    ``values``: name -> double column; ``stats``: name -> (n, min, max);
-    ``ranks``: name -> set of ranks.  Returns {(name, rank): value}."""
-    # probe: (name, lo, hi, below, count) - an interval of actual values
+
+def _union(parts):
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _refine(df: DataFrame, values: dict[str, Column], pending: dict) -> dict:
+    """pending: {(name, lo, hi, below, count): {ranks}} -> {(name, rank): value}.
+    One job per round: one aggregate per column with pending intervals."""
     out: dict[tuple, float] = {}
-    pending = {}  # (name, lo, hi, below, count) -> set of ranks
-    for name, rs in ranks.items():
-        n, lo, hi = stats[name]
-        if not n or not rs:
-            continue
-        if lo == hi:
-            for k in rs:
-                out[(name, k)] = lo
-            continue
-        pending.setdefault((name, lo, hi, 0, n), set()).update(rs)
     for _ in range(MAX_ROUNDS):
         if not pending:
-            break
+            return out
         probes = list(pending.items())
         per_col: dict[str, list] = {}
         for pid, ((name, lo, hi, below, cnt), rs) in enumerate(probes):
             per_col.setdefault(name, []).append((pid, lo, hi, cnt))
         parts = []
         for name, plist in per_col.items():
-            # one aggregate per column and round: a columnar scan of that
-            # column; the column's probes are disjoint intervals
             x = values[name]
             pid_e = key_e = None
-            for pid, lo, hi, cnt in plist:
+            for pid, lo, hi, cnt in plist:          # disjoint intervals of one column
                 inside = (x >= F.lit(lo)) & (x <= F.lit(hi))
                 k = x if cnt <= COLLECT_LIMIT else F.least(
                     F.floor((x - F.lit(lo)) * F.lit(float(BINS)) / F.lit(hi - lo)), F.lit(float(BINS - 1)))
                 pid_e = F.when(inside, F.lit(pid)) if pid_e is None else pid_e.when(inside, F.lit(pid))
                 key_e = F.when(inside, k) if key_e is None else key_e.when(inside, k)
-            part = (df.select(pid_e.alias("pid"), key_e.cast("double").alias("key"), x.alias("x"))
-                    .where(F.col("pid").isNotNull())
-                    .groupBy("pid", "key").agg(F.count(F.lit(1)).alias("c"), F.min("x").alias("mn"),
-                                               F.max("x").alias("mx")))
-            parts.append(part)
-        union = parts[0]
-        for p in parts[1:]:
-            union = union.unionByName(p)
-        rows = union.collect()                 # at most probes x max(BINS, COLLECT_LIMIT) rows
+            parts.append(df.select(pid_e.alias("pid"), key_e.cast("double").alias("key"), x.alias("x"))
+                         .where(F.col("pid").isNotNull())
+                         .groupBy("pid", "key").agg(F.count(F.lit(1)).alias("c"),
+                                                    F.min("x").alias("mn"), F.max("x").alias("mx")))
         by_pid: dict[int, list] = {}
-        for r in rows:
+        for r in _union(parts).collect():   # <= probes x max(BINS, COLLECT_LIMIT) rows
             by_pid.setdefault(r["pid"], []).append(r)
         nxt = {}
         for pid, ((name, lo, hi, below, cnt), rs) in enumerate(probes):
@@ -91,8 +90,10 @@ def select_ranks(df: DataFrame, values: dict[str, Column], stats: dict[str, tupl
                 acc = below
                 for b in bins:
                     if k < acc + b["c"]:
-                        if cnt <= COLLECT_LIMIT or b["mn"] == b["mx"]:
-                            out[(name, k)] = b["mn"] if cnt > COLLECT_LIMIT else b["key"]
+                        if cnt <= COLLECT_LIMIT:
+                            out[(name, k)] = b["key"]
+                        elif b["mn"] == b["mx"]:
+                            out[(name, k)] = b["mn"]
                         else:
                             nxt.setdefault((name, b["mn"], b["mx"], acc, b["c"]), set()).add(k)
                         break
@@ -103,28 +104,61 @@ def select_ranks(df: DataFrame, values: dict[str, Column], stats: dict[str, tupl
     return out
 
 
-def exact_quantiles(df: DataFrame, values: dict[str, Column], probs: Sequence[float],
-                    stats: dict[str, tuple] | None = None) -> dict[tuple, float]:
-    """{(name, p): value} with linear interpolation; ``stats`` (n, min, max)
-    per name may be passed when already computed (saves one scan)."""
-    if stats is None:
-        row = df.agg(*[F.struct(F.count(c), F.min(c), F.max(c)).alias(f"s{i}")
-                       for i, c in enumerate(values.values())]).first()
-        stats = {name: tuple(row[f"s{i}"]) for i, name in enumerate(values)}
-    ranks = {}
-    for name in values:
-        n = stats[name][0]
-        if n:
-            ranks[name] = {k for p in probs for k in _ranks(n, p)[:2]}
-    picked = select_ranks(df, values, stats, ranks)
-    out = {}
-    for name in values:
-        n = stats[name][0]
+def column_profile(df: DataFrame, values: dict[str, Column], probs: Sequence[float]) -> dict:
+    """{name: {count, mean, std (ddof 1), min, max, q: {p: value}}}."""
+    parts = []
+    for i, x in enumerate(values.values()):
+        col = df.select(x.alias("x"))
+        # global moments with Spark's own aggregates (same rounding as any
+        # SQL engine's avg/stddev) and the occupied log bins - one job
+        parts.append(col.agg(F.count("x").alias("c"), F.min("x").alias("mn"), F.max("x").alias("mx"),
+                             F.avg("x").alias("mu"), F.stddev_samp("x").alias("vp"))
+                     .select(F.lit(i).alias("i"), F.lit(None).cast("bigint").alias("key"), "*"))
+        parts.append(col.where(F.col("x").isNotNull())
+                     .groupBy(_log_key(F.col("x")).alias("key"))
+                     .agg(F.count(F.lit(1)).alias("c"), F.min("x").alias("mn"), F.max("x").alias("mx"),
+                          F.lit(None).cast("double").alias("mu"), F.lit(None).cast("double").alias("vp"))
+                     .select(F.lit(i).alias("i"), "*"))
+    bins: dict[int, list] = {}
+    moments: dict[int, object] = {}
+    for r in _union(parts).collect():        # moments + occupied log bins (<= 16 per octave)
+        if r["key"] is None:
+            moments[r["i"]] = r
+        else:
+            bins.setdefault(r["i"], []).append(r)
+    out, pending, picked = {}, {}, {}
+    for i, name in enumerate(values):
+        bs = sorted(bins.get(i, []), key=lambda r: r["key"])
+        m = moments[i]
+        n = m["c"]
+        info = {"count": n, "mean": m["mu"], "std": m["vp"], "min": m["mn"], "max": m["mx"], "q": {}}
+        out[name] = info
+        if n == 0:
+            info["q"] = {p: None for p in probs}
+            continue
+        ranks = {k for p in probs for k in _ranks(n, p)[:2]}
+        acc = 0
+        for r in bs:
+            hit = {k for k in ranks if acc <= k < acc + r["c"]}
+            if hit:
+                if r["mn"] == r["mx"]:
+                    picked.update({(name, k): r["mn"] for k in hit})
+                else:
+                    pending[(name, r["mn"], r["mx"], acc, r["c"])] = hit
+            acc += r["c"]
+    picked.update(_refine(df, values, pending))
+    for name, info in out.items():
+        n = info["count"]
+        if not n:
+            continue
         for p in probs:
-            if not n:
-                out[(name, p)] = None
-                continue
             k0, k1, frac = _ranks(n, p)
             v0, v1 = picked[(name, k0)], picked[(name, k1)]
-            out[(name, p)] = v0 + (v1 - v0) * frac if k1 != k0 else v0
+            info["q"][p] = v0 + (v1 - v0) * frac if k1 != k0 else v0
     return out
+
+
+def exact_quantiles(df: DataFrame, values: dict[str, Column], probs: Sequence[float]) -> dict:
+    """{(name, p): value} with linear interpolation (None for empty columns)."""
+    prof = column_profile(df, values, probs)
+    return {(name, p): prof[name]["q"].get(p) for name in values for p in probs}

@@ -39,7 +39,7 @@ def _range_stats(df, cols, with_quartiles, method="exact"):
     if with_quartiles and method != "approx":
         values = {c: as_double(c, types[c]) for c in cols}
         stats = {c: (row[f"n{i}"], row[f"lo{i}"], row[f"hi{i}"]) for i, c in enumerate(cols)}
-        qv = exact_quantiles(df, values, [0.25, 0.75], stats)
+        qv = exact_quantiles(df, values, [0.25, 0.75])
         for i, c in enumerate(cols):
             row[f"q{i}"] = [qv[(c, 0.25)], qv[(c, 0.75)]] if row[f"n{i}"] else None
     return row

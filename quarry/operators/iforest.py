@@ -9,7 +9,7 @@
 4. the forest (at most trees x (2 psi - 1) nodes - a bound fixed by the
    parameters, not the data) is broadcast, and ``mapInPandas`` scores
    every row in Arrow batches;
-5. key + score are checkpointed to the shared folder, the cut is the
+5. key + score are written once to the shared folder, the cut is the
    (1 - contamination) percentile of the scores, outliers score above it.
 """
 
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.kinds import as_double, numeric_columns, q
-from quarry.session import cut_lineage, ship_package
+from quarry.session import materialize, ship_package
 
 EULER = 0.5772156649
 
@@ -72,35 +72,45 @@ def path_lengths(X: np.ndarray, tree: np.ndarray, max_depth: int) -> np.ndarray:
 
 
 def stack_forest(trees: list) -> tuple:
-    """Concatenate trees into flat node arrays with global child indices."""
-    offs = np.cumsum([0] + [len(t) for t in trees[:-1]])
-    allt = np.vstack(trees)
-    feat = allt[:, 0].astype(np.int64)
-    thr = allt[:, 1]
-    size = allt[:, 4]
-    rep = np.repeat(offs, [len(t) for t in trees])
-    left = np.where(allt[:, 2] >= 0, allt[:, 2] + rep, -1).astype(np.int64)
-    right = np.where(allt[:, 3] >= 0, allt[:, 3] + rep, -1).astype(np.int64)
-    return feat, thr, left, right, size, offs.astype(np.int64)
+    """Flatten trees for fast descent: leaves loop to themselves (threshold
+    +inf), children are interleaved in one array, and each node carries its
+    finished path length depth + c(size) so no per-level bookkeeping is
+    needed."""
+    feats, thrs, childs, paths, roots = [], [], [], [], []
+    off = 0
+    for t in trees:
+        m = len(t)
+        f = t[:, 0].astype(np.int64)
+        leaf = f < 0
+        left = np.where(leaf, np.arange(m), t[:, 2]).astype(np.int64) + off
+        right = np.where(leaf, np.arange(m), t[:, 3]).astype(np.int64) + off
+        depth = np.zeros(m)
+        for i in range(m):                       # parents precede children
+            if not leaf[i]:
+                depth[int(t[i, 2])] = depth[i] + 1
+                depth[int(t[i, 3])] = depth[i] + 1
+        feats.append(np.where(leaf, 0, f))
+        thrs.append(np.where(leaf, np.inf, t[:, 1]))
+        childs.append(np.stack([left, right], axis=1).ravel())
+        paths.append(depth + avg_path_length(t[:, 4]))
+        roots.append(off)
+        off += m
+    return (np.concatenate(feats), np.concatenate(thrs), np.concatenate(childs),
+            np.concatenate(paths), np.array(roots, dtype=np.int64))
 
 
 def forest_path_lengths(X: np.ndarray, forest: tuple, max_depth: int) -> np.ndarray:
-    """h(x) for every row and tree at once: (rows, trees) matrix; each step
-    moves all (row, tree) pairs one level down."""
-    feat, thr, left, right, size, roots = forest
-    n = len(X)
+    """h(x) for every row and tree at once: (rows, trees) matrix.  Each
+    level is four gathers over all (row, tree) pairs."""
+    feat, thr, child, path, roots = forest
+    n, d = X.shape
+    flat = np.ascontiguousarray(X, dtype=float).ravel()
+    base = (np.arange(n, dtype=np.int64) * d)[:, None]
     node = np.broadcast_to(roots, (n, len(roots))).copy()
-    depth = np.zeros(node.shape)
-    rows = np.arange(n)[:, None]
-    for _ in range(max_depth + 1):
-        f = feat[node]
-        inner = f >= 0
-        if not inner.any():
-            break
-        go_left = X[rows, np.where(inner, f, 0)] < thr[node]
-        node = np.where(inner, np.where(go_left, left[node], right[node]), node)
-        depth += inner
-    return depth + avg_path_length(size[node])
+    for _ in range(max_depth):
+        go_right = flat[base + feat[node]] >= thr[node]
+        node = child[2 * node + go_right]
+    return path[node]
 
 
 def _uniform(*cols):
@@ -159,7 +169,10 @@ def isolation_scores(df: DataFrame, key: Sequence[str], cols: Sequence[str] | No
         out.insert(0, "tree", t)
         return out
 
-    forest = sample.groupBy("tree").applyInPandas(
+    # an explicit repartition by tree is not coalesced by AQE, so the trees
+    # grow in parallel Python workers (groupBy reuses this partitioning)
+    par = spark.sparkContext.defaultParallelism
+    forest = sample.repartition(min(par, n_trees), "tree").groupBy("tree").applyInPandas(
         build, "tree int, node long, feature double, threshold double, left double, right double, size double")
     nodes = forest.orderBy("tree", "node").toPandas()      # <= n_trees * (2 psi - 1) rows
     tree_arrays = [g[["feature", "threshold", "left", "right", "size"]].to_numpy()
@@ -179,7 +192,6 @@ def isolation_scores(df: DataFrame, key: Sequence[str], cols: Sequence[str] | No
 
     # Python scoring is CPU-bound: give it every core when the scan yields
     # fewer partitions than the cluster runs at once (never the case at scale)
-    par = spark.sparkContext.defaultParallelism
     if X.rdd.getNumPartitions() < par:
         X = X.repartition(par)
     return X.mapInPandas(score, ", ".join(key_schema + ["score double"]))
@@ -189,11 +201,11 @@ def isolation_forest(df: DataFrame, key: Sequence[str], cols: Sequence[str] | No
                      n_trees: int = 100, sample_size: int = 256, contamination: float = 0.05,
                      seed: int = 42, method: str = "exact"):
     """Returns (scores, cut) where ``scores`` (key..., score,
-    is_outlier) is checkpointed in the shared folder and ``cut`` is the
+    is_outlier) is materialised in the shared folder and ``cut`` is the
     score percentile at 1 - contamination (exact distributed selection, or
     a bounded sketch with ``method='approx'``)."""
     from quarry.functions.quantiles import exact_quantiles
-    s = cut_lineage(isolation_scores(df, key, cols, n_trees, sample_size, seed))
+    s = materialize(isolation_scores(df, key, cols, n_trees, sample_size, seed), "iforest-scores")
     p = 1.0 - contamination
     if method == "approx":
         cut = s.agg(F.percentile_approx("score", p, 100000)).first()[0]

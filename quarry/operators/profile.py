@@ -113,7 +113,6 @@ def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None,
     two or three extra scans); ``approx`` uses a bounded sketch in the same
     scan as the moments; ``spark`` uses Spark's exact ``percentile`` (one
     scan, but a per-value map merged in one task)."""
-    from quarry.functions.quantiles import exact_quantiles
     types = {f.name: f.dataType for f in df.schema.fields}
     cols = list(cols or numeric_columns(df))
     spark = df.sparkSession
@@ -125,9 +124,11 @@ def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None,
         qs = {(r["column_name"], p): (r["qs"][j] if r["qs"] is not None else None)
               for r in rows for j, p in enumerate(QUARTILES)}
     else:
-        rows = _moments(df, values)
-        stats = {r["column_name"]: (r["count"], r["min"], r["max"]) for r in rows}
-        qs = exact_quantiles(df, values, QUARTILES, stats)
+        from quarry.functions.quantiles import column_profile
+        prof = column_profile(df, values, QUARTILES)
+        rows = [{"ord": i, "column_name": c, **{k: prof[c][k] for k in ("count", "mean", "std", "min", "max")}}
+                for i, c in enumerate(cols)]
+        qs = {(c, p): prof[c]["q"][p] for c in cols for p in QUARTILES}
     out = [(r["ord"], r["column_name"], r["count"], r["mean"], r["std"], r["min"],
             qs[(r["column_name"], .25)], qs[(r["column_name"], .5)], qs[(r["column_name"], .75)], r["max"])
            for r in rows]

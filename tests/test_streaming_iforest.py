@@ -42,3 +42,21 @@ def test_isolation_invariants(spark):
     pdf = s1.toPandas()
     assert abs(pdf.is_outlier.mean() - 0.05) < 0.005
     assert pdf[pdf.k >= 5000].is_outlier.all()
+
+
+def test_forest_traversal_matches_naive():
+    from quarry.operators.iforest import forest_path_lengths, grow_tree, stack_forest
+    rng = np.random.default_rng(5)
+    trees = [grow_tree(rng.normal(size=(64, 3)), np.random.default_rng(t), 6) for t in range(7)]
+    X = rng.normal(size=(50, 3)) * 2
+
+    def naive(x, t):
+        i, d = 0, 0
+        while t[i, 0] >= 0:
+            i = int(t[i, 2]) if x[int(t[i, 0])] < t[i, 1] else int(t[i, 3])
+            d += 1
+        return d + float(avg_path_length(t[i, 4]))
+
+    got = forest_path_lengths(X, stack_forest(trees), 6)
+    want = np.array([[naive(x, t) for t in trees] for x in X])
+    assert np.allclose(got, want)
