@@ -174,3 +174,18 @@ def pair_sample(spark, sf):
     """Rows-only: seeded sample of the numeric lineitem columns."""
     return CH.pair_sample(read_table(spark, sf, "lineitem"), 500,
                           ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], _PAIR_COLS)
+
+
+@register("violin_kde", """WITH s AS (SELECT event_type, count(value) AS n, stddev_samp(value) AS sd,
+  min(value) AS lo, max(value) AS hi FROM events WHERE value IS NOT NULL GROUP BY event_type),
+p AS (SELECT *, sd * pow(n, -0.2) AS h, (hi - lo) / 199 AS step FROM s WHERE sd > 0 AND hi > lo)
+SELECT p.event_type, CAST(g.range AS INTEGER) AS point, round(lo + g.range * step, 6) AS x,
+  round(sum(exp(-0.5 * pow(((lo + g.range * step) - e.value) / h, 2)))
+        * (1.0 / (n * h * sqrt(2 * pi()))), 10) AS density, CAST(n AS BIGINT) AS n
+FROM events e JOIN p ON e.event_type = p.event_type, range(200) g WHERE e.value IS NOT NULL
+GROUP BY p.event_type, g.range, lo, step, n, h""")
+def violin_kde(spark, sf):
+    from pyspark.sql import functions as F
+    k = CH.kde_by_group(read_table(spark, sf, "events"), "value", "event_type")
+    return k.select("event_type", "point", F.round("x", 6).alias("x"),
+                    F.round("density", 10).alias("density"), "n")

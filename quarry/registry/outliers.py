@@ -121,3 +121,18 @@ def dedup_distinct(spark, sf):
 def dedup_keep_first(spark, sf):
     return D.drop_duplicates(read_table(spark, sf, "events"), ["user_id", "event_type"],
                              ["ts", "event_id"])
+
+
+def _z_rows_sql(source: str, cols: list[str], t: float = 3.0) -> str:
+    stats = ", ".join(f"avg(CAST({c} AS DOUBLE)) AS m{i}, stddev_pop(CAST({c} AS DOUBLE)) AS s{i}"
+                      for i, c in enumerate(cols))
+    names = ", ".join(f"CASE WHEN s{i} > 0 AND abs((CAST({c} AS DOUBLE) - m{i}) / s{i}) > {t} THEN {lit(c)} END"
+                      for i, c in enumerate(cols))
+    allcols = ", ".join(c for c, _ in TABLES[source])
+    return f"""SELECT * FROM (SELECT {allcols}, concat_ws(',', {names}) AS outlier_columns
+  FROM {source}, (SELECT {stats} FROM {source}) b) t WHERE outlier_columns <> ''"""
+
+
+@register("outlier_rows_zscore", _z_rows_sql("documents", numeric("documents")))
+def outlier_rows_zscore(spark, sf):
+    return O.outlier_rows(read_table(spark, sf, "documents"), "zscore")

@@ -154,3 +154,13 @@ def test_kde_binned_close_to_exact(spark):
     ex = [r["density"] for r in CH.kde_curve(df, "v", method="exact").orderBy("point").collect()]
     bn = [r["density"] for r in CH.kde_curve(df, "v", method="binned").orderBy("point").collect()]
     assert max(abs(a - b) for a, b in zip(ex, bn)) < 1e-4 * max(ex)
+
+
+def test_violin_binned_close_to_exact(spark):
+    rng = np.random.default_rng(12)
+    rows = [("a", float(v)) for v in rng.normal(size=3000)] + [("b", float(v)) for v in rng.gamma(2.0, size=2000)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    ex = {(r["g"], r["point"]): r["density"] for r in CH.kde_by_group(df, "v", "g", method="exact").collect()}
+    bn = {(r["g"], r["point"]): r["density"] for r in CH.kde_by_group(df, "v", "g", method="binned").collect()}
+    assert ex.keys() == bn.keys() and len(ex) == 400
+    assert max(abs(ex[k] - bn[k]) for k in ex) < 1e-3 * max(ex.values())
