@@ -186,3 +186,32 @@ def drop_missing_rows(spark, sf):
 @register("drop_sparse_cols", f"WITH {DIRTY_ORDERS_SQL}\nSELECT * EXCLUDE (all_null) FROM dirty_orders")
 def drop_sparse_cols(spark, sf):
     return CL.drop_sparse_columns(dirty_orders(spark, sf), 0.5)
+
+
+@register("clean_unnamed", """SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name,
+  CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation""")
+def clean_unnamed(spark, sf):
+    """B2 end to end: an index-like ``Unnamed: 3`` column written to CSV is
+    dropped by the cleaning plan after reading the text back."""
+    from pyspark.sql import functions as F
+    from quarry.session import scratch_path
+    from quarry.sources.text import export_table, read_csv_text
+    path = scratch_path(spark, "unnamed")
+    n = read_table(spark, sf, "nation")
+    export_table(n.withColumn("Unnamed: 3", F.col("n_nationkey") * 10), path, "csv")
+    full, _, _ = smart_clean(read_csv_text(spark, path))
+    return full
+
+
+@register("nan_to_null", """SELECT event_id, CASE WHEN event_id % 9 = 0 THEN NULL ELSE value END AS value,
+  CASE WHEN event_id % 9 = 0 THEN 1 ELSE 0 END AS was_nan,
+  event_id % 9 = 0 AS is_null FROM events""")
+def nan_to_null(spark, sf):
+    """NaN planted in events.value becomes null (missing)."""
+    from pyspark.sql import functions as F
+    from quarry.functions.kinds import nan_to_null as to_null
+    e = read_table(spark, sf, "events").select(
+        "event_id", F.when(F.col("event_id") % 9 == 0, F.lit(float("nan"))).otherwise(F.col("value")).alias("value"))
+    out = to_null(e)
+    return out.select("event_id", "value", F.when(F.col("event_id") % 9 == 0, 1).otherwise(0).alias("was_nan"),
+                      F.col("value").isNull().alias("is_null"))
