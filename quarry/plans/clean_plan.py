@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.kinds import q
+from quarry.session import spread_small_input
 from quarry.functions.parsing import (DATE_FORMATS, DATE_NAME_HINTS, integral, null_tokens,
                                       strip, to_datetime, to_numeric)
 
@@ -60,6 +61,7 @@ class CleanPlan:
         # numeric count, all-integral flag and per-format date counts; for
         # doubles the all-integral flag.  One job, columns run side by side.
         nd = len(DATE_FORMATS)
+        df = spread_small_input(df)      # branches share one (reused) exchange
         parts = []
         for f in fields:
             i, c = idx[f.name], f.name
@@ -144,8 +146,9 @@ class CleanPlan:
         return out
 
     def apply(self, df: DataFrame) -> DataFrame:
-        """Full cleaned table (lazy)."""
-        return df.select(*self.expressions())
+        """Full cleaned table (lazy).  The per-cell parsing is CPU work, so a
+        small input is first spread over all cores (no-op at scale)."""
+        return spread_small_input(df).select(*self.expressions())
 
     def display(self, df: DataFrame) -> DataFrame:
         """The first ``max_display_cols`` columns of the cleaned table."""

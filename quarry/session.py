@@ -108,3 +108,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def spread_small_input(df: DataFrame) -> DataFrame:
+    """Round-robin small inputs over all cores before CPU-heavy row work.
+
+    Only when the plan yields fewer partitions than the cluster runs at once
+    (a small file, or a single parquet row group); large inputs are returned
+    unchanged, so no shuffle is ever added at scale."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(par) if df.rdd.getNumPartitions() < par else df
