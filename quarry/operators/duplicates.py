@@ -7,37 +7,73 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.functions.kinds import q
 
 
+def _row_hash(cols):
+    # two independent hashes (64 + 32 bits) of the whole row
+    return F.struct(F.xxhash64(*[q(c) for c in cols]).alias("h1"),
+                    F.hash(*[q(c) for c in cols]).alias("h2"))
+
+
+_FIXED = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
+def _wide(df: DataFrame, cols: list[str]) -> bool:
+    """Rows worth hashing first: any variable-width column, or many columns
+    (a row of at most 8 fixed-width values is no bigger than its hashes)."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    return len(cols) > 8 or any(not isinstance(types[c], _FIXED) for c in cols)
+
+
+def _candidates(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Rows whose row hash occurs more than once (all rows for narrow
+    fixed-width rows).  Pass 1 counts hashes
+    (a few bytes per row, combined map-side), pass 2 keeps only rows with a
+    repeated hash via a semi-join.  Hash collisions only add candidates;
+    the exact grouping on the full columns that follows removes them."""
+    if not _wide(df, cols):
+        return df
+    hashed = df.withColumn("_rh", _row_hash(cols))
+    repeated = hashed.groupBy("_rh").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_rh")
+    return hashed.join(repeated, "_rh", "left_semi").drop("_rh")
+
+
 def duplicate_count(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """E5: (rows, distinct_rows, duplicates).  One hash aggregate on all
-    columns; map-side partial aggregation collapses hot groups before the
-    shuffle, so a group holding a third of the rows costs one row per task."""
+    """E5: (rows, distinct_rows, duplicates), nulls equal.  Only the row
+    hashes and the rows with a repeated hash are shuffled; an exact group-by
+    on the full columns runs on those candidates alone, so wide rows (long
+    texts) that are unique never cross the network."""
     cols = list(cols or df.columns)
-    g = df.groupBy(*[q(c) for c in cols]).agg(F.count(F.lit(1)).alias("_n"))
-    return g.agg(F.sum("_n").cast("bigint").alias("rows"),
-                 F.count(F.lit(1)).alias("distinct_rows")).select(
-        F.coalesce("rows", F.lit(0)).cast("bigint").alias("rows"), "distinct_rows",
-        (F.coalesce("rows", F.lit(0)) - F.col("distinct_rows")).cast("bigint").alias("duplicates"))
+    total = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit("rows").alias("tag"), "n")
+    groups = _candidates(df, cols).groupBy(*[q(c) for c in cols]).agg(F.count(F.lit(1)).alias("_n"))
+    dups = groups.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("bigint").alias("n")) \
+        .select(F.lit("dups").alias("tag"), "n")
+    both = total.unionByName(dups).agg(
+        F.sum(F.when(F.col("tag") == "rows", F.col("n"))).cast("bigint").alias("rows"),
+        F.sum(F.when(F.col("tag") == "dups", F.col("n"))).cast("bigint").alias("duplicates"))
+    return both.select("rows", (F.col("rows") - F.col("duplicates")).cast("bigint").alias("distinct_rows"),
+                       "duplicates")
 
 
 def duplicate_rows(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """All members of duplicated groups (``duplicated(keep=False)``) with
     the group size ``dup_count``.
 
-    Groups are counted by aggregation, then matched back with a null-safe
-    equi-join.  AQE turns the join into a broadcast when the measured
-    group side is small and splits a skewed (hot-group) partition
-    otherwise."""
+    Candidates come from the row-hash pass; they are grouped exactly on the
+    full columns and matched back with a null-safe equi-join.  AQE turns
+    the join into a broadcast when the measured group side is small and
+    splits a skewed (hot-group) partition otherwise."""
     cols = list(cols or df.columns)
-    groups = (df.groupBy(*[q(c) for c in cols]).agg(F.count(F.lit(1)).alias("dup_count"))
+    cand = _candidates(df, cols)
+    groups = (cand.groupBy(*[q(c) for c in cols]).agg(F.count(F.lit(1)).alias("dup_count"))
               .where(F.col("dup_count") > 1))
     g = groups.select(*[q(c).alias(f"_g{i}") for i, c in enumerate(cols)], "dup_count")
     cond = reduce(lambda a, b: a & b,
                   [q(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(cols)])
-    return df.join(g, cond, "inner").drop(*[f"_g{i}" for i in range(len(cols))])
+    return cand.join(g, cond, "inner").drop(*[f"_g{i}" for i in range(len(cols))])
 
 
 def duplicate_preview(df: DataFrame, order_by: Sequence[str], n: int = 10,
