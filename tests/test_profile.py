@@ -164,3 +164,11 @@ def test_violin_binned_close_to_exact(spark):
     bn = {(r["g"], r["point"]): r["density"] for r in CH.kde_by_group(df, "v", "g", method="binned").collect()}
     assert ex.keys() == bn.keys() and len(ex) == 400
     assert max(abs(ex[k] - bn[k]) for k in ex) < 1e-3 * max(ex.values())
+
+
+def test_duplicates_narrow_rows_direct_path(spark):
+    rows = [(1, 2.0), (1, 2.0), (None, 1.0), (None, 1.0), (3, None)]
+    df = spark.createDataFrame(rows, "a long, b double")
+    r = D.duplicate_count(df).first()
+    assert (r["rows"], r["distinct_rows"], r["duplicates"]) == (5, 3, 2)
+    assert D.duplicate_rows(df).count() == 4
