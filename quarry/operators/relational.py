@@ -95,6 +95,15 @@ def unique_sorted(df: DataFrame, col: str) -> DataFrame:
     return df.select(q(col)).where(q(col).isNotNull()).distinct().orderBy(q(col))
 
 
+def distinct_counts(df: DataFrame, cols: Sequence[str], approx: bool = False,
+                    rsd: float = 0.05) -> DataFrame:
+    """Count of distinct non-null values per column - exact
+    (``count_distinct``) or HyperLogLog++ (``approx_count_distinct``) when
+    exact distinct sets would be too large to shuffle."""
+    fn = (lambda c: F.approx_count_distinct(q(c), rsd)) if approx else (lambda c: F.count_distinct(q(c)))
+    return df.agg(*[fn(c).alias(c) for c in cols])
+
+
 def linspace(df: DataFrame, col: str, num: int = 50) -> DataFrame:
     """G20 ``np.linspace`` over the observed range of ``col``:
     (i, x) with both endpoints included."""

@@ -189,3 +189,11 @@ def violin_kde(spark, sf):
     k = CH.kde_by_group(read_table(spark, sf, "events"), "value", "event_type")
     return k.select("event_type", "point", F.round("x", 6).alias("x"),
                     F.round("density", 10).alias("density"), "n")
+
+
+@register("hist_auto_sampled")
+def hist_auto_sampled(spark, sf):
+    """Rows-only: F1 on an exact seeded 5 000-row sample of lineitem (the
+    hash order has no DuckDB twin)."""
+    return CH.histogram_auto(read_table(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice"],
+                             sample=5000, key=["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])

@@ -362,3 +362,9 @@ def cte_recursive(spark, sf):
     """WITH RECURSIVE runs unchanged in Spark SQL."""
     _views(spark, sf, ["lineitem"])
     return spark.sql(_REC)
+
+
+@register("distinct_counts", """SELECT count(DISTINCT l_orderkey) AS l_orderkey,
+  count(DISTINCT l_partkey) AS l_partkey, count(DISTINCT l_returnflag) AS l_returnflag FROM lineitem""")
+def distinct_counts(spark, sf):
+    return R.distinct_counts(read_table(spark, sf, "lineitem"), ["l_orderkey", "l_partkey", "l_returnflag"])

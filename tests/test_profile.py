@@ -172,3 +172,18 @@ def test_duplicates_narrow_rows_direct_path(spark):
     r = D.duplicate_count(df).first()
     assert (r["rows"], r["distinct_rows"], r["duplicates"]) == (5, 3, 2)
     assert D.duplicate_rows(df).count() == 4
+
+
+def test_sampled_histogram_and_approx_distinct(spark):
+    from quarry.operators import relational as R
+    df = spark.range(20000).withColumnRenamed("id", "k").withColumn("v", (F_col("k") % 997).cast("double"))
+    h = CH.histogram_auto(df, ["v"], sample=3000, key=["k"]).collect()
+    assert sum(r["count"] for r in h) == 3000
+    exact = R.distinct_counts(df, ["v"]).first()["v"]
+    approx = R.distinct_counts(df, ["v"], approx=True).first()["v"]
+    assert exact == 997 and abs(approx - 997) < 0.1 * 997
+
+
+def F_col(name):
+    from pyspark.sql import functions as F
+    return F.col(name)
