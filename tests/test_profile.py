@@ -181,7 +181,8 @@ def test_sampled_histogram_and_approx_distinct(spark):
     assert sum(r["count"] for r in h) == 3000
     exact = R.distinct_counts(df, ["v"]).first()["v"]
     approx = R.distinct_counts(df, ["v"], approx=True).first()["v"]
-    assert exact == 997 and abs(approx - 997) < 0.1 * 997
+    # rsd is a relative standard deviation: allow 4 sigma
+    assert exact == 997 and abs(approx - 997) < 4 * 0.05 * 997
 
 
 def F_col(name):
