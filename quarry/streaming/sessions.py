@@ -72,14 +72,17 @@ def stream_counters(stream: DataFrame, key: str = "user_id", kind: str = "event_
 def run_to_parquet(query_df: DataFrame, out_path: str, checkpoint: str,
                    mode: str = "append") -> None:
     """Drive a streaming DataFrame over all available input
-    (``availableNow``) into parquet.  Update-mode output is appended per
-    micro-batch with its batch id (see ``latest_per_key``)."""
+    (``availableNow``) into parquet.  Append mode uses the exactly-once file
+    sink; update-mode output is written per micro-batch into
+    ``batch_id=<n>`` folders (see ``latest_per_key``)."""
     w = query_df.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
     if mode == "append":
         q = w.outputMode("append").format("parquet").option("path", out_path).start()
     else:
         def sink(batch: DataFrame, batch_id: int) -> None:
-            batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out_path)
+            # one folder per micro-batch, overwritten on replay: a batch
+            # re-run after a failure replaces its own output (idempotent)
+            batch.write.mode("overwrite").parquet(f"{out_path.rstrip('/')}/batch_id={batch_id}")
         q = w.outputMode(mode).foreachBatch(sink).start()
     q.awaitTermination()
 
