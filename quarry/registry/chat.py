@@ -364,29 +364,38 @@ def session_json(spark, sf):
 
 
 def _column_lists(spark, sf):
+    """(table_name, columns, rows): the schema of every driver table with
+    its row count (C1 + C15: a dataset is reported with its shape)."""
+    from quarry.sources.catalog import table_row_counts
     rows = [(t, read_table(spark, sf, t).columns) for t in _TABLES]
-    return spark.createDataFrame(rows, "table_name string, columns array<string>")
+    names = spark.createDataFrame(rows, "table_name string, columns array<string>")
+    for t in _TABLES:
+        read_table(spark, sf, t).createOrReplaceTempView(t)
+    counts = table_row_counts(spark, _TABLES).withColumnRenamed("name", "table_name")
+    return names.join(counts, "table_name")
 
 
 _COLS_SQL = """cols AS (SELECT table_name, lower(string_agg(column_name, ' ' ORDER BY ordinal_position)) AS names
   FROM information_schema.columns WHERE table_name IN ('""" + "', '".join(_TABLES) + """')
-  GROUP BY table_name)"""
+  GROUP BY table_name),
+counts AS (""" + " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS rows FROM {t}" for t in _TABLES) + ")"
 
 
-@register("domain_detect", f"WITH {_COLS_SQL}\nSELECT table_name, CASE "
+@register("domain_detect", f"WITH {_COLS_SQL}\nSELECT cols.table_name, counts.rows, CASE "
           + " ".join(f"WHEN {_any('names', words)} THEN '{name}'" for name, words in CR.DOMAIN_RULES)
-          + f" ELSE '{CR.DOMAIN_DEFAULT}' END AS domain FROM cols")
+          + f" ELSE '{CR.DOMAIN_DEFAULT}' END AS domain FROM cols JOIN counts ON cols.table_name = counts.table_name")
 def domain_detect(spark, sf):
     c = _column_lists(spark, sf)
-    return c.select("table_name", H.detect_domain(F.col("columns")).alias("domain"))
+    return c.select("table_name", "rows", H.detect_domain(F.col("columns")).alias("domain"))
 
 
-@register("domain_hints", f"WITH {_COLS_SQL}\nSELECT table_name, concat_ws('|', "
+@register("domain_hints", f"WITH {_COLS_SQL}\nSELECT cols.table_name, counts.rows, concat_ws('|', "
           f"CASE WHEN {_any('names', CR.FINANCIAL_HINT_WORDS)} THEN '{CR.FINANCIAL_HINT}' END, "
-          f"CASE WHEN {_any('names', CR.HEALTHCARE_HINT_WORDS)} THEN '{CR.HEALTHCARE_HINT}' END) AS hints FROM cols")
+          f"CASE WHEN {_any('names', CR.HEALTHCARE_HINT_WORDS)} THEN '{CR.HEALTHCARE_HINT}' END) AS hints "
+          "FROM cols JOIN counts ON cols.table_name = counts.table_name")
 def domain_hints(spark, sf):
     c = _column_lists(spark, sf)
-    return c.select("table_name", F.array_join(H.domain_hints(F.col("columns")), "|").alias("hints"))
+    return c.select("table_name", "rows", F.array_join(H.domain_hints(F.col("columns")), "|").alias("hints"))
 
 
 _CLEAN_COLS = ["o_orderkey", "price_txt", "code_txt", "order_date_txt", "status", "int_like", "amt",
