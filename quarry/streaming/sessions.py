@@ -91,5 +91,5 @@ def latest_per_key(updates: DataFrame, keys: list[str]) -> DataFrame:
     """Resolve update-mode output: the row of the latest batch per key
     (``max_by`` combines map-side)."""
     vals = [c for c in updates.columns if c not in keys and c != "batch_id"]
-    agg = updates.groupBy(*keys).agg(F.max_by(F.struct(*vals), "batch_id").alias("_v"))
-    return agg.select(*keys, *[F.col(f"_v.{c}").alias(c) for c in vals])
+    # one max_by per value column keeps scalar buffers (hash aggregate)
+    return updates.groupBy(*keys).agg(*[F.max_by(c, "batch_id").alias(c) for c in vals])
