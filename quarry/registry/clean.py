@@ -215,3 +215,20 @@ def nan_to_null(spark, sf):
     out = to_null(e)
     return out.select("event_id", "value", F.when(F.col("event_id") % 9 == 0, 1).otherwise(0).alias("was_nan"),
                       F.col("value").isNull().alias("is_null"))
+
+
+@register("clean_plan_stream", _WITH_CLEANED + "SELECT * FROM cleaned")
+def clean_plan_stream(spark, sf):
+    """B9 on a stream: the plan fitted on the batch table is applied
+    unchanged to a Structured Stream of the same rows (file source,
+    availableNow, exactly-once parquet sink)."""
+    from quarry.session import scratch_path
+    from quarry.streaming.sessions import run_to_parquet
+    d = dirty_orders(spark, sf)
+    plan = CleanPlan.fit(d)
+    src = scratch_path(spark, "dirty-src")
+    d.write.parquet(src)
+    stream = spark.readStream.schema(d.schema).parquet(src)
+    out, ck = scratch_path(spark, "clean-out"), scratch_path(spark, "clean-ck")
+    run_to_parquet(plan.apply(stream), out, ck, "append")
+    return spark.read.parquet(out)

@@ -116,5 +116,7 @@ def spread_small_input(df: DataFrame) -> DataFrame:
     Only when the plan yields fewer partitions than the cluster runs at once
     (a small file, or a single parquet row group); large inputs are returned
     unchanged, so no shuffle is ever added at scale."""
+    if df.isStreaming:
+        return df
     par = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(par) if df.rdd.getNumPartitions() < par else df

@@ -13,7 +13,7 @@ PYTHON_SITES = {"screen_code"}
 FORBIDDEN = ("BatchEvalPython", "CartesianProduct", "BroadcastNestedLoopJoin")
 ARROW = ("ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas")
 # these run their Python stages eagerly (trees, scores are checkpointed)
-SKIP_BUILD = {"outliers_isolation", "outliers_isolation_rows", "idle_sessions_stream",
+SKIP_BUILD = {"outliers_isolation", "outliers_isolation_rows", "idle_sessions_stream", "clean_plan_stream",
               "stream_counters"}
 
 
