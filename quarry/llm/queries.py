@@ -38,8 +38,8 @@ with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0
                   string_split(coalesce(text, ''), chr(10)) as ls, coalesce(text, '') as t from documents),
 b as (select doc_id, ws, t, len(ws) as n_words, length(array_to_string(ws, '')) as word_chars,
              length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as n_symbols,
-             list_filter(ls, x -> regexp_matches(x, '[^\x20\x09-\x0D]')) as wl,
-             len(list_filter(ws, x -> regexp_matches(x, '[A-Za-z\x{80}-\x{10FFFF}]'))) as n_wordy from w),
+             [x for x in ls if regexp_matches(x, '[^\x20\x09-\x0D]')] as wl,
+             len([x for x in ws if regexp_matches(x, '[A-Za-z\x{80}-\x{10FFFF}]')]) as n_wordy from w),
 g as (select doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] as g
       from (select doc_id, ws, unnest(range(1, len(ws) - 1)) as i from b)),
 tw as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, g) as c from g) where c > 1),
