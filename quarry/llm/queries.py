@@ -6,13 +6,21 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quarry.llm import bpe, quality, token_counts, token_files
+from quarry.llm import bpe, line_dedup, near_dedup, quality, repeats, token_counts, token_files
 from quarry.session import read_table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 VOCAB = public_tokenizers.path("byte_bpe_50k.json")
 END_OF_DOCUMENT = 50256
+#: A line on this many sites is boilerplate.
+MIN_SITES = 10
+
+
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.remove_lines(read_table(spark, sf_dir, "documents"), min_sites=MIN_SITES)
+    return done.select("row.doc_id", "n_lines", "n_removed", F.sha2(F.col("row.text").cast("binary"), 256).alias("text_sha256"))
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +31,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(read_table(spark, sf_dir, "documents"), VOCAB, end_id=2)
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read_table(spark, sf_dir, "documents"), VOCAB, END_OF_DOCUMENT)
 
@@ -33,6 +45,24 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                               f"fail_bits & {quality.BASE_MASK} <> 0 as base_failed", "kept", "fail_bits")
 
 
+def op9_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = repeats.remove_repeats(read_table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+                       F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP1_SQL = r"""
+with ln as (select doc_id, source, text, generate_subscripts(ls, 1) as pos, unnest(ls) as line
+            from (select doc_id, source, text, string_split(text, chr(10)) as ls from documents)),
+w as (select *, regexp_matches(line, '[^\x20\x09-\x0D]') as wordy from ln),
+b as (select line from w where wordy group by line having count(distinct source) >= 10),
+m as (select w.*, wordy and b.line is not null as hit from w left join b on w.line = b.line),
+t as (select doc_id, any_value(text) as text, count(*) filter (where wordy) as n_lines, count(*) filter (where hit) as gone,
+             string_agg(line, chr(10) order by pos) filter (where not hit) as rest from m group by doc_id)
+select doc_id, n_lines, case when 2 * gone <= n_lines then gone else 0 end as n_removed,
+       sha256(case when gone > 0 and 2 * gone <= n_lines then rest else text end) as text_sha256 from t
+"""
+
 OP7_SQL = r"""
 with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws,
                   string_split(coalesce(text, ''), chr(10)) as ls, coalesce(text, '') as t from documents),
@@ -59,5 +89,6 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_byte_bpe, op4_token_files, op6_token_counts, op7_quality_rules)}
-SQL: dict[str, str] = {"op7_quality_rules": OP7_SQL}
+    f.__name__: f for f in (op1_line_dedup, op3_byte_bpe, op4_token_files, op5_near_dedup, op6_token_counts, op7_quality_rules,
+                             op9_suffix_repeats)}
+SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op7_quality_rules": OP7_SQL}
