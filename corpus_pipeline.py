@@ -9,6 +9,8 @@ from quarry.session import read_table, scratch_path
 
 STAGES = [
     ("quality_rules", stages.quality_rules),
+    ("line_dedup", stages.line_dedup_stage),
+    ("near_dedup", stages.near_dedup_stage),
 ]
 
 #: Stages beyond the rules (sketches, latent vectors, tokenizers) have no SQL; tests hold the pipeline
