@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, line_dedup, near_dedup, quality, repeats, token_counts, token_files, toxicity, url_filter
+from quarry.llm import (bpe, decontaminate, line_dedup, near_dedup, quality, repeats, token_counts, token_files, toxicity,
+                        url_filter)
 from quarry.session import read_table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -61,6 +62,10 @@ def op9_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 OP1_SQL = r"""
 with ln as (select doc_id, source, text, generate_subscripts(ls, 1) as pos, unnest(ls) as line
             from (select doc_id, source, text, string_split(text, chr(10)) as ls from documents)),
@@ -100,5 +105,5 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_line_dedup, op2_url_filter, op3_byte_bpe, op4_token_files, op5_near_dedup, op6_token_counts, op7_quality_rules,
-                             op8_toxicity, op9_suffix_repeats)}
+                             op8_toxicity, op9_suffix_repeats, op10_decontaminate)}
 SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op7_quality_rules": OP7_SQL}

@@ -75,13 +75,14 @@ def per_row(flags: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return total[offs[1:]] - total[offs[:-1]]
 
 
-def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words (runs of bytes outside ASCII white space): starts, ends, and the index of each row's
-    first word (one more entry than rows).  Words never span rows."""
+def word_spans(data: np.ndarray, offs: np.ndarray,
+               separators: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words (runs of bytes that are no separators, by default ASCII white space): starts, ends, and the
+    index of each row's first word (one more entry than rows).  Words never span rows."""
     if not len(data):
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(len(offs), np.int64)
-    inside = ~SPACE[data]
+    inside = ~separators[data]
     full = offs[:-1] < offs[1:]
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
