@@ -11,6 +11,8 @@ STAGES = [
     ("quality_rules", stages.quality_rules),
     ("line_dedup", stages.line_dedup_stage),
     ("near_dedup", stages.near_dedup_stage),
+    ("decontamination", stages.decontamination_stage),
+    ("byte_bpe", stages.byte_bpe_stage),
 ]
 
 #: Stages beyond the rules (sketches, latent vectors, tokenizers) have no SQL; tests hold the pipeline
