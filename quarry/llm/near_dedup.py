@@ -14,7 +14,10 @@
    confirmed on the full sets, and the links are contracted to components.
 4. Lists that still hold several components are compared in blocks, class by
    class across components, so no link is lost; pairs inside a component need
-   no check, and a group of near copies never becomes all its pairs.
+   no check, and a group of near copies never becomes all its pairs.  Classes
+   of such lists get ``LONG_K`` more coordinates of a byte each, and a pair is
+   a candidate if it also agrees in ``LONG_T`` of them (a pair at the threshold
+   fails that with a chance below 2e-6), in the first list that both merge.
 
 Defined cases: texts without words (or null) have an empty set and no links;
 fewer words than a shingle make one shingle of the whole sequence; rows
@@ -43,21 +46,24 @@ SIMILAR = (75, 100)
 K = 64
 #: At a similarity of 0.75 the number of collisions is binomial (64, 0.75): P(fewer than 30) < 1e-6.
 T = 30
+#: Byte coordinates agree with a chance of 0.751 at a similarity of 0.75: binomial (512, 0.751), P(fewer than 338) < 2e-6.
+LONG_K = 512
+LONG_T = 338
 STAR_ROUNDS = 3
 BLOCK = 2048
 
 _rng = np.random.default_rng(5)
-_XOR = _rng.integers(0, 2**64 - 1, K, dtype=np.uint64)
-_MUL = _rng.integers(0, 2**63 - 1, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_XOR = _rng.integers(0, 2**64 - 1, K + LONG_K, dtype=np.uint64)
+_MUL = _rng.integers(0, 2**63 - 1, K + LONG_K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _DIGEST = (np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344))
 
 
-def signatures(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """K x rows matrix of minima; rows must not be empty."""
-    out = np.empty((K, len(bounds) - 1), np.uint32)
-    for k in range(K):
-        h = (((sets ^ _XOR[k]) * _MUL[k]) >> np.uint64(32)).astype(np.uint32)
-        out[k] = np.minimum.reduceat(h, bounds[:-1])
+def signatures(sets: np.ndarray, bounds: np.ndarray, first: int = 0, n: int = K, kind=np.uint32) -> np.ndarray:
+    """n x rows matrix of minima (their low bits, for a narrower kind); rows must not be empty."""
+    out = np.empty((n, len(bounds) - 1), kind)
+    for k in range(n):
+        h = (((sets ^ _XOR[first + k]) * _MUL[first + k]) >> np.uint64(32)).astype(np.uint32)
+        out[k] = np.minimum.reduceat(h, bounds[:-1]).astype(kind)
     return out
 
 
@@ -89,25 +95,43 @@ def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     return src.mapInArrow(_sketch_batches, "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, sig array<int>")
 
 
-def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _set_batches(batches: Iterator[pa.RecordBatch], long: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi, data, offs in V.text_runs(batch.column("text")):
             sets = list(V.shingle_sets(data, offs, SHINGLE))
-            bounds = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-            flat = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("cid").slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat))],
-                names=["cid", "shingles"])
+            sizes = np.array([len(s) for s in sets], np.int64)
+            bounds = np.concatenate([[0], np.cumsum(sizes)])
+            flat = np.concatenate([np.zeros(0, np.uint64), *sets])
+            out = [batch.column("cid").slice(lo, hi - lo),
+                   pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat.view(np.int64)))]
+            if long:
+                full = np.flatnonzero(sizes)
+                coords = np.zeros((hi - lo, LONG_K), np.uint8)
+                if len(full):
+                    coords[full] = signatures(flat, np.append(bounds[full], bounds[-1]), K, LONG_K, np.uint8).T
+                out.append(pa.BinaryArray.from_buffers(pa.binary(), hi - lo, [
+                    None, pa.py_buffer((np.arange(hi - lo + 1) * LONG_K).astype(np.int32)), pa.py_buffer(coords.tobytes())]))
+            yield pa.RecordBatch.from_arrays(out, names=["cid", "shingles", "coords"][:2 + long])
+
+
+def _sets(docs: DataFrame, ids: DataFrame, long: bool = False) -> DataFrame:
+    """cid, full set (and the byte coordinates) of the classes whose ids are named."""
+    rows = docs.withColumnRenamed("doc_id", "cid").join(ids.distinct(), "cid", "left_semi")
+    return materialize(rows.mapInArrow(partial(_set_batches, long=long),
+                                       "cid bigint, shingles array<bigint>" + ", coords binary" * long), "shingle-sets")
 
 
 def _postings(classes: DataFrame) -> DataFrame:
-    """coordinate, value, cid: the lists to merge."""
+    """coordinate, value, cid: the lists to merge; ``merged``: bits of the coordinates the class is listed under."""
     posted = classes.select("cid", F.posexplode("sig").alias("coordinate", "value"))
     lengths = posted.groupBy("coordinate", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = posted.join(lengths, ["coordinate", "value"])
     own = shared.groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("n", "coordinate", "value"))).alias("p"))
-    own = own.where(F.size("p") >= T).select("cid", F.explode(F.expr(f"slice(p, 1, size(p) - {T} + 1)")).alias("p"))
-    return own.select("p.coordinate", "p.value", "cid")
+    own = own.where(F.size("p") >= T).select("cid", F.expr(f"slice(p, 1, size(p) - {T} + 1)").alias("p"))
+    merged = F.aggregate("p", F.lit(0).cast("bigint"),
+                         lambda m, x: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), x["coordinate"])))
+    own = own.select("cid", merged.alias("merged"), F.explode("p").alias("p"))
+    return own.select("p.coordinate", "p.value", "cid", "merged")
 
 
 def _agree(x: Column, y: Column) -> Column:
@@ -115,12 +139,8 @@ def _agree(x: Column, y: Column) -> Column:
     return F.size(F.filter(F.zip_with(x, y, lambda a, b: a == b), lambda same: same))
 
 
-def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of the pairs (a, b), those whose full sets are similar enough."""
-    spark_docs = docs.withColumnRenamed("doc_id", "cid")
-    ends = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
-    sets = spark_docs.join(ends, "cid", "left_semi").mapInArrow(_set_batches, "cid bigint, shingles array<bigint>")
-    sets = materialize(sets, "shingle-sets")
     wide = pairs.join(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("sb")), "b").join(
         sets.select(F.col("cid").alias("a"), F.col("shingles").alias("sa")), "a")
     both = F.size(F.array_intersect("sa", "sb"))
@@ -136,39 +156,41 @@ def _matching(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return wide.where(_agree(F.col("x"), F.col("y")) >= T).select("a", "b").distinct()
 
 
-def _cross_blocks(batch: pa.Table) -> pa.Table:
-    """Pairs of one list's blocks that collide T times and lie in different components."""
-    cid = batch.column("cid").to_numpy()
-    comp = batch.column("comp").to_numpy()
-    left, right = (np.flatnonzero(batch.column(c).to_numpy(zero_copy_only=False)) for c in ("is_left", "is_right"))
-    flat = pa.concat_arrays(batch.column("sig").chunks) if batch.column("sig").num_chunks > 1 else batch.column("sig").chunk(0)
-    sig = flat.values.to_numpy(zero_copy_only=False)[flat.offsets.to_numpy()[0]:][:len(cid) * K].reshape(-1, K)
-    found_a, found_b = [], []
-    sig_r = np.ascontiguousarray(sig[right].T)
+def _cross_blocks(table: pa.Table) -> pa.Table:
+    """Pairs of one list's blocks that agree often enough, lie in different components, and have this
+    list as the first one that both are listed in."""
+    table = table.combine_chunks()
+    cid, comp = table.column("cid").to_numpy(), table.column("comp").to_numpy()
+    left, right = (np.flatnonzero(table.column(c).to_numpy()) for c in ("is_left", "is_right"))
+    sig = table.column("sig").chunk(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, K)
+    coords = np.frombuffer(b"".join(table.column("coords").to_pylist()), np.uint8).reshape(-1, LONG_K)
+    bits = (table.column("merged").to_numpy()[None, :] >> np.arange(K)[:, None]) & 1 == 1
+    c = table.column("coordinate")[0].as_py()
+    sig_r, bits_r = np.ascontiguousarray(sig[right].T), bits[:, right]
+    found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for i in left:
-        n = np.zeros(len(right), np.int16)
-        for k in range(K):
-            n += sig_r[k] == sig[i, k]
-        j = right[(n >= T) & (comp[right] != comp[i])]
+        agree = sig_r == sig[i][:, None]
+        earlier = (agree[:c] & bits_r[:c])[bits[:c, i]].any(axis=0)
+        j = right[(agree.sum(axis=0) >= T) & (comp[right] != comp[i]) & ~earlier]
+        j = j[(coords[j] == coords[i]).sum(axis=1) >= LONG_T] if len(j) else j
         found_a.append(np.minimum(cid[i], cid[j]))
         found_b.append(np.maximum(cid[i], cid[j]))
-    a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (found_a, found_b))
-    pairs = np.unique(np.stack([a, b], axis=1)[a != b], axis=0).reshape(-1, 2)
+    pairs = np.unique(np.stack([np.concatenate(found_a), np.concatenate(found_b)], axis=1), axis=0).reshape(-1, 2)
     return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
-def _cross_pairs(lists: DataFrame, classes: DataFrame) -> DataFrame:
-    """All colliding pairs across components within the lists, compared block by block."""
+def _cross_pairs(lists: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """All agreeing pairs across components within the lists, compared block by block."""
     key = ["coordinate", "value"]
     lengths = lists.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     rows = lists.join(lengths, key).withColumn("blocks", blocks)
     own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    rows = rows.select(*key, "cid", "comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-                       "own")
-    rows = rows.join(classes.select("cid", "sig"), "cid").select(
-        *key, "i", "j", "cid", "comp", "sig", (F.col("own") == F.col("i")).alias("is_left"),
+    rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    signed = classes.select("cid", "sig").join(sets.select("cid", "coords"), "cid")
+    rows = rows.join(signed, "cid").select(
+        *key, "i", "j", "cid", "comp", "merged", "sig", "coords", (F.col("own") == F.col("i")).alias("is_left"),
         (F.col("own") == F.col("j")).alias("is_right"))
     return rows.groupBy(*key, "i", "j").applyInArrow(_cross_blocks, "a bigint, b bigint").distinct()
 
@@ -185,33 +207,32 @@ def _with_components(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def links(classes: DataFrame, docs: DataFrame) -> DataFrame | None:
-    """(node, component) of all linked classes; None if there are no candidates at all."""
+    """(node, component) of all linked classes; None if there are no links."""
     lists = materialize(_postings(classes), "postings")
     key = ["coordinate", "value"]
-    edges = tested = labels = None
+    edges = tested = labels = sets = None
     for step in range(STAR_ROUNDS + 1):
-        rows = _with_components(lists, labels)
+        rows = materialize(_with_components(lists, labels), "mixed-lists")
+        if step and sets is None:
+            sets = _sets(docs, rows.select("cid"), long=True)
         if step < STAR_ROUNDS:
             # the first round's representative is the smallest id, so lists of one group name the same one
             order = F.col("cid") if step == 0 else F.xxhash64("cid", *key, F.lit(step))
-            rows = materialize(rows, "mixed-lists")
             reps = rows.groupBy(*key).agg(F.min_by(F.struct("cid", "comp"), order).alias("r"))
             pairs = rows.join(reps, key).where("comp <> r.comp").select(
                 F.least("cid", F.col("r.cid")).alias("a"), F.greatest("cid", F.col("r.cid")).alias("b")).distinct()
             pairs = _matching(pairs, classes)
         else:
-            pairs = _cross_pairs(rows, classes)
+            sets = _sets(docs, rows.select("cid"), long=True) if sets is None else sets
+            pairs = _cross_pairs(rows, classes, sets)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "candidate-pairs")
         if pairs.isEmpty():
-            if step < STAR_ROUNDS - 1 and labels is not None:
-                continue
-            if step < STAR_ROUNDS:
-                continue
-            break
+            continue
         tested = pairs if tested is None else tested.unionByName(pairs)
-        new = materialize(_confirm(pairs, classes, docs), "links")
+        full = sets if step else _sets(docs, pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))))
+        new = materialize(_confirm(pairs, full), "links")
         if new.isEmpty():
             continue
         edges = new if edges is None else edges.unionByName(new)
