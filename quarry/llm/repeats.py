@@ -2,10 +2,12 @@
 
 A sparse enhanced suffix array over anchors, dealt to tasks by anchor:
 
+0. Whole copies.  A document whose whole text an earlier one has is found by a
+   hash of the text (128 bits and the length); it takes no part in the rest.
 1. Anchors.  Every window of ``LENGTH`` bytes holds the leftmost least hash of
    its ``GRAM``-byte strings at a place that depends on its bytes only, so
    equal windows have an anchor at the same place.  Chunks of documents send
-   their distinct anchor hashes to buckets, which answer with those that
+   their distinct anchor hashes (48 bits, to preselect) to buckets, which answer with those that
    several documents have.
 2. Contexts.  For these anchors a chunk sends each distinct context (the bytes
    around the anchor that any window over it can reach) once, with the
@@ -41,6 +43,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm import textvec as V
 from quarry.llm.base import parts_for, pick, text_bytes
+from quarry.session import materialize
 
 LENGTH = 50
 GRAM = 25
@@ -86,19 +89,48 @@ def anchors(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 class Chunk:
-    """A chunk's rows, a run at a time, with their anchors and the keys of their contexts."""
+    """A chunk's rows, a run at a time.  ``extra`` may name rows that are whole copies, by id and text hash."""
 
-    def __init__(self, table: pa.Table):
+    def __init__(self, table: pa.Table, extra: pa.Table):
         self.table = table
+        ids, ths = ([np.asarray(x, np.int64) for x in extra.column(n).to_pylist() if x is not None] for n in ("ids", "ths"))
+        none = [np.zeros(0, np.int64)]
+        self.copies = np.sort(self._key(np.concatenate(none + ids), np.concatenate(none + ths)))
+
+    @staticmethod
+    def _key(ids: np.ndarray, ths: np.ndarray) -> np.ndarray:
+        return V.mix(ids.view(U64)) + ths.view(U64)
 
     def runs(self) -> Iterator[tuple]:
-        ids = self.table.column("doc_id").combine_chunks() if self.table.num_rows else pa.array([], pa.int64())
-        if isinstance(ids, pa.ChunkedArray):
-            ids = ids.chunk(0)
-        known = ~ids.is_null().to_numpy(zero_copy_only=False)
+        """lo, hi, bytes, offsets, ids, takes part, is a whole copy."""
+        if not self.table.num_rows:
+            return
+        table = self.table.combine_chunks()
+        ids = table.column("doc_id").chunk(0)
         values = ids.fill_null(0).to_numpy(zero_copy_only=False)
-        for lo, hi, data, offs in V.text_runs(self.table.column("text")):
-            yield lo, hi, data, offs, values[lo:hi], known[lo:hi]
+        named = ~ids.is_null().to_numpy(zero_copy_only=False)
+        copy = np.zeros(len(values), bool)
+        if len(self.copies):
+            key = self._key(values, table.column("th").to_numpy())
+            at = np.minimum(np.searchsorted(self.copies, key), len(self.copies) - 1)
+            copy = named & (self.copies[at] == key)
+        for lo, hi, data, offs in V.text_runs(table.column("text")):
+            yield lo, hi, data, offs, values[lo:hi], (named & ~copy)[lo:hi], copy[lo:hi]
+
+
+def pack48(h: np.ndarray) -> bytes:
+    """The upper 48 bits of every hash."""
+    return h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def unpack48(raw) -> np.ndarray:
+    six = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    out = np.zeros((len(six), 8), np.uint8)
+    out[:, 2:] = six
+    return out.reshape(-1).view("<u8").astype(U64)
+
+
+UPPER = U64(0xFFFFFFFFFFFF0000)
 
 
 def reaches(at: np.ndarray, row: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -106,8 +138,11 @@ def reaches(at: np.ndarray, row: np.ndarray, offs: np.ndarray) -> tuple[np.ndarr
     return np.minimum(at - offs[row], REACH), np.minimum(offs[row + 1] - at, LENGTH)
 
 
-def context_keys(data: np.ndarray, at: np.ndarray, h: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    return V.mix(V.span_hashes(data, at - left, at + right) ^ V.mix(h) ^ (left * 64 + right).astype(U64))
+def context_keys(data: np.ndarray, at: np.ndarray, gap: int, h: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Key of the bytes left of the anchor and behind its gram; ``gap`` is the distance from the anchor to
+    the latter (0 where the gram's bytes are left out of ``data``)."""
+    sides = V.span_hashes(data, at - left, at) + V.span_hashes(data, at + gap, at + gap + right - GRAM) * U64(0x9FB21C651E98DF25)
+    return V.mix(sides ^ V.mix(h) ^ (left * 64 + right).astype(U64))
 
 
 def window_keys(data: np.ndarray, start: np.ndarray, h: np.ndarray, reach: int) -> np.ndarray:
@@ -148,33 +183,38 @@ def _table(columns: dict, schema: pa.Schema) -> pa.Table:
 
 ANCHORS = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("hashes", pa.binary()), ("shared", pa.binary())])
 COMMON = pa.schema([("chunk", pa.int32()), ("hashes", pa.binary()), ("hot", pa.binary())])
-CONTEXTS = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()),
-                      ("hashes", pa.binary()), ("body", pa.binary()), ("reach", pa.binary()), ("docs", pa.binary())])
+CONTEXTS = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("kind", pa.int32()), ("hashes", pa.binary()), ("body", pa.binary()), ("reach", pa.binary()), ("first", pa.binary()),
+                      ("several", pa.binary())])
 ANSWERS = pa.schema([("chunk", pa.int32()), ("keys", pa.binary()), ("runs", pa.binary()), ("first", pa.binary())])
 SPANS = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()),
                    ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
+#: A context's bytes: those before the anchor, then those behind its gram.
+SIDES = np.concatenate([np.arange(REACH), np.arange(REACH + GRAM, REACH + LENGTH)])
 RUN = np.dtype([("lo", "u1"), ("hi", "u1")])
 
 
-def _send_anchors(table: pa.Table, buckets: int) -> pa.Table:
+def _send_anchors(table: pa.Table, extra: pa.Table, buckets: int) -> pa.Table:
+    if not table.num_rows:
+        return ANCHORS.empty_table()
     hashes, docs = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
-    for _, _, data, offs, ids, known in Chunk(table).runs():
+    for _, _, data, offs, ids, part, _ in Chunk(table, extra).runs():
         at, h, row = anchors(data, offs)
-        keep = known[row]
-        k, _, lo, hi = distinct_with_docs(h[keep], ids[row[keep]])
+        keep = part[row]
+        k, _, lo, hi = distinct_with_docs(h[keep] & UPPER, ids[row[keep]])
         hashes += [k, k[lo != hi]]
         docs += [lo, hi[lo != hi]]
     k, _, lo, hi = distinct_with_docs(np.concatenate(hashes), np.concatenate(docs))
     chunk = table.column("chunk")[0].as_py()
-    rows = [(b, chunk, k[s].tobytes(), (lo != hi)[s].tobytes()) for b, s in dealt(k, buckets)]
+    rows = [(b, chunk, pack48(k[s]), np.packbits((lo != hi)[s]).tobytes()) for b, s in dealt(k, buckets)]
     return _table(dict(zip(ANCHORS.names, zip(*rows), strict=True)) if rows else {n: [] for n in ANCHORS.names}, ANCHORS)
 
 
 def _common_anchors(table: pa.Table) -> pa.Table:
-    parts = [np.frombuffer(x.as_buffer(), U64) for x in table.column("hashes")]
+    parts = [unpack48(x.as_buffer()) for x in table.column("hashes")]
     chunk = np.repeat(table.column("chunk").to_numpy(), [len(p) for p in parts])
     h = np.concatenate(parts)
-    shared = np.concatenate([np.frombuffer(x.as_buffer(), bool) for x in table.column("shared")])
+    shared = np.concatenate([np.unpackbits(np.frombuffer(x.as_buffer(), np.uint8), count=len(p)).astype(bool)
+                             for x, p in zip(table.column("shared"), parts, strict=True)])
     order = np.argsort(h, kind="stable")
     h, chunk, shared = h[order], chunk[order], shared[order]
     heads = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
@@ -184,30 +224,27 @@ def _common_anchors(table: pa.Table) -> pa.Table:
     h, chunk, hot = h[several], chunk[several], hot[several]
     order = np.argsort(chunk, kind="stable")
     h, chunk, hot = h[order], chunk[order], hot[order]
-    rows = [(int(chunk[a]), h[a:b].tobytes(), hot[a:b].tobytes()) for a, b in stretches(chunk)]
+    rows = [(int(chunk[a]), pack48(h[a:b]), np.packbits(hot[a:b]).tobytes()) for a, b in stretches(chunk)]
     return _table(dict(zip(COMMON.names, zip(*rows), strict=True)) if rows else {n: [] for n in COMMON.names}, COMMON)
 
 
-def _lookup(table: pa.Table, *columns: tuple[str, object]) -> list[np.ndarray]:
-    """Columns of packed values, sorted by the first."""
-    cols = [np.concatenate([np.zeros(0, t), *[np.frombuffer(x.as_buffer(), t) for x in table.column(n)]])
-            for n, t in columns]
-    order = np.argsort(cols[0], kind="stable")
-    return [c[order] for c in cols]
-
-
 def _send_contexts(docs: pa.Table, common: pa.Table, buckets: int) -> pa.Table:
     out: list[tuple] = []
-    if not docs.num_rows or not common.num_rows:
-        return _table({n: [] for n in CONTEXTS.names}, CONTEXTS)
+    known = [unpack48(x.as_buffer()) for x in common.column("hashes") if x.is_valid]
+    if not docs.num_rows or not known:
+        return CONTEXTS.empty_table()
     chunk = docs.column("chunk")[0].as_py()
-    known_h, hot = _lookup(common, ("hashes", U64), ("hot", bool))
+    hot = [np.unpackbits(np.frombuffer(x.as_buffer(), np.uint8)) for x in common.column("hot") if x.is_valid]
+    hot = np.concatenate([x[:len(k)] for x, k in zip(hot, known, strict=True)]).astype(bool)
+    known = np.concatenate(known)
+    order = np.argsort(known)
+    known, hot = known[order], hot[order]
     ctx: list[list[np.ndarray]] = []
     win: list[list[np.ndarray]] = []
-    for _, _, data, offs, ids, known in Chunk(docs).runs():
+    for _, _, data, offs, ids, part, _ in Chunk(docs, common).runs():
         at, h, row = anchors(data, offs)
-        where = np.minimum(np.searchsorted(known_h, h), len(known_h) - 1)
-        keep = known[row] & (known_h[where] == h)
+        where = np.minimum(np.searchsorted(known, h & UPPER), len(known) - 1)
+        keep = part[row] & (known[where] == h & UPPER)
         at, h, row, is_hot = at[keep], h[keep], row[keep], hot[where[keep]]
         left, right = reaches(at, row, offs)
         doc = ids[row]
@@ -217,10 +254,10 @@ def _send_contexts(docs: pa.Table, common: pa.Table, buckets: int) -> pa.Table:
             win.append([k, lo, hi])
         cool = ~is_hot
         at, h, left, right, doc = at[cool], h[cool], left[cool], right[cool], doc[cool]
-        k, i, lo, hi = distinct_with_docs(context_keys(data, at, h, left, right), doc)
+        k, i, lo, hi = distinct_with_docs(context_keys(data, at, GRAM, h, left, right), doc)
         at, h, left, right = at[i], h[i], left[i], right[i]
         padded = np.concatenate([np.zeros(REACH, np.uint8), data, np.zeros(LENGTH, np.uint8)])
-        body = padded[at[:, None] + np.arange(REACH + LENGTH)]
+        body = padded[at[:, None] + SIDES]
         ctx.append([k, h, body, np.stack([left, right], axis=1).astype(np.uint8), lo, hi])
     for kind, parts in ((0, ctx), (1, win)):
         if not parts:
@@ -228,16 +265,16 @@ def _send_contexts(docs: pa.Table, common: pa.Table, buckets: int) -> pa.Table:
         cols = [np.concatenate(c) for c in zip(*parts, strict=True)]
         k, i, lo, _ = distinct_with_docs(cols[0], cols[-2])
         _, _, _, hi = distinct_with_docs(cols[0], cols[-1])
+        several = lo < hi
         if kind == 1:
-            for b, s in dealt(k, buckets):
-                out.append((b, chunk, 1, k[s].tobytes(), b"", b"", b"", np.stack([lo[s], hi[s]], axis=1).tobytes()))
+            out += [(b, chunk, 1, k[s].tobytes(), b"", b"", lo[s].tobytes(), np.packbits(several[s]).tobytes())
+                    for b, s in dealt(k, buckets)]
             continue
         h, body, reach = cols[1][i], cols[2][i], cols[3][i]
         order = np.argsort(h, kind="stable")
-        k, h, body, reach, lo, hi = (x[order] for x in (k, h, body, reach, lo, hi))
-        for b, s in dealt(h, buckets):
-            out.append((b, chunk, 0, k[s].tobytes(), h[s].tobytes(), body[s].tobytes(), reach[s].tobytes(),
-                        np.stack([lo[s], hi[s]], axis=1).tobytes()))
+        h, body, reach, lo, several = (x[order] for x in (h, body, reach, lo, several))
+        out += [(b, chunk, 0, h[s].tobytes(), body[s].tobytes(), reach[s].tobytes(), lo[s].tobytes(),
+                 np.packbits(several[s]).tobytes()) for b, s in dealt(h, buckets)]
     return _table(dict(zip(CONTEXTS.names, zip(*out), strict=True)) if out else {n: [] for n in CONTEXTS.names}, CONTEXTS)
 
 
@@ -261,17 +298,18 @@ def lcp_intervals(lcp: np.ndarray, least: int) -> np.ndarray:
 
 def suffix_order(h: np.ndarray, body: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes (from their anchors on, ``right`` bytes each) in order, and the LCP array; suffixes of
-    different anchors share nothing."""
+    one anchor share its gram, suffixes of different anchors nothing."""
     n = len(h)
-    text = np.zeros((n, 56), np.uint8)
-    text[:, :LENGTH] = body[:, REACH:]
-    text[:, :LENGTH][np.arange(LENGTH) >= right[:, None]] = 0
+    tail = LENGTH - GRAM
+    text = np.zeros((n, -(-tail // 8) * 8), np.uint8)
+    text[:, :tail] = body[:, REACH:]
+    text[:, :tail][np.arange(tail) >= right[:, None] - GRAM] = 0
     words = text.view(">u8").astype(U64)
-    order = np.lexsort([right, *[words[:, j] for j in range(6, -1, -1)], h])
-    t, r = text[order, :LENGTH], right[order]
+    order = np.lexsort([right, *[words[:, j] for j in range(words.shape[1] - 1, -1, -1)], h])
+    t, r = text[order, :tail], right[order]
     lcp = np.zeros(n, np.int64)
     differ = t[1:] != t[:-1]
-    same = np.where(differ.any(axis=1), differ.argmax(axis=1), LENGTH)
+    same = GRAM + np.where(differ.any(axis=1), differ.argmax(axis=1), tail)
     lcp[1:] = np.minimum(np.minimum(same, r[1:]), r[:-1])
     lcp[1:][h[order][1:] != h[order][:-1]] = 0
     return order, lcp
@@ -352,25 +390,30 @@ def _answer(table: pa.Table) -> pa.Table:
         part = table.filter(pa.array(kinds == kind))
         if not part.num_rows:
             continue
-        keys = [np.frombuffer(x.as_buffer(), U64) for x in part.column("keys")]
-        chunk = np.repeat(part.column("chunk").to_numpy(), [len(x) for x in keys])
-        keys = np.concatenate(keys)
-        docs = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in part.column("docs")]).reshape(-1, 2)
+        cells = [np.frombuffer(x.as_buffer(), U64) for x in part.column("hashes")]
+        chunk = np.repeat(part.column("chunk").to_numpy(), [len(x) for x in cells])
+        own = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in part.column("first")])
+        last = own + np.concatenate([np.unpackbits(np.frombuffer(x.as_buffer(), np.uint8), count=len(c))
+                                     for x, c in zip(part.column("several"), cells, strict=True)])
+        keys = np.concatenate(cells)
         if kind == 0:
-            h = np.concatenate([np.frombuffer(x.as_buffer(), U64) for x in part.column("hashes")])
+            h = keys
             body = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8) for x in part.column("body")])
-            reach = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8) for x in part.column("reach")])
-            i, lo, hi, first = repeat_groups(h, body.reshape(-1, REACH + LENGTH), reach.reshape(-1, 2),
-                                             docs[:, 0], docs[:, 1])
+            reach = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8) for x in part.column("reach")]).reshape(-1, 2)
+            left, right = reach[:, 0].astype(np.int64), reach[:, 1].astype(np.int64)
+            keys = np.concatenate([context_keys(body[a * len(SIDES):b * len(SIDES)], np.arange(b - a) * len(SIDES) + REACH, 0,
+                                                h[a:b], left[a:b], right[a:b])
+                                   for a, b in ((a, min(a + 20_000, len(h))) for a in range(0, len(h), 20_000))])
+            i, lo, hi, first = repeat_groups(h, body.reshape(-1, len(SIDES)), reach, own, last)
         else:
             order = np.argsort(keys, kind="stable")
             k = keys[order]
             heads = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
             first = np.empty(len(keys), np.int64)
-            first[order] = np.repeat(np.minimum.reduceat(docs[order, 0], heads), np.diff(np.append(heads, len(k))))
+            first[order] = np.repeat(np.minimum.reduceat(own[order], heads), np.diff(np.append(heads, len(k))))
             i = np.arange(len(keys))
             lo = hi = np.full(len(keys), 255)
-        use = first < docs[i, 1]
+        use = first < last[i]
         i, lo, hi, first = i[use], lo[use], hi[use], first[use]
         order = np.argsort(chunk[i], kind="stable")
         i, lo, hi, first = i[order], lo[order], hi[order], first[order]
@@ -391,19 +434,23 @@ def _matches(keys: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _cut(docs: pa.Table, answers: pa.Table) -> pa.Table:
-    keys, runs, first = _lookup(answers, ("keys", U64), ("runs", RUN), ("first", np.int64))
+    keys, runs, first = (np.concatenate([np.zeros(0, t), *[np.frombuffer(x.as_buffer(), t) for x in answers.column(n) if x.is_valid]])
+                         for n, t in (("keys", U64), ("runs", RUN), ("first", np.int64)))
+    order = np.argsort(keys, kind="stable")
+    keys, runs, first = keys[order], runs[order], first[order]
     whole = np.flatnonzero(runs["lo"] < 255)
     single = np.flatnonzero(runs["lo"] == 255)
     tables = []
-    for lo, hi, data, offs, ids, known in Chunk(docs).runs():
+    ids_of = docs.combine_chunks().column("doc_id").chunk(0) if docs.num_rows else pa.array([], pa.int64())
+    for lo, hi, data, offs, ids, part, copy in Chunk(docs, answers).runs():
         edge = np.zeros(len(data) + 1, np.int64)
         if len(keys):
             at, h, row = anchors(data, offs)
-            keep = known[row]
+            keep = part[row]
             at, h, row = at[keep], h[keep], row[keep]
             left, right = reaches(at, row, offs)
             if len(whole):
-                i, j = _matches(context_keys(data, at, h, left, right), keys[whole])
+                i, j = _matches(context_keys(data, at, GRAM, h, left, right), keys[whole])
                 j = whole[j]
                 late = ids[row[i]] > first[j]
                 i, j = i[late], j[late]
@@ -416,7 +463,7 @@ def _cut(docs: pa.Table, answers: pa.Table) -> pa.Table:
                 i = i[ids[row[i]] > first[j]]
                 np.add.at(edge, at[i] - reach, 1)
                 np.add.at(edge, at[i] - reach + LENGTH, -1)
-        gone = np.cumsum(edge)[:-1] > 0
+        gone = (np.cumsum(edge)[:-1] > 0) | np.repeat(copy, np.diff(offs))
         starts_flag, ends_flag = gone.copy(), gone.copy()
         starts_flag[1:] &= ~gone[:-1]
         ends_flag[:-1] &= ~gone[1:]
@@ -431,7 +478,7 @@ def _cut(docs: pa.Table, answers: pa.Table) -> pa.Table:
         kept = np.concatenate([[0], np.cumsum(~gone)])[offs]
         body = pa.BinaryArray.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(kept.astype(np.int32)),
                                                                   pa.py_buffer(data[~gone].tobytes())])
-        tables.append(pa.table([docs.column("doc_id").slice(lo, hi - lo).combine_chunks(), pa.array(np.diff(offs)),
+        tables.append(pa.table([ids_of.slice(lo, hi - lo), pa.array(np.diff(offs)),
                                 spans, body], schema=SPANS))
     return pa.concat_tables(tables) if tables else SPANS.empty_table()
 
@@ -441,22 +488,35 @@ def _ddl(schema: pa.Schema) -> str:
     return ", ".join(f"{f.name} {names.get(f.type, 'array<struct<start: bigint, end: bigint>>')}" for f in schema)
 
 
+def _whole_copies(rows: DataFrame) -> DataFrame:
+    """chunk, ids, ths: per chunk, the rows whose whole text (of at least ``LENGTH`` bytes) an earlier
+    document has.  Only hashes travel; a text's copies are combined map-side."""
+    light = rows.select("chunk", "doc_id", "th", F.xxhash64(F.lit("second"), "text").alias("t2"), F.octet_length("text").alias("n"))
+    light = light.where((F.col("n") >= LENGTH) & F.col("doc_id").isNotNull())
+    texts = light.groupBy("th", "t2", "n").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    later = light.join(texts, ["th", "t2", "n"]).where("doc_id > first")
+    found = materialize(later.select("chunk", "doc_id", "th"), "whole-copies")
+    return found.groupBy("chunk").agg(F.collect_list("doc_id").alias("ids"), F.collect_list("th").alias("ths"))
+
+
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, spans (the maximal removed runs of bytes), kept (the bytes left) of every row."""
     src = pick(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("bigint"))
     n = parts_for(text_bytes(src), CHUNK_BYTES, LEAST_CHUNKS)
     buckets = max(LEAST_CHUNKS, n // 2)
-    own = F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(n)).cast("int")
-    chunks = src.withColumn("chunk", own).repartition(n, "chunk")
+    th = F.xxhash64("text")
+    rows = src.withColumn("chunk", F.pmod(F.xxhash64(F.coalesce("doc_id", th)), F.lit(n)).cast("int")).withColumn("th", th)
+    chunks = rows.repartition(n, "chunk")
+    copies = _whole_copies(rows)
 
-    def send_anchors(table: pa.Table) -> pa.Table:
-        return _send_anchors(table, buckets)
+    def send_anchors(table: pa.Table, extra: pa.Table) -> pa.Table:
+        return _send_anchors(table, extra, buckets)
 
     def send_contexts(table: pa.Table, known: pa.Table) -> pa.Table:
         return _send_contexts(table, known, buckets)
 
-    sent = chunks.groupBy("chunk").applyInArrow(send_anchors, _ddl(ANCHORS))
-    common = sent.groupBy("bucket").applyInArrow(_common_anchors, _ddl(COMMON))
+    sent = chunks.groupBy("chunk").cogroup(copies.groupBy("chunk")).applyInArrow(send_anchors, _ddl(ANCHORS))
+    common = sent.groupBy("bucket").applyInArrow(_common_anchors, _ddl(COMMON)).unionByName(copies, allowMissingColumns=True)
     contexts = chunks.groupBy("chunk").cogroup(common.groupBy("chunk")).applyInArrow(send_contexts, _ddl(CONTEXTS))
-    answers = contexts.groupBy("bucket").applyInArrow(_answer, _ddl(ANSWERS))
+    answers = contexts.groupBy("bucket").applyInArrow(_answer, _ddl(ANSWERS)).unionByName(copies, allowMissingColumns=True)
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_cut, _ddl(SPANS))

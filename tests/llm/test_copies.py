@@ -125,20 +125,26 @@ def test_repeats_with_hot_anchors(hot, monkeypatch):
     monkeypatch.setattr(repeats, "HOT", hot)
     docs = repeat_docs()
     chunks = [pa.table({"doc_id": pa.array([i for i in docs if i % 4 == c]), "text": pa.array([docs[i].decode() for i in docs if i % 4 == c]),
-                        "chunk": pa.array([c] * sum(i % 4 == c for i in docs), pa.int32())}) for c in range(4)]
+                        "chunk": pa.array([c] * sum(i % 4 == c for i in docs), pa.int32()),
+                        "th": pa.array([hash(docs[i]) for i in docs if i % 4 == c])}) for c in range(4)]
+    copies = {c: pa.table({"ids": pa.array([[i for i in (54,) if i % 4 == c]], pa.list_(pa.int64())),
+                           "ths": pa.array([[hash(docs[i]) for i in (54,) if i % 4 == c]], pa.list_(pa.int64()))}) for c in range(4)}
+
+    def with_copies(table, c):
+        return pa.concat_tables([table, copies[c]], promote_options="default")
 
     def deal(tables, key):
         whole = pa.concat_tables(tables)
         keys = whole.column(key).to_numpy()
         return {k: whole.filter(pa.array(keys == k)) for k in np.unique(keys)}
 
-    sent = deal([repeats._send_anchors(t, 3) for t in chunks], "bucket")
+    sent = deal([repeats._send_anchors(t, copies[c], 3) for c, t in enumerate(chunks)], "bucket")
     common = deal([repeats._common_anchors(t) for t in sent.values()], "chunk")
-    contexts = deal([repeats._send_contexts(t, common.get(c, repeats.COMMON.empty_table()), 3) for c, t in enumerate(chunks)], "bucket")
+    contexts = deal([repeats._send_contexts(t, with_copies(common.get(c, repeats.COMMON.empty_table()), c), 3) for c, t in enumerate(chunks)], "bucket")
     answers = deal([repeats._answer(t) for t in contexts.values()], "chunk")
     want = brute.repeats(docs)
     for c, t in enumerate(chunks):
-        for r in repeats._cut(t, answers.get(c, repeats.ANSWERS.empty_table())).to_pylist():
+        for r in repeats._cut(t, with_copies(answers.get(c, repeats.ANSWERS.empty_table()), c)).to_pylist():
             assert r["kept"] == want[r["doc_id"]][1], r["doc_id"]
 
 
