@@ -34,9 +34,10 @@ from quarry.session import materialize
 #: Bounds of the training sample and of the model.
 MAX_TRAINING_DOCS = 12_000
 MAX_FEATURES = 20_000
-LEAST_DOCS = 5  # of a feature in the sample
+LEAST_DOCS = 4  # of a feature in the sample
+LEAST_Z = 2.5  # of a feature's log odds between the classes
 PREFIXES = (4, 5, 6)
-RIDGE, SWAP_PENALTY, STEPS, RATE = 1e-4, 5.0, 250, 0.1
+RIDGE, SWAP_PENALTY, STEPS, RATE = 1e-3, 5.0, 250, 0.1
 U64 = np.uint64
 
 #: Groups of identity terms that may stand for one another.
@@ -123,19 +124,20 @@ class Model:
 
 
 def fit(labels: np.ndarray, own: list[np.ndarray], swap: list[np.ndarray | None], n: int) -> tuple[np.ndarray, float]:
-    """Weights of n features and the base, by full-batch Adam on logistic loss, ridge and the squared
-    change of score under swapping."""
+    """Weights of n features and the base, by full-batch Adam on logistic loss (both classes weigh the same),
+    ridge and the squared change of score under swapping."""
     def sparse(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         return np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate([np.zeros(0, np.int64), *rows])
 
     r, c = sparse(own)
     pair = np.array([i for i, s in enumerate(swap) if s is not None], np.int64)
     sr, sc = sparse([swap[i] for i in pair])
-    w, b = np.zeros(n), float(np.log((labels.mean()) / (1 - labels.mean())))
+    weight = np.where(labels > 0.5, 0.5 / labels.sum(), 0.5 / (len(labels) - labels.sum()))
+    w, b = np.zeros(n), 0.0
     m, v = np.zeros(n + 1), np.zeros(n + 1)
     for step in range(1, STEPS + 1):
         p = 1 / (1 + np.exp(-np.clip(b + np.bincount(r, w[c], len(own)), -30, 30)))
-        d = (p - labels) / len(labels)
+        d = (p - labels) * weight
         if len(pair):
             q = 1 / (1 + np.exp(-np.clip(b + np.bincount(sr, w[sc], len(pair)), -30, 30)))
             gap = 2 * SWAP_PENALTY * (p[pair] - q) / len(pair)
@@ -175,7 +177,7 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAINING_DOCS)
         F.count(F.lit(1)).alias("n"), F.sum("label").alias("t")).where(F.col("n") >= LEAST_DOCS)
     t, o = F.col("t") + 0.5, F.col("n") - F.col("t") + 0.5
     odds = F.log(t / (toxic + 1.0)) - F.log(o / (total - toxic + 1.0))
-    best = each.select("f", F.abs(odds / F.sqrt(1 / t + 1 / o)).alias("z")).orderBy(F.desc("z"), "f").limit(MAX_FEATURES)
+    best = each.select("f", F.abs(odds / F.sqrt(1 / t + 1 / o)).alias("z")).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "f").limit(MAX_FEATURES)
     keys = np.sort(np.array([r.f for r in best.collect()], np.int64).view(U64))
     table = sample.toArrow()
 
