@@ -2,21 +2,18 @@
 
 Spark's exact ``percentile`` keeps a value->count map per group and merges
 it in one task, so memory and time grow with the number of distinct
-values.  Here each target order statistic is found by refinement:
-
-* round 0 - per column, Spark's own count/mean/std/min/max plus one
-  grouped aggregate over log-scale bins (sign-mirrored ``floor(16 log2|x|)``,
-  no range needed) with count, min and max per occupied bin, all in one
-  job; the driver finds the bin holding every target rank;
-* later rounds - one aggregate per column over the pending bins only:
-  a bin with at most ``COLLECT_LIMIT`` values is gathered as distinct
-  values with multiplicities and the rank is read; a larger bin is split
-  into ``BINS`` equal-width bins (count, min, max each) and the bin holding
-  the rank becomes the next interval (its exact min/max and the count
-  below it).
-
-The driver only ever holds occupied-bin summaries and bounded bins.
-Interpolation follows pandas/DuckDB ``quantile_cont``.
+values.  Here each target order statistic is found by refinement, with one
+scan per round for all columns together (the columns are unpivoted):
+
+* round 0 - one aggregate over (column, log-scale bin), bins being
+  sign-mirrored ``floor(16 log2|x|)``, with count, min, max and moments;
+* later rounds - the bins that hold a target rank are cut into ``BINS``
+  equal ones, until the bin with the rank holds a single value or the rank
+  is its first or last.
+
+The driver holds bin summaries only: at most ``BINS`` per column and rank,
+whatever the number of rows.  Interpolation follows pandas/DuckDB
+``quantile_cont``.
 """
 
 from __future__ import annotations
@@ -27,9 +24,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BINS = 4096
-COLLECT_LIMIT = 50_000
-MAX_ROUNDS = 12
+from quarry.functions.wide import unpivot
+
+BINS = 1024
 _LOG_STEPS = 16
 _INF_KEY = 1_000_000
 
@@ -48,103 +45,95 @@ def _log_key(x: Column) -> Column:
             .when(x > 0, k).when(x < 0, -k).otherwise(F.lit(0)))
 
 
-def _union(parts):
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def _merged(parts) -> tuple:
+    """(n, mean, sum of squared deviations) of disjoint parts."""
+    n, mean, m2 = 0, 0.0, 0.0
+    for c, mu, v in parts:
+        d = mu - mean
+        m2 += v + d * d * n * c / (n + c)
+        mean += d * c / (n + c)
+        n += c
+    return n, mean, m2
 
 
 def _refine(df: DataFrame, values: dict[str, Column], pending: dict) -> dict:
-    """pending: {(name, lo, hi, below, count): {ranks}} -> {(name, rank): value}.
-    One job per round: one aggregate per column with pending intervals."""
+    """pending: {(name, lo, hi, below): {ranks}} -> {(name, rank): value}.
+    One scan per round for all columns: each pending interval is cut into
+    ``BINS`` equal bins until the bin with the rank holds one value."""
     out: dict[tuple, float] = {}
-    for _ in range(MAX_ROUNDS):
-        if not pending:
-            return out
+    names = list(values)
+    while pending:
         probes = list(pending.items())
         per_col: dict[str, list] = {}
-        for pid, ((name, lo, hi, below, cnt), rs) in enumerate(probes):
-            per_col.setdefault(name, []).append((pid, lo, hi, cnt))
-        parts = []
-        for name, plist in per_col.items():
-            x = values[name]
-            pid_e = key_e = None
-            for pid, lo, hi, cnt in plist:          # disjoint intervals of one column
-                inside = (x >= F.lit(lo)) & (x <= F.lit(hi))
-                k = x if cnt <= COLLECT_LIMIT else F.least(
-                    F.floor((x - F.lit(lo)) * F.lit(float(BINS)) / F.lit(hi - lo)), F.lit(float(BINS - 1)))
+        for pid, ((name, lo, hi, _), _) in enumerate(probes):
+            per_col.setdefault(name, []).append((pid, lo, hi))
+        used = list(per_col)
+        long = unpivot(df, [values[n] for n in used])
+        pid_e = key_e = None
+        for i, name in enumerate(used):
+            for pid, lo, hi in per_col[name]:          # disjoint intervals of one column
+                x = F.col("x")
+                inside = (F.col("ord") == i) & (x >= F.lit(lo)) & (x <= F.lit(hi))
+                # halving the operands keeps hi - lo finite for any two doubles
+                share = (x / 2 - F.lit(lo / 2)) / F.lit(hi / 2 - lo / 2)
+                k = F.least(F.floor(share * F.lit(float(BINS))), F.lit(float(BINS - 1)))
                 pid_e = F.when(inside, F.lit(pid)) if pid_e is None else pid_e.when(inside, F.lit(pid))
                 key_e = F.when(inside, k) if key_e is None else key_e.when(inside, k)
-            parts.append(df.select(pid_e.alias("pid"), key_e.cast("double").alias("key"), x.alias("x"))
-                         .where(F.col("pid").isNotNull())
-                         .groupBy("pid", "key").agg(F.count(F.lit(1)).alias("c"),
-                                                    F.min("x").alias("mn"), F.max("x").alias("mx")))
+        bins = (long.select(pid_e.alias("pid"), key_e.cast("double").alias("key"), "x").where(F.col("pid").isNotNull())
+                .groupBy("pid", "key").agg(F.count(F.lit(1)).alias("c"), F.min("x").alias("mn"), F.max("x").alias("mx")))
         by_pid: dict[int, list] = {}
-        for r in _union(parts).collect():   # <= probes x max(BINS, COLLECT_LIMIT) rows
+        for r in bins.collect():   # at most BINS rows per pending rank
             by_pid.setdefault(r["pid"], []).append(r)
-        nxt = {}
-        for pid, ((name, lo, hi, below, cnt), rs) in enumerate(probes):
-            bins = sorted(by_pid.get(pid, []), key=lambda r: r["key"])
-            for k in rs:
-                acc = below
-                for b in bins:
-                    if k < acc + b["c"]:
-                        if cnt <= COLLECT_LIMIT:
-                            out[(name, k)] = b["key"]
-                        elif b["mn"] == b["mx"]:
-                            out[(name, k)] = b["mn"]
-                        else:
-                            nxt.setdefault((name, b["mn"], b["mx"], acc, b["c"]), set()).add(k)
-                        break
-                    acc += b["c"]
+        nxt: dict = {}
+        for pid, ((name, _, _, below), rs) in enumerate(probes):
+            acc, found = below, sorted(by_pid.get(pid, []), key=lambda r: r["key"])
+            for b in found:
+                hit = {k for k in rs if acc <= k < acc + b["c"]}
+                # the first and last value of a bin are its least and greatest
+                ends = {acc: b["mn"], acc + b["c"] - 1: b["mx"]}
+                out.update({(name, k): (b["mn"] if b["mn"] == b["mx"] else ends[k]) for k in hit
+                            if b["mn"] == b["mx"] or k in ends})
+                rest = {k for k in hit if (name, k) not in out}
+                if rest:
+                    nxt.setdefault((name, b["mn"], b["mx"], acc), set()).update(rest)
+                acc += b["c"]
         pending = nxt
-    if pending:
-        raise RuntimeError("quantile refinement did not converge")
     return out
 
 
 def column_profile(df: DataFrame, values: dict[str, Column], probs: Sequence[float]) -> dict:
-    """{name: {count, mean, std (ddof 1), min, max, q: {p: value}}}."""
-    parts = []
-    for i, x in enumerate(values.values()):
-        col = df.select(x.alias("x"))
-        # global moments with Spark's own aggregates (same rounding as any
-        # SQL engine's avg/stddev) and the occupied log bins - one job
-        parts.append(col.agg(F.count("x").alias("c"), F.min("x").alias("mn"), F.max("x").alias("mx"),
-                             F.avg("x").alias("mu"), F.stddev_samp("x").alias("vp"))
-                     .select(F.lit(i).alias("i"), F.lit(None).cast("bigint").alias("key"), "*"))
-        parts.append(col.where(F.col("x").isNotNull())
-                     .groupBy(_log_key(F.col("x")).alias("key"))
-                     .agg(F.count(F.lit(1)).alias("c"), F.min("x").alias("mn"), F.max("x").alias("mx"),
-                          F.lit(None).cast("double").alias("mu"), F.lit(None).cast("double").alias("vp"))
-                     .select(F.lit(i).alias("i"), "*"))
+    """{name: {count, mean, std (ddof 1), min, max, q: {p: value}}}.  The
+    first round's bins also carry means and squared deviations, so the
+    moments of all columns come out of the same scan."""
+    names = list(values)
+    if not names:
+        return {}
+    x = F.col("x")
+    rows = (unpivot(df, list(values.values()), x.isNotNull()).groupBy("ord", _log_key(x).alias("key"))
+            .agg(F.count(F.lit(1)).alias("c"), F.min("x").alias("mn"), F.max("x").alias("mx"), F.avg("x").alias("mu"),
+                 (F.var_pop("x") * F.count(F.lit(1))).alias("m2")))
     bins: dict[int, list] = {}
-    moments: dict[int, object] = {}
-    for r in _union(parts).collect():        # moments + occupied log bins (<= 16 per octave)
-        if r["key"] is None:
-            moments[r["i"]] = r
-        else:
-            bins.setdefault(r["i"], []).append(r)
+    for r in rows.collect():        # occupied log bins: at most 16 per octave and column
+        bins.setdefault(r["ord"], []).append(r)
     out, pending, picked = {}, {}, {}
-    for i, name in enumerate(values):
+    for i, name in enumerate(names):
         bs = sorted(bins.get(i, []), key=lambda r: r["key"])
-        m = moments[i]
-        n = m["c"]
-        info = {"count": n, "mean": m["mu"], "std": m["vp"], "min": m["mn"], "max": m["mx"], "q": {}}
+        n, mean, m2 = _merged([(r["c"], r["mu"], r["m2"]) for r in bs])
+        info = {"count": n, "mean": mean if n else None, "std": math.sqrt(m2 / (n - 1)) if n > 1 else None,
+                "min": bs[0]["mn"] if n else None, "max": bs[-1]["mx"] if n else None, "q": {p: None for p in probs}}
         out[name] = info
         if n == 0:
-            info["q"] = {p: None for p in probs}
             continue
         ranks = {k for p in probs for k in _ranks(n, p)[:2]}
         acc = 0
         for r in bs:
             hit = {k for k in ranks if acc <= k < acc + r["c"]}
-            if hit:
-                if r["mn"] == r["mx"]:
-                    picked.update({(name, k): r["mn"] for k in hit})
-                else:
-                    pending[(name, r["mn"], r["mx"], acc, r["c"])] = hit
+            ends = {acc: r["mn"], acc + r["c"] - 1: r["mx"]}
+            picked.update({(name, k): (r["mn"] if r["mn"] == r["mx"] else ends[k]) for k in hit
+                           if r["mn"] == r["mx"] or k in ends})
+            rest = {k for k in hit if (name, k) not in picked}
+            if rest:
+                pending[(name, r["mn"], r["mx"], acc)] = rest
             acc += r["c"]
     picked.update(_refine(df, values, pending))
     for name, info in out.items():

@@ -1,11 +1,4 @@
-"""Wide aggregation: many per-column statistics in one scan.
-
-Whole-stage codegen fails past the JVM's 64 KB method limit when a single
-``agg`` holds thousands of expressions, so the per-column structs are
-chunked; each chunk is one aggregate whose single row is exploded to long
-form (``inline``) and the chunks are stacked with ``unionByName``.  All
-chunks read the same (ideally persisted) input, and no chunk joins another.
-"""
+"""Wide aggregation: many per-column statistics in one scan."""
 
 from __future__ import annotations
 
@@ -14,39 +7,24 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Whole-stage codegen is switched off for a plan node with more than
-# spark.sql.codegen.maxFields (100) nested fields - and the partial
-# aggregate's buffer attributes count - so chunks stay under that.
-MAX_FIELDS = 96
-
 
-def long_agg(df: DataFrame, items: Sequence[str],
-             stats: Callable[[int, str], list[Column]],
-             fields_per_item: int | None = None) -> DataFrame:
+def long_agg(df: DataFrame, items: Sequence[str], stats: Callable[[int, str], list[Column]]) -> DataFrame:
     """Apply ``stats(ord, name)`` to every item; return one row per item.
 
     ``stats`` returns aggregate columns already aliased to the output field
-    names; ``ord`` and ``column_name`` are prepended.  ``fields_per_item``
-    estimates buffer + output fields per item (default 3 per statistic).
+    names; ``ord`` and ``column_name`` are prepended.  All items are fields
+    of one aggregate row, so the input is scanned once however many there
+    are; the row is then exploded to long form.
     """
     items = list(items)
     if not items:
         return None
-    per = fields_per_item or (3 * max(1, len(stats(0, items[0]))) + 2)
-    # columnar sources read only a chunk's columns, so splitting costs no
-    # extra IO; with at least `parallelism` chunks the scans run side by side
-    par = df.sparkSession.sparkContext.defaultParallelism
-    size = max(1, min(MAX_FIELDS // per, -(-len(items) // par)))
-    parts = []
-    for start in range(0, len(items), size):
-        chunk = list(enumerate(items))[start:start + size]
-        structs = []
-        for i, name in chunk:
-            structs.append(F.struct(F.lit(i).alias("ord"), F.lit(name).alias("column_name"),
-                                    *stats(i, name)).alias(f"s{i}"))
-        one = df.agg(*structs)
-        parts.append(one.select(F.inline(F.array(*[F.col(f"s{i}") for i, _ in chunk]))))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    one = df.agg(*[F.struct(F.lit(i).alias("ord"), F.lit(name).alias("column_name"), *stats(i, name)).alias(f"s{i}")
+                   for i, name in enumerate(items)])
+    return one.select(F.inline(F.array(*[F.col(f"s{i}") for i in range(len(items))])))
+
+
+def unpivot(df: DataFrame, values: Sequence[Column], where: Column | None = None) -> DataFrame:
+    """(ord, x) for every row and value column, in one scan."""
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("ord"), x.alias("x")) for i, x in enumerate(values)])))
+    return long if where is None else long.where(where)

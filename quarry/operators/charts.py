@@ -19,9 +19,10 @@ from pyspark.sql import types as T
 from quarry.functions.kinds import as_double, numeric_columns, q
 from quarry.operators.outliers import iqr_bounds
 from quarry.operators.profile import missing_counts, value_counts
+from quarry.session import materialize
 
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
-HIST_SCHEMA = "ord int, column_name string, bin int, lo double, hi double, count bigint"
+HIST_SCHEMA = "ord int, column_name string, bin bigint, lo double, hi double, count bigint"
 
 
 def _range_stats(df, cols, with_quartiles, method="exact"):
@@ -46,7 +47,7 @@ def _range_stats(df, cols, with_quartiles, method="exact"):
 
 
 def auto_bin_count(n: int, lo: float, hi: float, q1: float, q3: float,
-                   integral: bool, max_bins: int = 1000) -> int:
+                   integral: bool) -> int:
     """numpy's 'auto' rule: the smaller of Sturges and Freedman-Diaconis
     widths (FD only when positive); integer data keeps width >= 1."""
     rng = hi - lo
@@ -57,11 +58,13 @@ def auto_bin_count(n: int, lo: float, hi: float, q1: float, q3: float,
     w = min(fd, sturges) if fd > 0 else sturges
     if integral and w < 1:
         w = 1.0
-    return int(max(1, min(max_bins, math.ceil(rng / w))))
+    return int(max(1, math.ceil(rng / w)))
 
 
-def _histogram(df, specs):
-    """specs: list of (ord, name, lo, hi, nbins).  Bins include empty ones."""
+def _histogram(df, specs, empty: bool):
+    """specs: list of (ord, name, lo, hi, nbins).  ``empty``: bins without
+    rows too (for a fixed number of bins); else occupied bins only, so the
+    result is bounded by the rows, not by range and width."""
     spark = df.sparkSession
     types = {f.name: f.dataType for f in df.schema.fields}
     if not specs:
@@ -70,34 +73,35 @@ def _histogram(df, specs):
     for o, c, lo, hi, nb in specs:
         x = as_double(c, types[c])
         if hi == lo:
-            b = F.when(x.isNotNull(), F.lit(0))
+            b = F.when(x.isNotNull(), F.lit(0)).cast("bigint")
         else:
             # least() skips nulls, so guard: a null value has no bin
             b = F.when(x.isNotNull(), F.least(
-                F.floor((x - F.lit(lo)) * F.lit(float(nb)) / F.lit(hi - lo)).cast("int"), F.lit(nb - 1)))
+                F.floor((x - F.lit(lo)) * F.lit(float(nb)) / F.lit(hi - lo)), F.lit(nb - 1))).cast("bigint")
         arms.append(F.struct(F.lit(o).alias("ord"), b.alias("bin")))
     long = df.select(F.inline(F.array(*arms))).where(F.col("bin").isNotNull())
     counts = long.groupBy("ord", "bin").agg(F.count(F.lit(1)).alias("count"))
-    rows = []
-    for o, c, lo, hi, nb in specs:
-        if hi == lo:
-            rows.append((o, c, 0, lo - 0.5, hi + 0.5))
-            continue
-        step = (hi - lo) / nb
-        rows += [(o, c, i, lo + i * step, lo + (i + 1) * step if i < nb - 1 else hi)
-                 for i in range(nb)]
-    # bins frame: at most max_bins x columns rows
-    bins = spark.createDataFrame(rows, "ord int, column_name string, bin int, lo double, hi double")
-    return (bins.join(counts, ["ord", "bin"], "left")
-            .select("ord", "column_name", "bin", "lo", "hi",
-                    F.coalesce("count", F.lit(0)).cast("bigint").alias("count")))
-
-
-def histogram_auto(df: DataFrame, cols: Sequence[str] | None = None, max_plots: int = 4,
-                   max_bins: int = 1000, method: str = "exact", sample: int | None = None,
+    columns = spark.createDataFrame([(o, c, lo, hi, nb if hi > lo else 1) for o, c, lo, hi, nb in specs],
+                                    "ord int, column_name string, mn double, mx double, nb bigint")     # one row per column
+    if empty:
+        every = columns.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("nb") - 1)).alias("bin"))
+        out = every.join(counts, ["ord", "bin"], "left")
+    else:
+        out = counts.join(F.broadcast(columns), "ord")
+    flat, step = F.col("mx") == F.col("mn"), (F.col("mx") - F.col("mn")) / F.col("nb")
+    lo = F.when(flat, F.col("mn") - 0.5).otherwise(F.col("mn") + F.col("bin") * step)
+    hi = F.when(flat, F.col("mx") + 0.5).when(F.col("bin") == F.col("nb") - 1, F.col("mx")).otherwise(
+        F.col("mn") + (F.col("bin") + 1) * step)
+    return out.select("ord", "column_name", "bin", lo.alias("lo"), hi.alias("hi"),
+                      F.coalesce("count", F.lit(0)).cast("bigint").alias("count"))
+
+
+def histogram_auto(df: DataFrame, cols: Sequence[str] | None = None, max_plots: int | None = None,
+                   method: str = "exact", sample: int | None = None,
                    key: Sequence[str] | None = None, seed: int = 42) -> DataFrame:
-    """histograms of the first ``max_plots`` numeric columns with the
-    automatic bin width; nulls dropped; last edge closed.  ``sample`` (with
+    """histograms of the numeric columns (of the first ``max_plots`` if
+    given) with the automatic bin width; nulls dropped; last edge closed;
+    occupied bins only.  ``sample`` (with
     a ``key``) bins an exact seeded sample of that many rows instead of the
     whole column, as the reference does with 50 000 rows."""
     cols = list(cols or numeric_columns(df))[:max_plots]
@@ -112,9 +116,9 @@ def histogram_auto(df: DataFrame, cols: Sequence[str] | None = None, max_plots:
         n, lo, hi, qs = r[f"n{i}"], r[f"lo{i}"], r[f"hi{i}"], r[f"q{i}"]
         if not n:
             continue
-        nb = auto_bin_count(n, lo, hi, qs[0], qs[1], isinstance(types[c], _INTEGRAL), max_bins)
+        nb = auto_bin_count(n, lo, hi, qs[0], qs[1], isinstance(types[c], _INTEGRAL))
         specs.append((i, c, lo, hi, nb))
-    return _histogram(df, specs)
+    return _histogram(df, specs, empty=False)
 
 
 def histogram_fixed(df: DataFrame, cols: Sequence[str] | None = None, bins: int = 10) -> DataFrame:
@@ -125,13 +129,10 @@ def histogram_fixed(df: DataFrame, cols: Sequence[str] | None = None, bins: int
         return df.sparkSession.createDataFrame([], HIST_SCHEMA)
     r = _range_stats(df, cols, False)
     specs = [(i, c, r[f"lo{i}"], r[f"hi{i}"], bins) for i, c in enumerate(cols) if r[f"n{i}"]]
-    return _histogram(df, specs)
-
-
-KDE_EXACT_MAX_ROWS = 1_000_000
+    return _histogram(df, specs, empty=True)
 
 
-def kde_curve(df: DataFrame, col: str, points: int = 200, method: str = "auto",
+def kde_curve(df: DataFrame, col: str, points: int = 200, method: str = "exact",
               fine_bins: int = 65536) -> DataFrame:
     """Gaussian KDE with Scott's bandwidth h = std * n^(-1/5) on
     ``points`` grid points over [min, max].
@@ -140,7 +141,8 @@ def kde_curve(df: DataFrame, col: str, points: int = 200, method: str = "auto",
     grid is exploded per row and summed map-side, so only ``points`` rows
     per task are shuffled) - rows x points work.  ``binned`` first reduces
     the column to ``fine_bins`` weighted centres (one hash aggregate), then
-    evaluates bins x points.  ``auto`` is exact up to 1 M rows.
+    evaluates bins x points; it is an approximation that the caller asks
+    for, never chosen by size.
     Output: (point, x, density, n).
     """
     x = as_double(col, df.schema[col].dataType)
@@ -155,8 +157,6 @@ def kde_curve(df: DataFrame, col: str, points: int = 200, method: str = "auto",
     step = (hi - lo) / (points - 1)
     norm = 1.0 / (n * h * math.sqrt(2 * math.pi))
     src = df.select(x.alias("v")).where(F.col("v").isNotNull()).withColumn("w", F.lit(1.0))
-    if method == "auto":
-        method = "exact" if n <= KDE_EXACT_MAX_ROWS else "binned"
     if method == "binned":
         fw = (hi - lo) / fine_bins
         src = (src.withColumn("b", F.least(F.floor((F.col("v") - lo) / fw), F.lit(fine_bins - 1)))
@@ -181,16 +181,24 @@ def missingness_matrix(df: DataFrame, key: str, bands: int = 20) -> DataFrame:
     """presence share per (row band, column) and row completeness per
     band.  Bands are equal ranges of ``key`` (a global ``ntile`` would pull
     every row into one partition)."""
-    kx = q(key).cast("double")
-    r = df.agg(F.min(kx).alias("lo"), F.max(kx).alias("hi")).first()
-    lo, hi = r["lo"], r["hi"]
-    if lo is None:
-        return df.sparkSession.createDataFrame(
-            [], "band int, ord int, column_name string, rows bigint, present_share double, "
-                "row_completeness double")
-    band = F.when(kx.isNotNull(), F.least(
-        F.floor((kx - F.lit(lo)) * F.lit(float(bands)) / F.lit(hi - lo + 1.0)).cast("int"), F.lit(bands - 1)))
-    cols = df.columns
+    empty = df.sparkSession.createDataFrame(
+        [], "band int, ord int, column_name string, rows bigint, present_share double, row_completeness double")
+    kind = df.schema[key].dataType
+    names = df.columns
+    if isinstance(kind, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+        k = q(key).cast("timestamp") if isinstance(kind, (T.DateType, T.TimestampNTZType)) else q(key)
+        kx = F.unix_micros(k).cast("double") if not isinstance(kind, (T.NumericType, T.BooleanType)) else k.cast("double")
+        r = df.agg(F.min(kx).alias("lo"), F.max(kx).alias("hi")).first()
+        lo, hi = r["lo"], r["hi"]
+        if lo is None:
+            return empty
+        band = F.when(kx.isNotNull(), F.least(
+            F.floor((kx - F.lit(lo)) * F.lit(float(bands)) / F.lit(hi - lo + 1.0)).cast("int"), F.lit(bands - 1)))
+    else:
+        # keys without a distance: ranges of about equal numbers of rows
+        ranged = df.repartitionByRange(bands, q(key)).withColumn("_band", F.spark_partition_id())
+        df, band = materialize(ranged, "key-bands"), F.when(q(key).isNotNull(), F.col("_band"))
+    cols = names
     flags = [F.when(q(c).isNotNull(), 1.0).otherwise(0.0) for c in cols]
     complete = sum(flags[1:], flags[0]) / F.lit(float(len(cols)))
     agg = df.groupBy(band.alias("band")).agg(
@@ -314,7 +322,7 @@ def pair_sample(df: DataFrame, n: int, key: Sequence[str], cols: Sequence[str] |
 
 
 def kde_by_group(df: DataFrame, col: str, group: str, points: int = 200,
-                 method: str = "auto", fine_bins: int = 4096) -> DataFrame:
+                 method: str = "exact", fine_bins: int = 65536) -> DataFrame:
     """F7 violin data: F3 per group - each group's own Scott bandwidth and
     grid over its own [min, max].  Group statistics are one aggregate (a row
     per group) joined back on the group key (AQE broadcasts it when it is
@@ -329,9 +337,6 @@ def kde_by_group(df: DataFrame, col: str, group: str, points: int = 200,
         .where((F.col("sd") > 0) & (F.col("hi") > F.col("lo")))
     st = st.select("_g", "n", "lo", "hi", (F.col("sd") * F.pow(F.col("n"), -0.2)).alias("h"),
                    ((F.col("hi") - F.col("lo")) / F.lit(float(points - 1))).alias("step"))
-    if method == "auto":
-        total = base.count()
-        method = "exact" if total <= KDE_EXACT_MAX_ROWS else "binned"
     src = base.join(st.select("_g", "lo", "hi"), "_g").withColumn("w", F.lit(1.0))
     if method == "binned":
         fw = (F.col("hi") - F.col("lo")) / F.lit(float(fine_bins))

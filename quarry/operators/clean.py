@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from quarry.functions.kinds import numeric_columns, q
 from quarry.functions.parsing import null_tokens, strip
 from quarry.operators.profile import value_counts
 from quarry.plans.clean_plan import CleanPlan
+from quarry.session import materialize
 
 
 def drop_all_null_columns(df: DataFrame) -> DataFrame:
@@ -134,16 +136,15 @@ def fill_missing(df: DataFrame, strategy: str = "constant", cols: Sequence[str]
 
 
 def forward_fill(df: DataFrame, cols: list[str], order_by: Sequence[str],
-                 partition_by: Sequence[str] | None = None,
-                 rows_per_block: int = 1_000_000) -> DataFrame:
+                 partition_by: Sequence[str] | None = None) -> DataFrame:
     """Forward fill (last non-null value so far) in ``order_by`` order.
 
     With ``partition_by`` it is a plain window per group.  Globally, a
     window without a partition would pull every row into one task, so the
-    first order column is cut into equal ranges ("blocks") of about
-    ``rows_per_block`` rows: each block fills inside itself, and the
-    value a block inherits is the last non-null of earlier blocks, taken
-    from a small per-block table (one row per block)."""
+    rows are range-partitioned by the order columns (any orderable types)
+    into blocks of about equal size: each block fills inside itself, and
+    the value a block inherits is the last non-null of earlier blocks,
+    taken from a small per-block table (one row per block)."""
     order_by = list(order_by)
     if not order_by:
         raise ValueError("forward fill needs an order")
@@ -152,17 +153,10 @@ def forward_fill(df: DataFrame, cols: list[str], order_by: Sequence[str],
         w = (Window.partitionBy(*[q(c) for c in partition_by]).orderBy(*ow)
              .rowsBetween(Window.unboundedPreceding, 0))
         return df.withColumns({c: F.last(q(c), ignorenulls=True).over(w) for c in cols})
-    k = q(order_by[0]).cast("double") if not isinstance(
-        df.schema[order_by[0]].dataType, (T.TimestampType, T.TimestampNTZType)) else \
-        F.unix_micros(q(order_by[0]).cast("timestamp")).cast("double")
-    st = df.agg(F.min(k).alias("lo"), F.max(k).alias("hi"), F.count(F.lit(1)).alias("n")).first()
-    if st["n"] == 0:
-        return df
-    nblocks = max(1, -(-st["n"] // rows_per_block))
-    span = (st["hi"] - st["lo"]) or 1.0
-    blk = F.coalesce(F.least(F.floor((k - F.lit(st["lo"])) * F.lit(float(nblocks)) / F.lit(span))
-                             .cast("int"), F.lit(nblocks - 1)), F.lit(-1))
-    b = df.withColumn("_blk", blk)
+    # ranges over all order columns, of whatever types; written once, so both
+    # uses below see the same blocks
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    b = materialize(df.repartitionByRange(n, *ow).withColumn("_blk", F.spark_partition_id()), "fill-blocks")
     w = Window.partitionBy("_blk").orderBy(*ow).rowsBetween(Window.unboundedPreceding, 0)
     inside = b.withColumns({c: F.last(q(c), ignorenulls=True).over(w) for c in cols})
     order_struct = F.struct(*ow)
@@ -179,8 +173,15 @@ def forward_fill(df: DataFrame, cols: list[str], order_by: Sequence[str],
 
 def drop_missing(df: DataFrame, how: str = "any", subset: Sequence[str] | None = None,
                  thresh: int | None = None) -> DataFrame:
-    """B16 rows: ``dropna(how, subset, thresh)``."""
-    return df.na.drop(how=how, thresh=thresh, subset=list(subset) if subset else None)
+    """B16 rows: ``dropna(how, subset, thresh)``; column names may hold dots."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    cols = list(subset) if subset else list(df.columns)
+    if not cols:
+        return df
+    there = [(q(c).isNotNull() & ~F.isnan(q(c)) if isinstance(types[c], (T.FloatType, T.DoubleType))
+              else q(c).isNotNull()).cast("int") for c in cols]
+    least = thresh if thresh is not None else (len(cols) if how == "any" else 1)
+    return df.where(reduce(lambda a, b: a + b, there) >= least)
 
 
 def drop_sparse_columns(df: DataFrame, max_missing_share: float = 0.5) -> DataFrame:

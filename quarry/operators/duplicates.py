@@ -12,10 +12,18 @@ from pyspark.sql import types as T
 from quarry.functions.kinds import q
 
 
-def _row_hash(cols):
-    # two independent hashes (64 + 32 bits) of the whole row
-    return F.struct(F.xxhash64(*[q(c) for c in cols]).alias("h1"),
-                    F.hash(*[q(c) for c in cols]).alias("h2"))
+def _holds_map(dt: T.DataType) -> bool:
+    if isinstance(dt, T.StructType):
+        return any(_holds_map(f.dataType) for f in dt.fields)
+    return isinstance(dt, T.MapType) or isinstance(dt, T.ArrayType) and _holds_map(dt.elementType)
+
+
+def _row_hash(df: DataFrame, cols: list[str]):
+    """Two independent hashes (64 + 32 bits) of the row's columns.  Spark hashes no maps: a column with
+    one inside contributes whether it is null, which only adds candidates for the exact grouping."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    vals = [q(c).isNull() if _holds_map(types[c]) else q(c) for c in cols]
+    return F.struct(F.xxhash64(*vals).alias("h1"), F.hash(*vals).alias("h2"))
 
 
 _FIXED = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
@@ -36,7 +44,7 @@ def _candidates(df: DataFrame, cols: list[str]) -> DataFrame:
     the exact grouping on the full columns that follows removes them."""
     if not _wide(df, cols):
         return df
-    hashed = df.withColumn("_rh", _row_hash(cols))
+    hashed = df.withColumn("_rh", _row_hash(df, cols))
     repeated = hashed.groupBy("_rh").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_rh")
     return hashed.join(repeated, "_rh", "left_semi").drop("_rh")
 

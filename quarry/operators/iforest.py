@@ -190,10 +190,6 @@ def isolation_scores(df: DataFrame, key: Sequence[str], cols: Sequence[str] | No
             out["score"] = np.power(2.0, -h / c_psi)
             yield out
 
-    # Python scoring is CPU-bound: give it every core when the scan yields
-    # fewer partitions than the cluster runs at once (never the case at scale)
-    if X.rdd.getNumPartitions() < par:
-        X = X.repartition(par)
     return X.mapInPandas(score, ", ".join(key_schema + ["score double"]))
 
 

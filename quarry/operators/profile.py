@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from quarry.functions.kinds import (as_double, categorical_columns, is_numeric,
                                     numeric_columns, pandas_dtype_name, q,
                                     timestamp_columns)
-from quarry.functions.wide import long_agg
+from quarry.functions.wide import long_agg, unpivot
 
 
 def _meta_frame(df: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
@@ -110,7 +110,7 @@ def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None,
     (linear interpolation), max; one row per numeric column.
 
     ``exact`` finds the quartiles by distributed selection (bounded memory,
-    two or three extra scans); ``approx`` uses a bounded sketch in the same
+    a few scans for all columns together); ``approx`` uses a bounded sketch in the same
     scan as the moments; ``spark`` uses Spark's exact ``percentile`` (one
     scan, but a per-value map merged in one task)."""
     types = {f.name: f.dataType for f in df.schema.fields}
@@ -151,8 +151,8 @@ def describe_datetime(df: DataFrame, cols: Sequence[str] | None = None,
                     back(F.col("max")).alias("max"))
 
 
-def numeric_summary(df: DataFrame, n_cols: int = 12) -> DataFrame:
-    """C11: min, max, mean of the first ``n_cols`` numeric columns."""
+def numeric_summary(df: DataFrame, n_cols: int | None = None) -> DataFrame:
+    """C11: min, max, mean of the numeric columns (of the first ``n_cols`` if given)."""
     types = {f.name: f.dataType for f in df.schema.fields}
     cols = numeric_columns(df)[:n_cols]
 
@@ -174,18 +174,16 @@ def _as_text(name: str, dt: T.DataType):
 
 
 def _counts_with_nulls(df: DataFrame, cols: Sequence[str] | None) -> DataFrame:
-    """(ord, column_name, value, count) including the null group: one
-    aggregate per column (columnar scan of that column; map-side partial
-    aggregation absorbs hot values), stacked with ``unionByName``."""
+    """(ord, column_name, value, count) including the null group: the columns
+    are unpivoted to text in one scan and counted in one hash aggregate;
+    map-side partial aggregation absorbs hot values."""
     types = {f.name: f.dataType for f in df.schema.fields}
-    cols = list(cols or categorical_columns(df))
-    parts = [df.groupBy(_as_text(c, types[c]).alias("value")).agg(F.count(F.lit(1)).alias("count"))
-             .select(F.lit(i).alias("ord"), F.lit(c).alias("column_name"), "value", "count")
-             for i, c in enumerate(cols)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    cols = list(categorical_columns(df) if cols is None else cols)
+    if not cols:
+        return df.sparkSession.createDataFrame([], "ord int, column_name string, value string, count bigint")
+    counts = unpivot(df, [_as_text(c, types[c]) for c in cols]).groupBy("ord", "x").agg(F.count(F.lit(1)).alias("count"))
+    names = F.array(*[F.lit(c) for c in cols])
+    return counts.select("ord", F.get(names, F.col("ord")).alias("column_name"), F.col("x").alias("value"), "count")
 
 
 def value_counts(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -219,8 +217,8 @@ def top_values(df: DataFrame, k: int = 5, cols: Sequence[str] | None = None) ->
                     F.greatest(F.col("n_values") - k, F.lit(0)).alias("remaining")))
 
 
-def top_category(df: DataFrame, n_cols: int = 12) -> DataFrame:
-    """Mode of the first ``n_cols`` categorical columns (smallest value
+def top_category(df: DataFrame, n_cols: int | None = None) -> DataFrame:
+    """Mode of the categorical columns (of the first ``n_cols`` if given; smallest value
     wins ties, as pandas ``mode()`` is sorted) and its count."""
     cols = categorical_columns(df)[:n_cols]
     t = top_values(df, 1, cols)

@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 
 from quarry.functions.kinds import q
 
-MAX_DUMMY_CATEGORIES = 1000
-
 
 def merge(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner",
           suffixes: tuple[str, str] = ("_x", "_y"), null_equal: bool = False) -> DataFrame:
@@ -22,31 +20,52 @@ def merge(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inne
     null-safe equality (still an equi-join for the planner)."""
     on = list(on)
     overlap = (set(left.columns) & set(right.columns)) - set(on)
-    lsel = [q(c).alias(c + suffixes[0]) if c in overlap else q(c) for c in left.columns]
+    lsel = [q(c).alias(f"_lk{i}") for i, c in enumerate(on)] + [
+        q(c).alias(c + suffixes[0]) if c in overlap else q(c) for c in left.columns if c not in on]
     rsel = [q(c).alias(f"_rk{i}") for i, c in enumerate(on)] + [
         q(c).alias(c + suffixes[1]) if c in overlap else q(c)
         for c in right.columns if c not in on]
     l2, r2 = left.select(*lsel), right.select(*rsel)
     eq = (lambda a, b: a.eqNullSafe(b)) if null_equal else (lambda a, b: a == b)
-    cond = reduce(lambda a, b: a & b, [eq(l2[c], r2[f"_rk{i}"]) for i, c in enumerate(on)])
+    cond = reduce(lambda a, b: a & b, [eq(F.col(f"_lk{i}"), F.col(f"_rk{i}")) for i in range(len(on))])
     joined = l2.join(r2, cond, how)
-    keys = [F.coalesce(q(c), F.col(f"_rk{i}")).alias(c) if how in ("right", "outer", "full")
-            else q(c) for i, c in enumerate(on)]
-    rest = [c for c in joined.columns if c not in on and not c.startswith("_rk")]
-    return joined.select(*keys, *[q(c) for c in rest])
+    keys = {c: (F.coalesce(f"_lk{i}", f"_rk{i}") if how in ("right", "outer", "full") else F.col(f"_lk{i}")).alias(c)
+            for i, c in enumerate(on)}
+    rest = [c for c in joined.columns if not c.startswith(("_lk", "_rk"))]
+    return joined.select(*[keys[c] for c in on], *[q(c) for c in rest])
 
 
 def band_join(left: DataFrame, right: DataFrame, lcol: str, rcol: str, width: float,
               how: str = "inner") -> DataFrame:
     """G4 theta join ``|l - r| <= width`` without a nested loop: both sides
-    are bucketed by ``floor(x / width)``; each left row probes its own and
-    the two neighbouring buckets with an equi-join, then the exact band
-    predicate filters.  Work grows with matching pairs, not |L| x |R|."""
-    lb = left.withColumn("_b", F.explode(F.array(
-        *[F.floor(q(lcol) / F.lit(width)) + F.lit(d) for d in (-1, 0, 1)])))
-    rb = right.withColumn("_b", F.floor(q(rcol) / F.lit(width)))
-    cond = (lb["_b"] == rb["_b"]) & (F.abs(lb[lcol] - rb[rcol]) <= F.lit(width))
-    return lb.join(rb, cond, how).drop("_b")
+    are bucketed by ``floor(x / width)`` and one of them also stands in the
+    two neighbouring buckets, so an equi-join on the bucket sees every pair
+    once; the exact band predicate filters.  The side whose unmatched rows
+    are kept is never the multiplied one; a full join adds the unmatched
+    right rows to the left join.  Work grows with matching pairs, not
+    |L| x |R|."""
+    def bucket(df: DataFrame, col: str, name: str, spread: bool) -> DataFrame:
+        b = F.floor(q(col) / F.lit(width))
+        return df.withColumn(name, F.explode(F.array(b - 1, b, b + 1)) if spread else b)
+
+    def joined(kind: str, spread_left: bool) -> DataFrame:
+        lb = bucket(left, lcol, "_lb", spread_left).withColumn("_lx", q(lcol))
+        rb = bucket(right, rcol, "_rb", not spread_left).withColumn("_rx", q(rcol))
+        cond = (F.col("_lb") == F.col("_rb")) & (F.abs(F.col("_lx") - F.col("_rx")) <= F.lit(width))
+        if kind == "right_anti":
+            return rb.join(lb, cond, "left_anti").drop("_rb", "_rx")
+        return lb.join(rb, cond, kind).drop("_lb", "_rb", "_lx", "_rx")
+
+    kind = how.lower().replace("_", "").removesuffix("outer") or "full"
+    if kind in ("inner", "left", "leftsemi", "semi", "leftanti", "anti"):
+        return joined(how, spread_left=False)
+    if kind == "right":
+        return joined("right", spread_left=True)
+    if kind == "full":
+        alone = joined("right_anti", spread_left=True)
+        nulls = [F.lit(None).cast(f.dataType).alias(f.name) for f in left.schema.fields]
+        return joined("left", spread_left=False).union(alone.select(*nulls, *[q(c) for c in right.columns]))
+    raise ValueError(how)
 
 
 def concat_tables(dfs: Sequence[DataFrame]) -> DataFrame:
@@ -72,24 +91,32 @@ def melt(df: DataFrame, id_vars: Sequence[str], value_vars: Sequence[str] | None
     return df.unpivot(list(id_vars), value_vars, var_name, value_name)
 
 
-def get_dummies(df: DataFrame, cols: Sequence[str], max_categories: int = MAX_DUMMY_CATEGORIES,
+def get_dummies(df: DataFrame, cols: Sequence[str], categories: dict[str, Sequence[str]] | None = None,
                 prefix_sep: str = "_") -> DataFrame:
     """G16 ``get_dummies``: one 0/1 column per category (sorted), original
-    column dropped.  The category list comes from one distinct aggregate
-    whose size is checked before it is used (a wide schema is a driver
-    object)."""
+    column dropped.  ``categories`` names a column's categories; where it
+    doesn't, one distinct aggregate finds them - the list is as wide as the
+    result's schema, which is a driver object anyway.  For columns with very
+    many categories use ``dummies_long``."""
     out = df
     for c in cols:
-        cats = (df.select(q(c).cast("string").alias("v")).where("v IS NOT NULL").distinct()
-                .limit(max_categories + 1).collect())
-        if len(cats) > max_categories:
-            raise ValueError(f"{c}: more than {max_categories} categories")
-        vals = sorted(r["v"] for r in cats)
+        vals = (categories or {}).get(c)
+        if vals is None:
+            found = df.select(q(c).cast("string").alias("v")).where("v IS NOT NULL").distinct().collect()
+            vals = sorted(r["v"] for r in found)
         out = out.withColumns({f"{c}{prefix_sep}{v}": (q(c).cast("string") == F.lit(v)).cast("int")
                                for v in vals}).drop(c)
     return out
 
 
+def dummies_long(df: DataFrame, key: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """G16 in long form: (key, column_name, category) of every cell that is 1,
+    for any number of categories and without a job of its own."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), q(c).cast("string").alias("category")) for c in cols])
+    long = df.select(*[q(k) for k in key], F.inline(pairs))
+    return long.where(F.col("category").isNotNull())
+
+
 def unique_sorted(df: DataFrame, col: str) -> DataFrame:
     """G7 ``np.unique``: distinct non-null values, sorted."""
     return df.select(q(col)).where(q(col).isNotNull()).distinct().orderBy(q(col))

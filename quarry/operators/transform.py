@@ -7,29 +7,28 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _tagged_count(df: DataFrame, tag: str) -> DataFrame:
-    return df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(tag).alias("tag"), "n")
+from quarry.functions.kinds import q
 
 
 def table_diff(a: DataFrame, b: DataFrame) -> DataFrame:
     """Bag comparison -> one row (left_rows, right_rows, only_left,
-    only_right, equal).  ``exceptAll`` counts copies through an aggregate,
-    so repeated rows cost one row per task before the shuffle.  Tables with
+    only_right, equal).  The rows of both tables are counted with opposite
+    signs in one aggregate, which combines copies map-side.  Tables with
     different schemas are simply not equal."""
     same_schema = a.columns == b.columns and \
         [f.dataType for f in a.schema.fields] == [f.dataType for f in b.schema.fields]
-    parts = [_tagged_count(a, "a"), _tagged_count(b, "b")]
+    one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    names = [f"c{i}" for i in range(len(a.columns))] if same_schema else []
+    left = a.select(*[q(c).alias(n) for n, c in zip(names, a.columns, strict=False)], one.alias("_l"), zero.alias("_r"))
+    right = b.select(*[q(c).alias(n) for n, c in zip(names, b.columns, strict=False)], zero.alias("_l"), one.alias("_r"))
+    both = left.union(right)
     if same_schema:
-        parts += [_tagged_count(a.exceptAll(b), "l"), _tagged_count(b.exceptAll(a), "r")]
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-
-    def pick(t):
-        return F.sum(F.when(F.col("tag") == t, F.col("n")))
-    out = u.agg(pick("a").alias("left_rows"), pick("b").alias("right_rows"),
-                pick("l").alias("only_left"), pick("r").alias("only_right"))
+        both = both.groupBy(*names).agg(F.sum("_l").alias("_l"), F.sum("_r").alias("_r"))
+    total = lambda x: F.coalesce(F.sum(x), zero)
+    unknown = F.lit(None).cast("bigint")
+    over = lambda x, y: total(F.greatest(F.col(x) - F.col(y), zero)) if same_schema else unknown
+    out = both.agg(total("_l").alias("left_rows"), total("_r").alias("right_rows"),
+                   over("_l", "_r").alias("only_left"), over("_r", "_l").alias("only_right"))
     equal = F.coalesce((F.col("only_left") == 0) & (F.col("only_right") == 0), F.lit(False))
     return out.select("left_rows", "right_rows", "only_left", "only_right", equal.alias("equal"))
 

@@ -1,7 +1,7 @@
 """B9 ``smart_clean`` as a re-usable, data-derived plan.
 
-``CleanPlan.fit(df)`` runs ONE job (one aggregate per column, stacked)
-that measures everything the decisions need: raw non-null counts (B1), post-token non-null and numeric
+``CleanPlan.fit(df)`` runs ONE job over ONE scan (all columns' counts are
+fields of one aggregate row) that measures everything the decisions need: raw non-null counts (B1), post-token non-null and numeric
 counts (B5), per-format parse counts for date-named columns (B6), and
 whether every value of a (converted) double is integral (B7).
 ``plan.apply(df)`` is a pure projection - no job - so it can be applied
@@ -19,9 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.kinds import q
-from quarry.session import spread_small_input
 from quarry.functions.parsing import (DATE_FORMATS, DATE_NAME_HINTS, integral, null_tokens,
-                                      strip, to_datetime, to_numeric)
+                                      strip, to_datetime, to_long, to_numeric)
 
 MAX_DISPLAY_COLS = 50
 
@@ -33,6 +32,7 @@ class CleanPlan:
     text_columns: list = field(default_factory=list)
     numeric_from_text: list = field(default_factory=list)
     date_formats: dict = field(default_factory=dict)
+    long_from_text: list = field(default_factory=list)
     narrowed: list = field(default_factory=list)
     columns: list = field(default_factory=list)
     max_display_cols: int = MAX_DISPLAY_COLS
@@ -56,72 +56,57 @@ class CleanPlan:
             return strip(v) if trim_whitespace else v
 
         idx = {f.name: i for i, f in enumerate(fields)}
-        # one aggregate per column (a columnar scan of that column), stacked
-        # in long form: raw non-null count; for text the post-token count,
-        # numeric count, all-integral flag and per-format date counts; for
-        # doubles the all-integral flag.  One job, columns run side by side.
-        nd = len(DATE_FORMATS)
-        df = spread_small_input(df)      # branches share one (reused) exchange
-        parts = []
+        # one aggregate row over one scan: per column the raw non-null count;
+        # for text the post-token, numeric and long counts, whether all numbers
+        # are whole, and per-format date counts; for doubles whether all are whole
+        zero = F.lit(0).cast("bigint")
+        stats = []
         for f in fields:
-            i, c = idx[f.name], f.name
+            c, i = f.name, idx[f.name]
+            tokens = num = long = zero
+            whole, dates = F.lit(True), F.array().cast("array<bigint>")
             if c in text:
-                t = F.col("_t")
-                num = to_numeric(t)
-                dates = (F.array(*[F.count(to_datetime(t, fmt)) for fmt in DATE_FORMATS])
-                         if c in dated else F.array(*[F.lit(0).cast("bigint")] * nd))
-                part = df.select(q(c).alias("_r"), tok(c).alias("_t")).agg(
-                    F.count("_r").alias("raw"), F.count("_t").alias("tok"), F.count(num).alias("num"),
-                    F.bool_and(F.coalesce(integral(num), F.lit(True))).alias("intok"),
-                    dates.alias("dates"))
+                t = F.col(f"t{i}")
+                n = F.col(f"n{i}")
+                tokens, num, long = F.count(t), F.count(n), F.count(to_long(t))
+                whole = F.bool_and(F.coalesce(integral(n), F.lit(True)))
+                if c in dated:
+                    dates = F.array(*[F.count(to_datetime(t, fmt)) for fmt in DATE_FORMATS])
             elif c in doubles:
                 x = F.when(~F.isnan(q(c)), q(c))
-                part = df.agg(F.count(q(c)).alias("raw"), F.lit(0).cast("bigint").alias("tok"),
-                              F.lit(0).cast("bigint").alias("num"),
-                              F.bool_and(F.coalesce(integral(x), F.lit(True))).alias("intok"),
-                              F.array(*[F.lit(0).cast("bigint")] * nd).alias("dates"))
-            else:
-                part = df.agg(F.count(q(c)).alias("raw"), F.lit(0).cast("bigint").alias("tok"),
-                              F.lit(0).cast("bigint").alias("num"), F.lit(True).alias("intok"),
-                              F.array(*[F.lit(0).cast("bigint")] * nd).alias("dates"))
-            parts.append(part.select(F.lit(i).alias("i"), "*"))
-        union = parts[0]
-        for p in parts[1:]:
-            union = union.unionByName(p)
-        got = {r["i"]: r for r in union.collect()}          # one row per column
-        row = {}
-        for c, i in idx.items():
-            r = got[i]
-            row[f"raw{i}"], row[f"tok{i}"], row[f"num{i}"], row[f"int{i}"] = \
-                r["raw"], r["tok"], r["num"], r["intok"]
-            for k in range(nd):
-                row[f"d{i}_{k}"] = r["dates"][k]
+                whole = F.bool_and(F.coalesce(integral(x), F.lit(True)))
+            stats.append(F.struct(F.count(q(c)).alias("raw"), tokens.alias("tok"), num.alias("num"), long.alias("long"),
+                                  whole.alias("whole"), dates.alias("dates")).alias(f"s{i}"))
+        cells = df.withColumns({f"t{idx[c]}": tok(c) for c in text}) if text else df
+        cells = cells.withColumns({f"n{idx[c]}": to_numeric(F.col(f"t{idx[c]}")) for c in text}) if text else cells
+        got = cells.agg(*stats).first()
+        row = {c: got[f"s{i}"] for c, i in idx.items()}
 
         plan = cls(max_display_cols=max_display_cols)
-        plan.dropped_all_null = [f.name for f in fields if row[f"raw{idx[f.name]}"] == 0]
+        plan.dropped_all_null = [f.name for f in fields if row[f.name]["raw"] == 0]
         plan.dropped_unnamed = [c for c in unnamed if c not in plan.dropped_all_null]
         gone = set(plan.dropped_all_null) | set(plan.dropped_unnamed)
         kept = [f.name for f in fields if f.name not in gone]
         plan.text_columns = [c for c in text if c not in gone]
         for c in plan.text_columns:
-            i = idx[c]
-            non_null = row[f"tok{i}"]
-            if detect_types and non_null > 0 and row[f"num{i}"] / non_null > numeric_share:
+            r = row[c]
+            if detect_types and r["tok"] > 0 and r["num"] / r["tok"] > numeric_share:
                 plan.numeric_from_text.append(c)
-                if narrow and row[f"int{i}"] and row[f"num{i}"] > 0:
+                if narrow and r["num"] > 0 and r["long"] == r["num"]:
+                    plan.long_from_text.append(c)
+                elif narrow and r["whole"] and r["num"] > 0:
                     plan.narrowed.append(c)
         for c in dated:
             if c in gone or c in plan.numeric_from_text or not (detect_types and parse_dates):
                 continue
-            i = idx[c]
-            counts = [row[f"d{i}_{k}"] for k in range(len(DATE_FORMATS))]
+            counts = row[c]["dates"]
             best = max(range(len(counts)), key=lambda k: (counts[k], -k))
-            non_null = row[f"tok{i}"]
-            if non_null > 0 and counts[best] / non_null >= min_parse_ratio:
+            non_null = row[c]["tok"]
+            # a column of which no cell parses is no date column and stays text
+            if counts[best] > 0 and counts[best] / non_null >= min_parse_ratio:
                 plan.date_formats[c] = DATE_FORMATS[best]
         for c in doubles:
-            if (c not in gone and row[f"int{idx[c]}"] and row[f"raw{idx[c]}"] > 0
-                    and detect_types and narrow):
+            if c not in gone and row[c]["whole"] and row[c]["raw"] > 0 and detect_types and narrow:
                 plan.narrowed.append(c)
         plan.columns = kept
         return plan
@@ -135,20 +120,22 @@ class CleanPlan:
                 e = null_tokens(e)
                 if trim_whitespace:
                     e = strip(e)
-                if c in self.numeric_from_text:
+                if c in self.long_from_text:
+                    e = to_long(e)
+                elif c in self.numeric_from_text:
                     e = to_numeric(e)
                 elif c in self.date_formats:
                     e = to_datetime(e, self.date_formats[c])
             if c in self.narrowed:
                 e = e.cast("double")
-                e = F.when(~F.isnan(e), e).cast("bigint")
+                # a later batch's fraction has no place in a whole-number column: null, never truncated
+                e = F.when(integral(e), e.cast("bigint"))
             out.append(e.alias(c))
         return out
 
     def apply(self, df: DataFrame) -> DataFrame:
-        """Full cleaned table (lazy).  The per-cell parsing is CPU work, so a
-        small input is first spread over all cores (no-op at scale)."""
-        return spread_small_input(df).select(*self.expressions())
+        """Full cleaned table (lazy)."""
+        return df.select(*self.expressions())
 
     def display(self, df: DataFrame) -> DataFrame:
         """The first ``max_display_cols`` columns of the cleaned table."""

@@ -8,18 +8,21 @@ texts are returned as DataFrames again.
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from quarry.functions import chat_rules as CR
-from quarry.functions.kinds import categorical_columns, numeric_columns
+from quarry.functions.kinds import categorical_columns, numeric_columns, q
 from quarry.operators import profile as P
 from quarry.operators.chat import domain_of
+from quarry.operators.clean import drop_missing
 from quarry.operators.correlate import correlation_highlights
 from quarry.operators.duplicates import duplicate_count
 from quarry.operators.outliers import outliers_iqr
+from quarry.session import materialize
 
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
@@ -88,11 +91,13 @@ def _py(v, dt) -> str:
     return str(float(v))
 
 
-def auto_insights(df: DataFrame, filename: str, sample_rows: int | None = None) -> DataFrame:
+def auto_insights(df: DataFrame, filename: str, sample_rows: int | None = None,
+                  max_cols: int | None = None) -> DataFrame:
     """C17: (ord, text) in the reference's order: file, shape, missing,
     domain hints, top correlations, top categories, numeric summaries,
     IQR outlier total, duplicates.  Correlations use every complete row
-    unless ``sample_rows`` is given."""
+    unless ``sample_rows`` is given; the column lists are whole unless
+    ``max_cols`` cuts them."""
     types = {fl.name: fl.dataType for fl in df.schema.fields}
     f = _facts(df)
     out = [f"File: {filename}", f"Shape: {f['rows']} rows x {f['columns']} columns",
@@ -107,17 +112,17 @@ def auto_insights(df: DataFrame, filename: str, sample_rows: int | None = None)
         src = df
         if sample_rows:
             from quarry.operators.charts import sample_rows as _sample
-            src = _sample(df.na.drop(subset=num), sample_rows, df.columns, seed=42)
+            src = _sample(drop_missing(df, subset=num), sample_rows, df.columns, seed=42)
         for r in correlation_highlights(src, 5, True, num).collect():
             out.append(f"Corr: {r['a']} <-> {r['b']} (|r|={r['abs_r']:.2f})")
     if cat:
-        tops = {r["ord"]: r for r in P.top_values(df, 1, cat[:12]).collect()}
-        for i, c in enumerate(cat[:12]):
+        tops = {r["ord"]: r for r in P.top_values(df, 1, cat[:max_cols]).collect()}
+        for i, c in enumerate(cat[:max_cols]):
             if i in tops:
                 out.append(f"Top in {c}: {tops[i]['value']} ({tops[i]['count']})")
     if num:
-        summ = {r["column_name"]: r for r in P.numeric_summary(df, 12).collect()}
-        for c in num[:12]:
+        summ = {r["column_name"]: r for r in P.numeric_summary(df, max_cols).collect()}
+        for c in num[:max_cols]:
             r = summ.get(c)
             if r is not None and r["count"]:
                 out.append(f"Stats {c}: Min={_py(r['min'], types[c])}, "
@@ -135,44 +140,50 @@ def dataset_context(df: DataFrame, filename: str, order_by, overrides: dict | No
                     sample_n: int = 3) -> DataFrame:
     """One struct row with names, kinds, missing counts, ``sample_n``
     sample rows (as text maps), describe statistics and domain; caller keys
-    in ``overrides`` win."""
+    in ``overrides`` win, and keys that are not in the context come back in
+    the map ``extra`` (non-text values as JSON)."""
     f = _facts(df)
     desc = {r["column_name"]: {k: r[k] for k in ("count", "mean", "std", "min", "p25", "p50", "p75", "max")}
             for r in P.describe_numeric(df).collect()}
     sample = [{k: (None if v is None else str(v)) for k, v in r.asDict().items()}
-              for r in df.orderBy(*order_by).limit(sample_n).collect()]
+              for r in df.orderBy(*[q(c) for c in order_by]).limit(sample_n).collect()]
     ctx = {"filename": filename, "shape": {"rows": f["rows"], "columns": f["columns"]},
            "columns": df.columns, "numerical_columns": f["numeric"],
            "categorical_columns": f["categorical"], "missing_values": f["missing"],
            "sample_data": sample, "basic_stats": desc, "domain": domain_of(df.columns)}
-    ctx.update(overrides or {})
+    own = {k: v for k, v in (overrides or {}).items() if k in ctx}
+    extra = {k: v if isinstance(v, str) or v is None else json.dumps(v, default=str)
+             for k, v in (overrides or {}).items() if k not in ctx}
+    ctx.update(own)
     schema = ("filename string, shape struct<rows: bigint, columns: bigint>, columns array<string>, "
               "numerical_columns array<string>, categorical_columns array<string>, "
               "missing_values map<string,bigint>, sample_data array<map<string,string>>, "
-              "basic_stats map<string,map<string,double>>, domain string")
+              "basic_stats map<string,map<string,double>>, domain string, extra map<string,string>")
     stats = {c: {k: (None if v is None else float(v)) for k, v in s.items()} for c, s in ctx["basic_stats"].items()}
     row = (ctx["filename"], (ctx["shape"]["rows"], ctx["shape"]["columns"]), ctx["columns"],
            ctx["numerical_columns"], ctx["categorical_columns"], ctx["missing_values"],
-           ctx["sample_data"], stats, ctx["domain"])
+           ctx["sample_data"], stats, ctx["domain"], extra)
     return df.sparkSession.createDataFrame([row], schema)
 
 
-def profile_report(df: DataFrame, filename: str, order_by, top_k: int = 5) -> DataFrame:
-    """The reference's profile response as one row.  Value counts are
-    limited to the ``top_k`` values per column (the reference returns every
-    value); the full counts stay available as ``value_counts``."""
+def profile_report(df: DataFrame, filename: str, order_by, top_k: int | None = None) -> DataFrame:
+    """The reference's profile response as one row.  The report holds
+    every value's count, as the reference's does; for columns with very many
+    values, pass ``top_k`` or take ``value_counts`` as a DataFrame.  The
+    table is materialised once, so the sections don't redo its cleaning."""
+    df = materialize(df, "profiled")
     f = _facts(df)
     iqr = {r["column_name"]: r["outliers"] for r in outliers_iqr(df).collect()}
     from quarry.operators.outliers import outliers_zscore
     z = {r["column_name"]: r["outliers"] for r in outliers_zscore(df).collect()}
     tops = {}
-    for r in P.top_values(df, top_k).collect():
+    for r in (P.value_counts(df) if top_k is None else P.top_values(df, top_k)).collect():
         tops.setdefault(r["column_name"], {})[r["value"]] = r["count"]
     stats = {r["column_name"]: {k: (None if r[k] is None else float(r[k]))
                                 for k in ("count", "mean", "std", "min", "p25", "p50", "p75", "max")}
              for r in P.describe_numeric(df).collect()}
     head = [{k: (None if v is None else str(v)) for k, v in r.asDict().items()}
-            for r in df.orderBy(*order_by).limit(5).collect()]
+            for r in df.orderBy(*[q(c) for c in order_by]).limit(5).collect()]
     insights = [r["text"] for r in auto_insights(df, filename).orderBy("ord").collect()]
     dups = duplicate_count(df).first()["duplicates"]
     schema = ("filename string, shape struct<rows: bigint, columns: bigint>, columns array<string>, "

@@ -22,8 +22,8 @@ def _hist_sql(source: str, cols: list[str], fixed_bins: int | None) -> str:
             nb = f"CAST({fixed_bins} AS BIGINT)"
         else:
             is_int = "TRUE" if c in _INT_COLS else "FALSE"
-            nb = (f"CAST(greatest(1, least(1000, ceil((mx - mn) / CASE WHEN {is_int} AND w0 < 1 "
-                  f"THEN 1.0 ELSE w0 END))) AS BIGINT)")
+            nb = (f"CAST(greatest(1, ceil((mx - mn) / CASE WHEN {is_int} AND w0 < 1 "
+                  f"THEN 1.0 ELSE w0 END)) AS BIGINT)")
         parts.append(f"""SELECT * FROM (
 WITH s AS (SELECT count({x}) AS n, min({x}) AS mn, max({x}) AS mx,
                   quantile_cont({x}, 0.25) AS q1, quantile_cont({x}, 0.75) AS q3 FROM {source}),
@@ -31,16 +31,16 @@ w AS (SELECT *, CASE WHEN fd > 0 THEN least(fd, st) ELSE st END AS w0 FROM (
         SELECT *, (mx - mn) / (log2(n) + 1.0) AS st, 2.0 * (q3 - q1) * pow(n, -1.0 / 3.0) AS fd
         FROM s) z),
 p AS (SELECT mn, mx, CASE WHEN mx = mn THEN CAST(1 AS BIGINT) ELSE {nb} END AS nb FROM w WHERE n > 0),
-bins AS (SELECT p.*, CAST(r.range AS INTEGER) AS bin FROM p, range(p.nb) r),
+bins AS (SELECT p.*, r.range AS bin FROM p, range(p.nb) r),
 cnt AS (SELECT CAST(CASE WHEN p.mx = p.mn THEN 0 ELSE
-          least(floor(({x} - p.mn) * p.nb / (p.mx - p.mn)), p.nb - 1) END AS INTEGER) AS bin,
+          least(floor(({x} - p.mn) * p.nb / (p.mx - p.mn)), p.nb - 1) END AS BIGINT) AS bin,
           count(*) AS c FROM {source}, p WHERE {x} IS NOT NULL GROUP BY 1)
 SELECT {i} AS ord, {lit(c)} AS column_name, bins.bin,
   round(CASE WHEN mx = mn THEN mn - 0.5 ELSE mn + bins.bin * ((mx - mn) / nb) END, 6) AS lo,
   round(CASE WHEN mx = mn THEN mx + 0.5 WHEN bins.bin = nb - 1 THEN mx
              ELSE mn + (bins.bin + 1) * ((mx - mn) / nb) END, 6) AS hi,
   CAST(coalesce(cnt.c, 0) AS BIGINT) AS count
-FROM bins LEFT JOIN cnt ON bins.bin = cnt.bin) t{i}""")
+FROM bins {"LEFT JOIN" if fixed_bins else "JOIN"} cnt ON bins.bin = cnt.bin) t{i}""")
     return union_all(parts)
 
 

@@ -41,8 +41,9 @@ def get_session(master: str | None = None, app: str = "quarry",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
-    The cluster names it in ``spark.checkpoint.dir``; we only pick our own
-    folder when the setting is absent (local tests).
+    The cluster names it in ``spark.checkpoint.dir``; an own folder is only
+    picked for a single-machine master (tests).  Elsewhere a missing setting
+    is an error, because other machines could not read a local folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -51,6 +52,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         configured = tempfile.mkdtemp(prefix="quarry-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
@@ -66,12 +69,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint into the shared folder (survives executor loss)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
-
-
 _SHIPPED: set = set()
 
 
@@ -108,15 +105,3 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
-
-
-def spread_small_input(df: DataFrame) -> DataFrame:
-    """Round-robin small inputs over all cores before CPU-heavy row work.
-
-    Only when the plan yields fewer partitions than the cluster runs at once
-    (a small file, or a single parquet row group); large inputs are returned
-    unchanged, so no shuffle is ever added at scale."""
-    if df.isStreaming:
-        return df
-    par = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(par) if df.rdd.getNumPartitions() < par else df

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,16 +35,27 @@ def _is_record_list(dt: T.DataType) -> bool:
 
 
 def records_from_json(df: DataFrame) -> DataFrame:
-    """A4 on an already-read JSON DataFrame: if the first envelope key that
-    holds a list of objects exists, explode it; otherwise each object is a
-    record.  Then flatten (A5)."""
+    """A4 on an already-read JSON DataFrame.  Each document decides for
+    itself: if the first envelope key under which it holds a list holds
+    objects, these are its records; otherwise the document is a record.
+    Then flatten (A5).  One small aggregate counts which kinds occur, so
+    kinds that don't occur add no columns."""
     if "_corrupt_record" in df.columns and len(df.columns) == 1:
         raise ValueError("JSON payload is not an object or a list of objects")
     types = {f.name: f.dataType for f in df.schema.fields}
-    for key in ENVELOPE_KEYS:
-        if key in types and _is_record_list(types[key]):
-            return flatten_json(df.select(F.explode(F.col(key)).alias("_r")).select("_r.*"))
-    return flatten_json(df)
+    lists = [k for k in ENVELOPE_KEYS if isinstance(types.get(k), T.ArrayType)]
+    if not any(_is_record_list(types[k]) for k in lists):
+        return flatten_json(df)
+    first = F.coalesce(*[F.when(F.col(k).isNotNull(), F.lit(k)) for k in lists])
+    kind = F.when(first.isin([k for k in lists if _is_record_list(types[k])]), first).otherwise(F.lit(""))
+    tagged = df.withColumn("_kind", kind)
+    found = {r["_kind"] for r in tagged.groupBy("_kind").count().collect()}     # at most four kinds
+    parts = [flatten_json(tagged.where(F.col("_kind") == k).select(F.explode(F.col(k)).alias("_r")).select("_r.*"))
+             for k in lists if k in found]
+    if "" in found or not parts:
+        held = [k for k in lists if k in found]
+        parts.append(flatten_json(tagged.where(F.col("_kind") == "").drop("_kind", *held)))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def read_json_records(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:

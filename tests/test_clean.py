@@ -112,7 +112,7 @@ def test_forward_fill_blocks_match_pandas(spark):
     pdf = pd.DataFrame({"k": range(200), "v": [float(i) if i % 7 == 0 else None for i in range(200)]})
     pdf.loc[0, "v"] = None
     df = spark.createDataFrame(pdf)
-    got = CL.forward_fill(df, ["v"], ["k"], rows_per_block=16).orderBy("k").toPandas()
+    got = CL.forward_fill(df, ["v"], ["k"]).orderBy("k").toPandas()
     want = pdf.assign(v=pdf["v"].ffill())
     assert got["v"].isna().tolist() == want["v"].isna().tolist()
     assert got["v"].fillna(-1).tolist() == want["v"].fillna(-1).tolist()

@@ -6,9 +6,10 @@ from conftest import SF_SMALL
 from compare import canon, duck
 
 import __spark_entry__ as E
+from quarry import registry
 
-QUERIES = E.queries()
-ORACLE = E.oracle_sql()
+QUERIES = registry.queries()
+ORACLE = registry.oracle_sql()
 
 
 @pytest.fixture(scope="module")

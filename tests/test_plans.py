@@ -5,9 +5,9 @@ import pytest
 
 from conftest import SF_SMALL
 
-import __spark_entry__ as E
+from quarry import registry
 
-QUERIES = E.queries()
+QUERIES = registry.queries()
 # queries whose plans legitimately contain an Arrow Python node
 PYTHON_SITES = {"screen_code"}
 FORBIDDEN = ("BatchEvalPython", "CartesianProduct", "BroadcastNestedLoopJoin")

@@ -54,5 +54,5 @@ def test_hot_duplicate_group(spark):
 def test_forward_fill_hot_block(spark):
     rows = [(i, float(i) if i % 100 == 0 else None) for i in range(5000)]
     df = spark.createDataFrame(rows, "k long, v double")
-    got = {r["k"]: r["v"] for r in CL.forward_fill(df, ["v"], ["k"], rows_per_block=64).collect()}
+    got = {r["k"]: r["v"] for r in CL.forward_fill(df, ["v"], ["k"]).collect()}
     assert all(got[i] == float(i - i % 100) for i in range(5000))
