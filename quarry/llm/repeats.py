@@ -48,40 +48,28 @@ from quarry.session import materialize
 LENGTH = 50
 GRAM = 25
 REACH = LENGTH - GRAM
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 4 << 20
 LEAST_CHUNKS = 24
 HOT = 48
 U64 = np.uint64
 
 
-def gram_values(data: np.ndarray, k: int) -> np.ndarray:
-    """Hash of the k bytes from each place on."""
-    n = len(data) - k + 1
-    if n <= 0:
-        return np.zeros(0, U64)
-    total = np.zeros(len(data) + 1, U64)
-    np.cumsum(V.BYTE_KEYS[data] * V.powers(len(data)), out=total[1:])
-    return V.mix((total[k:] - total[:-k]) * V.powers(n + 1, "down")[:n])
-
-
-def anchors(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def anchors(spans: V.SpanHasher, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places, hashes and rows of the anchors of all windows within rows."""
-    h = gram_values(data, GRAM)
+    n = len(spans.total) - GRAM
     w = LENGTH - GRAM + 1
     none = np.zeros(0, np.int64)
-    if len(h) < w:
+    if n < w:
         return none, none.astype(U64), none
-    least = (h & U64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=U64)
+    h = V.mix((spans.total[GRAM:] - spans.total[:-GRAM]) * spans.down[:n])
+    least = (h & U64(0xFFFFFFFF00000000)) | np.arange(n, dtype=U64)
     size = 1
     while size < w:
         step = min(size, w - size)
         least = np.minimum(least[:-step], least[step:])
         size += step
-    start = np.arange(len(least))
-    inside = np.ones(len(least), bool)
     row_end = np.repeat(offs[1:], np.diff(offs))[:len(least)]
-    inside &= start + LENGTH <= row_end
-    at = (least[inside] & U64(0xFFFFFFFF)).astype(np.int64)
+    at = (least[np.arange(len(least)) + LENGTH <= row_end] & U64(0xFFFFFFFF)).astype(np.int64)
     if not len(at):
         return none, none.astype(U64), none
     at = np.unique(at[np.concatenate([[True], at[1:] != at[:-1]])])
@@ -138,15 +126,15 @@ def reaches(at: np.ndarray, row: np.ndarray, offs: np.ndarray) -> tuple[np.ndarr
     return np.minimum(at - offs[row], REACH), np.minimum(offs[row + 1] - at, LENGTH)
 
 
-def context_keys(data: np.ndarray, at: np.ndarray, gap: int, h: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+def context_keys(spans: V.SpanHasher, at: np.ndarray, gap: int, h: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Key of the bytes left of the anchor and behind its gram; ``gap`` is the distance from the anchor to
-    the latter (0 where the gram's bytes are left out of ``data``)."""
-    sides = V.span_hashes(data, at - left, at) + V.span_hashes(data, at + gap, at + gap + right - GRAM) * U64(0x9FB21C651E98DF25)
+    the latter (0 where the gram's bytes are left out)."""
+    sides = spans(at - left, at) + spans(at + gap, at + gap + right - GRAM) * U64(0x9FB21C651E98DF25)
     return V.mix(sides ^ V.mix(h) ^ (left * 64 + right).astype(U64))
 
 
-def window_keys(data: np.ndarray, start: np.ndarray, h: np.ndarray, reach: int) -> np.ndarray:
-    return V.mix(V.span_hashes(data, start, start + LENGTH) ^ V.mix(h + U64(reach + 1)))
+def window_keys(spans: V.SpanHasher, start: np.ndarray, h: np.ndarray, reach: int) -> np.ndarray:
+    return V.mix(spans(start, start + LENGTH) ^ V.mix(h + U64(reach + 1)))
 
 
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -198,7 +186,8 @@ def _send_anchors(table: pa.Table, extra: pa.Table, buckets: int) -> pa.Table:
         return ANCHORS.empty_table()
     hashes, docs = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
     for _, _, data, offs, ids, part, _ in Chunk(table, extra).runs():
-        at, h, row = anchors(data, offs)
+        spans = V.SpanHasher(data)
+        at, h, row = anchors(spans, offs)
         keep = part[row]
         k, _, lo, hi = distinct_with_docs(h[keep] & UPPER, ids[row[keep]])
         hashes += [k, k[lo != hi]]
@@ -242,7 +231,8 @@ def _send_contexts(docs: pa.Table, common: pa.Table, buckets: int) -> pa.Table:
     ctx: list[list[np.ndarray]] = []
     win: list[list[np.ndarray]] = []
     for _, _, data, offs, ids, part, _ in Chunk(docs, common).runs():
-        at, h, row = anchors(data, offs)
+        spans = V.SpanHasher(data)
+        at, h, row = anchors(spans, offs)
         where = np.minimum(np.searchsorted(known, h & UPPER), len(known) - 1)
         keep = part[row] & (known[where] == h & UPPER)
         at, h, row, is_hot = at[keep], h[keep], row[keep], hot[where[keep]]
@@ -250,11 +240,11 @@ def _send_contexts(docs: pa.Table, common: pa.Table, buckets: int) -> pa.Table:
         doc = ids[row]
         for reach in range(REACH + 1) if is_hot.any() else ():
             ok = is_hot & (left >= reach) & (right >= LENGTH - reach)
-            k, _, lo, hi = distinct_with_docs(window_keys(data, at[ok] - reach, h[ok], reach), doc[ok])
+            k, _, lo, hi = distinct_with_docs(window_keys(spans, at[ok] - reach, h[ok], reach), doc[ok])
             win.append([k, lo, hi])
         cool = ~is_hot
         at, h, left, right, doc = at[cool], h[cool], left[cool], right[cool], doc[cool]
-        k, i, lo, hi = distinct_with_docs(context_keys(data, at, GRAM, h, left, right), doc)
+        k, i, lo, hi = distinct_with_docs(context_keys(spans, at, GRAM, h, left, right), doc)
         at, h, left, right = at[i], h[i], left[i], right[i]
         padded = np.concatenate([np.zeros(REACH, np.uint8), data, np.zeros(LENGTH, np.uint8)])
         body = padded[at[:, None] + SIDES]
@@ -401,7 +391,7 @@ def _answer(table: pa.Table) -> pa.Table:
             body = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8) for x in part.column("body")])
             reach = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8) for x in part.column("reach")]).reshape(-1, 2)
             left, right = reach[:, 0].astype(np.int64), reach[:, 1].astype(np.int64)
-            keys = np.concatenate([context_keys(body[a * len(SIDES):b * len(SIDES)], np.arange(b - a) * len(SIDES) + REACH, 0,
+            keys = np.concatenate([context_keys(V.SpanHasher(body[a * len(SIDES):b * len(SIDES)]), np.arange(b - a) * len(SIDES) + REACH, 0,
                                                 h[a:b], left[a:b], right[a:b])
                                    for a, b in ((a, min(a + 20_000, len(h))) for a in range(0, len(h), 20_000))])
             i, lo, hi, first = repeat_groups(h, body.reshape(-1, len(SIDES)), reach, own, last)
@@ -445,12 +435,13 @@ def _cut(docs: pa.Table, answers: pa.Table) -> pa.Table:
     for lo, hi, data, offs, ids, part, copy in Chunk(docs, answers).runs():
         edge = np.zeros(len(data) + 1, np.int64)
         if len(keys):
-            at, h, row = anchors(data, offs)
+            spans = V.SpanHasher(data)
+            at, h, row = anchors(spans, offs)
             keep = part[row]
             at, h, row = at[keep], h[keep], row[keep]
             left, right = reaches(at, row, offs)
             if len(whole):
-                i, j = _matches(context_keys(data, at, GRAM, h, left, right), keys[whole])
+                i, j = _matches(context_keys(spans, at, GRAM, h, left, right), keys[whole])
                 j = whole[j]
                 late = ids[row[i]] > first[j]
                 i, j = i[late], j[late]
@@ -458,7 +449,7 @@ def _cut(docs: pa.Table, answers: pa.Table) -> pa.Table:
                 np.add.at(edge, at[i] - runs["lo"][j] + LENGTH, -1)
             for reach in range(REACH + 1) if len(single) else ():
                 ok = np.flatnonzero((left >= reach) & (right >= LENGTH - reach))
-                i, j = _matches(window_keys(data, at[ok] - reach, h[ok], reach), keys[single])
+                i, j = _matches(window_keys(spans, at[ok] - reach, h[ok], reach), keys[single])
                 i, j = ok[i], single[j]
                 i = i[ids[row[i]] > first[j]]
                 np.add.at(edge, at[i] - reach, 1)
@@ -503,7 +494,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """doc_id, n_bytes, spans (the maximal removed runs of bytes), kept (the bytes left) of every row."""
     src = pick(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("bigint"))
     n = parts_for(text_bytes(src), CHUNK_BYTES, LEAST_CHUNKS)
-    buckets = max(LEAST_CHUNKS, n // 2)
+    buckets = n
     th = F.xxhash64("text")
     rows = src.withColumn("chunk", F.pmod(F.xxhash64(F.coalesce("doc_id", th)), F.lit(n)).cast("int")).withColumn("th", th)
     chunks = rows.repartition(n, "chunk")

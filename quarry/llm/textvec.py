@@ -113,16 +113,28 @@ def line_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, ends, bounds
 
 
+class SpanHasher:
+    """64-bit hashes of spans of a run's bytes (A-Z folded if ``lower``), from prefix sums made once;
+    equal bytes give equal hashes wherever they stand."""
+
+    def __init__(self, data: np.ndarray, lower: bool = False):
+        n = len(data)
+        keyed = (LOWER_KEYS if lower else BYTE_KEYS)[data]
+        keyed *= powers(n)
+        self.total = np.zeros(n + 1, U64)
+        np.cumsum(keyed, out=self.total[1:])
+        self.down = powers(n + 1, "down")
+
+    def raw(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return (self.total[ends] - self.total[starts]) * self.down[starts]
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix(self.raw(starts, ends) + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """64-bit hash of every span's bytes (A-Z folded if ``lower``); equal bytes give equal hashes
-    wherever they stand."""
-    n = len(data)
-    keyed = (LOWER_KEYS if lower else BYTE_KEYS)[data]
-    keyed *= powers(n)
-    total = np.zeros(n + 1, U64)
-    np.cumsum(keyed, out=total[1:])
-    h = (total[ends] - total[starts]) * powers(n + 1, "down")[starts]
-    return mix(h + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
+    """Hashes of the spans of one run."""
+    return SpanHasher(data, lower)(starts, ends)
 
 
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
