@@ -214,6 +214,15 @@ def chat_history(spark, sf):
     return H.chat_history(chat_tagged(spark, sf))
 
 
+@register("chat_history_gaps", """WITH g AS (SELECT conv_id, turn * 700 AS turn, role, text FROM conversations WHERE turn % 3 <> 1)
+SELECT conv_id, turn, role, text, coalesce(string_agg(upper(role) || ': ' || text, chr(10)) OVER (
+  PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), 'No history') AS history FROM g""")
+def chat_history_gaps(spark, sf):
+    from pyspark.sql import functions as F
+    g = read_table(spark, sf, "conversations").where("turn % 3 <> 1").withColumn("turn", F.col("turn") * 700)
+    return H.chat_history(g)
+
+
 def _completed_sql():
     parts = [f"SELECT conv_id, {i} AS i, '{tag}' AS tag, min(turn) AS first FROM chat_tagged "
              f"WHERE role = 'assistant' AND contains(lower(text), '{kw}') GROUP BY conv_id"

@@ -12,6 +12,15 @@ from quarry.registry.sqlgen import TABLES, lit
 from quarry.registry.views import DIRTY_ORDERS_SQL, dirty_orders
 from quarry.session import read_table
 
+@register("clean_zoned_dates", """SELECT o_orderkey, o_orderdate + INTERVAL 123456 MICROSECOND AS order_time,
+  CAST(9007199254740993 + o_orderkey AS BIGINT) AS long_id FROM orders""")
+def clean_zoned_dates(spark, sf):
+    o = read_table(spark, sf, "orders").select(
+        "o_orderkey", F.concat(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), F.lit(".123456Z")).alias("order_time"),
+        (F.lit(9007199254740993) + F.col("o_orderkey")).cast("string").alias("long_id"))
+    return CleanPlan.fit(o).apply(o)
+
+
 _TOK = "('na', 'n/a', 'none', 'null', 'nan', 'missing', 'unknown', '')"
 _NUM_RE = r"'^[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[iI][nN][fF]([iI][nN][iI][tT][yY])?)$'"
 

@@ -113,6 +113,30 @@ def band_join(spark, sf):
     return R.band_join(c, s, "c_acctbal", "s_acctbal", 0.5).select("c_custkey", "s_suppkey")
 
 
+_BAND = "abs(c.c_acctbal - s.s_acctbal) <= 0.5"
+
+
+@register("band_join_left", f"SELECT c.c_custkey, s.s_suppkey FROM customer c LEFT JOIN supplier s ON {_BAND}")
+def band_join_left(spark, sf):
+    c = _t(spark, sf, "customer").select("c_custkey", "c_acctbal")
+    s = _t(spark, sf, "supplier").select("s_suppkey", "s_acctbal")
+    return R.band_join(c, s, "c_acctbal", "s_acctbal", 0.5, "left").select("c_custkey", "s_suppkey")
+
+
+@register("band_join_full", f"""SELECT c.c_custkey, s.s_suppkey FROM customer c LEFT JOIN supplier s ON {_BAND}
+UNION ALL SELECT NULL, s.s_suppkey FROM supplier s WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE {_BAND})""")
+def band_join_full(spark, sf):
+    c = _t(spark, sf, "customer").select("c_custkey", "c_acctbal")
+    s = _t(spark, sf, "supplier").select("s_suppkey", "s_acctbal")
+    return R.band_join(c, s, "c_acctbal", "s_acctbal", 0.5, "full").select("c_custkey", "s_suppkey")
+
+
+@register("dummies_long", """SELECT c_custkey, 'c_mktsegment' AS column_name, c_mktsegment AS category
+FROM customer WHERE c_mktsegment IS NOT NULL""")
+def dummies_long(spark, sf):
+    return R.dummies_long(_t(spark, sf, "customer"), ["c_custkey"], ["c_mktsegment"])
+
+
 @register("semi_join", """SELECT c_custkey, c_name FROM customer c
 WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 300000)""")
 def semi_join(spark, sf):

@@ -53,6 +53,18 @@ def json_envelope(spark, sf):
     return read_json_records(spark, path)
 
 
+@register("json_mixed", "SELECT CAST(c_custkey AS BIGINT) AS c_custkey, c_name, c_acctbal FROM customer")
+def json_mixed(spark, sf):
+    # one folder with three kinds of documents: {"data": [...]}, {"results": [...]} and bare records
+    path = scratch_path(spark, "mixed")
+    c = read_table(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal")
+    for kind, key in enumerate(("data", "results")):
+        c.where(F.col("c_custkey") % 3 == kind).groupBy(F.floor(F.col("c_custkey") / 100).alias("blk")).agg(
+            F.collect_list(F.struct(*c.columns)).alias(key)).select(key).write.mode("append").json(path)
+    c.where(F.col("c_custkey") % 3 == 2).write.mode("append").json(path)
+    return read_json_records(spark, path)
+
+
 @register("json_flatten", """SELECT o_orderkey, o_custkey AS "cust.key",
   o_orderpriority AS "cust.info.priority", o_orderstatus AS "cust.info.status",
   o_totalprice FROM orders""")
@@ -95,10 +107,10 @@ def sql_source_join_agg(spark, sf):
                                         "customer": read_table(spark, sf, "customer")})
 
 
-@register("list_tables")
+@register("list_tables", " UNION ALL ".join(
+    f"SELECT '{t}' AS name, 'view' AS type, '{t}' AS tbl_name, count(*) AS rows FROM {t}" for t in _TABLES))
 def list_tables_q(spark, sf):
-    """Rows-only: registers every driver table as a view and lists it with
-    its row count."""
+    """Registers every driver table as a view and lists it with its row count."""
     for t in _TABLES:
         read_table(spark, sf, t).createOrReplaceTempView(t)
     listing = list_tables(spark).where(F.col("name").isin(_TABLES))
