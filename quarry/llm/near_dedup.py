@@ -14,10 +14,11 @@
    confirmed on the full sets, and the links are contracted to components.
 4. Lists that still hold several components are compared in blocks, class by
    class across components, so no link is lost; pairs inside a component need
-   no check, and a group of near copies never becomes all its pairs.  Classes
-   of such lists get ``LONG_K`` more coordinates of a byte each, and a pair is
-   a candidate if it also agrees in ``LONG_T`` of them (a pair at the threshold
-   fails that with a chance below 2e-6), in the first list that both merge.
+   no check, and a group of near copies never becomes all its pairs.  A pair
+   counts in the first list that both merge.
+5. Before full sets travel, a candidate must also agree in ``LONG_T`` of
+   ``LONG_K`` more coordinates of a byte each, made for candidates only (a pair
+   at the threshold fails that with a chance below 2e-6).
 
 Defined cases: texts without words (or null) have an empty set and no links;
 fewer words than a shingle make one shingle of the whole sequence; rows
@@ -95,7 +96,7 @@ def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     return src.mapInArrow(_sketch_batches, "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, sig array<int>")
 
 
-def _set_batches(batches: Iterator[pa.RecordBatch], long: bool) -> Iterator[pa.RecordBatch]:
+def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi, data, offs in V.text_runs(batch.column("text")):
             sets = list(V.shingle_sets(data, offs, SHINGLE))
@@ -104,21 +105,19 @@ def _set_batches(batches: Iterator[pa.RecordBatch], long: bool) -> Iterator[pa.R
             flat = np.concatenate([np.zeros(0, np.uint64), *sets])
             out = [batch.column("cid").slice(lo, hi - lo),
                    pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat.view(np.int64)))]
-            if long:
-                full = np.flatnonzero(sizes)
-                coords = np.zeros((hi - lo, LONG_K), np.uint8)
-                if len(full):
-                    coords[full] = signatures(flat, np.append(bounds[full], bounds[-1]), K, LONG_K, np.uint8).T
-                out.append(pa.BinaryArray.from_buffers(pa.binary(), hi - lo, [
-                    None, pa.py_buffer((np.arange(hi - lo + 1) * LONG_K).astype(np.int32)), pa.py_buffer(coords.tobytes())]))
-            yield pa.RecordBatch.from_arrays(out, names=["cid", "shingles", "coords"][:2 + long])
-
-
-def _sets(docs: DataFrame, ids: DataFrame, long: bool = False) -> DataFrame:
-    """cid, full set (and the byte coordinates) of the classes whose ids are named."""
+            full = np.flatnonzero(sizes)
+            coords = np.zeros((hi - lo, LONG_K), np.uint8)
+            if len(full):
+                coords[full] = signatures(flat, np.append(bounds[full], bounds[-1]), K, LONG_K, np.uint8).T
+            out.append(pa.BinaryArray.from_buffers(pa.binary(), hi - lo, [
+                None, pa.py_buffer((np.arange(hi - lo + 1) * LONG_K).astype(np.int32)), pa.py_buffer(coords.tobytes())]))
+            yield pa.RecordBatch.from_arrays(out, names=["cid", "shingles", "coords"])
+
+
+def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """cid, full set and byte coordinates of the classes whose ids are named."""
     rows = docs.withColumnRenamed("doc_id", "cid").join(ids.distinct(), "cid", "left_semi")
-    return materialize(rows.mapInArrow(partial(_set_batches, long=long),
-                                       "cid bigint, shingles array<bigint>" + ", coords binary" * long), "shingle-sets")
+    return materialize(rows.mapInArrow(_set_batches, "cid bigint, shingles array<bigint>, coords binary"), "shingle-sets")
 
 
 def _postings(classes: DataFrame) -> DataFrame:
@@ -156,6 +155,21 @@ def _matching(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return wide.where(_agree(F.col("x"), F.col("y")) >= T).select("a", "b").distinct()
 
 
+def _long_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, LONG_K) for c in ("x", "y"))
+        yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= LONG_T))
+
+
+def _long_matching(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of the pairs (a, b), those that also agree in enough byte coordinates; full sets needn't travel for
+    the others."""
+    coords = sets.select("cid", "coords")
+    wide = pairs.join(coords.select(F.col("cid").alias("a"), F.col("coords").alias("x")), "a").join(
+        coords.select(F.col("cid").alias("b"), F.col("coords").alias("y")), "b")
+    return wide.select("a", "b", "x", "y").mapInArrow(_long_batches, "a bigint, b bigint").distinct()
+
+
 def _cross_blocks(table: pa.Table) -> pa.Table:
     """Pairs of one list's blocks that agree often enough, lie in different components, and have this
     list as the first one that both are listed in."""
@@ -214,7 +228,7 @@ def links(classes: DataFrame, docs: DataFrame) -> DataFrame | None:
     for step in range(STAR_ROUNDS + 1):
         rows = materialize(_with_components(lists, labels), "mixed-lists")
         if step and sets is None:
-            sets = _sets(docs, rows.select("cid"), long=True)
+            sets = _sets(docs, rows.select("cid"))
         if step < STAR_ROUNDS:
             # the first round's representative is the smallest id, so lists of one group name the same one
             order = F.col("cid") if step == 0 else F.xxhash64("cid", *key, F.lit(step))
@@ -223,7 +237,7 @@ def links(classes: DataFrame, docs: DataFrame) -> DataFrame | None:
                 F.least("cid", F.col("r.cid")).alias("a"), F.greatest("cid", F.col("r.cid")).alias("b")).distinct()
             pairs = _matching(pairs, classes)
         else:
-            sets = _sets(docs, rows.select("cid"), long=True) if sets is None else sets
+            sets = sets or _sets(docs, rows.select("cid"))
             pairs = _cross_pairs(rows, classes, sets)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -231,7 +245,9 @@ def links(classes: DataFrame, docs: DataFrame) -> DataFrame | None:
         if pairs.isEmpty():
             continue
         tested = pairs if tested is None else tested.unionByName(pairs)
-        full = sets if step else _sets(docs, pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))))
+        full = sets or _sets(docs, pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))))
+        if step < STAR_ROUNDS:
+            pairs = _long_matching(pairs, full)
         new = materialize(_confirm(pairs, full), "links")
         if new.isEmpty():
             continue
