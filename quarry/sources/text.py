@@ -26,12 +26,13 @@ def pandas_header_names(raw: list) -> list[str]:
 
 
 def read_csv_text(spark: SparkSession, path: str, null_tokens=CSV_NULL_TOKENS,
-                  sep: str = ",") -> DataFrame:
+                  sep: str = ",", multi_line: bool = True) -> DataFrame:
     """A1: header CSV with every cell as text and the reader's null tokens
-    turned into null.  Quoted commas, doubled quotes and embedded newlines
-    are handled by the multi-line reader.  Only the header line is read on
-    the driver (one row)."""
-    opts = dict(sep=sep, quote='"', escape='"', multiLine=True, inferSchema=False,
+    turned into null.  Quoted commas and doubled quotes are always handled;
+    embedded newlines need ``multi_line``, which reads a file in one task -
+    pass False for large files without them, which are then split.  Only the
+    header line is read on the driver (one row)."""
+    opts = dict(sep=sep, quote='"', escape='"', multiLine=multi_line, inferSchema=False,
                 ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, nullValue=None)
     first = spark.read.options(header=False, **{k: v for k, v in opts.items() if v is not None}) \
         .csv(path).limit(1).collect()
