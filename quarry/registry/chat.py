@@ -258,6 +258,30 @@ def suggested_steps(spark, sf):
     return d.select("conv_id", F.array_join(H.suggested_steps(F.col("completed"), F.lit(domain)), "|").alias("steps"))
 
 
+_DOMAINS = ("financial", "healthcare", "ecommerce", "education", "other")
+
+
+def _first_steps_sql():
+    cases = " ".join(f"WHEN {i} THEN '{'|'.join(CR.FIRST_SESSION_STEPS.get(d, CR.FIRST_SESSION_STEPS['general']))}'"
+                     for i, d in enumerate(_DOMAINS))
+    return f"SELECT DISTINCT conv_id, CASE conv_id % 5 {cases} END AS steps FROM conversations"
+
+
+@register("first_session_steps", _first_steps_sql())
+def first_session_steps(spark, sf):
+    """The list shown for a new session, for conversations dealt over all domains."""
+    convs = read_table(spark, sf, "conversations").select("conv_id").distinct()
+    domain = F.get(F.array(*[F.lit(d) for d in _DOMAINS]), (F.col("conv_id") % 5).cast("int"))
+    return convs.select("conv_id", F.array_join(H.first_session_steps(domain), "|").alias("steps"))
+
+
+@register("retained_messages", f"""WITH {CHAT_TAGGED_SQL}
+SELECT conv_id, turn, role, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn
+FROM chat_tagged) t WHERE rn <= 50""")
+def retained_messages(spark, sf):
+    return H.recent_messages(chat_tagged(spark, sf), 50)
+
+
 @register("recent_messages", f"""WITH {CHAT_TAGGED_SQL}
 SELECT conv_id, turn, role, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn
 FROM chat_tagged) t WHERE rn <= 5""")
