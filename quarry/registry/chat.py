@@ -309,9 +309,10 @@ def session_rollup(spark, sf):
 
 @register("conversation_context", f"""WITH {_completed_sql()},
 lastq AS (SELECT conv_id, arg_max(text, turn) AS q FROM chat_tagged WHERE role = 'user' GROUP BY conv_id),
-rec AS (SELECT conv_id, list(turn ORDER BY turn) AS turns FROM (SELECT *, row_number() OVER
+rec AS (SELECT conv_id, list(turn ORDER BY turn) AS turns,
+        string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS messages FROM (SELECT *, row_number() OVER
         (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM chat_tagged) t WHERE rn <= 5 GROUP BY conv_id)
-SELECT d.conv_id, array_to_string(rec.turns, ',') AS recent_turns,
+SELECT d.conv_id, array_to_string(rec.turns, ',') AS recent_turns, rec.messages AS recent_messages,
   'Completed analyses: ' || coalesce(nullif(array_to_string(d.completed, ', '), ''), 'None')
   || '. Current focus: ' || CASE WHEN lastq.q IS NULL THEN 'general_analysis' ELSE {_focus_sql('lower(lastq.q)', 'financial')} END
   || '. Domain: financial' AS analysis_progress,
@@ -321,7 +322,9 @@ FROM done d LEFT JOIN lastq ON d.conv_id = lastq.conv_id LEFT JOIN rec ON d.conv
 def conversation_context(spark, sf):
     domain, _, _ = _dataset_facts(spark, sf)
     ctx = H.conversation_context(chat_tagged(spark, sf), F.lit(domain))
+    said = F.transform("recent_messages", lambda m: F.concat(m["role"], F.lit(": "), m["text"]))
     return ctx.select("conv_id", F.array_join("recent_turns", ",").alias("recent_turns"),
+                      F.array_join(said, "\n").alias("recent_messages"),
                       "analysis_progress", F.array_join("suggested_questions", "|").alias("suggested_questions"),
                       "domain")
 
