@@ -169,17 +169,19 @@ def _gram_batches(batches: Iterator[pa.RecordBatch], weights: np.ndarray, x: np.
                 first = np.flatnonzero(np.concatenate([[True], st[1:] != st[:-1]]))
                 total[st[first]] += np.add.reduceat(y[entry[order]], first, axis=0)
     total *= weights[:, None]
-    blocks = [(i, total[i:i + 512].astype(np.float64).tobytes()) for i in range(0, len(total), 512)]
+    blocks = [(i, total[i:i + 512].astype(np.float32).tobytes()) for i in range(0, len(total), 512)]
     yield pa.RecordBatch.from_pydict({"block": [b for b, _ in blocks], "part": [p for _, p in blocks]})
 
 
 def _sum_blocks(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(p.as_buffer(), np.float64) for p in table.column("part"))
+    total = sum(np.frombuffer(p.as_buffer(), np.float32).astype(np.float64) for p in table.column("part"))
     return pa.table({"block": [table.column("block")[0].as_py()], "part": [total.tobytes()]})
 
 
 def _gram(places: DataFrame, weights: np.ndarray, x: np.ndarray) -> np.ndarray:
-    parts = places.mapInArrow(partial(_gram_batches, weights=weights, x=x), "block bigint, part binary")
+    # every task hands on a whole partial sum, so there are no more tasks than twice the cores
+    few = places.coalesce(2 * max(4, places.sparkSession.sparkContext.defaultParallelism))
+    parts = few.mapInArrow(partial(_gram_batches, weights=weights, x=x), "block bigint, part binary")
     rows = parts.groupBy("block").applyInArrow(_sum_blocks, "block bigint, part binary").collect()
     out = np.zeros(x.shape)
     for r in rows:
