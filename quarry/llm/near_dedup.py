@@ -52,6 +52,8 @@ LONG_K = 512
 LONG_T = 338
 STAR_ROUNDS = 3
 BLOCK = 2048
+#: Of the bitmap that picks candidates' texts; more ids than that only mean more sets are made.
+FILTER_BITS = 1 << 25
 
 _rng = np.random.default_rng(5)
 _XOR = _rng.integers(0, 2**64 - 1, K + LONG_K, dtype=np.uint64)
@@ -96,8 +98,26 @@ def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     return src.mapInArrow(_sketch_batches, "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, sig array<int>")
 
 
-def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pack_bits(table: pa.Table) -> pa.Table:
+    bits = np.zeros(1 << 16, bool)
+    bits[table.column("bit").to_numpy() & 0xFFFF] = True
+    return pa.table({"block": [table.column("block")[0].as_py()], "bits": [np.packbits(bits).tobytes()]})
+
+
+def _bitmap(ids: DataFrame) -> np.ndarray:
+    """One bit per hash of an id, ``FILTER_BITS`` in all (4 MB), whatever the number of ids."""
+    bit = F.pmod(F.xxhash64("cid"), F.lit(FILTER_BITS))
+    rows = ids.select(bit.alias("bit")).distinct().withColumn("block", F.shiftright("bit", 16))
+    out = np.zeros(FILTER_BITS, bool)
+    for r in rows.groupBy("block").applyInArrow(_pack_bits, "block bigint, bits binary").collect():
+        out[r.block << 16:(r.block + 1) << 16] = np.unpackbits(np.frombuffer(r.bits, np.uint8)).astype(bool)
+    return np.packbits(out)
+
+
+def _set_batches(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        bit = batch.column("bit").to_numpy()
+        batch = batch.filter(pa.array(bitmap[bit >> 3] >> (7 - (bit & 7)) & 1 == 1))
         for lo, hi, data, offs in V.text_runs(batch.column("text")):
             sets = list(V.shingle_sets(data, offs, SHINGLE))
             sizes = np.array([len(s) for s in sets], np.int64)
@@ -115,9 +135,12 @@ def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """cid, full set and byte coordinates of the classes whose ids are named."""
-    rows = docs.withColumnRenamed("doc_id", "cid").join(ids.distinct(), "cid", "left_semi")
-    return materialize(rows.mapInArrow(_set_batches, "cid bigint, shingles array<bigint>, coords binary"), "shingle-sets")
+    """cid, full set and byte coordinates of the classes whose ids are named (and of a few others: a
+    bitmap of hashes picks the rows, so no text is shuffled)."""
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").alias("cid"), "text",
+                                                   F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("bit"))
+    return materialize(rows.mapInArrow(partial(_set_batches, bitmap=_bitmap(ids)),
+                                       "cid bigint, shingles array<bigint>, coords binary"), "shingle-sets")
 
 
 def _postings(classes: DataFrame) -> DataFrame:
