@@ -6,7 +6,7 @@ values.  Here each target order statistic is found by refinement, with one
 scan per round for all columns together (the columns are unpivoted):
 
 * round 0 - one aggregate over (column, log-scale bin), bins being
-  sign-mirrored ``floor(16 log2|x|)``, with count, min, max and moments;
+  sign-mirrored ``floor(16 log2|x|)``, with count, min and max, rolled up to the columns' moments;
 * later rounds - the bins that hold a target rank are cut into ``BINS``
   equal ones, until the bin with the rank holds a single value or the rank
   is its first or last.
@@ -45,17 +45,6 @@ def _log_key(x: Column) -> Column:
             .when(x > 0, k).when(x < 0, -k).otherwise(F.lit(0)))
 
 
-def _merged(parts) -> tuple:
-    """(n, mean, sum of squared deviations) of disjoint parts."""
-    n, mean, m2 = 0, 0.0, 0.0
-    for c, mu, v in parts:
-        d = mu - mean
-        m2 += v + d * d * n * c / (n + c)
-        mean += d * c / (n + c)
-        n += c
-    return n, mean, m2
-
-
 def _refine(df: DataFrame, values: dict[str, Column], pending: dict) -> dict:
     """pending: {(name, lo, hi, below): {ranks}} -> {(name, rank): value}.
     One scan per round for all columns: each pending interval is cut into
@@ -109,17 +98,23 @@ def column_profile(df: DataFrame, values: dict[str, Column], probs: Sequence[flo
     if not names:
         return {}
     x = F.col("x")
-    rows = (unpivot(df, list(values.values()), x.isNotNull()).groupBy("ord", _log_key(x).alias("key"))
+    # a rollup: the bins, and one row per column with Spark's own moments
+    rows = (unpivot(df, list(values.values()), x.isNotNull()).select("ord", _log_key(x).alias("key"), "x").rollup("ord", "key")
             .agg(F.count(F.lit(1)).alias("c"), F.min("x").alias("mn"), F.max("x").alias("mx"), F.avg("x").alias("mu"),
-                 (F.var_pop("x") * F.count(F.lit(1))).alias("m2")))
+                 F.stddev_samp("x").alias("sd")).where(F.col("ord").isNotNull()))
     bins: dict[int, list] = {}
-    for r in rows.collect():        # occupied log bins: at most 16 per octave and column
-        bins.setdefault(r["ord"], []).append(r)
+    whole: dict[int, object] = {}
+    for r in rows.collect():        # occupied log bins, at most 16 per octave and column, and a row per column
+        if r["key"] is None:
+            whole[r["ord"]] = r
+        else:
+            bins.setdefault(r["ord"], []).append(r)
     out, pending, picked = {}, {}, {}
     for i, name in enumerate(names):
         bs = sorted(bins.get(i, []), key=lambda r: r["key"])
-        n, mean, m2 = _merged([(r["c"], r["mu"], r["m2"]) for r in bs])
-        info = {"count": n, "mean": mean if n else None, "std": math.sqrt(m2 / (n - 1)) if n > 1 else None,
+        m = whole.get(i)
+        n = m["c"] if m else 0
+        info = {"count": n, "mean": m["mu"] if m else None, "std": m["sd"] if m else None,
                 "min": bs[0]["mn"] if n else None, "max": bs[-1]["mx"] if n else None, "q": {p: None for p in probs}}
         out[name] = info
         if n == 0:
