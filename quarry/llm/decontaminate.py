@@ -13,8 +13,11 @@
 3. Candidate search: passages whose latent vector has a cosine of at least
    ``COSINE`` with an item's.
 4. Candidates are decided on the text around the passage: the longest common
-   subsequence of words must cover ``COVER`` of the item, and of its answer,
-   the item's last sentence.
+   subsequence of words must cover ``COVER`` of the item.  Cover of ``SURE``,
+   or one run of ``COVER`` of the item and at least ``LEAST_RUN`` words word
+   for word, decides by itself, wherever in the item it stands.  Weaker
+   paraphrases must cover ``COVER`` of the item's answer, too, its last
+   sentence.
 
 Words are runs of letters and digits, A-Z folded.  Items are handled in blocks
 of ``ITEM_BLOCK``, so what tasks receive is bounded whatever the benchmark's
@@ -48,6 +51,8 @@ RANK = 192
 OVERSAMPLING = 16
 COSINE = 0.5
 COVER = (60, 100)
+SURE = (80, 100)
+LEAST_RUN = 8
 ITEM_BLOCK = 256
 U64 = np.uint64
 
@@ -231,6 +236,28 @@ def lcs(a: np.ndarray, b: np.ndarray) -> int:
     return int(prev[-1])
 
 
+def common_run(a: np.ndarray, b: np.ndarray) -> int:
+    """Length of the longest run of words that stands in both."""
+    prev, best = np.zeros(len(b) + 1, np.int32), 0
+    for x in a:
+        now = np.zeros_like(prev)
+        now[1:] = np.where(b == x, prev[:-1] + 1, 0)
+        best, prev = max(best, int(now.max())), now
+    return best
+
+
+def covers(n: int, of: int, share: tuple[int, int]) -> bool:
+    return n * share[1] >= of * share[0]
+
+
+def sure(item: np.ndarray, near: np.ndarray, n: int) -> bool:
+    """Is a common subsequence of n words a leak whether or not it holds the answer?"""
+    if covers(n, len(item), SURE):
+        return True
+    run = common_run(item, near)
+    return run >= LEAST_RUN and covers(run, len(item), COVER)
+
+
 def answer_of(text: str) -> np.ndarray:
     """Words of the item's last sentence; of the whole item if it is one sentence."""
     pieces = [p for p in text.replace("!", ".").replace("?", ".").split(".") if len(hashes_of(p)) >= LEAST_TERMS]
@@ -250,10 +277,10 @@ def _decide_batches(batches: Iterator[pa.RecordBatch], items: dict[int, tuple[np
                     item, answer = items[c["item"]]
                     near = own[max(0, c["at"] - len(item)):c["at"] + WINDOW + len(item)]
                     n = lcs(item, near)
-                    if n * COVER[1] < len(item) * COVER[0] or len(item) < LEAST_TERMS and n < len(item):
+                    if not covers(n, len(item), COVER) or len(item) < LEAST_TERMS and n < len(item):
                         continue
                     m = lcs(answer, near)
-                    if m * COVER[1] >= len(answer) * COVER[0]:
+                    if covers(m, len(answer), COVER) or sure(item, near, n):
                         best[c["item"]] = max(best.get(c["item"], (0,)), (n, m, c["cosine"], len(item), len(answer)))
                 out += [(r, k, *v) for k, v in best.items()]
         if out:

@@ -160,6 +160,41 @@ def test_leaks_and_paraphrases_are_found_and_clean_documents_stay(spark):
                 assert (d, i) in found
 
 
+def quoted_rows():
+    """Items of two sentences, quoted without the last one: word for word (first 25 documents), and with that
+    sentence's words replaced and one more word lost (next 25)."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(3))
+    items, docs = [], []
+    for i in range(50):
+        n = rng.randint(9, 24) if i < 25 else rng.randint(18, 24)
+        head = [word() for _ in range(n)]
+        tail = [word() for _ in range(rng.randint(3, 6) if i < 25 else 3)]
+        items.append((i, " ".join(head).capitalize() + ". " + " ".join(tail).capitalize() + "."))
+        quote = head if i < 25 else head[:n // 2] + head[n // 2 + 1:]
+        docs.append((i, " ".join([word() for _ in range(80)] + quote + [word() for _ in range(80)])))
+    docs += [(100 + i, " ".join(word() for _ in range(200))) for i in range(100)]
+    return docs, items
+
+
+def test_quotes_without_the_last_sentence_are_leaks(spark):
+    docs, items = quoted_rows()
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r.doc_id, r.item_id): r for r in decontaminate.leaks(df, bench).collect()}
+    assert set(found) == {(i, i) for i in range(50)}
+    assert all(r.answer_common * 100 < 60 * r.answer_words for r in found.values())
+    assert {r.doc_id for r in decontaminate.clean_documents(df, bench).collect()} == set(range(100, 200))
+
+
+def test_weak_paraphrases_need_the_answer():
+    item, other = np.arange(30), np.arange(100, 130)
+    mixed = np.where(np.arange(30) % 3 == 0, other, item)  # 20 of 30 words, in runs of two
+    assert not decontaminate.sure(item, mixed, 20)
+    assert decontaminate.sure(item, item[:20], 20) and decontaminate.sure(item, mixed, 24)
+    assert not decontaminate.sure(item[:8], item[:5], 5)
+
+
 def test_blocks_of_items_give_the_same_leaks(spark, monkeypatch):
     docs, items, held = leak_rows()
     monkeypatch.setattr(decontaminate, "ITEM_BLOCK", 9)
