@@ -3,15 +3,18 @@
 1. The benchmark's words span the term space; words that stand in more than a
    given share of all passages are left out, except that every item keeps its
    rarest ones.  Passages are overlapping windows of ``WINDOW`` words of the
-   documents.  A first pass counts in how many passages each term stands; a
-   term's weight is its inverse document frequency 1/sqrt(count).
+   documents.  A first pass counts in how many passages each term stands, and
+   in how many of them alone: places with a third of an item's other rare
+   terms around them are left out, so an item that has leaked often doesn't
+   make its own terms common.
 2. A second pass keeps the places of terms (documents with fewer than
    ``LEAST_TERMS`` can hold no item).  The leading right singular vectors of
-   the passages' TF-IDF matrix A come from a randomised SVD: Spark sums
+   the passages' TF-IDF matrix A (weights 1/sqrt(count)) come from a randomised SVD: Spark sums
    A'(A X) over the tasks, first for a random X, then for its orthonormal
    basis; only matrices of terms by rank reach the driver.
 3. Candidate search: passages whose latent vector has a cosine of at least
-   ``COSINE`` with an item's.
+   ``COSINE`` with an item's; terms weigh by the inverse frequency log(passages
+   / count alone).
 4. Candidates are decided on the text around the passage: the longest common
    subsequence of words must cover ``COVER`` of the item.  Cover of ``SURE``,
    or one run of ``COVER`` of the item and at least ``LEAST_RUN`` words word
@@ -47,6 +50,7 @@ WINDOW = 3 * STEP
 LEAST_TERMS = 3
 COMMON_SHARE = 0.002
 KEPT_RAREST = 6
+KEPT_SHARE = (40, 100)
 RANK = 192
 OVERSAMPLING = 16
 COSINE = 0.5
@@ -54,6 +58,7 @@ COVER = (60, 100)
 SURE = (80, 100)
 LEAST_RUN = 8
 ITEM_BLOCK = 256
+LINK_SHARE = 16
 U64 = np.uint64
 
 SEPARATORS = np.ones(256, bool)
@@ -112,20 +117,78 @@ def windows(row: np.ndarray, pos: np.ndarray, term: np.ndarray, least: int = 1)
     return key[heads[use]] >> 32, key[heads[use]] & 0xFFFFFFFF, np.cumsum(size) - size, t
 
 
-def _count_batches(batches: Iterator[pa.RecordBatch], terms: Terms) -> Iterator[pa.RecordBatch]:
-    counts, n = np.zeros(len(terms.keys), np.int64), 0
+class Links:
+    """The items that each term belongs to, for terms that stand in few items; ``least[i]`` of these terms
+    together tell that item i is around."""
+
+    def __init__(self, vocabulary: np.ndarray, hashed: list[np.ndarray]):
+        own = [np.searchsorted(vocabulary, np.unique(h)) for h in hashed]
+        term = np.concatenate(own)
+        item = np.repeat(np.arange(len(own)), [len(x) for x in own])
+        few = np.bincount(term, minlength=len(vocabulary))[term] <= max(2, len(own) // LINK_SHARE)
+        term, item = term[few], item[few]
+        self.least = np.maximum(LEAST_TERMS, -(-np.bincount(item, minlength=len(own)) // 3))
+        order = np.argsort(term, kind="stable")
+        self.item = item[order]
+        self.first = np.searchsorted(term[order], np.arange(len(vocabulary) + 1))
+
+    def explained(self, row: np.ndarray, pos: np.ndarray, term: np.ndarray) -> np.ndarray:
+        """For every term place: do other terms of an item that it belongs to stand around it?"""
+        out = np.zeros(len(term), bool)
+        size = self.first[term + 1] - self.first[term]
+        place = np.repeat(np.arange(len(term)), size)
+        item = self.item[np.repeat(self.first[term] - np.cumsum(size) + size, size) + np.arange(len(place))]
+        cell = row.astype(np.int64) << 32 | pos // WINDOW
+        for back in (0, 1):  # every place lies in two cells of two windows each
+            _, which = np.unique(cell - back, return_inverse=True)
+            group = which[place] * len(self.least) + item
+            key = np.unique(group * len(self.first) + term[place]) // len(self.first)
+            key, n = np.unique(key, return_counts=True)
+            key = key[n >= self.least[key % len(self.least)]]
+            if len(key):
+                at = np.minimum(np.searchsorted(key, group), len(key) - 1)
+                out[place[key[at] == group]] = True
+        return out
+
+
+def _passage_counts(row: np.ndarray, pos: np.ndarray, term: np.ndarray, n_terms: int) -> np.ndarray:
+    """In how many passages each term stands."""
+    _, _, heads, found = windows(row, pos, term)
+    entry = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(found))))
+    return np.bincount(np.unique(entry * n_terms + found) % n_terms, minlength=n_terms)
+
+
+def _count_batches(batches: Iterator[pa.RecordBatch], terms: Terms, links: Links) -> Iterator[pa.RecordBatch]:
+    """Passages of each term: all of them, and those where it stands without an item around it; the number of
+    all passages at term -1."""
+    counts, alone, n = np.zeros(len(terms.keys), np.int64), np.zeros(len(terms.keys), np.int64), 0
     for batch in batches:
         for _, _, data, offs in V.text_runs(batch.column("text")):
             words, bounds = word_hashes(data, offs)
             n += int((-(-np.diff(bounds) // STEP)).sum())
             at, t = terms.places(words)
+            if not len(at):
+                continue
             row = np.searchsorted(bounds, at, side="right") - 1
-            _, step, heads, found = windows(row, at - bounds[row], t)
-            if len(found):
-                entry = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(found))))
-                counts += np.bincount(np.unique(entry * len(counts) + found) % len(counts), minlength=len(counts))
+            pos = at - bounds[row]
+            leak = links.explained(row, pos, t)
+            mixed = np.bincount(row, leak, len(offs) - 1)[row] > 0
+            plain = _passage_counts(row[~mixed], pos[~mixed], t[~mixed], len(counts))
+            counts += plain + _passage_counts(row[mixed], pos[mixed], t[mixed], len(counts))
+            mixed &= ~leak
+            alone += plain + _passage_counts(row[mixed], pos[mixed], t[mixed], len(counts))
     full = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_pydict({"term": np.append(full, -1), "n": np.append(counts[full], n)})
+    yield pa.RecordBatch.from_pydict({"term": np.append(full, -1), "n": np.append(counts[full], n), "alone": np.append(alone[full], n)})
+
+
+def choose_terms(alone: np.ndarray, n_passages: int, vocabulary: np.ndarray, hashed: list[np.ndarray]) -> np.ndarray:
+    """Terms that are not common by themselves, and every item's rarest ones."""
+    chosen = alone <= max(WINDOW // STEP, COMMON_SHARE * n_passages)
+    for h in hashed:
+        own = np.searchsorted(vocabulary, np.unique(h))
+        kept = max(KEPT_RAREST, -(-len(own) * KEPT_SHARE[0] // KEPT_SHARE[1]))
+        chosen[own[np.argsort(alone[own], kind="stable")[:kept]]] = True
+    return chosen
 
 
 def _place_batches(batches: Iterator[pa.RecordBatch], terms: Terms) -> Iterator[pa.RecordBatch]:
@@ -303,26 +366,26 @@ def _block(docs: DataFrame, items: list[tuple[int, str]], kind: str) -> DataFram
     if not hashed:
         return empty
     vocabulary = np.unique(np.concatenate(list(hashed.values())))
-    rows = docs.select("text").mapInArrow(partial(_count_batches, terms=Terms(vocabulary)), "term bigint, n bigint")
-    counts, n_passages = np.zeros(len(vocabulary)), 0
-    for r in rows.groupBy("term").agg(F.sum("n").alias("n")).collect():
+    own = list(hashed.values())
+    rows = docs.select("text").mapInArrow(partial(_count_batches, terms=Terms(vocabulary), links=Links(vocabulary, own)),
+                                          "term bigint, n bigint, alone bigint")
+    counts, alone, n_passages = np.zeros(len(vocabulary)), np.zeros(len(vocabulary)), 0
+    for r in rows.groupBy("term").agg(F.sum("n").alias("n"), F.sum("alone").alias("alone")).collect():
         if r.term < 0:
             n_passages = r.n
         else:
-            counts[r.term] = r.n
-    chosen = counts <= max(1.0, COMMON_SHARE * n_passages)
-    for h in hashed.values():
-        own = np.searchsorted(vocabulary, np.unique(h))
-        chosen[own[np.argsort(counts[own], kind="stable")[:KEPT_RAREST]]] = True
+            counts[r.term], alone[r.term] = r.n, r.alone
+    chosen = choose_terms(alone, n_passages, vocabulary, own)
     terms = Terms(vocabulary[chosen])
     weights = 1 / np.sqrt(np.maximum(counts[chosen], 1))
+    rarity = np.log((n_passages + 2) / (alone[chosen] + 1))
     # short items can't be found with fewer places than they have words
     places = materialize(docs.mapInArrow(partial(_place_batches, terms=terms),
                                          f"ids array<{kind}>, row array<int>, pos array<int>, term array<int>"), "term-places")
     if places.isEmpty():
         return empty
     vectors = right_singular_vectors(places, weights, min(RANK, len(weights)))
-    weighted = (weights[:, None] * vectors).astype(np.float32)
+    weighted = (rarity[:, None] * vectors).astype(np.float32)
     numbers = np.array(sorted(hashed), np.int64)
     latent = np.stack([weighted[terms.places(hashed[n])[1]].sum(axis=0) for n in numbers.tolist()])
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)

@@ -195,6 +195,27 @@ def test_weak_paraphrases_need_the_answer():
     assert not decontaminate.sure(item[:8], item[:5], 5)
 
 
+def test_an_item_in_a_third_of_the_documents_keeps_its_terms(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(3))
+    stop = ["the", "of", "and", "to", "in", "that", "is", "was"]
+    say = lambda: rng.choice(stop) if rng.random() < 0.4 else word()
+    items = [(i, " ".join(say() for _ in range(30)) + ".") for i in range(40)]
+    docs = []
+    for d in range(450):
+        body = [say() for _ in range(160)]
+        if d % 3 == 0 or d < 40:
+            quote = items[0 if d % 3 == 0 else d][1].split()
+            for k in rng.sample(range(20), 6) + rng.sample(range(20, 30), 3):
+                quote[k] = say()
+            body[70:70] = quote
+        docs.append((d, " ".join(body)))
+    found = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string").repartition(4),
+                                spark.createDataFrame(items, "item_id long, text string"))
+    want = {(d, 0 if d % 3 == 0 else d) for d in range(450) if d % 3 == 0 or d < 40}
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == want
+
+
 def test_blocks_of_items_give_the_same_leaks(spark, monkeypatch):
     docs, items, held = leak_rows()
     monkeypatch.setattr(decontaminate, "ITEM_BLOCK", 9)
