@@ -4,6 +4,7 @@ from __future__ import annotations
 
 
 from quarry.operators import profile as P
+from quarry.operators.ranks import page_at
 from quarry.registry import register, rounded
 from quarry.registry.sqlgen import categorical, lit, numeric, union_all
 from quarry.registry.views import DIRTY_ORDERS_COLS, DIRTY_ORDERS_SQL, dirty_orders
@@ -146,6 +147,12 @@ def page_3(spark, sf):
     return P.page(read_table(spark, sf, "orders"), 3, 50, ["o_orderkey"])
 
 
+@register("page_deep", """SELECT * FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber
+LIMIT 70 OFFSET 70 * 77""")
+def page_deep(spark, sf):
+    return page_at(read_table(spark, sf, "lineitem"), 77, 70, [("l_extendedprice", "desc"), "l_orderkey", "l_linenumber"])
+
+
 @register("page_count", "SELECT count(*) AS total, CAST(ceil(count(*) / 50.0) AS BIGINT) AS pages FROM orders")
 def page_count(spark, sf):
     return P.page_count(read_table(spark, sf, "orders"), 50)

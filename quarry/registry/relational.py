@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quarry.operators import ranks as K
 from quarry.operators import relational as R
 from quarry.plans.clean_plan import smart_clean
 from quarry.registry import register, rounded
@@ -236,11 +237,37 @@ def cte_subquery(spark, sf):
   CAST(dense_rank() OVER w AS INTEGER) AS drnk, CAST(ntile(4) OVER w AS INTEGER) AS quartile
 FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey)""")
 def window_rank(spark, sf):
-    w = Window.partitionBy("c_nationkey").orderBy(F.desc("c_acctbal"), "c_custkey")
-    return _t(spark, sf, "customer").select(
-        "c_custkey", "c_nationkey", F.row_number().over(w).alias("rn"),
-        F.rank().over(w).alias("rnk"), F.dense_rank().over(w).alias("drnk"),
-        F.ntile(4).over(w).alias("quartile"))
+    c = _t(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    order = [("c_acctbal", "desc"), "c_custkey"]
+    numbered = K.arrange(c, order, ["c_nationkey"]).with_windows("rn", {"quartile": 4})
+    return K.tie_ranks(numbered, order, ["c_nationkey"], "rnk", "drnk").select(
+        "c_custkey", "c_nationkey", *[F.col(x).cast("int").alias(x) for x in ("rn", "rnk", "drnk", "quartile")])
+
+
+@register("window_global", """SELECT l_orderkey, l_linenumber, row_number() OVER w AS rn, ntile(1000) OVER w AS tile,
+  round(sum(l_quantity) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS running
+FROM lineitem WINDOW w AS (ORDER BY l_shipdate, l_orderkey, l_linenumber)""")
+def window_global(spark, sf):
+    li = _t(spark, sf, "lineitem").select("l_shipdate", "l_orderkey", "l_linenumber", "l_quantity")
+    out = K.arrange(li, ["l_shipdate", "l_orderkey", "l_linenumber"]).with_windows("rn", {"tile": 1000}, {"running": "l_quantity"})
+    return rounded(out.select("l_orderkey", "l_linenumber", "rn", "tile", "running"))
+
+
+@register("window_hot_key", """SELECT event_id, event_type, row_number() OVER w AS rn, ntile(10) OVER w AS tile,
+  count(*) OVER (PARTITION BY event_type) AS n,
+  sum(user_id) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::bigint AS running
+FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts DESC, event_id)""")
+def window_hot_key(spark, sf):
+    ev = _t(spark, sf, "events").select("event_id", "event_type", "ts", "user_id")
+    return K.arrange(ev, [("ts", "desc"), "event_id"], ["event_type"]).with_windows(
+        "rn", {"tile": 10}, {"running": "user_id"}, "n").select("event_id", "event_type", "rn", "tile", "n", "running")
+
+
+@register("rank_ties", """SELECT l_orderkey, l_linenumber, rank() OVER w AS rnk, dense_rank() OVER w AS drnk
+FROM lineitem WINDOW w AS (ORDER BY l_shipdate DESC)""")
+def rank_ties(spark, sf):
+    li = _t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")
+    return K.tie_ranks(li, [("l_shipdate", "desc")], rank="rnk", dense_rank="drnk").drop("l_shipdate")
 
 
 @register("window_lag_running", """SELECT event_id, user_id,
