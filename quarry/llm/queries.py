@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import (bpe, decontaminate, line_dedup, near_dedup, quality, repeats, token_counts, token_files, toxicity,
-                        url_filter)
+from quarry.llm import (bpe, decontaminate, line_dedup, merkle, near_dedup, quality, repeats, token_counts, token_files,
+                        toxicity, url_filter)
 from quarry.session import read_table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -66,6 +66,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(read_table(spark, sf_dir, "documents"))
+
+
 OP1_SQL = r"""
 with ln as (select doc_id, source, text, generate_subscripts(ls, 1) as pos, unnest(ls) as line
             from (select doc_id, source, text, string_split(text, chr(10)) as ls from documents)),
@@ -103,7 +107,56 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
        (fail_bits & 127) = 0 as kept, cast(fail_bits as bigint) as fail_bits from f
 """
 
+OP11_SQL = r"""
+with recursive
+enc as (select doc_id, source, text, coalesce(strlen(source) || ':' || source, '-') as s, coalesce(strlen(lang) || ':' || lang, '-') as g,
+               coalesce(strlen(cast(n_chars as varchar)) || ':' || cast(n_chars as varchar), '-') as c,
+               coalesce(strlen(cast(doc_id as varchar)) || ':' || cast(doc_id as varchar), '-') as i from documents),
+leaves as (select doc_id, source, sha256(i || s || g || c || coalesce(strlen(text) || ':' || text, '-')) as leaf,
+                  sha256(i || s || g || c || coalesce(strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), ''), '-')) as cut
+           from enc),
+bits(doc_id, pos, size, crc) as (
+    select doc_id, 1, length(cast(doc_id as varchar)), 4294967295::bigint from documents
+    union all
+    select doc_id, pos + 1, size, list_reduce(list_prepend(xor(crc, ascii(substr(cast(doc_id as varchar), pos, 1))::bigint), range(8)),
+        lambda x, k: case when x & 1 = 1 then xor(x >> 1, 3988292384::bigint) else x >> 1 end)
+    from bits where pos <= size),
+odd as (select doc_id, xor(crc, 4294967295::bigint) % 2 = 0 as changed from bits where pos > size),
+numbered as (select l.doc_id, source, leaf, case when changed then cut else leaf end as start,
+                    row_number() over (partition by source order by l.doc_id) - 1 as pos, count(*) over (partition by source) as n
+             from leaves l join odd o on l.doc_id = o.doc_id),
+tree(source, lvl, i, d, n) as (
+    select source, 0, pos, leaf, n from numbered
+    union all
+    select source, lvl + 1, i // 3, sha256(string_agg(d, '' order by i)), (n + 2) // 3 from tree where n > 1
+    group by source, lvl, i // 3, n),
+subroots as (select source, d, row_number() over (order by source nulls first) - 1 as pos, count(*) over () as n from tree where n = 1),
+top(lvl, i, d, n) as (
+    select 0, pos, d, n from subroots
+    union all
+    select lvl + 1, i // 3, sha256(string_agg(d, '' order by i)), (n + 2) // 3 from top where n > 1 group by lvl, i // 3, n),
+beside as (select source, lvl, i, coalesce(string_agg(d, '') over (run rows between unbounded preceding and 1 preceding), '') as l,
+                  coalesce(string_agg(d, '') over (run rows between 1 following and unbounded following), '') as r
+           from tree where n > 1 window run as (partition by source, lvl, i // 3 order by i)),
+beside_top as (select lvl, i, coalesce(string_agg(d, '') over (run rows between unbounded preceding and 1 preceding), '') as l,
+                      coalesce(string_agg(d, '') over (run rows between 1 following and unbounded following), '') as r
+               from top where n > 1 window run as (partition by lvl, i // 3 order by i)),
+walk(doc_id, source, lvl, i, n, d, proof) as (
+    select doc_id, source, 0, pos, n, start, '' from numbered
+    union all
+    select w.doc_id, w.source, w.lvl + 1, w.i // 3, (w.n + 2) // 3, sha256(b.l || w.d || b.r), w.proof || b.l || b.r
+    from walk w join beside b on b.source is not distinct from w.source and b.lvl = w.lvl and b.i = w.i where w.n > 1),
+climb(doc_id, lvl, i, n, d, proof) as (
+    select w.doc_id, 0, s.pos, s.n, w.d, w.proof from walk w join subroots s on w.source is not distinct from s.source where w.n = 1
+    union all
+    select c.doc_id, c.lvl + 1, c.i // 3, (c.n + 2) // 3, sha256(b.l || c.d || b.r), c.proof || b.l || b.r
+    from climb c join beside_top b on b.lvl = c.lvl and b.i = c.i where c.n > 1)
+select m.doc_id, m.leaf, s.d as subroot, t.d as root, sha256(c.proof) as proof_sha256, c.d as folded_root, c.d = t.d as verified
+from numbered m join subroots s on m.source is not distinct from s.source join climb c on c.doc_id = m.doc_id and c.n = 1
+     join top t on t.n = 1
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_line_dedup, op2_url_filter, op3_byte_bpe, op4_token_files, op5_near_dedup, op6_token_counts, op7_quality_rules,
-                             op8_toxicity, op9_suffix_repeats, op10_decontaminate)}
-SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op7_quality_rules": OP7_SQL}
+                             op8_toxicity, op9_suffix_repeats, op10_decontaminate, op11_merkle)}
+SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op7_quality_rules": OP7_SQL, "op11_merkle": OP11_SQL}
