@@ -246,10 +246,10 @@ def window_rank(spark, sf):
 
 @register("window_global", """SELECT l_orderkey, l_linenumber, row_number() OVER w AS rn, ntile(1000) OVER w AS tile,
   round(sum(l_quantity) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS running
-FROM lineitem WINDOW w AS (ORDER BY l_shipdate, l_orderkey, l_linenumber)""")
+FROM lineitem WINDOW w AS (ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice)""")
 def window_global(spark, sf):
-    li = _t(spark, sf, "lineitem").select("l_shipdate", "l_orderkey", "l_linenumber", "l_quantity")
-    out = K.arrange(li, ["l_shipdate", "l_orderkey", "l_linenumber"]).with_windows("rn", {"tile": 1000}, {"running": "l_quantity"})
+    order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    out = K.arrange(_t(spark, sf, "lineitem").select(*order, "l_quantity"), order).with_windows("rn", {"tile": 1000}, {"running": "l_quantity"})
     return rounded(out.select("l_orderkey", "l_linenumber", "rn", "tile", "running"))
 
 
