@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import (bpe, decontaminate, line_dedup, merkle, near_dedup, quality, repeats, token_counts, token_files,
-                        toxicity, url_filter)
+from quarry.llm import (bpe, decontaminate, line_dedup, lm_score, merkle, near_dedup, quality, repeats, token_counts,
+                        token_files, toxicity, url_filter)
 from quarry.session import read_table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -70,6 +70,10 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audit(read_table(spark, sf_dir, "documents"))
 
 
+def op12_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_texts(read_table(spark, sf_dir, "documents"))
+
+
 OP1_SQL = r"""
 with ln as (select doc_id, source, text, generate_subscripts(ls, 1) as pos, unnest(ls) as line
             from (select doc_id, source, text, string_split(text, chr(10)) as ls from documents)),
@@ -158,5 +162,6 @@ from numbered m join subroots s on m.source is not distinct from s.source join c
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_line_dedup, op2_url_filter, op3_byte_bpe, op4_token_files, op5_near_dedup, op6_token_counts, op7_quality_rules,
-                             op8_toxicity, op9_suffix_repeats, op10_decontaminate, op11_merkle)}
+                             op8_toxicity, op9_suffix_repeats, op10_decontaminate, op11_merkle,
+                             op12_lm_score)}
 SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op7_quality_rules": OP7_SQL, "op11_merkle": OP11_SQL}
