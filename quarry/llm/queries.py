@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import (bpe, decontaminate, line_dedup, lm_score, merkle, near_dedup, quality, repeats, token_counts,
-                        token_files, toxicity, url_filter)
+from quarry.llm import (bpe, decontaminate, hard_negatives, line_dedup, lm_score, merkle, near_dedup, quality, repeats,
+                        token_counts, token_files, toxicity, url_filter)
 from quarry.session import read_table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -74,6 +74,10 @@ def op12_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score_texts(read_table(spark, sf_dir, "documents"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(read_table(spark, sf_dir, "embeddings"))
+
+
 OP1_SQL = r"""
 with ln as (select doc_id, source, text, generate_subscripts(ls, 1) as pos, unnest(ls) as line
             from (select doc_id, source, text, string_split(text, chr(10)) as ls from documents)),
@@ -160,8 +164,25 @@ from numbered m join subroots s on m.source is not distinct from s.source join c
      join top t on t.n = 1
 """
 
+OP13_SQL = r"""
+with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+                  list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as q, row_number() over () as row
+           from embeddings where vec_id is not null and label is not null and embedding is not null
+                and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+s as (select a.vec_id as anchor_id, a.row as a_row, b.vec_id, b.row, a.label = b.label as same,
+             list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2]))::bigint as score
+      from v a join v b on a.row <> b.row where a.vec_id % 100 = 0),
+p as (select anchor_id, a_row, vec_id as positive_id, row as p_row, score as positive_score from s where same
+      qualify row_number() over (partition by a_row order by score desc, vec_id) <= 5)
+select p.anchor_id, positive_id, row_number() over (partition by p.a_row, p_row order by score desc, vec_id)::int as rank,
+       vec_id as negative_id, positive_score, score as negative_score
+from p join s on s.a_row = p.a_row and not same and 80 * positive_score <= 100 * score and score <= positive_score
+qualify rank <= 5
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_line_dedup, op2_url_filter, op3_byte_bpe, op4_token_files, op5_near_dedup, op6_token_counts, op7_quality_rules,
                              op8_toxicity, op9_suffix_repeats, op10_decontaminate, op11_merkle,
-                             op12_lm_score)}
-SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op7_quality_rules": OP7_SQL, "op11_merkle": OP11_SQL}
+                             op12_lm_score, op13_hard_negatives)}
+SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op7_quality_rules": OP7_SQL, "op11_merkle": OP11_SQL,
+                       "op13_hard_negatives": OP13_SQL}
