@@ -8,8 +8,9 @@ model beside it adds 0.1 to every count of a word or of the end.
 
 Both learn from the rows that are not held out, in four steps:
 
-1. Chunks of whole rows list their distinct grams (context and byte) and
-   words, with how often their training rows hold them.
+1. One scan cuts the rows into chunks, in the order they are read.  A chunk is
+   written with its texts, compressed, and lists its distinct grams (context
+   and byte) and words, with how often its training rows hold them.
 2. Shards of the model, dealt by the two nearest context bytes or by the
    word, sum the lists.  Their trees report what depth 1 needs: at most
    256 x 255 nodes, which are summed in Spark and come to the driver.
@@ -52,8 +53,11 @@ BY_BYTE, BY_NODE, TOKENS, DISTINCT = range(4)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] = LOWER[0x61:0x7B]
 
-SENT = "chunk int, cell int, keys binary, counts binary"
-ANSWERED = "chunk int, cell int, found binary"
+#: A chunk's texts (cell -1: compressed bytes, lengths, ids, marks) and its lists (keys, counts).
+SENT = "chunk string, cell int, keys binary, counts binary, ids binary, marks binary"
+ANSWERED = "chunk string, cell int, found binary"
+TEXTS = -1
+HELD, NO_ID = 1, 2
 REPORTED = "what int, key bigint, n bigint, s double"
 SCORED = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
@@ -103,6 +107,16 @@ def grams_of(data: np.ndarray, offs: np.ndarray, before: np.ndarray, ends: bool)
     return C.pack(ext)[np.arange(len(row)) + row * (C.DEPTH + (not ends))], row
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys, and the place of every key among them."""
+    order = np.argsort(keys)
+    k = keys[order]
+    head = np.concatenate([[True], k[1:] != k[:-1]])[:len(k)]
+    at = np.empty(len(k), np.int32)
+    at[order] = np.cumsum(head, dtype=np.int32) - 1
+    return k[head], at
+
+
 class Listed:
     """Distinct keys of a chunk (grams or words), piece by piece, and where they occur."""
 
@@ -110,43 +124,52 @@ class Listed:
         self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def add(self, keys: np.ndarray, rows: np.ndarray) -> None:
-        distinct, at = np.unique(keys, return_inverse=True)
-        self.parts.append((distinct, at.astype(np.int32), rows.astype(np.int32)))
+        found, at = distinct(keys)
+        self.parts.append((found, at, rows.astype(np.int32)))
 
-    def close(self) -> np.ndarray:
-        self.keys = np.unique(np.concatenate([np.zeros(0, U64), *[p[0] for p in self.parts]]))
-        return self.keys
+    def close(self) -> None:
+        keys = np.sort(np.concatenate([np.zeros(0, U64), *[p[0] for p in self.parts]]))
+        self.keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])[:len(keys)]]
 
     def counts(self, trains: np.ndarray) -> np.ndarray:
         out = np.zeros(len(self.keys), np.int64)
-        for distinct, at, rows in self.parts:
-            out[np.searchsorted(self.keys, distinct)] += np.bincount(at[trains[rows]], minlength=len(distinct))
+        for found, at, rows in self.parts:
+            out[np.searchsorted(self.keys, found)] += np.bincount(at[trains[rows]], minlength=len(found))
         return out
 
     def sums(self, values: np.ndarray, n_rows: int) -> np.ndarray:
         """Per row, the sum of the values of its keys."""
         out = np.zeros(n_rows)
-        for distinct, at, rows in self.parts:
-            own = values[np.searchsorted(self.keys, distinct)]
+        for found, at, rows in self.parts:
+            own = values[np.searchsorted(self.keys, found)]
             out += np.bincount(rows, weights=own[at], minlength=n_rows)
         return out
 
 
-def listed(texts) -> tuple[Listed, Listed]:
-    grams, words = Listed(), Listed()
-    for lo, _, data, offs in V.text_runs(texts):
-        for part, rows, before, ends in pieces(LOWER[data], offs):
+class Chunk:
+    """Rows with their texts, run by run."""
+
+    def __init__(self):
+        self.n_rows = self.n_bytes = 0
+        self.grams, self.words = Listed(), Listed()
+
+    def add(self, folded: np.ndarray, offs: np.ndarray) -> None:
+        for part, rows, before, ends in pieces(folded, offs):
             keys, row = grams_of(part, rows, before, ends)
-            grams.add(keys, row + lo)
+            self.grams.add(keys, row + self.n_rows)
             first, last, bounds = V.word_spans(part, rows)
             keys, row = V.span_hashes(part, first, last), V.rows_of(bounds)
             if ends:
                 n = len(rows) - 1
                 keys, row = np.append(keys, np.full(n, END)), np.append(row, np.arange(n))
-            words.add(keys, row + lo)
-    grams.close()
-    words.close()
-    return grams, words
+            self.words.add(keys, row + self.n_rows)
+        self.n_rows += len(offs) - 1
+        self.n_bytes += len(folded)
+
+    def close(self) -> tuple[Listed, Listed]:
+        self.grams.close()
+        self.words.close()
+        return self.grams, self.words
 
 
 def cells(keys: np.ndarray, kind: int, shards: int) -> np.ndarray:
@@ -161,16 +184,40 @@ def stretches(sorted_ids: np.ndarray) -> Iterator[tuple[int, int, int]]:
         yield int(sorted_ids[a]), int(a), int(b)
 
 
-def _send(table: pa.Table, shards: int) -> pa.Table:
-    out: list[tuple] = []
-    chunk = table.column("chunk")[0].as_py()
-    trains = ~table.column("held_out").to_numpy(zero_copy_only=False)
-    for kind, found in enumerate(listed(table.column("text"))):
-        counts, cell = found.counts(trains), cells(found.keys, kind, shards)
-        order = np.argsort(cell, kind="stable")
-        keys, counts = found.keys[order], counts[order]
-        out += [(chunk, c, differences(keys[a:b]), planes(counts[a:b])) for c, a, b in stretches(cell[order])]
-    return _table(out, [("chunk", pa.int32()), ("cell", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+def _send(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
+    from pyspark import TaskContext
+    task, number = TaskContext.get().partitionId(), 0
+    chunk, texts, sizes, ids, marks = Chunk(), [], [], [], []
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        nonlocal chunk, texts, sizes, ids, marks, number
+        name, mark = f"{task}-{number}", np.concatenate(marks)
+        raw = pa.compress(np.concatenate(texts).tobytes(), codec="zstd", asbytes=True)
+        out: list[tuple] = [(name, TEXTS, raw, planes(np.concatenate(sizes)), np.concatenate(ids).tobytes(), mark.tobytes())]
+        for kind, found in enumerate(chunk.close()):
+            counts, cell = found.counts(mark & HELD == 0), cells(found.keys, kind, shards)
+            order = np.argsort(cell, kind="stable")
+            keys, counts = found.keys[order], counts[order]
+            out += [(name, c, differences(keys[a:b]), planes(counts[a:b]), None, None) for c, a, b in stretches(cell[order])]
+        chunk, texts, sizes, ids, marks, number = Chunk(), [], [], [], [], number + 1
+        kinds = [pa.string(), pa.int32(), *[pa.binary()] * 4]
+        yield from _table(out, list(zip(("chunk", "cell", "keys", "counts", "ids", "marks"), kinds, strict=True))).to_batches()
+
+    for batch in batches:
+        held = batch.column("held_out").to_numpy(zero_copy_only=False)
+        no_id = batch.column("doc_id").is_null().to_numpy(zero_copy_only=False)
+        own = batch.column("doc_id").fill_null(0).to_numpy()
+        for lo, hi, data, offs in V.text_runs(batch.column("text")):
+            folded = LOWER[data]
+            chunk.add(folded, offs)
+            texts.append(folded)
+            sizes.append(np.diff(offs))
+            ids.append(own[lo:hi])
+            marks.append((held[lo:hi] * HELD + no_id[lo:hi] * NO_ID).astype(np.uint8))
+            if chunk.n_bytes >= CHUNK_BYTES:
+                yield from flush()
+    if marks:
+        yield from flush()
 
 
 def _table(rows: list[tuple], schema: list[tuple[str, pa.DataType]]) -> pa.Table:
@@ -212,29 +259,32 @@ def _answer(table: pa.Table, shards: int, upper: C.Upper) -> pa.Table:
     return table.select(["chunk", "cell"]).append_column("found", pa.array(out, pa.binary()))
 
 
-def _score(docs: pa.Table, answers: pa.Table, shards: int, tokens: int, distinct: int) -> pa.Table:
-    n = docs.num_rows
-    grams, words = listed(docs.column("text")) if n else (Listed(), Listed())
-    raw = dict(zip(answers.column("cell").to_pylist(), answers.column("found"), strict=True))
+def _score(sent: pa.Table, answers: pa.Table, shards: int, tokens: int, distinct_tokens: int) -> pa.Table:
+    row = sent.to_pylist()[0]
+    sizes, marks = from_planes(row["counts"]).astype(np.int64), np.frombuffer(row["marks"], np.uint8)
+    raw = pa.decompress(row["keys"], decompressed_size=int(sizes.sum()), codec="zstd") if sizes.sum() else pa.py_buffer(b"")
+    offs = np.concatenate([[0], np.cumsum(sizes)])
+    chunk, n = Chunk(), len(sizes)
+    for _, _, data, part in V.text_runs(pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offs), raw])):
+        chunk.add(data, part)
+    found = dict(zip(answers.column("cell").to_pylist(), answers.column("found"), strict=True))
 
     def values(keys: np.ndarray, kind: int, read) -> np.ndarray:
         cell = cells(keys, kind, shards)
         out = np.zeros(len(keys))
         order = np.argsort(cell, kind="stable")
         for c, a, b in stretches(cell[order]):
-            out[order[a:b]] = read(raw[c].as_buffer())
+            out[order[a:b]] = read(found[c].as_buffer())
         return out
 
-    if n:
-        chance = values(grams.keys, GRAMS, lambda x: np.frombuffer(x, np.float32))
-        count = values(words.keys, WORDS, from_planes)
-        score = grams.sums(chance, n)
-        base = words.sums(np.log10((count + 0.1) / (tokens + 0.1 * (distinct + 1))), n)
-        n_tokens, known = words.sums(np.ones(len(count)), n), words.sums((count > 0).astype(float), n)
-    else:
-        score = base = n_tokens = known = np.zeros(0)
-    return pa.table({"doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": n_tokens.astype(np.int64),
-                     "n_known": known.astype(np.int64), "train_tokens": np.full(n, tokens, np.int64), "base_score": base, "score": score})
+    grams, words = chunk.close()
+    chance = values(grams.keys, GRAMS, lambda x: np.frombuffer(x, np.float32))
+    count = values(words.keys, WORDS, from_planes)
+    base = words.sums(np.log10((count + 0.1) / (tokens + 0.1 * (distinct_tokens + 1))), n)
+    return pa.table({"doc_id": pa.array(np.frombuffer(row["ids"], np.int64), mask=marks & NO_ID > 0), "held_out": marks & HELD > 0,
+                     "n_tokens": words.sums(np.ones(len(count)), n).astype(np.int64),
+                     "n_known": words.sums((count > 0).astype(float), n).astype(np.int64), "train_tokens": np.full(n, tokens, np.int64),
+                     "base_score": base, "score": grams.sums(chance, n)})
 
 
 def held_out(doc_id: Column, folds: int) -> Column:
@@ -247,17 +297,17 @@ def score_texts(docs: DataFrame, folds: int = 10, doc_id: str = "doc_id", text:
     base_score (word model) and score (context-tree model), log10 of the text's chance."""
     src = pick(docs, doc_id=doc_id, text=text).withColumn("held_out", held_out(quoted("doc_id"), folds))
     src = src.withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    n = shards = parts_for(text_bytes(src), CHUNK_BYTES)
-    chunk = F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(n)).cast("int")
-    chunks = src.withColumn("chunk", chunk).repartition(n, "chunk")
-    sent = materialize(chunks.groupBy("chunk").applyInArrow(lambda t: _send(t, shards), SENT), "model-lists")
-    told = sent.groupBy("cell").applyInArrow(lambda t: _report(t, shards), REPORTED).groupBy("what", "key").agg(
+    shards = parts_for(text_bytes(src), CHUNK_BYTES)
+    sent = materialize(src.mapInArrow(lambda it: _send(it, shards), SENT), "model-lists")
+    lists = sent.where(F.col("cell") != TEXTS).select("chunk", "cell", "keys", "counts")
+    told = lists.groupBy("cell").applyInArrow(lambda t: _report(t, shards), REPORTED).groupBy("what", "key").agg(
         F.sum("n").alias("n"), F.sum("s").alias("s")).collect()  # at most 2^16 + 256 x 255 + 2 rows
     upper = _upper([r for r in told if r["what"] in (BY_BYTE, BY_NODE)])
-    tokens, distinct = (next((r["n"] for r in told if r["what"] == w), 0) for w in (TOKENS, DISTINCT))
-    answers = sent.groupBy("cell").applyInArrow(lambda t: _answer(t, shards, upper), ANSWERED)
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
-        lambda d, a: _score(d, a, shards, tokens, distinct), SCORED)
+    tokens, kinds = (next((r["n"] for r in told if r["what"] == w), 0) for w in (TOKENS, DISTINCT))
+    answers = lists.groupBy("cell").applyInArrow(lambda t: _answer(t, shards, upper), ANSWERED)
+    texts = sent.where(F.col("cell") == TEXTS).select("chunk", "keys", "counts", "ids", "marks")
+    return texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
+        lambda d, a: _score(d, a, shards, tokens, kinds), SCORED)
 
 
 def _upper(told: list) -> C.Upper:

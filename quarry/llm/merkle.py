@@ -311,9 +311,9 @@ class Manifest:
         """tree, subroot, root, path: how every source's subroot leads to the root."""
         built = with_paths(self.top, self.root.select("tree", F.lit(b"").alias("path")))
         down = built.mapInArrow(_hand_down, "tree string, at bigint, path binary").select("at", "path")
-        root = self.root.select(F.col("node").alias("root"), F.lit(0).alias("one"))
-        named = self.sources.select("tree", F.col("node").alias("subroot"), "at", F.lit(0).alias("one"))
-        return materialize(named.join(down, "at").join(root, "one").drop("at", "one"), "merkle-sources")
+        root = self.root.first()  # one digest
+        named = self.sources.select("tree", F.col("node").alias("subroot"), "at", F.lit(root and root["node"]).cast("binary").alias("root"))
+        return materialize(named.join(down, "at").drop("at"), "merkle-sources")
 
     def proofs(self) -> DataFrame:
         """Per row: doc_id, leaf, subroot, root, proof_sha256 (H of all siblings up to the root), folded_root (from the

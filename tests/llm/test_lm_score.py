@@ -158,7 +158,10 @@ def test_estimate_of_large_counts():
 
 
 def test_listed_sums():
-    grams, words = L.listed(pa.array(["a a b", None, "b"]))
+    chunk = L.Chunk()
+    for _, _, data, offs in V.text_runs(pa.array(["a a b", None, "b"])):
+        chunk.add(L.LOWER[data], offs)
+    grams, words = chunk.close()
     assert words.counts(np.array([True, True, False])).sum() == 5
     assert words.sums(np.ones(len(words.keys)), 3).tolist() == [4, 1, 2]
     assert grams.sums(np.ones(len(grams.keys)), 3).tolist() == [6, 1, 2]
