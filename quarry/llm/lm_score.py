@@ -9,17 +9,18 @@ model beside it adds 0.1 to every count of a word or of the end.
 Both learn from the rows that are not held out, in four steps:
 
 1. One scan cuts the rows into chunks, in the order they are read.  A chunk is
-   written with its texts, compressed, and lists its distinct grams (context
-   and byte) and words, with how often its training rows hold them.
-2. Shards of the model, dealt by the two nearest context bytes or by the
-   word, sum the lists.  Their trees report what depth 1 needs: at most
-   256 x 255 nodes, which are summed in Spark and come to the driver.
-3. The shards answer each chunk's lists: the log chance of every gram, the
+   written with its texts, and lists its distinct grams (context and byte)
+   and words, with how often its training rows hold them.
+2. Cells of the model, dealt by the two nearest context bytes or by the word,
+   gather the lists: their union with summed counts, and every list as places
+   in the union.  Their trees report what depth 1 needs: at most 256 x 255
+   nodes, which are summed in Spark and come to the driver.
+3. The cells answer each chunk's lists: the log chance of every gram, the
    training count of every word.
 4. Chunks sum the answers over their texts.
 
-A gram or word enters a shuffle once per chunk, however often it occurs, and
-lists travel as byte planes of their differences.
+A gram or word enters a shuffle once per chunk, however often it occurs; texts
+and lists (byte planes of differences) are written compressed.
 
 Defined cases: null texts are empty, and an empty text is one end; rows
 without an id are held out; repeated rows are scored one by one, and count as
@@ -43,36 +44,52 @@ from quarry.llm import textvec as V
 from quarry.llm.base import parts_for, pick, quoted, text_bytes
 from quarry.session import materialize
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 16 << 20
+#: Lists of a chunk's runs are merged when they hold so many keys.
+PENDING = 1 << 20
+RANGES = 16
 U64 = np.uint64
 #: Stands for the end among the words' hashes.
 END = U64(0xE0D0_0F0F_7E57_0001)
 GRAMS, WORDS = 0, 1
-#: What shards report: counts by (context byte, byte), sums by node, tokens, distinct tokens.
+#: What cells report: counts by (context byte, byte), sums by node, tokens, distinct tokens.
 BY_BYTE, BY_NODE, TOKENS, DISTINCT = range(4)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] = LOWER[0x61:0x7B]
 
-#: A chunk's texts (cell -1: compressed bytes, lengths, ids, marks) and its lists (keys, counts).
+#: A chunk's texts (cell -1: bytes, lengths, ids, marks) and its lists (keys, counts).
 SENT = "chunk string, cell int, keys binary, counts binary, ids binary, marks binary"
+GATHERED = ("cell int, keys binary, counts binary, chunks array<string>, places array<binary>, told_what binary, told_keys binary, "
+            "told_n binary, told_s binary")
+REPORTED = "what int, key bigint, n bigint, s double"
 ANSWERED = "chunk string, cell int, found binary"
+SCORED = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 TEXTS = -1
 HELD, NO_ID = 1, 2
-REPORTED = "what int, key bigint, n bigint, s double"
-SCORED = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+_zstd = pa.Codec("zstd", compression_level=3)
+
+
+def squeeze(a: np.ndarray) -> bytes:
+    raw = pa.py_buffer(np.ascontiguousarray(a))
+    return raw.size.to_bytes(8, "little") + _zstd.compress(raw, asbytes=True) if raw.size else b""
+
+
+def unsqueeze(raw) -> bytes:
+    raw = memoryview(raw)
+    return _zstd.decompress(raw[8:], int.from_bytes(raw[:8], "little"), asbytes=True) if len(raw) else b""
 
 
 def planes(a: np.ndarray) -> bytes:
     """Unsigned 64-bit numbers, lowest bytes first, so that the mostly empty high planes compress."""
-    return np.ascontiguousarray(a.astype(U64).view(np.uint8).reshape(-1, 8).T).tobytes()
+    return squeeze(a.astype(U64).view(np.uint8).reshape(-1, 8).T)
 
 
 def from_planes(raw) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).reshape(-1).view(U64)
+    return np.ascontiguousarray(np.frombuffer(unsqueeze(raw), np.uint8).reshape(8, -1).T).reshape(-1).view(U64)
 
 
 def differences(a: np.ndarray) -> bytes:
-    return planes(np.diff(a, prepend=U64(0)))
+    return planes(np.diff(a.astype(U64), prepend=U64(0)))
 
 
 def from_differences(raw) -> np.ndarray:
@@ -107,114 +124,136 @@ def grams_of(data: np.ndarray, offs: np.ndarray, before: np.ndarray, ends: bool)
     return C.pack(ext)[np.arange(len(row)) + row * (C.DEPTH + (not ends))], row
 
 
-def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys, and the place of every key among them."""
-    order = np.argsort(keys)
-    k = keys[order]
-    head = np.concatenate([[True], k[1:] != k[:-1]])[:len(k)]
-    at = np.empty(len(k), np.int32)
-    at[order] = np.cumsum(head, dtype=np.int32) - 1
-    return k[head], at
+def keys_of(data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(kind, keys, rows) of a run's grams and words, piece by piece."""
+    for part, rows, before, ends in pieces(data, offs):
+        yield GRAMS, *grams_of(part, rows, before, ends)
+        first, last, bounds = V.word_spans(part, rows)
+        keys, row = V.span_hashes(part, first, last), V.rows_of(bounds)
+        if ends:
+            n = len(rows) - 1
+            keys, row = np.append(keys, np.full(n, END)), np.append(row, np.arange(n))
+        yield WORDS, keys, row
 
 
-class Listed:
-    """Distinct keys of a chunk (grams or words), piece by piece, and where they occur."""
+def _heads(k: np.ndarray) -> np.ndarray:
+    return np.concatenate([[True], k[1:] != k[:-1]])[:len(k)]
+
+
+class Counted:
+    """Distinct keys, with how often training rows hold them."""
 
     def __init__(self):
-        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.pending: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, keys: np.ndarray, trains: np.ndarray) -> None:
+        order = np.argsort(keys)
+        k = keys[order]
+        heads = np.flatnonzero(_heads(k))
+        if len(heads):
+            self.pending.append((k[heads], np.add.reduceat(trains[order], heads, dtype=np.int64)))
+            self.size += len(heads)
+            if self.size > PENDING + (len(self.pending[0][0]) if len(self.pending) > 1 else 0):
+                self.merge()
+
+    def merge(self) -> tuple[np.ndarray, np.ndarray]:
+        """All pending lists as one; merged range by range of keys, so that little is held twice."""
+        if len(self.pending) != 1:
+            largest = max((p[0] for p in self.pending), key=len, default=np.zeros(0, U64))
+            cuts = largest[np.arange(1, RANGES) * len(largest) // RANGES] if len(largest) else largest
+            bounds = [np.concatenate([[0], np.searchsorted(k, cuts), [len(k)]]) for k, _ in self.pending]
+            done = [(np.zeros(0, U64), np.zeros(0, np.int64))]
+            for i in range(len(cuts) + 1):
+                parts = [(k[b[i]:b[i + 1]], c[b[i]:b[i + 1]]) for (k, c), b in zip(self.pending, bounds, strict=True)]
+                done += [C.sum_by(*(np.concatenate(x) for x in zip(*parts, strict=True)))] if parts else []
+            self.pending = []
+            self.pending = [tuple(np.concatenate(x) for x in zip(*done, strict=True))]
+        self.size = len(self.pending[0][0])
+        return self.pending[0]
+
+
+class Placed:
+    """Distinct keys, and where they stand: per piece its keys, their places, and the rows."""
 
-    def add(self, keys: np.ndarray, rows: np.ndarray) -> None:
-        found, at = distinct(keys)
-        self.parts.append((found, at, rows.astype(np.int32)))
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
 
-    def close(self) -> None:
+    def add(self, keys: np.ndarray, rows: np.ndarray) -> None:
+        order = np.argsort(keys)
+        k = keys[order]
+        head = _heads(k)
+        at = np.empty(len(k), np.int32)
+        at[order] = np.cumsum(head, dtype=np.int32) - 1
+        own, n = np.unique_counts(rows)
+        self.parts.append((k[head], at, own, n) if (rows[1:] >= rows[:-1]).all() else (k[head], at, rows, np.ones(1, np.int64)))
+
+    def close(self) -> np.ndarray:
         keys = np.sort(np.concatenate([np.zeros(0, U64), *[p[0] for p in self.parts]]))
-        self.keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])[:len(keys)]]
-
-    def counts(self, trains: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(self.keys), np.int64)
-        for found, at, rows in self.parts:
-            out[np.searchsorted(self.keys, found)] += np.bincount(at[trains[rows]], minlength=len(found))
-        return out
+        self.keys = keys[_heads(keys)]
+        return self.keys
 
     def sums(self, values: np.ndarray, n_rows: int) -> np.ndarray:
         """Per row, the sum of the values of its keys."""
         out = np.zeros(n_rows)
-        for found, at, rows in self.parts:
+        for found, at, rows, n in self.parts:
             own = values[np.searchsorted(self.keys, found)]
-            out += np.bincount(rows, weights=own[at], minlength=n_rows)
+            out += np.bincount(np.repeat(rows, n), weights=own[at], minlength=n_rows)
         return out
 
 
-class Chunk:
-    """Rows with their texts, run by run."""
-
-    def __init__(self):
-        self.n_rows = self.n_bytes = 0
-        self.grams, self.words = Listed(), Listed()
-
-    def add(self, folded: np.ndarray, offs: np.ndarray) -> None:
-        for part, rows, before, ends in pieces(folded, offs):
-            keys, row = grams_of(part, rows, before, ends)
-            self.grams.add(keys, row + self.n_rows)
-            first, last, bounds = V.word_spans(part, rows)
-            keys, row = V.span_hashes(part, first, last), V.rows_of(bounds)
-            if ends:
-                n = len(rows) - 1
-                keys, row = np.append(keys, np.full(n, END)), np.append(row, np.arange(n))
-            self.words.add(keys, row + self.n_rows)
-        self.n_rows += len(offs) - 1
-        self.n_bytes += len(folded)
-
-    def close(self) -> tuple[Listed, Listed]:
-        self.grams.close()
-        self.words.close()
-        return self.grams, self.words
-
-
-def cells(keys: np.ndarray, kind: int, shards: int) -> np.ndarray:
-    """The shard of every key, words' after the grams'."""
-    dealt = V.mix(C.context_of(keys, C.SPLIT) + U64(1)) if kind == GRAMS else V.mix(keys)
-    return kind * shards + (dealt % U64(shards)).astype(np.int64)
-
-
-def stretches(sorted_ids: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    heads = np.flatnonzero(np.concatenate([[True], sorted_ids[1:] != sorted_ids[:-1]])) if len(sorted_ids) else []
-    for a, b in zip(heads, [*heads[1:], len(sorted_ids)], strict=True):
-        yield int(sorted_ids[a]), int(a), int(b)
+def dealt(keys: np.ndarray, kind: int, shards: int) -> Iterator[tuple[int, list[slice]]]:
+    """Each cell and the slices of the sorted keys that go to it: all grams of two nearest context bytes to
+    one, a range of words' hashes to one."""
+    if kind == GRAMS:
+        near = C.context_of(keys, C.SPLIT)
+        heads = np.flatnonzero(_heads(near))
+        cell = (V.mix(near[heads] + U64(1)) % U64(shards)).astype(np.int64)
+    else:
+        cell = ((keys >> U64(32)) * U64(shards) >> U64(32)).astype(np.int64)
+        heads = np.flatnonzero(_heads(cell))
+        cell = cell[heads]
+    ends = np.append(heads[1:], len(keys))
+    order = np.argsort(cell, kind="stable")
+    groups = np.flatnonzero(_heads(cell[order]))
+    for a, b in zip(groups, np.append(groups[1:], len(order)), strict=True):
+        yield kind * shards + int(cell[order[a]]), [slice(int(heads[i]), int(ends[i])) for i in order[a:b]]
 
 
 def _send(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
     task, number = TaskContext.get().partitionId(), 0
-    chunk, texts, sizes, ids, marks = Chunk(), [], [], [], []
+    lists, texts, sizes, ids, marks, n_bytes = [Counted(), Counted()], [], [], [], [], 0
 
     def flush() -> Iterator[pa.RecordBatch]:
-        nonlocal chunk, texts, sizes, ids, marks, number
-        name, mark = f"{task}-{number}", np.concatenate(marks)
-        raw = pa.compress(np.concatenate(texts).tobytes(), codec="zstd", asbytes=True)
-        out: list[tuple] = [(name, TEXTS, raw, planes(np.concatenate(sizes)), np.concatenate(ids).tobytes(), mark.tobytes())]
-        for kind, found in enumerate(chunk.close()):
-            counts, cell = found.counts(mark & HELD == 0), cells(found.keys, kind, shards)
-            order = np.argsort(cell, kind="stable")
-            keys, counts = found.keys[order], counts[order]
-            out += [(name, c, differences(keys[a:b]), planes(counts[a:b]), None, None) for c, a, b in stretches(cell[order])]
-        chunk, texts, sizes, ids, marks, number = Chunk(), [], [], [], [], number + 1
+        nonlocal lists, texts, sizes, ids, marks, n_bytes, number
+        name = f"{task}-{number}"
+        raw = squeeze(np.concatenate(texts))
+        texts, found = [], []
+        found.append((name, TEXTS, raw, planes(np.concatenate(sizes)), np.concatenate(ids).tobytes(), np.concatenate(marks).tobytes()))
+        for kind in (GRAMS, WORDS):
+            keys, counts = lists[kind].merge()
+            lists[kind] = Counted()
+            found += [(name, cell, differences(np.concatenate([keys[x] for x in at])), planes(np.concatenate([counts[x] for x in at])), None, None)
+                      for cell, at in dealt(keys, kind, shards)]
+        sizes, ids, marks, n_bytes, number = [], [], [], 0, number + 1
         kinds = [pa.string(), pa.int32(), *[pa.binary()] * 4]
-        yield from _table(out, list(zip(("chunk", "cell", "keys", "counts", "ids", "marks"), kinds, strict=True))).to_batches()
+        yield from _table(found, list(zip(("chunk", "cell", "keys", "counts", "ids", "marks"), kinds, strict=True))).to_batches()
 
     for batch in batches:
         held = batch.column("held_out").to_numpy(zero_copy_only=False)
         no_id = batch.column("doc_id").is_null().to_numpy(zero_copy_only=False)
         own = batch.column("doc_id").fill_null(0).to_numpy()
         for lo, hi, data, offs in V.text_runs(batch.column("text")):
-            folded = LOWER[data]
-            chunk.add(folded, offs)
+            folded, trains = LOWER[data], ~held[lo:hi]
+            for kind, keys, rows in keys_of(folded, offs):
+                lists[kind].add(keys, trains[rows])
             texts.append(folded)
             sizes.append(np.diff(offs))
             ids.append(own[lo:hi])
             marks.append((held[lo:hi] * HELD + no_id[lo:hi] * NO_ID).astype(np.uint8))
-            if chunk.n_bytes >= CHUNK_BYTES:
+            n_bytes += len(folded)
+            if n_bytes >= CHUNK_BYTES:
                 yield from flush()
     if marks:
         yield from flush()
@@ -225,66 +264,74 @@ def _table(rows: list[tuple], schema: list[tuple[str, pa.DataType]]) -> pa.Table
     return pa.table([pa.array(c, t) for c, (_, t) in zip(columns, schema, strict=True)], schema=pa.schema(schema))
 
 
-class Shard:
-    """One cell's lists, summed: the sorted distinct keys with their counts, and each chunk's keys."""
+def _gather(table: pa.Table, shards: int) -> pa.Table:
+    """One row per cell: the union of its lists, the lists as places in it (words': their counts), the report."""
+    cell = table.column("cell")[0].as_py()
+    lists = [from_differences(x.as_buffer()) for x in table.column("keys")]
+    counts = [from_planes(x.as_buffer()).astype(np.int64) for x in table.column("counts")]
+    keys, counts = C.sum_by(np.concatenate(lists), np.concatenate(counts))
+    at = [np.searchsorted(keys, x) for x in lists]
+    if cell >= shards:
+        told = np.array([TOKENS, DISTINCT]), np.zeros(2, np.int64), np.array([counts.sum(), (counts > 0).sum()]), np.zeros(2)
+        places, keys, counts = [planes(counts[x]) for x in at], keys[:0], counts[:0]
+    else:
+        byte_keys, n, nodes, sums = C.Tree(keys, counts).report()
+        told = (np.repeat([BY_BYTE, BY_NODE], [len(byte_keys), len(nodes)]), np.concatenate([byte_keys, nodes]).astype(np.int64),
+                np.append(n, np.zeros(len(nodes), np.int64)), np.append(np.zeros(len(byte_keys)), sums))
+        places = [differences(x) for x in at]
+    return pa.table({"cell": pa.array([cell], pa.int32()), "keys": [differences(keys)], "counts": [planes(counts)],
+                     "chunks": [table.column("chunk").to_pylist()], "places": pa.array([places], pa.list_(pa.binary())),
+                     **{f"told_{c}": [x.tobytes()] for c, x in zip(("what", "keys", "n", "s"), told, strict=True)}})
 
-    def __init__(self, table: pa.Table):
-        self.lists = [from_differences(x.as_buffer()) for x in table.column("keys")]
-        counts = [from_planes(x.as_buffer()).astype(np.int64) for x in table.column("counts")]
-        self.keys, self.counts = C.sum_by(np.concatenate(self.lists), np.concatenate(counts))
 
+def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        what, key, n, s = (np.concatenate([np.zeros(0, t), *[np.frombuffer(x.as_buffer(), t) for x in batch.column(c)]])
+                           for c, t in (("told_what", np.int64), ("told_keys", np.int64), ("told_n", np.int64), ("told_s", float)))
+        yield pa.RecordBatch.from_arrays([pa.array(what, pa.int32()), pa.array(key), pa.array(n), pa.array(s)], names=["what", "key", "n", "s"])
 
-def _report(table: pa.Table, shards: int) -> pa.Table:
-    shard = Shard(table)
-    if table.column("cell")[0].as_py() >= shards:
-        known = shard.counts > 0
-        what, keys = np.array([TOKENS, DISTINCT]), np.zeros(2, np.int64)
-        n, s = np.array([shard.counts.sum(), known.sum()]), np.zeros(2)
-    else:
-        byte_keys, counts, nodes, sums = C.Tree(shard.keys, shard.counts).report()
-        what = np.repeat([BY_BYTE, BY_NODE], [len(byte_keys), len(nodes)])
-        keys = np.concatenate([byte_keys, nodes]).astype(np.int64)
-        n, s = np.append(counts, np.zeros(len(nodes), np.int64)), np.append(np.zeros(len(byte_keys)), sums)
-    return pa.table({"what": pa.array(what, pa.int32()), "key": keys, "n": pa.array(n, pa.int64()), "s": s})
-
-
-def _answer(table: pa.Table, shards: int, upper: C.Upper) -> pa.Table:
-    shard = Shard(table)
-    if table.column("cell")[0].as_py() >= shards:
-        found = shard.counts
-        out = [planes(found[np.searchsorted(shard.keys, x)]) for x in shard.lists]
-    else:
-        found = C.Tree(shard.keys, shard.counts).log_chances(upper).astype(np.float32)
-        out = [found[np.searchsorted(shard.keys, x)].tobytes() for x in shard.lists]
-    return table.select(["chunk", "cell"]).append_column("found", pa.array(out, pa.binary()))
+
+def _answer(batches: Iterator[pa.RecordBatch], shards: int, upper: C.Upper) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1).to_pylist()[0]
+            if row["cell"] < shards:
+                tree = C.Tree(from_differences(row["keys"]), from_planes(row["counts"]).astype(np.int64))
+                found = tree.log_chances(upper).astype(np.float32)
+                row["places"] = [found[from_differences(x)].tobytes() for x in row["places"]]
+            yield pa.RecordBatch.from_arrays([pa.array(row["chunks"], pa.string()), pa.array([row["cell"]] * len(row["chunks"]), pa.int32()),
+                                              pa.array(row["places"], pa.binary())], names=["chunk", "cell", "found"])
 
 
 def _score(sent: pa.Table, answers: pa.Table, shards: int, tokens: int, distinct_tokens: int) -> pa.Table:
     row = sent.to_pylist()[0]
     sizes, marks = from_planes(row["counts"]).astype(np.int64), np.frombuffer(row["marks"], np.uint8)
-    raw = pa.decompress(row["keys"], decompressed_size=int(sizes.sum()), codec="zstd") if sizes.sum() else pa.py_buffer(b"")
-    offs = np.concatenate([[0], np.cumsum(sizes)])
-    chunk, n = Chunk(), len(sizes)
-    for _, _, data, part in V.text_runs(pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offs), raw])):
-        chunk.add(data, part)
+    offs, n = np.concatenate([[0], np.cumsum(sizes)]), len(sizes)
+    texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offs), pa.py_buffer(unsqueeze(row["keys"]))])
+    placed = [Placed(), Placed()]
+    for lo, _, data, part in V.text_runs(texts):
+        for kind, keys, rows in keys_of(data, part):
+            placed[kind].add(keys, rows + lo)
     found = dict(zip(answers.column("cell").to_pylist(), answers.column("found"), strict=True))
 
-    def values(keys: np.ndarray, kind: int, read) -> np.ndarray:
-        cell = cells(keys, kind, shards)
+    def values(kind: int, read) -> np.ndarray:
+        keys = placed[kind].close()
         out = np.zeros(len(keys))
-        order = np.argsort(cell, kind="stable")
-        for c, a, b in stretches(cell[order]):
-            out[order[a:b]] = read(found[c].as_buffer())
+        for cell, slices in dealt(keys, kind, shards):
+            answer, at = read(found[cell].as_buffer()), 0
+            for x in slices:
+                out[x] = answer[at:at + x.stop - x.start]
+                at += x.stop - x.start
         return out
 
-    grams, words = chunk.close()
-    chance = values(grams.keys, GRAMS, lambda x: np.frombuffer(x, np.float32))
-    count = values(words.keys, WORDS, from_planes)
+    chance = values(GRAMS, lambda x: np.frombuffer(x, np.float32))
+    score = placed[GRAMS].sums(chance, n)
+    count, words = values(WORDS, from_planes), placed[WORDS]
     base = words.sums(np.log10((count + 0.1) / (tokens + 0.1 * (distinct_tokens + 1))), n)
     return pa.table({"doc_id": pa.array(np.frombuffer(row["ids"], np.int64), mask=marks & NO_ID > 0), "held_out": marks & HELD > 0,
                      "n_tokens": words.sums(np.ones(len(count)), n).astype(np.int64),
                      "n_known": words.sums((count > 0).astype(float), n).astype(np.int64), "train_tokens": np.full(n, tokens, np.int64),
-                     "base_score": base, "score": grams.sums(chance, n)})
+                     "base_score": base, "score": score})
 
 
 def held_out(doc_id: Column, folds: int) -> Column:
@@ -297,14 +344,15 @@ def score_texts(docs: DataFrame, folds: int = 10, doc_id: str = "doc_id", text:
     base_score (word model) and score (context-tree model), log10 of the text's chance."""
     src = pick(docs, doc_id=doc_id, text=text).withColumn("held_out", held_out(quoted("doc_id"), folds))
     src = src.withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    shards = parts_for(text_bytes(src), CHUNK_BYTES)
+    shards = parts_for(text_bytes(src), CHUNK_BYTES, 12)
     sent = materialize(src.mapInArrow(lambda it: _send(it, shards), SENT), "model-lists")
     lists = sent.where(F.col("cell") != TEXTS).select("chunk", "cell", "keys", "counts")
-    told = lists.groupBy("cell").applyInArrow(lambda t: _report(t, shards), REPORTED).groupBy("what", "key").agg(
+    gathered = materialize(lists.groupBy("cell").applyInArrow(lambda t: _gather(t, shards), GATHERED), "model-cells")
+    told = gathered.select("told_what", "told_keys", "told_n", "told_s").mapInArrow(_report, REPORTED).groupBy("what", "key").agg(
         F.sum("n").alias("n"), F.sum("s").alias("s")).collect()  # at most 2^16 + 256 x 255 + 2 rows
     upper = _upper([r for r in told if r["what"] in (BY_BYTE, BY_NODE)])
     tokens, kinds = (next((r["n"] for r in told if r["what"] == w), 0) for w in (TOKENS, DISTINCT))
-    answers = lists.groupBy("cell").applyInArrow(lambda t: _answer(t, shards, upper), ANSWERED)
+    answers = gathered.select("cell", "keys", "counts", "chunks", "places").mapInArrow(lambda it: _answer(it, shards, upper), ANSWERED)
     texts = sent.where(F.col("cell") == TEXTS).select("chunk", "keys", "counts", "ids", "marks")
     return texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
         lambda d, a: _score(d, a, shards, tokens, kinds), SCORED)

@@ -157,11 +157,35 @@ def test_estimate_of_large_counts():
     assert C.log_kt(a, b) == pytest.approx([kt(x, y) for x, y in zip(a.tolist(), b.tolist(), strict=True)])
 
 
-def test_listed_sums():
-    chunk = L.Chunk()
-    for _, _, data, offs in V.text_runs(pa.array(["a a b", None, "b"])):
-        chunk.add(L.LOWER[data], offs)
-    grams, words = chunk.close()
-    assert words.counts(np.array([True, True, False])).sum() == 5
-    assert words.sums(np.ones(len(words.keys)), 3).tolist() == [4, 1, 2]
-    assert grams.sums(np.ones(len(grams.keys)), 3).tolist() == [6, 1, 2]
+def test_keys_of_runs():
+    texts, trains = pa.array(["a a b", None, "b"]), np.array([True, True, False])
+    counted, placed = [L.Counted(), L.Counted()], [L.Placed(), L.Placed()]
+    for lo, _, data, offs in V.text_runs(texts):
+        for kind, keys, rows in L.keys_of(L.LOWER[data], offs):
+            counted[kind].add(keys, trains[rows + lo])
+            placed[kind].add(keys, rows + lo)
+    words, counts = counted[L.WORDS].merge()
+    assert counts.tolist() == [{"a": 2, "b": 1, None: 2}[w] for w in _by_hash(["a", "b", None])]
+    assert (placed[L.WORDS].close() == words).all()
+    assert placed[L.WORDS].sums(np.ones(3), 3).tolist() == [4, 1, 2]
+    grams, counts = counted[L.GRAMS].merge()
+    assert counts.sum() == 7
+    assert (placed[L.GRAMS].close() == grams).all()
+    assert placed[L.GRAMS].sums(np.ones(len(grams)), 3).tolist() == [6, 1, 2]
+
+
+def _by_hash(words):
+    hashes = {w: L.END if w is None else V.span_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w)]))[0] for w in words}
+    return sorted(words, key=hashes.get)
+
+
+def test_lists_merge_when_they_grow(monkeypatch):
+    monkeypatch.setattr(L, "PENDING", 50)
+    rng, counted, want = np.random.default_rng(4), L.Counted(), np.zeros(300, int)
+    for _ in range(40):
+        keys, trains = rng.integers(0, 300, 30).astype(np.uint64), rng.random(30) < 0.5
+        counted.add(keys, trains)
+        np.add.at(want, keys[trains].astype(int), 1)
+    keys, counts = counted.merge()
+    assert counts.tolist() == want[keys.astype(int)].tolist()
+    assert len(L.Counted().merge()[0]) == 0
