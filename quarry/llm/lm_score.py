@@ -44,9 +44,9 @@ from quarry.llm import textvec as V
 from quarry.llm.base import parts_for, pick, quoted, text_bytes
 from quarry.session import materialize
 
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 #: Lists of a chunk's runs are merged when they hold so many keys.
-PENDING = 1 << 20
+PENDING = 1 << 19
 RANGES = 16
 U64 = np.uint64
 #: Stands for the end among the words' hashes.
