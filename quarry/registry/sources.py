@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quarry.functions.parsing import CSV_NULL_TOKENS
 from quarry.plans.clean_plan import smart_clean
 from quarry.registry import register
 from quarry.session import read_table, scratch_path
@@ -33,6 +34,33 @@ def csv_text_raw(spark, sf):
     return read_csv_text(spark, path)
 
 
+@register("csv_headers_mixed", """SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name,
+  CASE WHEN c_custkey % 3 < 2 THEN CAST(c_nationkey AS VARCHAR) END AS c_nationkey,
+  CASE WHEN c_custkey % 3 = 2 THEN c_mktsegment END AS segment FROM customer""")
+def csv_headers_mixed(spark, sf):
+    # one folder, three headers: other orders of the columns, and other columns
+    path = scratch_path(spark, "csvmixed")
+    c = read_table(spark, sf, "customer")
+    for kind, columns in enumerate((["c_custkey", "c_name", "c_nationkey"], ["c_nationkey", "c_custkey", "c_name"],
+                                    ["c_name", "c_mktsegment AS segment", "c_custkey"])):
+        export_table(c.where(F.col("c_custkey") % 3 == kind).selectExpr(*columns), path, "csv", "append")
+    return read_csv_text(spark, path)
+
+
+_TOKENS_SQL = ", ".join("'" + t + "'" for t in CSV_NULL_TOKENS)
+
+
+@register("csv_multiline_parallel", f"""SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang,
+  CASE WHEN text IN ({_TOKENS_SQL}) THEN NULL ELSE text END AS text,
+  'a "quoted"' || chr(10) || chr(10) || '"' || source || '",' AS note, CAST(n_chars AS VARCHAR) AS n_chars FROM documents""")
+def csv_multiline_parallel(spark, sf):
+    # texts of many lines, quotes that double, and a field that ends in a comma
+    path = scratch_path(spark, "csvlines")
+    note = F.concat(F.lit('a "quoted"\n\n"'), "source", F.lit('",'))
+    export_table(read_table(spark, sf, "documents").select("doc_id", "lang", "text", note.alias("note"), "n_chars"), path, "csv")
+    return read_csv_text(spark, path)
+
+
 @register("json_records", """SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name,
   CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation""")
 def json_records(spark, sf):
