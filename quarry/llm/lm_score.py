@@ -48,6 +48,7 @@ CHUNK_BYTES = 8 << 20
 #: Lists of a chunk's runs are merged when they hold so many keys.
 PENDING = 1 << 19
 RANGES = 16
+RUN_BYTES = 1 << 18
 U64 = np.uint64
 #: Stands for the end among the words' hashes.
 END = U64(0xE0D0_0F0F_7E57_0001)
@@ -237,6 +238,7 @@ def _send(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordB
             found += [(name, cell, differences(np.concatenate([keys[x] for x in at])), planes(np.concatenate([counts[x] for x in at])), None, None)
                       for cell, at in dealt(keys, kind, shards)]
         sizes, ids, marks, n_bytes, number = [], [], [], 0, number + 1
+        pa.default_memory_pool().release_unused()
         kinds = [pa.string(), pa.int32(), *[pa.binary()] * 4]
         yield from _table(found, list(zip(("chunk", "cell", "keys", "counts", "ids", "marks"), kinds, strict=True))).to_batches()
 
@@ -244,7 +246,7 @@ def _send(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordB
         held = batch.column("held_out").to_numpy(zero_copy_only=False)
         no_id = batch.column("doc_id").is_null().to_numpy(zero_copy_only=False)
         own = batch.column("doc_id").fill_null(0).to_numpy()
-        for lo, hi, data, offs in V.text_runs(batch.column("text")):
+        for lo, hi, data, offs in V.text_runs(batch.column("text"), RUN_BYTES):
             folded, trains = LOWER[data], ~held[lo:hi]
             for kind, keys, rows in keys_of(folded, offs):
                 lists[kind].add(keys, trains[rows])
@@ -304,12 +306,13 @@ def _answer(batches: Iterator[pa.RecordBatch], shards: int, upper: C.Upper) -> I
 
 
 def _score(sent: pa.Table, answers: pa.Table, shards: int, tokens: int, distinct_tokens: int) -> pa.Table:
+    pa.default_memory_pool().release_unused()
     row = sent.to_pylist()[0]
     sizes, marks = from_planes(row["counts"]).astype(np.int64), np.frombuffer(row["marks"], np.uint8)
     offs, n = np.concatenate([[0], np.cumsum(sizes)]), len(sizes)
     texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offs), pa.py_buffer(unsqueeze(row["keys"]))])
     placed = [Placed(), Placed()]
-    for lo, _, data, part in V.text_runs(texts):
+    for lo, _, data, part in V.text_runs(texts, RUN_BYTES):
         for kind, keys, rows in keys_of(data, part):
             placed[kind].add(keys, rows + lo)
     found = dict(zip(answers.column("cell").to_pylist(), answers.column("found"), strict=True))
