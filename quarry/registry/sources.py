@@ -93,6 +93,24 @@ def json_mixed(spark, sf):
     return read_json_records(spark, path)
 
 
+@register("json_shapes", """SELECT CAST(c_custkey AS BIGINT) AS key, c_name AS "who.name", c_acctbal AS "who.balance",
+  CASE WHEN c_custkey % 5 = 3 THEN CAST(c_nationkey AS VARCHAR) ELSE c_mktsegment END AS tag FROM customer""")
+def json_shapes(spark, sf):
+    # `data` is a list, an object beside a list of items, absent; the document is a list, or the record
+    path = scratch_path(spark, "shapes")
+    kind = (F.col("c_custkey") % 5).alias("kind")
+    tag = F.when(F.col("c_custkey") % 5 == 3, F.col("c_nationkey").cast("string")).otherwise(F.col("c_mktsegment"))
+    record = F.struct(F.col("c_custkey").alias("key"), F.struct(F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance")).alias("who"),
+                      tag.alias("tag"))
+    c = read_table(spark, sf, "customer").select(kind, F.floor(F.col("c_custkey") / 40).alias("block"), record.alias("r"))
+    lists = c.where("kind < 4").groupBy("kind", "block").agg(F.collect_list("r").alias("l"))
+    shapes = F.when(F.col("kind") == 0, F.to_json(F.struct(F.col("l").alias("data")))).when(
+        F.col("kind") == 1, F.to_json(F.struct(F.struct(F.col("block").alias("x")).alias("data"), F.col("l").alias("items")))).when(
+        F.col("kind") == 2, F.to_json(F.struct(F.col("l").alias("results"), F.col("block").alias("page")))).otherwise(F.to_json("l"))
+    lists.select(shapes.alias("value")).unionByName(c.where("kind = 4").select(F.to_json("r").alias("value"))).write.text(path)
+    return read_json_records(spark, path)
+
+
 @register("json_flatten", """SELECT o_orderkey, o_custkey AS "cust.key",
   o_orderpriority AS "cust.info.priority", o_orderstatus AS "cust.info.status",
   o_totalprice FROM orders""")

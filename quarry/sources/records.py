@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,37 +30,80 @@ def flatten_json(df: DataFrame, sep: str = ".") -> DataFrame:
     return df.select(*cols)
 
 
-def _is_record_list(dt: T.DataType) -> bool:
-    return isinstance(dt, T.ArrayType) and isinstance(dt.elementType, T.StructType)
-
-
-def records_from_json(df: DataFrame) -> DataFrame:
-    """A4 on an already-read JSON DataFrame.  Each document decides for
-    itself: if the first envelope key under which it holds a list holds
-    objects, these are its records; otherwise the document is a record.
-    Then flatten (A5).  One small aggregate counts which kinds occur, so
-    kinds that don't occur add no columns."""
-    if "_corrupt_record" in df.columns and len(df.columns) == 1:
-        raise ValueError("JSON payload is not an object or a list of objects")
-    types = {f.name: f.dataType for f in df.schema.fields}
-    lists = [k for k in ENVELOPE_KEYS if isinstance(types.get(k), T.ArrayType)]
-    if not any(_is_record_list(types[k]) for k in lists):
-        return flatten_json(df)
-    first = F.coalesce(*[F.when(F.col(k).isNotNull(), F.lit(k)) for k in lists])
-    kind = F.when(first.isin([k for k in lists if _is_record_list(types[k])]), first).otherwise(F.lit(""))
-    tagged = df.withColumn("_kind", kind)
-    found = {r["_kind"] for r in tagged.groupBy("_kind").count().collect()}     # at most four kinds
-    parts = [flatten_json(tagged.where(F.col("_kind") == k).select(F.explode(F.col(k)).alias("_r")).select("_r.*"))
-             for k in lists if k in found]
-    if "" in found or not parts:
-        held = [k for k in lists if k in found]
-        parts.append(flatten_json(tagged.where(F.col("_kind") == "").drop("_kind", *held)))
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+def read_documents(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """JSON documents (one a line, or with ``multi_line`` one a file) as a column ``doc`` of type variant: each
+    keeps its own shape, none is inferred."""
+    return spark.read.format("json").option("singleVariantColumn", "doc").option("multiLine", multi_line).load(path)
+
+
+def _at(name: str) -> str | None:
+    """Variant path of a key; None if it needs another way."""
+    return f"$['{name}']" if re.fullmatch(r"[\w .:/@#+-]+", name) else None
+
+
+def _field(value: Column, name: str, ddl: str) -> Column:
+    path = _at(name)
+    if path:
+        return F.try_variant_get(value, path, ddl)
+    return F.try_variant_get(F.try_variant_get(value, "$", "map<string,variant>")[name], "$", ddl)
+
+
+def document_records(docs: DataFrame) -> DataFrame:
+    """One row ``record`` (variant) per record.  A document that is a list holds its elements; an object holds
+    the list under the first of the envelope keys that has one, else it is a record itself."""
+    lists = [F.try_variant_get("doc", "$", "array<variant>"), *[F.try_variant_get("doc", f"$.{k}", "array<variant>") for k in ENVELOPE_KEYS]]
+    single = F.when(F.try_variant_get("doc", "$", "map<string,variant>").isNotNull(), F.array("doc"))
+    held = F.coalesce(*lists, single)
+    # a scalar or a malformed document is an error in whatever task meets it
+    wrong = F.raise_error(F.lit("JSON payload is not an object or a list of objects")).cast("array<variant>")
+    return docs.select(F.explode(F.when(held.isNull(), wrong).otherwise(held)).alias("record"))
+
+
+def _ddl(dt: T.DataType) -> str:
+    """The type in which a value of a variant's schema is returned: fractions as double, whole numbers beyond
+    a long as decimal, values of several types and empty objects as JSON text."""
+    if isinstance(dt, T.ArrayType):
+        return f"array<{_ddl(dt.elementType)}>"
+    if isinstance(dt, T.StructType) and dt.fields:
+        return "struct<" + ", ".join("`" + f.name.replace("`", "``") + "`: " + _ddl(f.dataType) for f in dt.fields) + ">"
+    if isinstance(dt, T.DecimalType):
+        return "double" if dt.scale else "decimal(38,0)"
+    if isinstance(dt, (T.StructType, T.VariantType, T.NullType)):
+        return "string"
+    return dt.simpleString()
+
+
+def _schema(text: str | None) -> T.DataType:
+    """Spark's type of a variant schema; both are written alike, but for objects."""
+    ddl = re.sub(r"`(?:[^`]|``)*`|OBJECT<", lambda m: "STRUCT<" if m[0] == "OBJECT<" else m[0], text or "VOID")
+    return T.DataType.fromDDL(ddl)
+
+
+def flatten_records(records: DataFrame) -> DataFrame:
+    """A5 on variants: one aggregate merges the records' schemas (one row), then every leaf is a column
+    ``a.b.c``.  Arrays are kept whole; a key that holds values of several types is text.  Elements that are no
+    objects are text in column ``0``."""
+    is_object = F.try_variant_get("record", "$", "map<string,variant>").isNotNull()
+    no_object = ~is_object & ~F.is_variant_null("record")
+    found = records.agg(F.schema_of_variant_agg(F.when(is_object, F.col("record"))).alias("s"), F.max(no_object).alias("plain")).first()
+    columns = []
+
+    def walk(prefix: list[str], value: Column, dt: T.StructType) -> None:
+        for f in dt.fields:
+            if isinstance(f.dataType, T.StructType) and f.dataType.fields:
+                walk([*prefix, f.name], _field(value, f.name, "variant"), f.dataType)
+            else:
+                columns.append(_field(value, f.name, _ddl(f.dataType)).alias(".".join([*prefix, f.name])))
+
+    schema = _schema(found["s"])
+    if isinstance(schema, T.StructType):
+        walk([], F.col("record"), schema)
+    if found["plain"]:
+        columns.append(F.when(no_object, F.try_variant_get("record", "$", "string")).alias("0"))
+    return records.select(*columns)
 
 
 def read_json_records(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """A4: read JSON documents (JSON Lines by default; ``multi_line`` for
-    whole-file documents, where a top-level list yields one row per
-    element) and normalise them into flat records."""
-    df = spark.read.option("multiLine", multi_line).json(path)
-    return records_from_json(df)
+    """A4: JSON documents (JSON Lines by default; ``multi_line`` for whole-file documents) as flat records.
+    Every document decides for itself by its shape, so one folder may hold lists, envelopes and bare objects."""
+    return flatten_records(document_records(read_documents(spark, path, multi_line)))

@@ -9,7 +9,7 @@ import zipfile
 import pytest
 
 from quarry.sources.catalog import sql_source
-from quarry.sources.records import flatten_json, read_json_records, records_from_json
+from quarry.sources.records import flatten_json, read_json_records
 from quarry.sources.text import pandas_header_names, read_csv_text
 from quarry.sources.workbook import parse_first_sheet, read_workbooks
 
@@ -57,10 +57,43 @@ def test_json_shapes(spark, payload, expect_cols, expect_rows):
 def test_json_scalar_is_error(spark):
     d = _tmp()
     _write(d, "p.json", 5)
-    with pytest.raises(ValueError):
+    with pytest.raises(Exception, match="not an object or a list of objects"):
         read_json_records(spark, d, multi_line=True)
 
 
+def test_json_documents_of_all_shapes(spark):
+    d = _tmp()
+    docs = [{"data": [{"a": 1}, {"a": 2}]}, {"data": {"x": 1}, "items": [{"a": 3}]}, {"a": 4, "n": {"k.z": [1, 2], "it's ?": "q"}},
+            [{"a": 5, "n": {"deep": {"er": 1.25}}}], {"results": []}, {"data": 7, "results": [{"a": 6, "e": {}}]},
+            {"a": 12345678901234567890123, "l": [1, "x", {"y": 1}], "o": [{"p": 1}, {"p q": None}], "m": 1}, {"m": "text", "u": None},
+            {"m": {"z": 1}, "f": 0.1, "g": 1e300}, ["plain", 2, None, {"a": 8}]]
+    for i, payload in enumerate(docs):
+        _write(d, f"p{i}.json", payload)
+    df = read_json_records(spark, d, multi_line=True)
+    assert set(df.columns) == {"a", "n.k.z", "n.it's ?", "n.deep.er", "e", "l", "o", "m", "u", "f", "g", "0"}
+    rows = [r.asDict(recursive=True) for r in df.collect()]
+    assert len(rows) == 13
+    by_a = {int(r["a"]): r for r in rows if r["a"] is not None}
+    assert sorted(by_a) == [1, 2, 3, 4, 5, 6, 8, 12345678901234567890123]
+    assert (by_a[4]["n.k.z"], by_a[4]["n.it's ?"], by_a[5]["n.deep.er"], by_a[6]["e"]) == ([1, 2], "q", 1.25, "{}")
+    big = by_a[12345678901234567890123]
+    assert (big["l"], [x["p"] for x in big["o"]]) == (["1", "x", '{"y":1}'], [1, None])
+    assert {r["m"] for r in rows} == {None, "1", "text", '{"z":1}'}
+    assert {(r["f"], r["g"]) for r in rows} == {(None, None), (0.1, 1e300)}
+    assert {r["0"] for r in rows} == {None, "plain", "2"}
+
+
+def test_json_lines_of_all_shapes(spark):
+    d = _tmp()
+    with open(os.path.join(d, "x.json"), "w") as f:
+        f.write('[{"a": 1}, {"b": 2}]\n{"a": 3}\n\n{"items": [{"b": 4}]}\n')
+    assert sorted((r["a"] or 0, r["b"] or 0) for r in read_json_records(spark, d).collect()) == [(0, 2), (0, 4), (1, 0), (3, 0)]
+    with open(os.path.join(d, "bad.json"), "w") as f:
+        f.write('{"a": \n')
+    with pytest.raises(Exception, match="not an object or a list of objects"):
+        read_json_records(spark, d)
+
+
 def _xlsx(rows):
     shared, idx = [], {}
     def s(v):
@@ -115,4 +148,3 @@ def test_sql_source_empty_is_error(spark):
 def test_flatten_keeps_arrays(spark):
     df = spark.createDataFrame([((1, (2,)), [1, 2])], "a struct<b:int, c:struct<d:int>>, l array<int>")
     assert flatten_json(df).columns == ["a.b", "a.c.d", "l"]
-    assert records_from_json(df).count() == 1
