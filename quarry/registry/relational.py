@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators import ranks as K
 from quarry.operators import relational as R
+from quarry.operators.group_quantiles import group_quantiles
 from quarry.plans.clean_plan import smart_clean
 from quarry.registry import register, rounded
 from quarry.registry.views import dirty_orders
@@ -157,13 +158,34 @@ def anti_join(spark, sf):
   round(median(o_totalprice), 6) AS med
 FROM orders GROUP BY o_custkey HAVING count(*) > 15""")
 def groupby_having(spark, sf):
-    o = _t(spark, sf, "orders")
+    o = _t(spark, sf, "orders").select("o_custkey", "o_totalprice")
     g = o.groupBy("o_custkey").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.avg("o_totalprice"), 6).alias("mean_price"),
         F.round(F.stddev_pop("o_totalprice"), 4).alias("std_pop"),
-        F.round(F.stddev_samp("o_totalprice"), 4).alias("std_samp"),
-        F.round(F.median("o_totalprice"), 6).alias("med"))
-    return g.where("n > 15")
+        F.round(F.stddev_samp("o_totalprice"), 4).alias("std_samp"))
+    med = group_quantiles(o, ["o_custkey"], "o_totalprice", {"med": 0.5}).select("o_custkey", F.round("med", 6).alias("med"))
+    return g.where("n > 15").join(med, "o_custkey")
+
+
+@register("group_quartiles", """SELECT l_returnflag, l_linestatus, count(l_extendedprice) AS n,
+  round(quantile_cont(l_extendedprice, 0.25), 6) AS q1, round(median(l_extendedprice), 6) AS med,
+  round(quantile_cont(l_extendedprice, 0.75), 6) AS q3, round(quantile_cont(l_extendedprice, 0.999), 6) AS p999
+FROM lineitem GROUP BY ALL""")
+def group_quartiles(spark, sf):
+    return rounded(group_quantiles(_t(spark, sf, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice",
+                                   {"q1": 0.25, "med": 0.5, "q3": 0.75, "p999": 0.999}))
+
+
+@register("group_quantiles_nulls", """SELECT CASE WHEN user_id % 3 = 0 THEN NULL ELSE user_id END AS user_key,
+  count(CASE WHEN event_id % 10 <> 0 THEN value END) AS n,
+  round(quantile_cont(CASE WHEN event_id % 10 <> 0 THEN value END, 0.1), 6) AS p10,
+  round(median(CASE WHEN event_id % 10 <> 0 THEN value END), 6) AS med
+FROM events GROUP BY 1""")
+def group_quantiles_nulls(spark, sf):
+    # the null key holds a third of the rows, among many small groups
+    ev = _t(spark, sf, "events").select(F.when(F.col("user_id") % 3 != 0, F.col("user_id")).alias("user_key"),
+                                        F.when(F.col("event_id") % 10 != 0, F.col("value")).alias("value"))
+    return rounded(group_quantiles(ev, ["user_key"], "value", {"p10": 0.1, "med": 0.5}))
 
 
 @register("distinct_count", """SELECT count(DISTINCT o_custkey) AS customers,
