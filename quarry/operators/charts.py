@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.kinds import as_double, numeric_columns, q
+from quarry.operators.density import kde_by_group, kde_curve  # noqa: F401  (F3 and F7 belong to the charts)
 from quarry.operators.outliers import iqr_bounds
 from quarry.operators.profile import missing_counts, value_counts
 from quarry.session import materialize
@@ -25,21 +26,34 @@ _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 HIST_SCHEMA = "ord int, column_name string, bin bigint, lo double, hi double, count bigint"
 
 
+def _finite(x):
+    return F.when(F.abs(x) < float("inf"), x)
+
+
+def _bin(x, lo, hi, nb):
+    """Number of the equal-width bin; -1 for negative and ``nb`` for positive infinity, null for null."""
+    inside = F.lit(0) if hi == lo else F.least(F.floor((x - F.lit(lo)) * F.lit(float(nb)) / F.lit(hi - lo)), F.lit(nb - 1))
+    # least() skips nulls, so guard: a null value has no bin
+    return F.when(x == float("inf"), F.lit(nb)).when(x == float("-inf"), F.lit(-1)).when(x.isNotNull(), inside)
+
+
 def _range_stats(df, cols, with_quartiles, method="exact"):
-    """One aggregate of count/min/max per column (+ quartiles when asked);
-    returned as a dict-like row keyed n{i}, lo{i}, hi{i}, q{i}."""
+    """One aggregate of count/min/max of the finite values per column (+ their
+    quartiles when asked) and the count of infinite ones; returned as a
+    dict-like row keyed n{i}, lo{i}, hi{i}, inf{i}, q{i}."""
     from quarry.functions.quantiles import exact_quantiles
     types = {f.name: f.dataType for f in df.schema.fields}
     aggs = []
     for i, c in enumerate(cols):
-        x = as_double(c, types[c])
-        aggs += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
+        every = as_double(c, types[c])
+        x = _finite(every)
+        aggs += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"),
+                 (F.count(every) - F.count(x)).alias(f"inf{i}")]
         if with_quartiles and method == "approx":
             aggs.append(F.percentile_approx(x, [0.25, 0.75], 10000).alias(f"q{i}"))
     row = df.agg(*aggs).first().asDict()
     if with_quartiles and method != "approx":
-        values = {c: as_double(c, types[c]) for c in cols}
-        stats = {c: (row[f"n{i}"], row[f"lo{i}"], row[f"hi{i}"]) for i, c in enumerate(cols)}
+        values = {c: _finite(as_double(c, types[c])) for c in cols}
         qv = exact_quantiles(df, values, [0.25, 0.75])
         for i, c in enumerate(cols):
             row[f"q{i}"] = [qv[(c, 0.25)], qv[(c, 0.75)]] if row[f"n{i}"] else None
@@ -69,31 +83,24 @@ def _histogram(df, specs, empty: bool):
     types = {f.name: f.dataType for f in df.schema.fields}
     if not specs:
         return spark.createDataFrame([], HIST_SCHEMA)
-    arms = []
-    for o, c, lo, hi, nb in specs:
-        x = as_double(c, types[c])
-        if hi == lo:
-            b = F.when(x.isNotNull(), F.lit(0)).cast("bigint")
-        else:
-            # least() skips nulls, so guard: a null value has no bin
-            b = F.when(x.isNotNull(), F.least(
-                F.floor((x - F.lit(lo)) * F.lit(float(nb)) / F.lit(hi - lo)), F.lit(nb - 1))).cast("bigint")
-        arms.append(F.struct(F.lit(o).alias("ord"), b.alias("bin")))
+    specs = [(o, c, lo, hi, nb if hi > lo else 1) for o, c, lo, hi, nb in specs]
+    arms = [F.struct(F.lit(o).alias("ord"), _bin(as_double(c, types[c]), lo, hi, nb).cast("bigint").alias("bin"))
+            for o, c, lo, hi, nb in specs]
     long = df.select(F.inline(F.array(*arms))).where(F.col("bin").isNotNull())
     counts = long.groupBy("ord", "bin").agg(F.count(F.lit(1)).alias("count"))
-    columns = spark.createDataFrame([(o, c, lo, hi, nb if hi > lo else 1) for o, c, lo, hi, nb in specs],
-                                    "ord int, column_name string, mn double, mx double, nb bigint")     # one row per column
+    columns = spark.createDataFrame(specs, "ord int, column_name string, mn double, mx double, nb bigint")     # one row per column
     if empty:
-        every = columns.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("nb") - 1)).alias("bin"))
-        out = every.join(counts, ["ord", "bin"], "left")
-    else:
-        out = counts.join(F.broadcast(columns), "ord")
+        every = columns.select("ord", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("nb") - 1)).alias("bin"), F.lit(0).cast("bigint").alias("count"))
+        counts = counts.unionByName(every).groupBy("ord", "bin").agg(F.sum("count").alias("count"))
+    out = counts.join(F.broadcast(columns), "ord")
     flat, step = F.col("mx") == F.col("mn"), (F.col("mx") - F.col("mn")) / F.col("nb")
-    lo = F.when(flat, F.col("mn") - 0.5).otherwise(F.col("mn") + F.col("bin") * step)
-    hi = F.when(flat, F.col("mx") + 0.5).when(F.col("bin") == F.col("nb") - 1, F.col("mx")).otherwise(
-        F.col("mn") + (F.col("bin") + 1) * step)
+    below, above = F.col("bin") < 0, F.col("bin") == F.col("nb")
+    infinite = F.when(below, F.lit(float("-inf"))).when(above, F.lit(float("inf")))
+    lo = F.coalesce(infinite, F.when(flat, F.col("mn") - 0.5).otherwise(F.col("mn") + F.col("bin") * step))
+    hi = F.coalesce(infinite, F.when(flat, F.col("mx") + 0.5).when(F.col("bin") == F.col("nb") - 1, F.col("mx")).otherwise(
+        F.col("mn") + (F.col("bin") + 1) * step))
     return out.select("ord", "column_name", "bin", lo.alias("lo"), hi.alias("hi"),
-                      F.coalesce("count", F.lit(0)).cast("bigint").alias("count"))
+                      F.col("count").cast("bigint").alias("count"))
 
 
 def histogram_auto(df: DataFrame, cols: Sequence[str] | None = None, max_plots: int | None = None,
@@ -101,7 +108,8 @@ def histogram_auto(df: DataFrame, cols: Sequence[str] | None = None, max_plots:
                    key: Sequence[str] | None = None, seed: int = 42) -> DataFrame:
     """histograms of the numeric columns (of the first ``max_plots`` if
     given) with the automatic bin width; nulls dropped; last edge closed;
-    occupied bins only.  ``sample`` (with
+    occupied bins only.  Range and width are those of the finite values;
+    infinite ones are counted in bin -1 and in the one after the last.  ``sample`` (with
     a ``key``) bins an exact seeded sample of that many rows instead of the
     whole column, as the reference does with 50 000 rows."""
     cols = list(cols or numeric_columns(df))[:max_plots]
@@ -115,6 +123,8 @@ def histogram_auto(df: DataFrame, cols: Sequence[str] | None = None, max_plots:
     for i, c in enumerate(cols):
         n, lo, hi, qs = r[f"n{i}"], r[f"lo{i}"], r[f"hi{i}"], r[f"q{i}"]
         if not n:
+            if r[f"inf{i}"]:
+                specs.append((i, c, 0.0, 0.0, 1))
             continue
         nb = auto_bin_count(n, lo, hi, qs[0], qs[1], isinstance(types[c], _INTEGRAL))
         specs.append((i, c, lo, hi, nb))
@@ -123,53 +133,16 @@ def histogram_auto(df: DataFrame, cols: Sequence[str] | None = None, max_plots:
 
 def histogram_fixed(df: DataFrame, cols: Sequence[str] | None = None, bins: int = 10) -> DataFrame:
     """``bins`` equal-width bins over [min, max] (right edge closed);
-    a constant column gives one bin."""
+    a constant column gives one bin.  Infinite values as in ``histogram_auto``."""
     cols = list(cols or numeric_columns(df))
     if not cols:
         return df.sparkSession.createDataFrame([], HIST_SCHEMA)
     r = _range_stats(df, cols, False)
-    specs = [(i, c, r[f"lo{i}"], r[f"hi{i}"], bins) for i, c in enumerate(cols) if r[f"n{i}"]]
+    specs = [(i, c, r[f"lo{i}"], r[f"hi{i}"], bins) if r[f"n{i}"] else (i, c, 0.0, 0.0, 1)
+             for i, c in enumerate(cols) if r[f"n{i}"] or r[f"inf{i}"]]
     return _histogram(df, specs, empty=True)
 
 
-def kde_curve(df: DataFrame, col: str, points: int = 200, method: str = "exact",
-              fine_bins: int = 65536) -> DataFrame:
-    """Gaussian KDE with Scott's bandwidth h = std * n^(-1/5) on
-    ``points`` grid points over [min, max].
-
-    ``exact`` evaluates every row at every grid point inside the scan (the
-    grid is exploded per row and summed map-side, so only ``points`` rows
-    per task are shuffled) - rows x points work.  ``binned`` first reduces
-    the column to ``fine_bins`` weighted centres (one hash aggregate), then
-    evaluates bins x points; it is an approximation that the caller asks
-    for, never chosen by size.
-    Output: (point, x, density, n).
-    """
-    x = as_double(col, df.schema[col].dataType)
-    r = df.agg(F.count(x).alias("n"), F.stddev_samp(x).alias("sd"),
-               F.min(x).alias("lo"), F.max(x).alias("hi")).first()
-    spark = df.sparkSession
-    schema = "point int, x double, density double, n bigint"
-    if not r["n"] or not r["sd"]:
-        return spark.createDataFrame([], schema)
-    n, lo, hi = r["n"], r["lo"], r["hi"]
-    h = r["sd"] * math.pow(n, -0.2)
-    step = (hi - lo) / (points - 1)
-    norm = 1.0 / (n * h * math.sqrt(2 * math.pi))
-    src = df.select(x.alias("v")).where(F.col("v").isNotNull()).withColumn("w", F.lit(1.0))
-    if method == "binned":
-        fw = (hi - lo) / fine_bins
-        src = (src.withColumn("b", F.least(F.floor((F.col("v") - lo) / fw), F.lit(fine_bins - 1)))
-               .groupBy("b").agg(F.count(F.lit(1)).cast("double").alias("w"))
-               .select((F.lit(lo) + (F.col("b") + 0.5) * fw).alias("v"), "w"))
-    g = F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point")
-    grid = src.select("v", "w", g).withColumn("gx", F.lit(lo) + F.col("point") * F.lit(step))
-    k = F.col("w") * F.exp(F.lit(-0.5) * F.pow((F.col("gx") - F.col("v")) / F.lit(h), 2))
-    return (grid.groupBy("point").agg(F.sum(k).alias("s"))
-            .select("point", (F.lit(lo) + F.col("point") * F.lit(step)).alias("x"),
-                    (F.col("s") * F.lit(norm)).alias("density"), F.lit(n).cast("bigint").alias("n")))
-
-
 def missingness_bar(df: DataFrame) -> DataFrame:
     """(ord, column_name, present, share) per column."""
     mc = missing_counts(df)
@@ -231,11 +204,8 @@ def box_stats(df: DataFrame, cols: Sequence[str] | None = None, k: float = 1.5)
     """five numbers, whiskers at the furthest points inside k*IQR, and
     the number of fliers, per numeric column."""
     types = {f.name: f.dataType for f in df.schema.fields}
-    from quarry.functions.quantiles import exact_quantiles
-    bounds = iqr_bounds(df, cols, k)
+    bounds = iqr_bounds(df, cols, k, extra=[0.5])
     spark = df.sparkSession
-    med = exact_quantiles(df, {b["column_name"]: as_double(b["column_name"], types[b["column_name"]])
-                               for b in bounds}, [0.5]) if bounds else {}
     schema = ("ord int, column_name string, min double, q1 double, median double, q3 double, "
               "max double, whisker_low double, whisker_high double, fliers bigint")
     if not bounds:
@@ -252,7 +222,7 @@ def box_stats(df: DataFrame, cols: Sequence[str] | None = None, k: float = 1.5)
         structs.append(F.struct(
             F.lit(b["ord"]).alias("ord"), F.lit(b["column_name"]).alias("column_name"),
             F.min(x).alias("min"), F.lit(b["q1"]).cast("double").alias("q1"),
-            F.lit(med[(b["column_name"], 0.5)]).cast("double").alias("median"),
+            F.lit(b["extra"][0.5]).cast("double").alias("median"),
             F.lit(b["q3"]).cast("double").alias("q3"),
             F.max(x).alias("max"), F.min(F.when(inside, x)).alias("whisker_low"),
             F.max(F.when(inside, x)).alias("whisker_high"),
@@ -262,7 +232,8 @@ def box_stats(df: DataFrame, cols: Sequence[str] | None = None, k: float = 1.5)
 
 def pair_bins(df: DataFrame, cols: Sequence[str] | None = None, bins: int = 10) -> DataFrame:
     """F8: 2-D histogram for every numeric pair (scatter/pair-plot data at
-    any scale): (a, b, bin_x, bin_y, count); rows with a null in the pair skipped."""
+    any scale): (a, b, bin_x, bin_y, count); rows with a null in the pair skipped.
+    Infinite values are in bin -1 and in the one after the last."""
     types = {f.name: f.dataType for f in df.schema.fields}
     cols = list(cols or numeric_columns(df))
     schema = "a_ord int, a string, b_ord int, b string, bin_x int, bin_y int, count bigint"
@@ -271,13 +242,9 @@ def pair_bins(df: DataFrame, cols: Sequence[str] | None = None, bins: int = 10)
     r = _range_stats(df, cols, False)
 
     def bin_of(i):
-        c = cols[i]
-        x = as_double(c, types[c])
         lo, hi = r[f"lo{i}"], r[f"hi{i}"]
-        if lo is None or hi == lo:
-            return F.when(x.isNotNull(), F.lit(0))
-        return F.when(x.isNotNull(), F.least(
-            F.floor((x - F.lit(lo)) * F.lit(float(bins)) / F.lit(hi - lo)).cast("int"), F.lit(bins - 1)))
+        lo, hi = (0.0, 0.0) if lo is None else (lo, hi)
+        return _bin(as_double(cols[i], types[cols[i]]), lo, hi, bins if hi > lo else 1).cast("int")
 
     bx = {i: bin_of(i) for i in range(len(cols))}
     arms = [F.struct(F.lit(i).alias("a_ord"), F.lit(cols[i]).alias("a"), F.lit(j).alias("b_ord"),
@@ -319,38 +286,3 @@ def pair_sample(df: DataFrame, n: int, key: Sequence[str], cols: Sequence[str] |
     cols = list(cols or numeric_columns(df))
     return sample_rows(df.select(*[q(k) for k in key], *[q(c) for c in cols if c not in key]),
                        n, key, seed)
-
-
-def kde_by_group(df: DataFrame, col: str, group: str, points: int = 200,
-                 method: str = "exact", fine_bins: int = 65536) -> DataFrame:
-    """F7 violin data: F3 per group - each group's own Scott bandwidth and
-    grid over its own [min, max].  Group statistics are one aggregate (a row
-    per group) joined back on the group key (AQE broadcasts it when it is
-    measured small).  ``binned`` first reduces every group to ``fine_bins``
-    weighted centres.  Groups with fewer than two distinct values get no
-    curve.  Output: (group, point, x, density, n)."""
-    x = as_double(col, df.schema[col].dataType)
-    g = q(group)
-    base = df.select(g.alias("_g"), x.alias("v")).where(F.col("v").isNotNull())
-    st = base.groupBy("_g").agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("v").alias("sd"),
-                                F.min("v").alias("lo"), F.max("v").alias("hi")) \
-        .where((F.col("sd") > 0) & (F.col("hi") > F.col("lo")))
-    st = st.select("_g", "n", "lo", "hi", (F.col("sd") * F.pow(F.col("n"), -0.2)).alias("h"),
-                   ((F.col("hi") - F.col("lo")) / F.lit(float(points - 1))).alias("step"))
-    src = base.join(st.select("_g", "lo", "hi"), "_g").withColumn("w", F.lit(1.0))
-    if method == "binned":
-        fw = (F.col("hi") - F.col("lo")) / F.lit(float(fine_bins))
-        src = (src.withColumn("b", F.least(F.floor((F.col("v") - F.col("lo")) / fw), F.lit(fine_bins - 1)))
-               .groupBy("_g", "b", "lo", "hi").agg(F.count(F.lit(1)).cast("double").alias("w"))
-               .select("_g", (F.col("lo") + (F.col("b") + 0.5) * fw).alias("v"), "w"))
-    grid = src.select("_g", "v", "w").join(st.select("_g", "lo", "step", "h"), "_g") \
-        .select("_g", "v", "w", "lo", "step", "h",
-                F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))
-    gx = F.col("lo") + F.col("point") * F.col("step")
-    k = F.col("w") * F.exp(F.lit(-0.5) * F.pow((gx - F.col("v")) / F.col("h"), 2))
-    sums = grid.groupBy("_g", "point").agg(F.sum(k).alias("s"))
-    out = sums.join(st, "_g").select(
-        F.col("_g").alias(group), "point", (F.col("lo") + F.col("point") * F.col("step")).alias("x"),
-        (F.col("s") * (F.lit(1.0) / (F.col("n") * F.col("h") * F.lit(math.sqrt(2 * math.pi))))).alias("density"),
-        F.col("n").cast("bigint").alias("n"))
-    return out

@@ -22,17 +22,20 @@ def _quartiles(c, method, accuracy):
 
 
 def iqr_bounds(df: DataFrame, cols: Sequence[str] | None = None, k: float = 1.5,
-               method: str = "exact", accuracy: int = 10000) -> list[dict]:
+               method: str = "exact", accuracy: int = 10000, extra: Sequence[float] = ()) -> list[dict]:
     """Pass 1 of E1 (driver receives O(#columns) numbers): per column q1,
     q3 and the fences.  ``exact`` uses distributed selection; ``approx`` a
-    bounded sketch; ``spark`` Spark's exact ``percentile``."""
+    bounded sketch; ``spark`` Spark's exact ``percentile``.  ``extra`` shares
+    come out of the same exact search, under ``extra``."""
     from quarry.functions.quantiles import exact_quantiles
     types = {f.name: f.dataType for f in df.schema.fields}
     cols = list(cols or numeric_columns(df))
     if not cols:
         return []
+    more: dict[str, dict] = {}
     if method == "exact":
-        qv = exact_quantiles(df, {c: as_double(c, types[c]) for c in cols}, [0.25, 0.75])
+        qv = exact_quantiles(df, {c: as_double(c, types[c]) for c in cols}, [0.25, 0.75, *extra])
+        more = {c: {p: qv[(c, p)] for p in extra} for c in cols}
         qs = {c: (qv[(c, 0.25)], qv[(c, 0.75)]) for c in cols}
     else:
         row = df.agg(*[_quartiles(as_double(c, types[c]), method, accuracy).alias(f"q{i}")
@@ -46,7 +49,7 @@ def iqr_bounds(df: DataFrame, cols: Sequence[str] | None = None, k: float = 1.5,
         if q1 is not None:
             iqr = q3 - q1
             lo, hi = q1 - k * iqr, q3 + k * iqr
-        out.append({"ord": i, "column_name": c, "q1": q1, "q3": q3, "lower": lo, "upper": hi})
+        out.append({"ord": i, "column_name": c, "q1": q1, "q3": q3, "lower": lo, "upper": hi, "extra": more.get(c, {})})
     return out
 
 

@@ -59,6 +59,55 @@ def hist_10(spark, sf):
     return rounded(CH.histogram_fixed(read_table(spark, sf, "lineitem"), bins=10))
 
 
+# finite values, with both infinities planted among them
+_INF_SQL = """inf_events AS (SELECT event_id, CASE WHEN event_id % 97 = 0 THEN 'inf'::double
+  WHEN event_id % 89 = 0 THEN '-inf'::double ELSE value END AS v, user_id::double AS u FROM events)"""
+
+
+def _inf_events(spark, sf):
+    from pyspark.sql import functions as F
+    k = F.col("event_id")
+    return read_table(spark, sf, "events").select(
+        F.when(k % 97 == 0, float("inf")).when(k % 89 == 0, float("-inf")).otherwise(F.col("value")).alias("v"), F.col("user_id").cast("double").alias("u"))
+
+
+@register("hist_infinite", f"""WITH {_INF_SQL},
+p AS (SELECT min(v) FILTER (isfinite(v)) AS mn, max(v) FILTER (isfinite(v)) AS mx FROM inf_events),
+b AS (SELECT CASE WHEN v = 'inf' THEN 8 WHEN v = '-inf' THEN -1 ELSE least(floor((v - mn) * 8 / (mx - mn)), 7) END::bigint AS bin,
+        count(*) AS c FROM inf_events, p GROUP BY 1),
+every AS (SELECT bin, c FROM b UNION ALL SELECT range, 0 FROM range(8))
+SELECT 0 AS ord, 'v' AS column_name, bin,
+  CASE WHEN bin = -1 THEN '-inf'::double WHEN bin = 8 THEN 'inf'::double ELSE round(mn + bin * ((mx - mn) / 8), 6) END AS lo,
+  CASE WHEN bin = -1 THEN '-inf'::double WHEN bin = 8 THEN 'inf'::double WHEN bin = 7 THEN round(mx, 6)
+       ELSE round(mn + (bin + 1) * ((mx - mn) / 8), 6) END AS hi, sum(c)::bigint AS count
+FROM every, p GROUP BY bin, mn, mx""")
+def hist_infinite(spark, sf):
+    return rounded(CH.histogram_fixed(_inf_events(spark, sf), ["v"], bins=8))
+
+
+@register("hist_auto_infinite", f"""WITH {_INF_SQL}, fin AS (SELECT v FROM inf_events WHERE isfinite(v)),
+s AS (SELECT count(*) AS n, min(v) AS mn, max(v) AS mx, quantile_cont(v, 0.75) - quantile_cont(v, 0.25) AS iqr FROM fin),
+w AS (SELECT *, (mx - mn) / (log2(n) + 1.0) AS st, 2.0 * iqr * pow(n, -1.0 / 3.0) AS fd FROM s),
+p AS (SELECT mn, mx, greatest(1, ceil((mx - mn) / CASE WHEN fd > 0 THEN least(fd, st) ELSE st END))::bigint AS nb FROM w),
+b AS (SELECT CASE WHEN v = 'inf' THEN nb WHEN v = '-inf' THEN -1 ELSE least(floor((v - mn) * nb / (mx - mn)), nb - 1) END::bigint AS bin,
+        count(*) AS c FROM inf_events, p GROUP BY 1)
+SELECT 0 AS ord, 'v' AS column_name, bin,
+  CASE WHEN bin = -1 THEN '-inf'::double WHEN bin = nb THEN 'inf'::double ELSE round(mn + bin * ((mx - mn) / nb), 6) END AS lo,
+  CASE WHEN bin = -1 THEN '-inf'::double WHEN bin = nb THEN 'inf'::double WHEN bin = nb - 1 THEN round(mx, 6)
+       ELSE round(mn + (bin + 1) * ((mx - mn) / nb), 6) END AS hi, c AS count FROM b, p""")
+def hist_auto_infinite(spark, sf):
+    return rounded(CH.histogram_auto(_inf_events(spark, sf), ["v"]))
+
+
+@register("pair_bins_infinite", f"""WITH {_INF_SQL},
+p AS (SELECT min(v) FILTER (isfinite(v)) AS mn, max(v) FILTER (isfinite(v)) AS mx, min(u) AS un, max(u) AS ux FROM inf_events)
+SELECT 0 AS a_ord, 'v' AS a, 1 AS b_ord, 'u' AS b,
+  CASE WHEN v = 'inf' THEN 10 WHEN v = '-inf' THEN -1 ELSE least(floor((v - mn) * 10 / (mx - mn)), 9) END::int AS bin_x,
+  least(floor((u - un) * 10 / (ux - un)), 9)::int AS bin_y, count(*) AS count FROM inf_events, p GROUP BY ALL""")
+def pair_bins_infinite(spark, sf):
+    return CH.pair_bins(_inf_events(spark, sf), ["v", "u"], 10)
+
+
 @register("kde_curve", """WITH s AS (SELECT count(value) AS n, stddev_samp(value) AS sd,
   min(value) AS lo, max(value) AS hi FROM events),
 p AS (SELECT *, sd * pow(n, -0.2) AS h, (hi - lo) / 199 AS step FROM s)

@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 
 from quarry.operators import charts as CH
+from quarry.operators.density import error_bound
 from quarry.operators import correlate as C
 from quarry.operators import duplicates as D
 from quarry.operators import outliers as O
@@ -148,22 +149,51 @@ def test_wide_profile_job_count_is_fixed(spark):
     assert out.count() == 150
 
 
-def test_kde_binned_close_to_exact(spark):
-    rng = np.random.default_rng(11)
-    df = spark.createDataFrame([(float(v),) for v in rng.normal(size=5000)], "v double")
-    ex = [r["density"] for r in CH.kde_curve(df, "v", method="exact").orderBy("point").collect()]
-    bn = [r["density"] for r in CH.kde_curve(df, "v", method="binned").orderBy("point").collect()]
-    assert max(abs(a - b) for a, b in zip(ex, bn)) < 1e-4 * max(ex)
+def _density(vals, x):
+    h = vals.std(ddof=1) * len(vals) ** -0.2
+    return np.exp(-0.5 * ((x - vals) / h) ** 2).sum() / (len(vals) * h * np.sqrt(2 * np.pi)), h
 
 
-def test_violin_binned_close_to_exact(spark):
+@pytest.mark.parametrize("scale", [1e-3, 1.0, 1e6])
+def test_curves_within_the_error_bound(spark, scale):
     rng = np.random.default_rng(12)
-    rows = [("a", float(v)) for v in rng.normal(size=3000)] + [("b", float(v)) for v in rng.gamma(2.0, size=2000)]
-    df = spark.createDataFrame(rows, "g string, v double")
-    ex = {(r["g"], r["point"]): r["density"] for r in CH.kde_by_group(df, "v", "g", method="exact").collect()}
-    bn = {(r["g"], r["point"]): r["density"] for r in CH.kde_by_group(df, "v", "g", method="binned").collect()}
-    assert ex.keys() == bn.keys() and len(ex) == 400
-    assert max(abs(ex[k] - bn[k]) for k in ex) < 1e-3 * max(ex.values())
+    groups = {"a": rng.normal(size=3000), "b": rng.gamma(2.0, size=2000), "far": np.concatenate([rng.normal(size=400), [500.0, -90.0]])}
+    rows = [(g, float(v) * scale) for g, vs in groups.items() for v in vs]
+    rows += [("flat", 3.0), ("flat", 3.0), ("one", 1.0), (None, 1.0), ("a", None), ("a", float("inf")), ("b", float("-inf"))]
+    df = spark.createDataFrame(rows, "`g.x` string, v double").repartition(4)
+    got = CH.kde_by_group(df, "v", "g.x").collect()
+    assert len(got) == 600
+    for r in got:
+        want, h = _density(groups[r["g.x"]] * scale, r["x"])
+        assert abs(r["density"] - want) <= error_bound(h) + 1e-14 / h
+        assert error_bound(h) * h < 1e-13
+
+
+def test_curve_rows_are_cells_not_rows(spark):
+    df = spark.range(200_000).selectExpr("sin(id) * 10 as v")
+    vals = np.sin(np.arange(200_000)) * 10
+    got = CH.kde_curve(df, "v", points=50).collect()
+    assert all(abs(r["density"] - _density(vals, r["x"])[0]) < 1e-9 for r in got)
+    plan = CH.kde_curve(df, "v", points=50)._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan
+    assert "Cartesian" not in plan
+    assert CH.kde_curve(spark.createDataFrame([(1.0,), (None,)], "v double"), "v").count() == 0
+
+
+def test_infinite_values_have_bins_of_their_own(spark):
+    inf = float("inf")
+    df = spark.createDataFrame([(1.0, inf, 7.0), (2.0, -inf, inf), (5.0, inf, None), (inf, None, 7.0), (-inf, None, -inf)], "v double, w double, c double")
+    rows = {(r["column_name"], r["bin"]): tuple(r)[3:] for r in CH.histogram_fixed(df, bins=4).collect()}
+    assert {k[1]: v for k, v in rows.items() if k[0] == "v"} == {
+        -1: (-inf, -inf, 1), 0: (1.0, 2.0, 1), 1: (2.0, 3.0, 1), 2: (3.0, 4.0, 0), 3: (4.0, 5.0, 1), 4: (inf, inf, 1)}
+    assert {k[1]: v[2] for k, v in rows.items() if k[0] == "w"} == {-1: 1, 0: 0, 1: 2}
+    assert {k[1]: v for k, v in rows.items() if k[0] == "c"} == {-1: (-inf, -inf, 1), 0: (6.5, 7.5, 2), 1: (inf, inf, 1)}
+    auto = CH.histogram_auto(df).collect()
+    assert sum(r["count"] for r in auto if r["column_name"] == "v") == 5
+    assert {r["bin"] for r in auto if r["column_name"] == "w"} == {-1, 1}
+    pairs = {(r["a"], r["b"], r["bin_x"], r["bin_y"]): r["count"] for r in CH.pair_bins(df, bins=4).collect()}
+    assert pairs == {("v", "w", 0, 1): 1, ("v", "w", 1, -1): 1, ("v", "w", 3, 1): 1, ("v", "c", 0, 0): 1, ("v", "c", 1, 1): 1, ("v", "c", 4, 0): 1,
+                     ("v", "c", -1, -1): 1, ("w", "c", 1, 0): 1, ("w", "c", -1, 1): 1}
 
 
 def test_duplicates_narrow_rows_direct_path(spark):
