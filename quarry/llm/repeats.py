@@ -72,7 +72,7 @@ def anchors(spans: V.SpanHasher, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     at = (least[np.arange(len(least)) + LENGTH <= row_end] & U64(0xFFFFFFFF)).astype(np.int64)
     if not len(at):
         return none, none.astype(U64), none
-    at = np.unique(at[np.concatenate([[True], at[1:] != at[:-1]])])
+    at = V.distinct(at[np.concatenate([[True], at[1:] != at[:-1]])])
     return at, h[at], np.searchsorted(offs, at, side="right") - 1
 
 
@@ -173,7 +173,9 @@ ANCHORS = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("hashes", p
 COMMON = pa.schema([("chunk", pa.int32()), ("hashes", pa.binary()), ("hot", pa.binary())])
 CONTEXTS = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("kind", pa.int32()), ("hashes", pa.binary()), ("body", pa.binary()), ("reach", pa.binary()), ("first", pa.binary()),
                       ("several", pa.binary())])
-ANSWERS = pa.schema([("chunk", pa.int32()), ("keys", pa.binary()), ("runs", pa.binary()), ("first", pa.binary())])
+ANSWERS = pa.schema([("chunk", pa.int32()), ("keys", pa.binary()), ("runs", pa.binary()), ("first", pa.binary()), ("hot", pa.binary())])
+#: What a chunk sends: contexts, windows of hot anchors, and the hot anchors themselves, which come back as they are.
+IN_CONTEXT, IN_WINDOW, HOT_ANCHORS = range(3)
 SPANS = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()),
                    ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
 #: A context's bytes: those before the anchor, then those behind its gram.
@@ -249,21 +251,23 @@ def _send_contexts(docs: pa.Table, common: pa.Table, buckets: int) -> pa.Table:
         padded = np.concatenate([np.zeros(REACH, np.uint8), data, np.zeros(LENGTH, np.uint8)])
         body = padded[at[:, None] + SIDES]
         ctx.append([k, h, body, np.stack([left, right], axis=1).astype(np.uint8), lo, hi])
-    for kind, parts in ((0, ctx), (1, win)):
+    if win:
+        out.append((chunk % buckets, chunk, HOT_ANCHORS, pack48(known[hot]), b"", b"", b"", b""))
+    for kind, parts in ((IN_CONTEXT, ctx), (IN_WINDOW, win)):
         if not parts:
             continue
         cols = [np.concatenate(c) for c in zip(*parts, strict=True)]
         k, i, lo, _ = distinct_with_docs(cols[0], cols[-2])
         _, _, _, hi = distinct_with_docs(cols[0], cols[-1])
         several = lo < hi
-        if kind == 1:
-            out += [(b, chunk, 1, k[s].tobytes(), b"", b"", lo[s].tobytes(), np.packbits(several[s]).tobytes())
+        if kind == IN_WINDOW:
+            out += [(b, chunk, IN_WINDOW, k[s].tobytes(), b"", b"", lo[s].tobytes(), np.packbits(several[s]).tobytes())
                     for b, s in dealt(k, buckets)]
             continue
         h, body, reach = cols[1][i], cols[2][i], cols[3][i]
         order = np.argsort(h, kind="stable")
         h, body, reach, lo, several = (x[order] for x in (h, body, reach, lo, several))
-        out += [(b, chunk, 0, h[s].tobytes(), body[s].tobytes(), reach[s].tobytes(), lo[s].tobytes(),
+        out += [(b, chunk, IN_CONTEXT, h[s].tobytes(), body[s].tobytes(), reach[s].tobytes(), lo[s].tobytes(),
                  np.packbits(several[s]).tobytes()) for b, s in dealt(h, buckets)]
     return _table(dict(zip(CONTEXTS.names, zip(*out), strict=True)) if out else {n: [] for n in CONTEXTS.names}, CONTEXTS)
 
@@ -376,17 +380,20 @@ def repeat_groups(h: np.ndarray, body: np.ndarray, reach: np.ndarray, first: np.
 def _answer(table: pa.Table) -> pa.Table:
     rows: list[tuple] = []
     kinds = table.column("kind").to_numpy()
-    for kind in (0, 1):
+    for kind in (IN_CONTEXT, IN_WINDOW, HOT_ANCHORS):
         part = table.filter(pa.array(kinds == kind))
         if not part.num_rows:
             continue
+        if kind == HOT_ANCHORS:
+            rows += [(c, b"", b"", b"", h) for c, h in zip(part.column("chunk").to_pylist(), part.column("hashes").to_pylist(), strict=True)]
+            continue
         cells = [np.frombuffer(x.as_buffer(), U64) for x in part.column("hashes")]
         chunk = np.repeat(part.column("chunk").to_numpy(), [len(x) for x in cells])
         own = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in part.column("first")])
         last = own + np.concatenate([np.unpackbits(np.frombuffer(x.as_buffer(), np.uint8), count=len(c))
                                      for x, c in zip(part.column("several"), cells, strict=True)])
         keys = np.concatenate(cells)
-        if kind == 0:
+        if kind == IN_CONTEXT:
             h = keys
             body = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8) for x in part.column("body")])
             reach = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8) for x in part.column("reach")]).reshape(-1, 2)
@@ -411,7 +418,7 @@ def _answer(table: pa.Table) -> pa.Table:
         for a, b in stretches(own):
             runs = np.empty(b - a, RUN)
             runs["lo"], runs["hi"] = lo[a:b], hi[a:b]
-            rows.append((int(own[a]), keys[i[a:b]].tobytes(), runs.tobytes(), first[a:b].astype(np.int64).tobytes()))
+            rows.append((int(own[a]), keys[i[a:b]].tobytes(), runs.tobytes(), first[a:b].astype(np.int64).tobytes(), b""))
     return _table(dict(zip(ANSWERS.names, zip(*rows), strict=True)) if rows else {n: [] for n in ANSWERS.names}, ANSWERS)
 
 
@@ -430,6 +437,7 @@ def _cut(docs: pa.Table, answers: pa.Table) -> pa.Table:
     keys, runs, first = keys[order], runs[order], first[order]
     whole = np.flatnonzero(runs["lo"] < 255)
     single = np.flatnonzero(runs["lo"] == 255)
+    hot = np.sort(np.concatenate([np.zeros(0, U64), *[unpack48(x.as_buffer()) for x in answers.column("hot") if x.is_valid]]))
     tables = []
     ids_of = docs.combine_chunks().column("doc_id").chunk(0) if docs.num_rows else pa.array([], pa.int64())
     for lo, hi, data, offs, ids, part, copy in Chunk(docs, answers).runs():
@@ -447,8 +455,10 @@ def _cut(docs: pa.Table, answers: pa.Table) -> pa.Table:
                 i, j = i[late], j[late]
                 np.add.at(edge, at[i] - runs["hi"][j], 1)
                 np.add.at(edge, at[i] - runs["lo"][j] + LENGTH, -1)
-            for reach in range(REACH + 1) if len(single) else ():
-                ok = np.flatnonzero((left >= reach) & (right >= LENGTH - reach))
+            # only hot anchors have windows
+            near = np.flatnonzero(hot[np.minimum(np.searchsorted(hot, h & UPPER), len(hot) - 1)] == h & UPPER) if len(hot) and len(single) else single[:0]
+            for reach in range(REACH + 1) if len(near) else ():
+                ok = near[(left[near] >= reach) & (right[near] >= LENGTH - reach)]
                 i, j = _matches(window_keys(spans, at[ok] - reach, h[ok], reach), keys[single])
                 i, j = ok[i], single[j]
                 i = i[ids[row[i]] > first[j]]
