@@ -253,8 +253,8 @@ def links(classes: DataFrame, docs: DataFrame) -> DataFrame | None:
         if step and sets is None:
             sets = _sets(docs, rows.select("cid"))
         if step < STAR_ROUNDS:
-            # the first round's representative is the smallest id, so lists of one group name the same one
-            order = F.col("cid") if step == 0 else F.xxhash64("cid", *key, F.lit(step))
+            # one order for all lists, so that the lists of one group name the same representative
+            order = F.col("cid") if step == 0 else F.xxhash64("cid", F.lit(step))
             reps = rows.groupBy(*key).agg(F.min_by(F.struct("cid", "comp"), order).alias("r"))
             pairs = rows.join(reps, key).where("comp <> r.comp").select(
                 F.least("cid", F.col("r.cid")).alias("a"), F.greatest("cid", F.col("r.cid")).alias("b")).distinct()
