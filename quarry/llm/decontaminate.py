@@ -142,7 +142,7 @@ class Links:
         for back in (0, 1):  # every place lies in two cells of two windows each
             _, which = np.unique(cell - back, return_inverse=True)
             group = which[place] * len(self.least) + item
-            key = np.unique(group * len(self.first) + term[place]) // len(self.first)
+            key = V.distinct(group * len(self.first) + term[place]) // len(self.first)
             key, n = np.unique(key, return_counts=True)
             key = key[n >= self.least[key % len(self.least)]]
             if len(key):
@@ -152,10 +152,14 @@ class Links:
 
 
 def _passage_counts(row: np.ndarray, pos: np.ndarray, term: np.ndarray, n_terms: int) -> np.ndarray:
-    """In how many passages each term stands."""
-    _, _, heads, found = windows(row, pos, term)
-    entry = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(found))))
-    return np.bincount(np.unique(entry * n_terms + found) % n_terms, minlength=n_terms)
+    """In how many passages each term stands: a place at one step is in the passages that begin there and up to
+    two steps before, of which those of the place before it are known."""
+    parts = WINDOW // STEP
+    key = V.distinct((row.astype(np.int64) * n_terms + term) << 24 | pos // STEP)
+    own, step = key >> 24, key & 0xFFFFFF
+    again = np.concatenate([[False], own[1:] == own[:-1]])[:len(own)]
+    new = np.minimum(parts, np.where(again, np.diff(step, prepend=0), step + 1))
+    return np.bincount(own % n_terms, weights=new, minlength=n_terms).astype(np.int64)
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch], terms: Terms, links: Links) -> Iterator[pa.RecordBatch]:

@@ -149,6 +149,12 @@ def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return mix(h)
 
 
+def distinct(keys: np.ndarray) -> np.ndarray:
+    """Sorted distinct keys, by sorting: quicker on large arrays than by hashing."""
+    keys = np.sort(keys)
+    return keys[np.concatenate([[True], keys[1:] != keys[:-1]])[:len(keys)]]
+
+
 def rows_of(bounds: np.ndarray) -> np.ndarray:
     """Row number of every item, from each row's first item."""
     return np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
