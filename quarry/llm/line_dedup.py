@@ -6,13 +6,16 @@ estimate is clearly above the threshold is boilerplate, clearly below it is
 not; lines in the band between get an exact distinct count.  Boilerplate
 lines are then removed from all documents.
 
-A document of which more than ``max_share`` of the lines would go is left
-whole: it is a copy of something that spread over sites, not a page with
-boilerplate around it, and belongs to duplicate removal.
+Boilerplate goes from every document, also from one that consists of it.  With
+``spare_share`` a document that would lose a larger share of its lines stays
+whole instead: where near-duplicate removal follows, copies of a document that
+spread over sites must reach it as they are.
 
 Defined cases: null texts and null sites are no lines and no sites; lines
 without a word are neither counted nor removed; lines are equal if their
-bytes are; repeated rows are treated alike; extra columns are carried along.
+bytes are; repeated rows are treated alike; a text of which every line goes
+is empty; texts are split whole, whatever their length; extra columns are
+carried along.
 All steps are DataFrame expressions.
 """
 
@@ -60,7 +63,7 @@ def boilerplate(docs: DataFrame, min_sites: int, site: str = "source", text: str
     return found.where(sure).select("h1", "h2").unionByName(exact.select("h1", "h2"))
 
 
-def remove_lines(docs: DataFrame, min_sites: int = 10, max_share: tuple[int, int] = (1, 2), site: str = "source",
+def remove_lines(docs: DataFrame, min_sites: int = 10, spare_share: tuple[int, int] | None = None, site: str = "source",
                  text: str = "text") -> DataFrame:
     """``docs`` with boilerplate removed from ``text``, and the columns of ``docs`` besides, all in a
     struct ``row``; ``n_lines`` (lines with a word) and ``n_removed`` beside it."""
@@ -78,7 +81,7 @@ def remove_lines(docs: DataFrame, min_sites: int = 10, max_share: tuple[int, int
     n_lines = F.coalesce(F.size(F.filter(pieces, lambda x: x.rlike(WORD))), F.lit(0))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(n_lines).cast("bigint")
     out = out.select("row", "text", n_lines.alias("n_lines"), F.col("gone"))
-    takes = F.coalesce(F.size("gone") * max_share[1] <= F.col("n_lines") * max_share[0], F.lit(False))
+    takes = F.lit(True) if spare_share is None else F.size("gone") * spare_share[1] <= F.col("n_lines") * spare_share[0]
     left = F.array_except(F.sequence(F.lit(0), F.size(pieces) - 1), F.col("gone"))
     cut = F.array_join(F.transform(left, lambda i: F.get(pieces, i)), "\n")
     new = F.when(F.col("gone").isNotNull() & takes, cut).otherwise(F.col("text"))

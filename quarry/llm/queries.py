@@ -86,8 +86,7 @@ b as (select line from w where wordy group by line having count(distinct source)
 m as (select w.*, wordy and b.line is not null as hit from w left join b on w.line = b.line),
 t as (select doc_id, any_value(text) as text, count(*) filter (where wordy) as n_lines, count(*) filter (where hit) as gone,
              string_agg(line, chr(10) order by pos) filter (where not hit) as rest from m group by doc_id)
-select doc_id, n_lines, case when 2 * gone <= n_lines then gone else 0 end as n_removed,
-       sha256(case when gone > 0 and 2 * gone <= n_lines then rest else text end) as text_sha256 from t
+select doc_id, n_lines, gone as n_removed, sha256(case when gone > 0 then coalesce(rest, '') else text end) as text_sha256 from t
 """
 
 OP7_SQL = r"""

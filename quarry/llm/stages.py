@@ -21,8 +21,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without their boilerplate lines; ``n_chars`` follows the text where it is a column."""
-    out = line_dedup.remove_lines(docs, min_sites=MIN_SITES).select("row.*")
+    """All documents, without their boilerplate lines; ``n_chars`` follows the text where it is a column.
+    Documents that consist mostly of such lines are copies, for the next stage to thin out."""
+    out = line_dedup.remove_lines(docs, min_sites=MIN_SITES, spare_share=(1, 2)).select("row.*")
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

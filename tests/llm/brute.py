@@ -31,7 +31,7 @@ def quality_kept(text):
                 or m["n_lines"] >= 4 and 2 * m["n_dup_lines"] > m["n_lines"] or 10 * m["n_wordy"] < 7 * m["n_words"])
 
 
-def line_dedup(docs, min_sites=10):
+def line_dedup(docs, min_sites=10, spare=False):
     """docs: (id, text, site); returns {id: (lines with a word, removed, text)}."""
     sites = {}
     for _, text, site in docs:
@@ -43,7 +43,7 @@ def line_dedup(docs, min_sites=10):
         lines = (text or "").split("\n")
         n = sum(bool(WORD.search(x)) for x in lines)
         gone = [len(sites.get(x, ())) >= min_sites and bool(WORD.search(x)) for x in lines]
-        if text is None or not any(gone) or 2 * sum(gone) > n:
+        if text is None or not any(gone) or spare and 2 * sum(gone) > n:
             out[i] = (n, 0, text)
         else:
             out[i] = (n, sum(gone), "\n".join(x for x, g in zip(lines, gone, strict=True) if not g))

@@ -84,12 +84,14 @@ def lines_input():
 def test_line_removal(spark):
     docs = lines_input()
     df = spark.createDataFrame([(*d, "z", "q") for d in docs], "doc_id long, text string, source string, n_lines string, h1 string")
-    got = {r.row.doc_id: r for r in line_dedup.remove_lines(df, min_sites=10).collect()}
-    want = brute.line_dedup(docs)
-    assert len(got) == len(docs)
-    for i, (n, gone, text) in want.items():
-        assert (got[i].n_lines, got[i].n_removed, got[i].row.text) == (n, gone, text), i
-    assert got[0].row.n_lines == "z"
+    for spare in (None, (1, 2)):
+        got = {r.row.doc_id: r for r in line_dedup.remove_lines(df, min_sites=10, spare_share=spare).collect()}
+        want = brute.line_dedup(docs, spare=spare is not None)
+        assert len(got) == len(docs)
+        for i, (n, gone, text) in want.items():
+            assert (got[i].n_lines, got[i].n_removed, got[i].row.text) == (n, gone, text), i
+        assert got[0].row.n_lines == "z"
+        assert got[905].row.text == ("copied page\nsecond line" if spare else "")
 
 
 def test_line_removal_threshold_is_exact(spark):
