@@ -36,6 +36,8 @@ def _write_batches(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: st
                    kind: str, block_ids: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
     enc = json_encoder(tokenizer)
+    if max(len(enc.id_bytes) - 1, end_id) > np.iinfo(kind).max:
+        raise ValueError(f"ids up to {max(len(enc.id_bytes) - 1, end_id)} don't fit files of {kind}; take a larger width")
     stream = TaskContext.get().partitionId()
     held, n_held, seq, ordinal = [], 0, 0, 0
 

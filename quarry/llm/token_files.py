@@ -28,9 +28,8 @@ from pyspark.sql import functions as F
 
 from quarry.llm import textvec as V
 from quarry.llm.base import parts_for, pick, text_bytes
-from quarry.llm.pieces import PieceEncoder
 from quarry.llm.shared_files import locate, new_file
-from quarry.llm.tokenizers_io import json_encoder
+from quarry.llm.tokenizers_io import plain_encoder
 from quarry.session import scratch_path, ship_package
 
 MAGIC = b"PFORIDS1"
@@ -169,7 +168,7 @@ def read_shard(uri: str) -> tuple[np.ndarray, Iterator[np.ndarray]]:
 
 def _write_batches(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str, end_id: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
-    enc: PieceEncoder = json_encoder(tokenizer)
+    enc = plain_encoder(tokenizer)
     shard = TaskContext.get().partitionId()
     uri = f"{folder}/shard-{shard:06d}.pfor"
     batches = (b for b in batches if b.num_rows)

@@ -41,3 +41,44 @@ def json_encoder(path: str) -> PieceEncoder:
 
         _loaded[path] = PieceEncoder(encode, id_bytes)
     return _loaded[path]
+
+
+class PlainEncoder:
+    """Ids as the library's own call gives them, where a special token's string in a text is that token.  Rows that
+    hold such a string are encoded whole, all others by their pieces."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+        self.pieces = json_encoder(path)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.strings = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+
+    def _rows(self, data: np.ndarray, offs: np.ndarray) -> list[int]:
+        raw, rows = data.tobytes(), set()
+        for s in self.strings:
+            at = raw.find(s)
+            while at >= 0:
+                row = int(np.searchsorted(offs, at, side="right")) - 1
+                if at + len(s) <= offs[row + 1]:
+                    rows.add(row)
+                    at = raw.find(s, int(offs[row + 1]))
+                else:
+                    at = raw.find(s, at + 1)
+        return sorted(rows)
+
+    def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ids, bounds = self.pieces.encode(data, offs)
+        rows = self._rows(data, offs)
+        if not rows:
+            return ids, bounds
+        texts = [data[offs[r]:offs[r + 1]].tobytes().decode() for r in rows]
+        whole = dict(zip(rows, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True))
+        parts = [np.array(whole[r].ids, np.uint32) if r in whole else ids[bounds[r]:bounds[r + 1]] for r in range(len(offs) - 1)]
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+
+
+def plain_encoder(path: str) -> PlainEncoder:
+    key = ("plain", path)
+    if key not in _loaded:
+        _loaded[key] = PlainEncoder(path)
+    return _loaded[key]

@@ -15,10 +15,11 @@ from tokenizers import Tokenizer
 
 from quarry.llm import bpe, token_counts, token_files
 from quarry.llm import textvec as V
-from quarry.llm.tokenizers_io import json_encoder, read_ranks
+from quarry.llm.tokenizers_io import json_encoder, plain_encoder, read_ranks
 
 RANKS, VOCAB = P.path("byte_bpe_50k.tiktoken"), P.path("byte_bpe_50k.json")
 TIK = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=read_ranks(RANKS), special_tokens={})
+PLAIN = Tokenizer.from_file(VOCAB)
 TOK = Tokenizer.from_file(VOCAB)
 TOK.encode_special_tokens = True
 rng = random.Random(8)
@@ -47,6 +48,17 @@ def test_pieces_never_change_an_encoding(texts):
     assert encoded(bpe.codec(RANKS, P.PATTERN).encoder, texts) == [TIK.encode_ordinary(t) for t in texts]
 
 
+def test_special_strings_as_the_plain_call_encodes_them():
+    texts = [*ODD, "a <|endoftext|> b", "<|endoftext|>", "no <|endof", "text|> no", "<|endoftext|><|endoftext|>x", "z"]
+    assert encoded(plain_encoder(VOCAB), texts) == [e.ids for e in PLAIN.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+
+
+def test_ids_must_fit_their_files(spark):
+    df = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    with pytest.raises(Exception, match="take a larger width"):
+        token_counts.write_flat(df, "/tmp/never-written", VOCAB, 70_000)
+
+
 def test_cache_is_bounded():
     c = bpe.RankCodec(RANKS, P.PATTERN)
     c.encoder.max_entries = 5
@@ -101,7 +113,7 @@ def test_token_files_read_back(spark, tmp_path, monkeypatch):
     got = {r.doc_id: r for r in token_files.token_files(df, VOCAB).collect()}
     start = 0
     for i, t, _ in sorted(rows):
-        ids = np.array([*TOK.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+        ids = np.array([*PLAIN.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
         assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
     assert len(got) == len(rows)
