@@ -56,7 +56,7 @@ def test_dates_by_name_and_width_rule(spark):
                                "order_date string, width string")
     out = CleanPlan.fit(df).apply(df).collect()
     assert str(out[0]["order_date"]) == "2020-01-02 00:00:00" and out[1]["order_date"] is None
-    assert out[0]["width"] is None and out[1]["width"] is None   # "dt" in "width"
+    assert out[0]["width"] == "wide" and out[1]["width"] == "narrow"   # "dt" in "width", but no cell is a date
 
 
 def test_month_first_format(spark):
