@@ -40,6 +40,7 @@ def json_encoder(path: str) -> PieceEncoder:
                     tok.encode_batch_fast(texts, add_special_tokens=False)]
 
         _loaded[path] = PieceEncoder(encode, id_bytes)
+        _loaded["strings", path] = [t.content.encode() for t in tok.get_added_tokens_decoder().values()]
     return _loaded[path]
 
 
@@ -48,10 +49,8 @@ class PlainEncoder:
     hold such a string are encoded whole, all others by their pieces."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-        self.pieces = json_encoder(path)
-        self.tokenizer = Tokenizer.from_file(path)
-        self.strings = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.pieces, self.path, self.tokenizer = json_encoder(path), path, None
+        self.strings = _loaded["strings", path]
 
     def _rows(self, data: np.ndarray, offs: np.ndarray) -> list[int]:
         raw, rows = data.tobytes(), set()
@@ -71,6 +70,9 @@ class PlainEncoder:
         rows = self._rows(data, offs)
         if not rows:
             return ids, bounds
+        if self.tokenizer is None:
+            from tokenizers import Tokenizer
+            self.tokenizer = Tokenizer.from_file(self.path)
         texts = [data[offs[r]:offs[r + 1]].tobytes().decode() for r in rows]
         whole = dict(zip(rows, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True))
         parts = [np.array(whole[r].ids, np.uint32) if r in whole else ids[bounds[r]:bounds[r + 1]] for r in range(len(offs) - 1)]
