@@ -22,27 +22,31 @@
    paraphrases must cover ``COVER`` of the item's answer, too, its last
    sentence.
 
-Words are runs of letters and digits, A-Z folded.  Items are handled in blocks
-of ``ITEM_BLOCK``, so what tasks receive is bounded whatever the benchmark's
-size.
-
-Defined cases: null texts are empty; items without words match nothing; items
-of fewer words than ``LEAST_TERMS`` must occur with all their words; repeated
-rows are reported once; extra columns are ignored.
+Words are runs of letters and digits, A-Z folded.  An item longer than two
+passages is searched for by parts of passage size, each with a vector of its
+own, and decided as a whole.  Items are handled in blocks of at most
+``ITEM_BLOCK`` items and ``BLOCK_WORDS`` words (an item longer than that has its
+own), so what tasks receive is bounded whatever the benchmark's size.
+
+Defined cases: null texts are empty; items of fewer words than ``LEAST_TERMS``
+say nothing and match nothing; documents are told apart by id and text, so rows
+without an id are searched as well, and repeated rows are reported once (rows
+without an id that hold the same item: once, with the best measures); texts of
+any length are searched whole; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import textvec as V
-from quarry.llm.base import pick
+from quarry.llm.base import pick, quoted
 from quarry.session import materialize
 
 STEP = 16
@@ -58,6 +62,7 @@ COVER = (60, 100)
 SURE = (80, 100)
 LEAST_RUN = 8
 ITEM_BLOCK = 256
+BLOCK_WORDS = 2 * WINDOW * ITEM_BLOCK
 LINK_SHARE = 16
 U64 = np.uint64
 
@@ -197,7 +202,7 @@ def choose_terms(alone: np.ndarray, n_passages: int, vocabulary: np.ndarray, has
 
 def _place_batches(batches: Iterator[pa.RecordBatch], terms: Terms) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = batch.column("doc_id")
+        ids = batch.column("key")
         for lo, _, data, offs in V.text_runs(batch.column("text")):
             words, bounds = word_hashes(data, offs)
             at, t = terms.places(words)
@@ -290,7 +295,7 @@ def _search_batches(batches: Iterator[pa.RecordBatch], weighted: np.ndarray, ite
                 if len(i):
                     yield pa.RecordBatch.from_arrays(
                         [ids.take(pa.array(row[lo + i])), pa.array(numbers[j]), pa.array(step[lo + i] * STEP),
-                         pa.array(cos[i, j].astype(np.float64))], names=["doc_id", "item", "at", "cosine"])
+                         pa.array(cos[i, j].astype(np.float64))], names=["key", "item", "at", "cosine"])
 
 
 def lcs(a: np.ndarray, b: np.ndarray) -> int:
@@ -344,7 +349,7 @@ def _decide_batches(batches: Iterator[pa.RecordBatch], items: dict[int, tuple[np
                     item, answer = items[c["item"]]
                     near = own[max(0, c["at"] - len(item)):c["at"] + WINDOW + len(item)]
                     n = lcs(item, near)
-                    if not covers(n, len(item), COVER) or len(item) < LEAST_TERMS and n < len(item):
+                    if not covers(n, len(item), COVER):
                         continue
                     m = lcs(answer, near)
                     if covers(m, len(answer), COVER) or sure(item, near, n):
@@ -353,20 +358,25 @@ def _decide_batches(batches: Iterator[pa.RecordBatch], items: dict[int, tuple[np
         if out:
             cols = list(zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(cols[0])), pa.array(cols[1], pa.int64()),
+                [batch.column("key").take(pa.array(cols[0])), batch.column("doc_id").take(pa.array(cols[0])), pa.array(cols[1], pa.int64()),
                  pa.array(cols[2], pa.int64()), pa.array(cols[5], pa.int64()), pa.array(cols[3], pa.int64()),
                  pa.array(cols[6], pa.int64()), pa.array(cols[4], pa.float64())],
-                names=["doc_id", "item", "common_words", "item_words", "answer_common", "answer_words", "cosine"])
+                names=["key", "doc_id", "item", "common_words", "item_words", "answer_common", "answer_words", "cosine"])
+
+
+def parts_of(words: np.ndarray) -> list[np.ndarray]:
+    """An item's words as parts that a passage can hold; items of up to two passages stay whole."""
+    return [words] if len(words) <= 2 * WINDOW else np.array_split(words, -(-len(words) // WINDOW))
 
 
 RESULT = ("item bigint, common_words bigint, item_words bigint, answer_common bigint, answer_words bigint, cosine double")
 
 
 def _block(docs: DataFrame, items: list[tuple[int, str]], kind: str) -> DataFrame:
-    """Leaks of one block of items: doc_id, item (number) and the measures."""
-    empty = docs.sparkSession.createDataFrame([], f"doc_id {kind}, {RESULT}")
+    """Leaks of one block of items in docs (key, doc_id, text): key, doc_id, item (number) and the measures."""
+    empty = docs.sparkSession.createDataFrame([], f"key bigint, doc_id {kind}, {RESULT}")
     hashed = {n: hashes_of(t) for n, t in items}
-    hashed = {n: h for n, h in hashed.items() if len(h)}
+    hashed = {n: h for n, h in hashed.items() if len(h) >= LEAST_TERMS}
     if not hashed:
         return empty
     vocabulary = np.unique(np.concatenate(list(hashed.values())))
@@ -383,58 +393,83 @@ def _block(docs: DataFrame, items: list[tuple[int, str]], kind: str) -> DataFram
     terms = Terms(vocabulary[chosen])
     weights = 1 / np.sqrt(np.maximum(counts[chosen], 1))
     rarity = np.log((n_passages + 2) / (alone[chosen] + 1))
-    # short items can't be found with fewer places than they have words
-    places = materialize(docs.mapInArrow(partial(_place_batches, terms=terms),
-                                         f"ids array<{kind}>, row array<int>, pos array<int>, term array<int>"), "term-places")
+    places = materialize(docs.select("key", "text").mapInArrow(partial(_place_batches, terms=terms),
+                                         "ids array<bigint>, row array<int>, pos array<int>, term array<int>"), "term-places")
     if places.isEmpty():
         return empty
     vectors = right_singular_vectors(places, weights, min(RANK, len(weights)))
     weighted = (rarity[:, None] * vectors).astype(np.float32)
-    numbers = np.array(sorted(hashed), np.int64)
-    latent = np.stack([weighted[terms.places(hashed[n])[1]].sum(axis=0) for n in numbers.tolist()])
+    parts = [(n, part) for n in sorted(hashed) for part in parts_of(hashed[n])]
+    numbers = np.array([n for n, _ in parts], np.int64)
+    latent = np.stack([weighted[terms.places(part)[1]].sum(axis=0) for _, part in parts])
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
     found = places.mapInArrow(partial(_search_batches, weighted=weighted, items=latent.astype(np.float32), numbers=numbers),
-                              f"doc_id {kind}, item bigint, at bigint, cosine double")
-    found = found.groupBy("doc_id").agg(F.collect_list(F.struct("item", "at", "cosine")).alias("found"))
+                              "key bigint, item bigint, at bigint, cosine double")
+    found = found.groupBy("key").agg(F.collect_list(F.struct("item", "at", "cosine")).alias("found"))
     found = materialize(found, "leak-candidates")
     full = {n: (hashed[n], answer_of(t)) for n, t in items if n in hashed}
-    return docs.join(found, "doc_id").select("doc_id", "text", "found").mapInArrow(
-        partial(_decide_batches, items=full), f"doc_id {kind}, {RESULT}")
+    return docs.join(found, "key").select("key", "doc_id", "text", "found").mapInArrow(
+        partial(_decide_batches, items=full), f"key bigint, doc_id {kind}, {RESULT}")
+
+
+def row_key(doc_id: str, text: str) -> Column:
+    """Tells documents apart, also those without an id."""
+    return F.xxhash64(quoted(doc_id), quoted(text))
+
+
+def blocks_of(items: Iterator, id_and_text: Callable) -> Iterator[list[tuple]]:
+    """Consecutive items, no more than ITEM_BLOCK and, unless one alone is longer, BLOCK_WORDS words."""
+    block, size = [], 0
+    for row in items:
+        key, text = id_and_text(row)
+        n = len(hashes_of(text))
+        if block and (len(block) == ITEM_BLOCK or size + n > BLOCK_WORDS):
+            yield block
+            block, size = [], 0
+        block.append((key, text))
+        size += n
+    if block:
+        yield block
+
+
+def _keyed_leaks(docs: DataFrame, items: DataFrame) -> DataFrame | None:
+    """Leaks of docs (key, doc_id, text) with the item's own id; None if there are no items."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    out = None
+    for block in blocks_of(items.orderBy("item_id", "text").toLocalIterator(), lambda r: (r.item_id, r.text)):
+        found = _block(docs, [(i, t) for i, (_, t) in enumerate(block)], kind)
+        names = docs.sparkSession.createDataFrame([(i, k) for i, (k, _) in enumerate(block)],
+                                                  f"item bigint, item_id {items.schema['item_id'].dataType.simpleString()}")
+        found = found.join(F.broadcast(names), "item").drop("item")  # at most ITEM_BLOCK rows
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _items(benchmark: DataFrame, item_id: str, item_text: str) -> DataFrame:
+    return pick(benchmark, item_id=item_id, text=item_text).where("item_id is not null and text is not null").distinct()
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
           item_text: str = "text") -> DataFrame:
     """One row per document and benchmark item found in it: doc_id, item_id, common_words (of the item, by
     longest common subsequence), item_words, answer_common, answer_words, cosine."""
-    src = pick(docs, doc_id=doc_id, text=text)
-    kind = src.schema["doc_id"].dataType.simpleString()
-    items = pick(benchmark, item_id=item_id, text=item_text).where("item_id is not null and text is not null").distinct()
-    out = None
-    block: list = []
-    for row in _and_end(items.orderBy("item_id", "text").toLocalIterator()):
-        if row is not None:
-            block.append((row.item_id, row.text))
-        if block and (row is None or len(block) == ITEM_BLOCK):
-            keyed = list(enumerate(block))
-            found = _block(src, [(i, t) for i, (_, t) in keyed], kind)
-            names = src.sparkSession.createDataFrame([(i, k) for i, (k, _) in keyed], f"item bigint, item_id {items.schema['item_id'].dataType.simpleString()}")
-            found = found.join(F.broadcast(names), "item").drop("item")  # at most ITEM_BLOCK rows
-            out = found if out is None else out.unionByName(found)
-            block = []
+    src = pick(docs, doc_id=doc_id, text=text).withColumn("key", row_key("doc_id", "text"))
+    items = _items(benchmark, item_id, item_text)
+    out = _keyed_leaks(src, items)
     if out is None:
         names = ", ".join(f"{c} bigint" for c in ("common_words", "item_words", "answer_common", "answer_words"))
-        return src.sparkSession.createDataFrame([], f"doc_id {kind}, item_id {items.schema['item_id'].dataType.simpleString()}, {names}, cosine double")
+        kinds = [d.schema[c].dataType.simpleString() for d, c in ((src, "doc_id"), (items, "item_id"))]
+        return src.sparkSession.createDataFrame([], f"doc_id {kinds[0]}, item_id {kinds[1]}, {names}, cosine double")
     best = F.max(F.struct("common_words", "answer_common", "cosine", "item_words", "answer_words")).alias("b")
     out = out.groupBy("doc_id", "item_id").agg(best)
     return out.select("doc_id", "item_id", *[f"b.{c}" for c in ("common_words", "item_words", "answer_common", "answer_words", "cosine")])
 
 
-def _and_end(rows):
-    yield from rows
-    yield None
-
-
 def clean_documents(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents in which no item was found."""
-    found = leaks(docs, benchmark, doc_id, text).select(F.col("doc_id").alias("__leaked")).distinct()
-    return docs.join(found, F.col("`" + doc_id + "`") == F.col("__leaked"), "left_anti")
+    """The documents in which no item was found, with or without an id."""
+    src = pick(docs, doc_id=doc_id, text=text).withColumn("key", row_key("doc_id", "text"))
+    found = _keyed_leaks(src, _items(benchmark, "item_id", "text"))
+    if found is None:
+        return docs
+    rows = docs.select(row_key(doc_id, text).alias("key"), F.struct(*[quoted(c) for c in docs.columns]).alias("row"))
+    return rows.join(found.select("key").distinct(), "key", "left_anti").select("row.*")

@@ -96,3 +96,40 @@ def plain_words(text):
 def holds(text, item):
     """Does the text hold the item's words, one after the other?"""
     return f" {' '.join(plain_words(item))} " in f" {' '.join(plain_words(text))} "
+
+
+def lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b):
+            last, row[j + 1] = row[j + 1], last + 1 if x == y else max(row[j + 1], row[j])
+    return row[-1]
+
+
+def longest_run(a, b):
+    row, best = [0] * (len(b) + 1), 0
+    for x in a:
+        row = [0] + [row[j] + 1 if x == y else 0 for j, y in enumerate(b)]
+        best = max(best, *row)
+    return best
+
+
+def leaked(text, item, step=16, window=48):
+    """Does an item stand around any passage of the text: 80 % of it as a common subsequence, or 60 % with either a run
+    of 60 % (8 words at least) or 60 % of its last sentence?  Every passage is tried, without any search."""
+    own, words = plain_words(text), plain_words(item)
+    sentences = [w for w in map(plain_words, re.split("[.!?]", item)) if len(w) >= 3]
+    answer = sentences[-1] if sentences else words
+    if len(words) < 3:
+        return False
+    for at in range(0, len(own), step):
+        near = own[max(0, at - len(words)):at + window + len(words)]
+        n = lcs(words, near)
+        if 100 * n < 60 * len(words):
+            continue
+        run = longest_run(words, near)
+        if (100 * n >= 80 * len(words) or run >= 8 and 100 * run >= 60 * len(words)
+                or 100 * lcs(answer, near) >= 60 * len(answer)):
+            return True
+    return False

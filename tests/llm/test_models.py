@@ -233,6 +233,41 @@ def test_leaks_defined_cases(spark):
     assert decontaminate.clean_documents(docs, bench).count() == 3
 
 
+def test_leaks_equal_a_search_of_all_passages(spark):
+    docs, items, _ = leak_rows()
+    docs = [(d, " ".join(t.split()[:150])) for d, t in docs[:72]]
+    found = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string").repartition(3),
+                                spark.createDataFrame(items, "item_id long, text string"))
+    want = {(d, i) for d, t in docs for i, x in items if brute.leaked(t, x)}
+    assert len(want) > 8 and {(r.doc_id, r.item_id) for r in found.collect()} == want
+
+
+def test_long_items_are_found_by_their_parts(spark, monkeypatch):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(3))
+    items = [(i, " ".join(word() for _ in range(n)) + ".") for i, n in enumerate([500] * 10 + [97, 130, 40, 1600])]
+    docs = [(i, " ".join([word() for _ in range(60)] + t.split() + [word() for _ in range(60)])) for i, t in items]
+    docs += [(100 + i, " ".join(t.split()[:len(t.split()) * 7 // 10] + [word() for _ in range(90)])) for i, t in items]
+    docs += [(200 + i, " ".join(t.split()[:len(t.split()) * 4 // 10] + [word() for _ in range(90)])) for i, t in items]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = {(h + i, i) for i, _ in items for h in (0, 100)}
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(df, bench).collect()} == want
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 1200)
+    assert [len(b) for b in decontaminate.blocks_of(iter(items), lambda r: r)] == [2, 2, 2, 2, 3, 2, 1]  # 500 + 500 + 97 words fit into 1200
+
+
+def test_documents_without_an_id_are_judged(spark):
+    leak, clean = "alpha beta gamma delta epsilon zeta eta theta", "one two three four five six seven eight"
+    rows = [(None, f"so {leak} it is", 1, "a"), (None, clean, 2, "b"), (None, f"so {leak} it is", 3, "c"), (7, f"well {leak}", 4, "d"),
+            (7, clean, 5, "e"), (None, None, 6, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key int, __leaked string")
+    bench = spark.createDataFrame([(1, leak + ".")], "item_id long, text string")
+    assert sorted(str(r.doc_id) for r in decontaminate.leaks(docs, bench).collect()) == ["7", "None"]
+    kept = decontaminate.clean_documents(docs, bench)
+    assert kept.columns == docs.columns and sorted(r.key for r in kept.collect()) == [2, 5, 6]
+
+
 def test_longest_common_subsequence():
     rng = random.Random(1)
     for _ in range(50):
