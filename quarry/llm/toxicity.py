@@ -98,6 +98,24 @@ def _train_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             names=["label", "own", "swap"])
 
 
+def _chosen_batches(batches: Iterator[pa.RecordBatch], keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Sorted numbers of the chosen features in place of all features; swapped rows that come out the same are null."""
+    def chosen(x) -> np.ndarray:
+        f = x.values.to_numpy(zero_copy_only=False).view(U64)
+        if not len(f) or not len(keys):
+            return np.zeros(0, np.int32)
+        at = np.minimum(np.searchsorted(keys, f), len(keys) - 1)
+        return np.sort(at[keys[at] == f]).astype(np.int32)
+
+    kind = pa.list_(pa.int32())
+    for batch in batches:
+        own = [chosen(x) for x in batch.column("own")]
+        swap = [chosen(x) if x.is_valid else None for x in batch.column("swap")]
+        swap = [None if s is None or np.array_equal(s, x) else s for s, x in zip(swap, own, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(own, kind), pa.array(swap, kind)],
+                                         names=["label", "own", "swap"])
+
+
 @dataclass
 class Model:
     """Sorted feature hashes, their weights, and the base score."""
@@ -179,22 +197,11 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAINING_DOCS)
     odds = F.log(t / (toxic + 1.0)) - F.log(o / (total - toxic + 1.0))
     best = each.select("f", F.abs(odds / F.sqrt(1 / t + 1 / o)).alias("z")).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "f").limit(MAX_FEATURES)
     keys = np.sort(np.array([r.f for r in best.collect()], np.int64).view(U64))
-    table = sample.toArrow()
-
-    def columns(name: str) -> list:
-        out = []
-        for x in table.column(name):
-            if x.values is None:
-                out.append(None)
-                continue
-            f = x.values.to_numpy(zero_copy_only=False).view(U64)
-            at = np.minimum(np.searchsorted(keys, f), len(keys) - 1) if len(keys) else np.zeros(0, np.int64)
-            out.append(np.sort(at[keys[at] == f]) if len(keys) else at)
-        return out
-
+    # at most max_docs rows, each with no more than the chosen features
+    table = sample.mapInArrow(partial(_chosen_batches, keys=keys), "label double, own array<int>, swap array<int>").toArrow()
+    own, swap = ([x.values.to_numpy(zero_copy_only=False).astype(np.int64) if x.is_valid else None for x in table.column(c)]
+                 for c in ("own", "swap"))
     label = table.column("label").to_numpy().astype(float)
-    own, swap = columns("own"), columns("swap")
-    swap = [None if s is None or np.array_equal(s, x) else s for s, x in zip(swap, own, strict=True)]
     order = sorted(range(len(own)), key=lambda i: (label[i], own[i].tobytes()))  # sums don't depend on Spark's row order
     w, b = fit(label[order], [own[i] for i in order], [swap[i] for i in order], len(keys))
     return Model(keys, w, b)
