@@ -9,6 +9,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.functions.kinds import q
 
@@ -131,6 +132,23 @@ def distinct_counts(df: DataFrame, cols: Sequence[str], approx: bool = False,
     return df.agg(*[fn(c).alias(c) for c in cols])
 
 
+def distinct_counts_bitmap(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Exact counts of distinct non-null values of whole-number columns, all
+    columns in one exchange: each task sets a bit per value in bitmaps of 32,768
+    values, and only bitmaps travel and are merged.  Ids and other dense numbers
+    need an eighth of a byte per value of their range instead of a shuffled row
+    per value; for sparse numbers (hashes) ``distinct_counts`` is smaller."""
+    for c in cols:
+        if not isinstance(df.schema[c].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+            raise ValueError(f"{c}: bitmaps hold whole numbers")
+    cells = F.array(*[F.struct(F.lit(i).alias("c"), q(c).cast("bigint").alias("v")) for i, c in enumerate(cols)])
+    long = df.select(F.inline(cells)).where("v IS NOT NULL")
+    maps = long.groupBy("c", F.bitmap_bucket_number("v").alias("bucket")).agg(
+        F.bitmap_count(F.bitmap_construct_agg(F.bitmap_bit_position("v"))).alias("n"))
+    return maps.agg(*[F.coalesce(F.sum(F.when(F.col("c") == i, F.col("n"))), F.lit(0)).cast("bigint").alias(c)
+                      for i, c in enumerate(cols)])
+
+
 def linspace(df: DataFrame, col: str, num: int = 50) -> DataFrame:
     """G20 ``np.linspace`` over the observed range of ``col``:
     (i, x) with both endpoints included."""

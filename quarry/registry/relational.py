@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from quarry.operators import ranks as K
 from quarry.operators import relational as R
 from quarry.operators.group_quantiles import group_quantiles
+from quarry.operators.intervals import interval_join
 from quarry.plans.clean_plan import smart_clean
 from quarry.registry import register, rounded
 from quarry.registry.views import dirty_orders
-from quarry.session import read_table
+from quarry.session import materialize, read_table
 
 
 def _t(spark, sf, name):
@@ -133,6 +134,54 @@ def band_join_full(spark, sf):
     return R.band_join(c, s, "c_acctbal", "s_acctbal", 0.5, "full").select("c_custkey", "s_suppkey")
 
 
+_PERIODS = """periods AS (SELECT o_orderkey, o_custkey, least(o_orderdate, min(l_shipdate)) AS opened,
+  greatest(o_orderdate, max(l_shipdate)) AS closed FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_custkey, o_orderdate)"""
+
+
+@register("interval_join", f"""WITH {_PERIODS} SELECT a.o_custkey, a.o_orderkey, b.o_orderkey AS other
+FROM periods a JOIN periods b ON a.o_custkey = b.o_custkey AND a.opened <= b.closed AND b.opened <= a.closed
+WHERE a.o_orderkey < b.o_orderkey""")
+def interval_join_(spark, sf):
+    o, li = _t(spark, sf, "orders"), _t(spark, sf, "lineitem").select("l_orderkey", "l_shipdate")
+    p = o.join(li, o.o_orderkey == li.l_orderkey).groupBy("o_orderkey", "o_custkey", "o_orderdate").agg(
+        F.least("o_orderdate", F.min("l_shipdate")).alias("opened"), F.greatest("o_orderdate", F.max("l_shipdate")).alias("closed"))
+    p = materialize(p.drop("o_orderdate"), "periods")  # read on both sides
+    b = p.select("o_custkey", F.col("o_orderkey").alias("other"), F.col("opened").alias("opened_b"), F.col("closed").alias("closed_b"))
+    found = interval_join(p, b, ("opened", "closed"), ("opened_b", "closed_b"), ["o_custkey"])
+    return found.where("o_orderkey < other").select("o_custkey", "o_orderkey", "other")
+
+
+_RANGES = """p AS (SELECT p_partkey, p_retailprice AS p_lo, p_retailprice + p_size / 100.0 AS p_hi FROM part),
+s AS (SELECT s_suppkey, s_acctbal AS s_lo, s_acctbal + s_suppkey % 7 AS s_hi FROM supplier)"""
+_MEET = "p_lo < s_hi AND s_lo < p_hi AND s_lo < s_hi AND p_lo < p_hi"
+
+
+def _ranges(spark, sf):
+    p = _t(spark, sf, "part").select("p_partkey", F.col("p_retailprice").alias("p_lo"),
+                                     (F.col("p_retailprice") + F.col("p_size") / 100.0).alias("p_hi"))
+    s = _t(spark, sf, "supplier").select("s_suppkey", F.col("s_acctbal").alias("s_lo"),
+                                         (F.col("s_acctbal") + F.col("s_suppkey") % 7).alias("s_hi"))
+    return p, s
+
+
+@register("interval_join_left", f"WITH {_RANGES} SELECT p_partkey, s_suppkey FROM p LEFT JOIN s ON {_MEET}")
+def interval_join_left(spark, sf):
+    p, s = _ranges(spark, sf)
+    return interval_join(p, s, ("p_lo", "p_hi"), ("s_lo", "s_hi"), how="left", closed=False).select("p_partkey", "s_suppkey")
+
+
+@register("interval_join_anti", f"WITH {_RANGES} SELECT s_suppkey FROM s WHERE NOT EXISTS (SELECT 1 FROM p WHERE {_MEET})")
+def interval_join_anti(spark, sf):
+    p, s = _ranges(spark, sf)
+    return interval_join(s, p, ("s_lo", "s_hi"), ("p_lo", "p_hi"), how="anti", closed=False).select("s_suppkey")
+
+
+@register("distinct_counts_bitmap", """SELECT count(DISTINCT l_orderkey) AS l_orderkey, count(DISTINCT l_partkey) AS l_partkey,
+  count(DISTINCT l_suppkey) AS l_suppkey, count(DISTINCT l_linenumber) AS l_linenumber FROM lineitem""")
+def distinct_counts_bitmap(spark, sf):
+    return R.distinct_counts_bitmap(_t(spark, sf, "lineitem"), ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"])
+
+
 @register("dummies_long", """SELECT c_custkey, 'c_mktsegment' AS column_name, c_mktsegment AS category
 FROM customer WHERE c_mktsegment IS NOT NULL""")
 def dummies_long(spark, sf):
