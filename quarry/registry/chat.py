@@ -399,6 +399,43 @@ def session_json(spark, sf):
                        "session.metadata.totalInteractions", "session.metadata.domain")
 
 
+_TYPED = "CASE turn % 4 WHEN 1 THEN 'code' WHEN 2 THEN 'chart' WHEN 3 THEN 'execution' ELSE 'text' END"
+
+
+@register("session_documents", f"""WITH {_completed_sql()},
+t AS (SELECT *, {_TYPED} AS type FROM chat_tagged),
+lastq AS (SELECT conv_id, arg_max(text, turn) AS q FROM t WHERE role = 'user' GROUP BY conv_id),
+kept AS (SELECT conv_id, count(*) AS n_messages, string_agg(conv_id || '-' || turn || ' ' || role || ' ' || type || ': ' || text,
+  chr(10) ORDER BY turn) AS messages FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM t) x
+  WHERE rn <= {CR.MAX_MESSAGES} GROUP BY conv_id),
+n AS (SELECT conv_id, min(turn) AS lo, count(*) AS total, count(*) FILTER (WHERE type = 'code') AS codes,
+  count(*) FILTER (WHERE type = 'chart') AS charts, count(*) FILTER (WHERE type = 'execution') AS runs FROM t GROUP BY conv_id)
+SELECT CAST(d.conv_id AS VARCHAR) AS session_id, n_messages, messages, total, codes, charts, runs,
+  strftime(TIMESTAMP '2024-01-01' + to_seconds(lo), '%Y-%m-%d %H:%M:%S') AS created, '2025-06-01 12:00:00' AS active,
+  CASE WHEN q IS NULL THEN 'initial_analysis' ELSE {_focus_sql('lower(q)', 'financial')} END AS focus,
+  array_to_string(d.completed, '|') AS completed,
+  array_to_string({_steps_sql('financial').replace('completed', 'd.completed')}, '|') AS steps,
+  'orders.csv' AS filename, (SELECT count(*) FROM orders) AS rows, 'financial' AS domain
+FROM done d JOIN n ON n.conv_id = d.conv_id JOIN kept ON kept.conv_id = d.conv_id LEFT JOIN lastq ON lastq.conv_id = d.conv_id""")
+def session_documents(spark, sf):
+    from quarry.plans.report import dataset_context
+    full, _, _ = smart_clean(dirty_orders(spark, sf))
+    msgs = chat_tagged(spark, sf).withColumn("type", F.expr(_TYPED)).withColumn(
+        "ts", F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, turn)"))
+    docs = H.export_sessions(H.chat_sessions(msgs, dataset_context(full, "orders.csv", ["o_orderkey"])))
+    x = H.import_sessions(docs, "2025-06-01 12:00:00").select("session.*")
+    said = F.transform("messages", lambda m: F.concat(m["id"], F.lit(" "), m["role"], F.lit(" "), m["type"], F.lit(": "), m["content"]))
+    stamp = (lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss"))
+    return x.select(
+        F.col("sessionId").alias("session_id"), F.size("messages").cast("bigint").alias("n_messages"),
+        F.array_join(said, "\n").alias("messages"), F.col("metadata.totalInteractions").alias("total"),
+        F.col("metadata.codeGenerationCount").alias("codes"), F.col("metadata.visualizationRequests").alias("charts"),
+        F.col("metadata.codeExecutions").alias("runs"), stamp("createdAt").alias("created"), stamp("lastActive").alias("active"),
+        F.col("analysisState.currentFocus").alias("focus"), F.array_join("analysisState.completedAnalyses", "|").alias("completed"),
+        F.array_join("analysisState.suggestedNextSteps", "|").alias("steps"), F.col("datasetContext.filename").alias("filename"),
+        F.col("datasetContext.shape.rows").alias("rows"), F.col("metadata.domain").alias("domain"))
+
+
 def _column_lists(spark, sf):
     """(table_name, columns, rows): the schema of every driver table with
     its row count (C1 + C15: a dataset is reported with its shape)."""
