@@ -151,29 +151,29 @@ def interval_join_(spark, sf):
     return found.where("o_orderkey < other").select("o_custkey", "o_orderkey", "other")
 
 
-_RANGES = """p AS (SELECT p_partkey, p_retailprice AS p_lo, p_retailprice + p_size / 100.0 AS p_hi FROM part),
-s AS (SELECT s_suppkey, s_acctbal AS s_lo, s_acctbal + s_suppkey % 7 AS s_hi FROM supplier)"""
-_MEET = "p_lo < s_hi AND s_lo < p_hi AND s_lo < s_hi AND p_lo < p_hi"
+_RANGES = """c AS (SELECT c_custkey, c_acctbal AS c_lo, c_acctbal + c_nationkey * 2 AS c_hi FROM customer),
+s AS (SELECT s_suppkey, s_acctbal AS s_lo, s_acctbal + s_suppkey % 7 * 10 AS s_hi FROM supplier)"""
+_MEET = "c_lo < s_hi AND s_lo < c_hi AND s_lo < s_hi AND c_lo < c_hi"
 
 
 def _ranges(spark, sf):
-    p = _t(spark, sf, "part").select("p_partkey", F.col("p_retailprice").alias("p_lo"),
-                                     (F.col("p_retailprice") + F.col("p_size") / 100.0).alias("p_hi"))
+    c = _t(spark, sf, "customer").select("c_custkey", F.col("c_acctbal").alias("c_lo"),
+                                         (F.col("c_acctbal") + F.col("c_nationkey") * 2).alias("c_hi"))
     s = _t(spark, sf, "supplier").select("s_suppkey", F.col("s_acctbal").alias("s_lo"),
-                                         (F.col("s_acctbal") + F.col("s_suppkey") % 7).alias("s_hi"))
-    return p, s
+                                         (F.col("s_acctbal") + F.col("s_suppkey") % 7 * 10).alias("s_hi"))
+    return c, s
 
 
-@register("interval_join_left", f"WITH {_RANGES} SELECT p_partkey, s_suppkey FROM p LEFT JOIN s ON {_MEET}")
+@register("interval_join_left", f"WITH {_RANGES} SELECT c_custkey, s_suppkey FROM c LEFT JOIN s ON {_MEET}")
 def interval_join_left(spark, sf):
-    p, s = _ranges(spark, sf)
-    return interval_join(p, s, ("p_lo", "p_hi"), ("s_lo", "s_hi"), how="left", closed=False).select("p_partkey", "s_suppkey")
+    c, s = _ranges(spark, sf)
+    return interval_join(c, s, ("c_lo", "c_hi"), ("s_lo", "s_hi"), how="left", closed=False).select("c_custkey", "s_suppkey")
 
 
-@register("interval_join_anti", f"WITH {_RANGES} SELECT s_suppkey FROM s WHERE NOT EXISTS (SELECT 1 FROM p WHERE {_MEET})")
+@register("interval_join_anti", f"WITH {_RANGES} SELECT s_suppkey FROM s WHERE NOT EXISTS (SELECT 1 FROM c WHERE {_MEET})")
 def interval_join_anti(spark, sf):
-    p, s = _ranges(spark, sf)
-    return interval_join(s, p, ("s_lo", "s_hi"), ("p_lo", "p_hi"), how="anti", closed=False).select("s_suppkey")
+    c, s = _ranges(spark, sf)
+    return interval_join(s, c, ("s_lo", "s_hi"), ("c_lo", "c_hi"), how="anti", closed=False).select("s_suppkey")
 
 
 @register("distinct_counts_bitmap", """SELECT count(DISTINCT l_orderkey) AS l_orderkey, count(DISTINCT l_partkey) AS l_partkey,
