@@ -166,7 +166,7 @@ def numeric_summary(df: DataFrame, n_cols: int | None = None) -> DataFrame:
 
 # --- C8-C10: value counts ------------------------------------------------
 
-def _as_text(name: str, dt: T.DataType):
+def as_text(name: str, dt: T.DataType):
     c = q(name)
     if isinstance(dt, (T.ArrayType, T.MapType, T.StructType)):
         return F.to_json(c)
@@ -181,7 +181,7 @@ def _counts_with_nulls(df: DataFrame, cols: Sequence[str] | None) -> DataFrame:
     cols = list(categorical_columns(df) if cols is None else cols)
     if not cols:
         return df.sparkSession.createDataFrame([], "ord int, column_name string, value string, count bigint")
-    counts = unpivot(df, [_as_text(c, types[c]) for c in cols]).groupBy("ord", "x").agg(F.count(F.lit(1)).alias("count"))
+    counts = unpivot(df, [as_text(c, types[c]) for c in cols]).groupBy("ord", "x").agg(F.count(F.lit(1)).alias("count"))
     names = F.array(*[F.lit(c) for c in cols])
     return counts.select("ord", F.get(names, F.col("ord")).alias("column_name"), F.col("x").alias("value"), "count")
 

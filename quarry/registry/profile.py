@@ -4,6 +4,7 @@ from __future__ import annotations
 
 
 from quarry.operators import profile as P
+from quarry.operators.heavy import heavy_hitters
 from quarry.operators.ranks import page_at
 from quarry.registry import register, rounded
 from quarry.registry.sqlgen import categorical, lit, numeric, union_all
@@ -119,6 +120,12 @@ def top_values_pct(spark, sf):
     return P.top_values(read_table(spark, sf, "documents"), 5)
 
 
+@register("top_values_heavy", f"""WITH t AS ({_top_sql('documents', categorical('documents'), 5)})
+SELECT ord, column_name, rank, value, count FROM t""")
+def top_values_heavy(spark, sf):
+    return heavy_hitters(read_table(spark, sf, "documents"), 5).drop("proof")
+
+
 @register("top_category", f"""WITH t AS ({_top_sql('customer', categorical('customer'), 1)})
 SELECT ord, column_name, value, count FROM t""")
 def top_category(spark, sf):
