@@ -12,17 +12,17 @@ from pyspark.sql import types as T
 from quarry.functions.kinds import q
 
 
-def _holds_map(dt: T.DataType) -> bool:
+def holds_map(dt: T.DataType) -> bool:
     if isinstance(dt, T.StructType):
-        return any(_holds_map(f.dataType) for f in dt.fields)
-    return isinstance(dt, T.MapType) or isinstance(dt, T.ArrayType) and _holds_map(dt.elementType)
+        return any(holds_map(f.dataType) for f in dt.fields)
+    return isinstance(dt, T.MapType) or isinstance(dt, T.ArrayType) and holds_map(dt.elementType)
 
 
 def _row_hash(df: DataFrame, cols: list[str]):
     """Two independent hashes (64 + 32 bits) of the row's columns.  Spark hashes no maps: a column with
     one inside contributes whether it is null, which only adds candidates for the exact grouping."""
     types = {f.name: f.dataType for f in df.schema.fields}
-    vals = [q(c).isNull() if _holds_map(types[c]) else q(c) for c in cols]
+    vals = [q(c).isNull() if holds_map(types[c]) else q(c) for c in cols]
     return F.struct(F.xxhash64(*vals).alias("h1"), F.hash(*vals).alias("h2"))
 
 
