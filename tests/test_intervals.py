@@ -70,6 +70,41 @@ def test_one_interval_over_everything_is_no_multiplied_row(spark):
     assert "NestedLoop" not in got._jdf.queryExecution().toString()
 
 
+def test_pairs_of_one_cell_are_dealt_to_several_tasks(spark):
+    """All rows share one cell, and no two are equal; before, one task had all pairs."""
+    from pyspark.sql import functions as F
+    left = spark.range(8000).selectExpr("id i", "0D ls", "1D le").unionByName(spark.sql("select -1L i, 5D ls, 6D le"))
+    right = spark.range(6000).selectExpr("id j", "0.25D rs", "0.5D re")
+    pairs = interval_join(left, right, ("ls", "le"), ("rs", "re"), how="left").groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in pairs) == 8000 * 6000 + 1
+    assert max(r["count"] for r in pairs) <= 8000 * 6000 / 2
+
+
+@pytest.mark.parametrize("closed", [True, False])
+def test_grids_of_chunks_give_every_pair_once(spark, closed, monkeypatch):
+    from quarry.operators import intervals as I
+    monkeypatch.setattr(I, "CHUNK", 9)
+    monkeypatch.setattr(I, "PER_TASK", 50)
+    rng = random.Random(8)
+    ls, rs = rows(rng, 80), rows(rng, 60)
+    ls += [(200, "a", 0.0, 1.0)] * 9
+    rs += [(200, "a", 0.0, 1.0)] * 7
+    left = spark.createDataFrame(ls, "i long, k string, ls double, le double")
+    right = spark.createDataFrame(rs, "j long, k string, rs double, re double")
+    got = interval_join(left, right, ("ls", "le"), ("rs", "re"), ["k"], "inner", closed)
+    assert sorted((r.i, r.j) for r in got.collect()) == sorted((x[0], y[0]) for x in ls for y in rs if meets(x, y, closed))
+
+
+def test_whether_a_row_meets_anything_across_ranges(spark):
+    """One interval from the first range reaches rows in the last one, per key and without keys."""
+    left = spark.range(400).selectExpr("id i", "id % 2 k", "id * 10D ls", "id * 10D + 2 le")
+    right = spark.createDataFrame([(0, 1.0, 3000.0), (1, 5.0, 6.0), (0, 3902.0, 3902.5)], "k long, rs double, re double")
+    for closed, touching in ((True, 1), (False, 0)):
+        assert interval_join(left, right, ("ls", "le"), ("rs", "re"), ["k"], "semi", closed).count() == 150 + touching + touching
+        anti = interval_join(left.drop("k"), right.drop("k"), ("ls", "le"), ("rs", "re"), how="anti", closed=closed)
+        assert anti.count() == 400 - 300 - touching - touching
+
+
 def test_bitmap_counts(spark):
     df = spark.createDataFrame([(1, -5), (1, 40000), (None, -40000), (2**40, -5), (2**62, None)], "a long, b int")
     assert tuple(distinct_counts_bitmap(df, ["a", "b"]).first()) == (3, 3)
