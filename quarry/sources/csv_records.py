@@ -10,13 +10,15 @@ its own task:
    ones, the identity and the swap.
 2. The maps are composed along a split in the order in which its task reads
    it, for either state at its beginning: the state is the last constant,
-   changed by the swaps since then.  This is the one Python stage; it sees
-   maps, not fields.
+   changed by the swaps since then.  This is a Python stage; it sees maps,
+   not fields.
 3. The splits' maps are composed by a window over one row per split, which
    gives each split's beginning, and where the record that it begins in
    started.
-4. Lines that are whole records stay where they are.  Only lines of records
-   of several lines are grouped, by the place where their record starts.
+4. The lines of a record are joined where they are read, as its task meets
+   them in a row (a second Python stage, which joins texts).  Only pieces of
+   records that go on in another task travel, to the place where their
+   record starts.
 
 A quote is special at the beginning of a field and inside a quoted one, where
 two of them stand for one.  A field that goes on after its closing quote is
@@ -30,12 +32,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.session import materialize, ship_package
 
 LINES = "file string, split bigint, at bigint, line string, in0 boolean, in1 boolean, out0 boolean, out1 boolean, start0 bigint, start1 bigint"
+PARTS = "file string, split bigint, at bigint, record string, piece string, piece_split bigint, piece_at bigint"
 #: A record start that lies before the split.
 EARLIER = -1
 
@@ -87,6 +91,66 @@ def _along_splits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 names=["file", "split", "at", "line", "in0", "in1", "out0", "out1", "start0", "start1"])
 
 
+def _parts(files: pa.Array, texts: pa.Array, whole: np.ndarray, places: list[np.ndarray]) -> pa.RecordBatch:
+    place = np.arange(len(whole))
+    record, piece = (texts.take(pa.array(place, mask=absent)) for absent in (~whole, whole))
+    split, at, piece_split, piece_at = (pa.array(p, pa.int64()) for p in places)
+    return pa.RecordBatch.from_arrays([files, split, at, record, piece, piece_split, piece_at],
+                                      names=["file", "split", "at", "record", "piece", "piece_split", "piece_at"])
+
+
+class _Held:
+    """The last lines of a batch; the next batch may go on with them."""
+
+    def __init__(self, file: pa.Array, places: list[int], begins: bool):
+        self.file, self.places, self.begins, self.texts = file, places, begins, []
+
+    def add(self, text: pa.Scalar, at: int, goes_on: bool) -> None:
+        self.texts.append(text.as_py())
+        self.at, self.goes_on = int(at), bool(goes_on)
+
+    def part(self, kind: pa.DataType) -> pa.RecordBatch:
+        return _parts(self.file, pa.array(["\n".join(self.texts)], kind), np.array([self.begins and not self.goes_on]),
+                      [np.array([p]) for p in self.places])
+
+
+def _along_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines that follow each other in a record become one text: the record, or a piece of it.  Wherever a task
+    begins or ends, and in whatever order it meets the lines, the pieces are those it has seen in a row."""
+    held = kind = None
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        files, lines = batch.column("file"), batch.column("line")
+        kind = lines.type
+        codes = files.dictionary_encode().indices.to_numpy()
+        split, at, first_split, first_at = (batch.column(c).to_numpy() for c in ("split", "at", "first_split", "first_at"))
+        inside, after = (batch.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("in", "out"))
+        new = ~inside
+        new[0] = True
+        new[1:] |= (codes[1:] != codes[:-1]) | (split[1:] != split[:-1]) | (at[1:] != at[:-1] + 1)
+        heads = np.flatnonzero(new)
+        lasts = np.append(heads[1:], n) - 1
+        texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(heads, n), pa.int32()), lines), pa.scalar("\n", kind))
+        places = [first_split[heads], first_at[heads], split[heads], at[heads]]
+        low, high = 0, len(heads) - 1
+        if held:
+            if inside[0] and held.file[0] == files[0] and held.places[2] == split[0] and held.at + 1 == at[0]:
+                held.add(texts[0], at[lasts[0]], after[lasts[0]])
+                low = 1
+                if not high:
+                    continue
+            yield held.part(kind)
+        if low < high:
+            yield _parts(files.take(pa.array(heads[low:high])), texts[low:high], ~inside[heads[low:high]] & ~after[lasts[low:high]],
+                         [p[low:high] for p in places])
+        held = _Held(files.slice(heads[high], 1), [int(p[high]) for p in places], not inside[heads[high]])
+        held.add(texts[high], at[lasts[high]], after[lasts[high]])
+    if held:
+        yield held.part(kind)
+
+
 def raw_lines(spark: SparkSession, path: str) -> DataFrame:
     """file, split (its first byte), line of all lines, in the order of the files inside a split.  Lines end
     with a line feed; a byte order mark at the beginning of a file is dropped."""
@@ -126,17 +190,21 @@ def csv_records(spark: SparkSession, path: str, sep: str = ",", multi_line: bool
     lines = materialize(lines.mapInArrow(_along_splits, LINES), "csv-lines")
     if not multi_line:
         return lines.select("file", "split", "at", _without_return(F.col("line")).alias("record"))
-    begin = _beginnings(lines)
+    # one row per split; the lines stay in their order
+    begin = F.broadcast(materialize(_beginnings(lines), "csv-beginnings"))
     lines = lines.join(begin, (F.col("file") == F.col("b_file")) & (F.col("split") == F.col("b_split")), "left")
     pick = [F.when(F.col("open"), F.col(f"{c}1")).otherwise(F.col(f"{c}0")).alias(c) for c in ("in", "out", "start")]
     lines = lines.select("file", "split", "at", "line", "began", *pick)
-    single = lines.where(~F.col("in") & ~F.col("out")).select("file", "split", "at", "line")
-    pieces = lines.where(F.col("in") | F.col("out"))
     # a quote that is never closed takes the rest of its file, as in a reader of whole files
-    starts = F.when(F.col("start") == EARLIER, F.col("began")).otherwise(F.struct("split", F.col("start").alias("at")))
-    grouped = pieces.groupBy("file", starts.alias("first")).agg(F.array_sort(F.collect_list(F.struct("split", "at", "line"))).alias("all"))
-    several = grouped.select("file", "first.split", "first.at", F.array_join(F.col("all.line"), "\n").alias("line"))
-    return single.unionByName(several).select("file", "split", "at", _without_return(F.col("line")).alias("record"))
+    earlier = F.col("start") == EARLIER
+    lines = lines.select("file", "split", "at", "line", "in", "out", F.when(earlier, F.col("began.split")).otherwise(F.col("split")).alias("first_split"),
+                         F.when(earlier, F.col("began.at")).otherwise(F.col("start")).alias("first_at"))
+    parts = materialize(lines.mapInArrow(_along_records, PARTS), "csv-records")
+    whole = parts.where("record is not null").select("file", "split", "at", "record")
+    pieces = parts.where("piece is not null").groupBy("file", "split", "at").agg(
+        F.array_sort(F.collect_list(F.struct("piece_split", "piece_at", "piece"))).alias("all"))
+    several = pieces.select("file", "split", "at", F.array_join(F.col("all.piece"), "\n").alias("record"))
+    return whole.unionByName(several).select("file", "split", "at", _without_return(F.col("record")).alias("record"))
 
 
 def _without_return(line: Column) -> Column:

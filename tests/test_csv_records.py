@@ -8,9 +8,10 @@ import tempfile
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
-from quarry.sources.csv_records import csv_records, states
+from quarry.sources.csv_records import _along_records, csv_records, states
 from quarry.sources.text import read_csv_text
 
 
@@ -102,3 +103,48 @@ def test_states_compose():
             before, after = states(to0, to1, first)
             assert before.tolist() == want
             assert after[-1] == now
+
+
+def test_lines_met_in_any_runs_make_every_record_once():
+    """Records of one to five lines in two files, met in batches of any size and from any line on."""
+    rng = random.Random(3)
+    for _ in range(60):
+        lines, want = [], {}
+        for file in ("a", "b"):
+            split, at = 0, 0
+            for _ in range(rng.randrange(1, 15)):
+                first, n = (split, at), rng.choice([1, 1, 2, 5])
+                want[(file, *first)] = [f"{file}{split}.{at}.{i}" for i in range(n)]
+                for i in range(n):
+                    lines.append((file, split, at, f"{want[(file, *first)][i]}", i > 0, i < n - 1, *first))
+                    split, at = (split + 700, 0) if rng.random() < 0.1 else (split, at + 1)
+        cut = rng.randrange(len(lines))
+        lines = lines[cut:] + lines[:cut]
+        batches = []
+        while lines:
+            n = rng.choice([1, 2, 7, 40])
+            head, lines = lines[:n], lines[n:]
+            batches.append(pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*head, strict=True)], names=[
+                "file", "split", "at", "line", "in", "out", "first_split", "first_at"]))
+        whole, pieces = {}, {}
+        for b in _along_records(iter(batches)):
+            for r in b.to_pylist():
+                key = (r["file"], r["split"], r["at"])
+                if r["record"] is not None:
+                    assert r["piece"] is None and key not in whole
+                    whole[key] = r["record"]
+                else:
+                    pieces.setdefault(key, []).append((r["piece_split"], r["piece_at"], r["piece"]))
+        assert not whole.keys() & pieces.keys()
+        whole |= {k: "\n".join(p[2] for p in sorted(v)) for k, v in pieces.items()}
+        assert whole == {k: "\n".join(v) for k, v in want.items()}
+
+
+def test_records_inside_a_split_are_not_shuffled(spark):
+    """Records of several lines stay in their task: before, all their lines were dealt anew for every use."""
+    d = folder({"x.csv": "a,b\n" + "".join(f'{i},"one\ntwo {i}\nthree"\n' for i in range(30000))})
+    found = csv_records(spark, d)
+    scans = [p for p in found.inputFiles()]
+    parts = spark.read.parquet(*scans)
+    assert found.count() == 30001
+    assert parts.where("piece is not null").count() <= 2 * len(scans)
